@@ -423,17 +423,19 @@ def _first_defect(question: pd.Series, answer: pd.Series, behavior: pd.Series, r
 
 def sentence_ends(texts: DataFrame, column: str) -> DataFrame:
     """How often each pair of last words ends a sentence of column, and how often it goes on, over all rows."""
-    # stays in the JVM: two words, and the mark after them
+    # stays in the JVM: the text is cut at its terminators once, and of each sentence only the last two words are looked at
     shape = lambda w: F.when(w.rlike("[0-9]"), "#").when(w.rlike(r"^\p{Lu}."), "^").otherwise(F.lower(w))
-    found = F.regexp_extract_all(F.col(column), F.lit(r"([^\s]+\s+[^\s.!?…,;:()\"]+)[.!?…](?=\s|$)"), F.lit(1))
+    parts = F.split(F.col(column), r"[.!?…]+(?:\s+|$)")
+    tails = F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda s: F.substring_index(s, " ", -2))
+    words = F.split(F.regexp_replace("_pair", r"[,;:()\"]", ""), r"\s+")
     return (
         texts.where(F.col(column).isNotNull())
-        .select(F.explode(F.array_distinct(found)).alias("_pair"))
-        .select(F.split("_pair", r"\s+").alias("_w"))
-        .select(F.concat(shape(F.regexp_replace(F.col("_w")[0], r"[,;:()\"]", "")), F.lit(" "), shape(F.col("_w")[1])).alias("_key"))
-        .groupBy("_key")
-        .agg(F.count("*").alias("_ends"))
-    )
+        .select(F.explode(F.array_distinct(tails)).alias("_pair"))
+        .groupBy("_pair").agg(F.count("*").alias("_n"))
+        .select(words.alias("_w"), "_n").where(F.size("_w") == 2)
+        .groupBy(F.concat(shape(F.col("_w")[0]), F.lit(" "), shape(F.col("_w")[1])).alias("_key"))
+        .agg(F.sum("_n").alias("_ends"))
+    )
 
 
 def flag_pairs(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..plans.catalog import Catalog
 from ..session import table
-from . import lookalike, neardup, pairs, setsim, splitting
+from . import lookalike, neardup, pairs, scannoise, setsim, splitting
 
 llm = Catalog()
 
@@ -56,6 +56,23 @@ def p4_groups(spark, d):
     return neardup.near_duplicate_groups(table(spark, d, "results"))
 
 
+def _scanned(spark, d):
+    return scannoise.scanned(table(spark, d, "text_lines"), table(spark, d, "chunks"))
+
+
+@llm.query()
+def p5_found(spark, d):
+    rows = _scanned(spark, d).select(F.col("kind").alias("record_kind"), F.explode("noise").alias("n"))
+    return rows.select("record_kind", F.col("n.key").alias("record_key"), "n.noise").distinct()
+
+
+@llm.query()
+def p5_paragraphs(spark, d):
+    """The repaired text of every page and chunk, paragraph by paragraph."""
+    rows = _scanned(spark, d).select("kind", "unit", "file", "page", F.posexplode("paragraphs").alias("paragraph_no", "text"))
+    return rows.withColumn("paragraph_no", F.col("paragraph_no") + 1)
+
+
 @llm.query()
 def p6_found(spark, d):
     return lookalike.lookalike_quotes(table(spark, d, "evidence_quotes"), table(spark, d, "chunks"))

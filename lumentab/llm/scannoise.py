@@ -2,8 +2,8 @@
 
 Method: a noisy channel. The corpus gives the counts of its frequent words (all that reach a share of its tokens, so that
 their number has a bound), of word pairs (one table of fixed size, filled by hash) and of the shapes of codes and numbers.
-A word may stand for every frequent word of the same skeleton, in which characters and groups that are confused in scans are
-one; its probability is that of the confusions between the two. The Viterbi decoder takes, line by line, the most probable
+A word may stand for every frequent word that one or two confusions of characters turn into it; its probability is that of the
+confusions between the two. The Viterbi decoder takes, line by line, the most probable
 sequence of candidates under channel and word pairs; words that come out changed are misread.
 
 Words broken at line ends are put together before they are looked up; a hyphen is the word's own if the corpus has the
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 # Character groups confused in scans, as (read, meant), lower case.
 CONFUSIONS = [
-    ("rn", "m"), ("ri", "n"), ("cl", "d"), ("vv", "w"), ("ii", "u"), ("li", "h"), ("nn", "m"), ("in", "m"), ("iii", "m"), ("lc", "k"),
+    ("rn", "m"), ("ri", "n"), ("cl", "d"), ("vv", "w"), ("ii", "u"), ("li", "h"), ("nn", "m"), ("in", "m"), ("iii", "m"), ("lc", "k"), ("m", "rn"), ("d", "cl"), ("w", "vv"), ("h", "li"),
     ("0", "o"), ("1", "l"), ("1", "i"), ("i", "l"), ("l", "i"), ("5", "s"), ("9", "g"), ("8", "b"), ("6", "b"), ("e", "c"), ("c", "e"), ("f", "t"), ("t", "f"),
     ("b", "h"), ("h", "b"), ("n", "u"), ("u", "n"), ("3", "e"), ("4", "a"), ("7", "t"), ("2", "z"), ("|", "l"), ("!", "l"), ("q", "g"), ("6", "g"),
     ("ח", "ת"), ("ת", "ח"), ("ה", "ח"), ("ח", "ה"), ("ב", "כ"), ("כ", "ב"), ("ד", "ר"), ("ר", "ד"), ("ו", "ן"), ("ן", "ו"), ("ם", "ס"), ("ס", "ם"), ("ג", "נ"), ("נ", "ג"), ("י", "ו"), ("ו", "י"), ("צ", "ע"), ("ך", "ד"),
@@ -38,7 +38,8 @@ CONFUSIONS = [
 # What a character of a code or number may be misread from.
 CODE_CONFUSIONS = {"O": "0", "o": "0", "Q": "0", "D": "0", "l": "1", "I": "1", "|": "1", "i": "1", "S": "5", "s": "5", "B": "8", "Z": "2", "z": "2", "g": "9", "q": "9", "G": "6", "b": "6", "0": "O", "1": "Il", "5": "S", "8": "B", "2": "Z", "6": "G"}
 HYPHENS = "-­¬‐"
-ERROR = 0.004  # of one confusion
+ERROR = 0.012  # of one confusion
+_LETTERS = str.maketrans("0159864", "olsgbba")
 WORD = re.compile(r"[^\W_]+(?:[-'’./,|][^\W_]+)*")
 EDGE = "\"'“”„‘’«».,;:!?()[]{}<>*©|·–—"
 ENDS = ".!?:;…"
@@ -49,9 +50,9 @@ PAGE_NUMBER = re.compile(rf"(?i)^[\W_]*(?:(?:{PAGE_WORDS})\b\.?\s*)?{_NUMBER}(?:
 
 
 def words_column(text: Column) -> Column:
-    """The words of a line in lower case, without outer marks; a word broken at the line's end is left out."""
+    """The words of a line, without outer marks; a word broken at the line's end is left out."""
     whole = F.regexp_replace(text, r"[\p{L}\p{N}]*[-¬‐\x{AD}]\s*$", "")
-    return F.regexp_extract_all(F.lower(whole), F.lit(r"([\p{L}\p{N}]+(?:[-'’./,|][\p{L}\p{N}]+)*)"), F.lit(1))
+    return F.regexp_extract_all(whole, F.lit(r"([\p{L}\p{N}]+(?:[-'’./,|][\p{L}\p{N}]+)*)"), F.lit(1))
 
 
 def skeleton_column(text: Column) -> Column:
@@ -61,41 +62,25 @@ def skeleton_column(text: Column) -> Column:
 
 
 @functools.cache
-def _fold_rules() -> tuple[list[tuple[str, str]], dict[int, str]]:
-    """Groups first, then single characters: each class of confused characters is written as its first."""
-    parent: dict[str, str] = {}
-
-    def root(c: str) -> str:
-        while parent.get(c, c) != c:
-            c = parent[c]
-        return c
-
+def _by_read() -> dict[str, list[str]]:
+    out: dict[str, list[str]] = {}
     for a, b in CONFUSIONS:
-        if len(a) == len(b) == 1:
-            parent.setdefault(a, a)
-            parent.setdefault(b, b)
-            if root(a) != root(b):
-                parent[root(a)] = root(b)
-    groups = sorted(((a, b) for a, b in CONFUSIONS if len(a) > 1), key=lambda x: -len(x[0]))
-    return groups, {ord(c): root(c) for c in parent}
-
-
-def skeleton(word: str) -> str:
-    """Equal for words that confusions of single characters, or of groups, turn into each other."""
-    groups, single = _fold_rules()
-    out = word.translate(single)
-    # groups are folded in the alphabet of the classes, until nothing changes
-    for a, b in groups:
-        out = out.replace(a.translate(single), b.translate(single))
+        out.setdefault(a, []).append(b)
     return out
 
 
+def meanings(word: str) -> set[str]:
+    """What word may have been before one confusion."""
+    table = _by_read()
+    return {word[:i] + to + word[i + n :] for n in (1, 2, 3) for i in range(len(word) - n + 1) for to in table.get(word[i : i + n], ())}
+
+
 @functools.lru_cache(200_000)
 def channel(read: str, meant: str) -> float:
     """Log probability that meant is read as read: the best way of confusions between the two, -inf if there is none."""
     table: dict[str, list[str]] = _by_meant()
     best = {(0, 0): 0.0}
-    step, keep = math.log(ERROR), math.log(1 - 10 * ERROR)
+    step, keep = math.log(ERROR), 0.0
     for i in range(len(read) + 1):
         for j in range(len(meant) + 1):
             here = best.get((i, j))
@@ -123,51 +108,70 @@ def shape(word: str) -> str:
     return re.sub(r"[^\W\d_]", lambda m: "A" if m.group().isupper() else "a", re.sub(r"\d", "9", word))
 
 
+def word_class(word: str) -> str:
+    """Numbers, capitalised words, and all others by themselves, in lower case."""
+    return "#" if any(c.isdigit() for c in word) else "^" if word[:1].isupper() else word.lower()
+
+
 class Model:
     """Counts of frequent words, word pairs and code shapes, with the decoder over them."""
 
     def __init__(self, words: dict[str, int], pairs: np.ndarray, shapes: dict[str, int], total: int):
         self.words, self.pairs, self.shapes, self.total = words, pairs, shapes, max(1, total)
-        self.by_skeleton: dict[str, list[str]] = {}
-        for w in words:
-            if len(w) > 1 and w[0].isalpha() and not any(c.isdigit() for c in w):
-                self.by_skeleton.setdefault(skeleton(w), []).append(w)
-        for ws in self.by_skeleton.values():
-            ws.sort(key=lambda w: (-words[w], w))
+        self.most = max(words.values(), default=0)
+        self._found: dict[tuple[str, bool], list[str]] = {}
 
     def pair(self, a: str, b: str) -> int:
         h = xxhash.xxh64_intdigest(f"{a} {b}".encode(), seed=42)
         h -= (h >> 63) << 64
         return int(self.pairs[h % BUCKETS])
 
-    def candidates(self, word: str) -> list[str]:
-        """Frequent words that may stand behind a word, at least fifty times as frequent as itself."""
+    def candidates(self, word: str, two: bool = True) -> list[str]:
+        """Frequent words that may stand behind a word by one confusion (or two), at least fifty times as frequent as it."""
         own = self.words.get(word, 0)
-        if len(word) < 2:
+        if len(word) < 2 or own * 50 > self.most:
             return []
-        return [c for c in self.by_skeleton.get(skeleton(word), ())[:6] if c != word and self.words[c] >= max(5, 50 * own) and channel(word, c) > -math.inf]
-
-    def likelihood(self, before: str | None, word: str) -> float:
-        alone = (self.words.get(word, 0) or 0.2) / self.total
-        if before is None:
+        key = (word, two)
+        found = self._found.get(key)
+        if found is None:
+            least = max(5, 50 * own)
+            near = meanings(word)
+            found = [c for c in near if self.words.get(c, 0) >= least]
+            if not found and two and len(word) > 3:
+                found = [c for x in near for c in meanings(x) if self.words.get(c, 0) >= 4 * least and c != word]
+            found = sorted(set(found), key=lambda c: (-self.words[c], c))[:4]
+            if len(self._found) < 300_000:
+                self._found[key] = found
+        return found
+
+    def likelihood(self, before: str, word: str) -> float:
+        """Log probability of a word after the class of the word before it; capitalised words stand alone."""
+        alone = (self.words.get(word, 0) or 0.05) / self.total
+        if before == "^":
             return math.log(alone)
-        prior = 50.0
-        return math.log((self.pair(before, word) + prior * alone) / (max(self.words.get(before, 1), self.pair(before, word)) + prior))
+        known = self.words.get(before, 1) if before != "#" else 1000
+        seen = self.pair(before, word)
+        return math.log((seen + 50.0 * alone) / (max(known, seen) + 50.0))
 
     def decode(self, line: list[str]) -> list[str]:
-        """The most probable words behind a line, lower case."""
-        lattice = [[w, *self.candidates(w)] for w in line]
+        """The most probable words behind a line, in lower case; capitalised words, often names, by one confusion only."""
+        low = [w.lower() for w in line]
+        lattice = [[x] if any(c.isdigit() for c in w) else [x, *self.candidates(x, w.islower() or w.isupper())] for w, x in zip(line, low)]
         if all(len(x) == 1 for x in lattice):
-            return line
-        scores: list[dict[str, tuple[float, str | None]]] = []
-        for k, options in enumerate(lattice):
+            return low
+        scores: list[dict[str, tuple[float, str | None]]] = [{c: (math.log((self.words.get(c, 0) or 0.05) / self.total) + (channel(low[0], c) if c != low[0] else 0.0), None) for c in lattice[0]}]
+        for k in range(1, len(line)):
+            single = word_class(line[k])
             now = {}
-            for c in options:
-                emit = 0.0 if c == line[k] else channel(line[k], c)
-                if k == 0:
-                    now[c] = (self.likelihood(None, c) + emit, None)
-                else:
-                    now[c] = max((s + self.likelihood(b, c) + emit, b) for b, (s, _) in scores[-1].items())
+            for c in lattice[k]:
+                emit = 0.0 if c == low[k] else channel(low[k], c)
+                best = (-math.inf, None)
+                for b, (s, _) in scores[-1].items():
+                    kind = word_class(line[k - 1])
+                    p = s + (self.likelihood(kind if kind in "#^" else b, c) if single not in "#^" else self.likelihood("^", c))
+                    if p > best[0]:
+                        best = (p, b)
+                now[c] = (best[0] + emit, best[1])
             scores.append(now)
         best = max(scores[-1], key=lambda c: scores[-1][c][0])
         out = [best]
@@ -207,27 +211,22 @@ class Model:
 def misread(model: Model, tokens: list[str]) -> list[str | None]:
     """For each token of a line the one behind it, where it was misread; else null."""
     out: list[str | None] = [None] * len(tokens)
-    plain: list[int] = []
     for i, t in enumerate(tokens):
         digits = sum(c.isdigit() for c in t)
         letters = sum(c.isalpha() for c in t)
-        if not digits:
-            plain.append(i)
-        elif letters:
+        if digits and letters:
             low = t.lower()
-            found = next(iter(model.candidates(low)), None) if letters >= digits or len(t) <= 3 else None
+            letters_only = low.translate(_LETTERS)
+            found = letters_only if model.words.get(letters_only, 0) >= max(5, 50 * model.words.get(low, 0)) else next(iter(model.candidates(low)), None)
             if found is None and letters >= 3 and letters > digits and re.search(r"[a-zà-ÿ]{2}", t) and all(c in "01598643" for c in t if c.isdigit()) and not re.fullmatch(r"\d+\W?[^\W\d_]{1,3}", t):
-                found = low.translate(str.maketrans("0159864", "olsgbba"))
+                found = letters_only
             out[i] = found or model.code(t)
-        elif any(c in "|!" for c in t):
-            out[i] = model.code(t)
-    low = [tokens[i].lower() for i in plain]
-    for i, w, m in zip(plain, low, model.decode(low)):
-        if m != w:
+    for i, (t, m) in enumerate(zip(tokens, model.decode(tokens))):
+        if any(c.isdigit() for c in t):
+            continue
+        if m != t.lower():
             out[i] = m
-    # a capital I read as l, or an l as I, inside a word
-    for i in plain:
-        t = tokens[i]
+        # a capital I read as l, or an l as I
         if out[i] is None and re.search(r"[a-zà-ÿ]I", t) and t.replace("I", "l").lower() in model.words:
             out[i] = t.replace("I", "l").lower()
         elif out[i] is None and len(t) > 2 and re.match(r"l[b-df-hj-np-tv-z]", t) and "i" + t[1:].lower() in model.words and t.lower() not in model.words:
@@ -338,8 +337,10 @@ def corpus_model(texts: DataFrame, share: float = 5e-6) -> Model:
     tokens = texts.where("text IS NOT NULL").select(words_column(F.col("text")).alias("w"))
     total = tokens.agg(F.sum(F.size("w"))).first()[0] or 0
     least = max(2, math.ceil(share * total))
-    words = dict(tokens.select(F.explode("w").alias("w")).groupBy("w").count().where(F.col("count") >= least).toPandas().itertuples(index=False, name=None))
+    words = dict(tokens.select(F.explode("w").alias("w")).groupBy(F.lower("w").alias("w")).count().where(F.col("count") >= least).toPandas().itertuples(index=False, name=None))
     bucket = F.pmod(F.xxhash64("p"), F.lit(BUCKETS))
+    kind = lambda x: F.when(x.rlike("[0-9]"), "#").when(x.rlike(r"^\p{Lu}"), "^").otherwise(F.lower(x))
+    tokens = tokens.select(F.transform("w", kind).alias("w"))
     two = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat(F.element_at("w", i), F.lit(" "), F.element_at("w", i + 1)))
     counted = tokens.where(F.size("w") > 1).select(F.explode(two).alias("p")).groupBy(bucket.cast("int").alias("b")).count().toPandas()
     pairs = np.zeros(BUCKETS, np.int64)
