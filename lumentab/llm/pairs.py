@@ -388,8 +388,8 @@ def breaks_off(answer: str, reference: str | None) -> bool | None:
             i = reference.find(stretch, i + 1)
         if verdicts:
             return verdicts == {True}
-    if len(bare.split()) == 1:
-        return False
+    if len(stretch.split()) <= 2:  # a sentence just begun; as the whole answer, a short one
+        return len(stretch) < len(bare)
     return None
 
 
@@ -450,7 +450,8 @@ def flag_pairs(
     col = lambda c: F.col(f"`{c}`") if c else F.lit(None).cast("string")
     first = df.withColumn("__first", _first_defect(col(question), col(answer), col(behavior), col(reference)))
     ends = sentence_ends(df.select(F.explode(F.array(*[col(c) for c in (answer, reference) if c])).alias("_text")), "_text")
-    # the counts are needed only for endings of the open rows; "and" in place of a name is no key of another form
+    # an ending is one of the language if it makes up a share of all of them: endings of other broken answers don't
+    ends = ends.crossJoin(F.broadcast(ends.agg(F.sum("_ends").alias("_all")))).where("_ends >= greatest(2, 3e-5 * _all)").drop("_all")
     open_key = F.when(F.col("__first").startswith("?"), F.expr("substring(__first, 2)"))
     out = first.withColumn("__key", open_key).join(ends.withColumnRenamed("_key", "__key"), "__key", "left")
     verdict = (
