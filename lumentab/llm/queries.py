@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..plans.catalog import Catalog
 from ..session import table
-from . import lookalike, neardup, pairs, scannoise, setsim, splitting
+from . import langid, lookalike, mixing, neardup, packing, pairs, scannoise, setsim, splitting
 
 llm = Catalog()
 
@@ -84,3 +84,43 @@ def p6_folded(spark, d):
     chunks = lookalike.folded(table(spark, d, "chunks").select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("key"), "text"), "text")
     quotes = lookalike.folded(table(spark, d, "evidence_quotes").select(F.lit("quote").alias("kind"), F.col("quote_id").cast("string").alias("key"), F.col("quote").alias("text")), "text")
     return chunks.unionByName(quotes).distinct()
+
+
+@llm.query()
+def p8_containers(spark, d):
+    """Every text's place: container, piece and tokens, for each capacity."""
+    return packing.fill_containers(packing.sized(table(spark, d, "documents")), table(spark, d, "pack_limits"))
+
+
+@llm.query()
+def p8_fill(spark, d):
+    """Containers and unused share for each capacity."""
+    return packing.fill_report(p8_containers(spark, d))
+
+
+def _mix(spark, d):
+    targets = table(spark, d, "mix_targets")
+    pool = mixing.text_pool(table(spark, d, "documents"), targets)
+    return mixing.mix_sources(pool, targets), pool, targets
+
+
+@llm.query()
+def p9_mixture(spark, d):
+    return _mix(spark, d)[0].withColumnRenamed("key", "doc_id")
+
+
+@llm.query()
+def p9_shares(spark, d):
+    """The share of each source in the mixture beside its target."""
+    return mixing.mix_report(*_mix(spark, d))
+
+
+@llm.query()
+def p10_found(spark, d):
+    return langid.mislabelled(langid.document_languages(langid.language_segments(table(spark, d, "documents"))))
+
+
+@llm.query()
+def p10_segments(spark, d):
+    """Every segment of every text with its language and a confidence."""
+    return langid.language_segments(table(spark, d, "documents"))

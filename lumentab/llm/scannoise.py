@@ -28,6 +28,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import staged
+
 # Character groups confused in scans, as (read, meant), lower case.
 CONFUSIONS = [
     ("rn", "m"), ("ri", "n"), ("cl", "d"), ("vv", "w"), ("ii", "u"), ("li", "h"), ("nn", "m"), ("in", "m"), ("iii", "m"), ("lc", "k"), ("m", "rn"), ("d", "cl"), ("w", "vv"), ("h", "li"),
@@ -43,7 +45,7 @@ _LETTERS = str.maketrans("0159864", "olsgbba")
 WORD = re.compile(r"[^\W_]+(?:[-'’./,|][^\W_]+)*")
 EDGE = "\"'“”„‘’«».,;:!?()[]{}<>*©|·–—"
 ENDS = ".!?:;…"
-BUCKETS = 1 << 18
+BUCKETS = 1 << 17
 PAGE_WORDS = r"page|pages|pg|p|seite|s|página|pagina|pág|pag|blatt|folio|feuille|עמוד|דף|עמ"
 _NUMBER = r"(?:[0-9lIOoSBi|]{1,5}|[ivxlcIVXLC]{1,7})"
 PAGE_NUMBER = re.compile(rf"(?i)^[\W_]*(?:(?:{PAGE_WORDS})\b\.?\s*)?{_NUMBER}(?:\s*(?:/|of|von|de|sur|di|van|מתוך|\||-)\s*{_NUMBER})?[\W_]*$")
@@ -333,42 +335,49 @@ def paragraphs(fixed: list[str], roles: list[str | None], lines: list[str]) -> l
 
 
 def corpus_model(texts: DataFrame, share: float = 5e-6) -> Model:
-    """The model of all lines (text). What reaches the driver: at most 1 / share words, as many shapes, 2^18 pair counts."""
-    tokens = texts.where("text IS NOT NULL").select(words_column(F.col("text")).alias("w"))
-    total = tokens.agg(F.sum(F.size("w"))).first()[0] or 0
-    least = max(2, math.ceil(share * total))
-    words = dict(tokens.select(F.explode("w").alias("w")).groupBy(F.lower("w").alias("w")).count().where(F.col("count") >= least).toPandas().itertuples(index=False, name=None))
-    bucket = F.pmod(F.xxhash64("p"), F.lit(BUCKETS))
+    """The model of all lines (text), counted in one pass.
+
+    What reaches the driver: at most 1 / share words, as many shapes, and the pair counts of BUCKETS hash values.
+    """
     kind = lambda x: F.when(x.rlike("[0-9]"), "#").when(x.rlike(r"^\p{Lu}"), "^").otherwise(F.lower(x))
-    tokens = tokens.select(F.transform("w", kind).alias("w"))
-    two = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat(F.element_at("w", i), F.lit(" "), F.element_at("w", i + 1)))
-    counted = tokens.where(F.size("w") > 1).select(F.explode(two).alias("p")).groupBy(bucket.cast("int").alias("b")).count().toPandas()
+    tokens = texts.where("text IS NOT NULL AND text <> ''").select(words_column(F.col("text")).alias("w")).where(F.size("w") > 0)
+    tokens = tokens.select("w", F.transform("w", kind).alias("k"))
+    pair = lambda i: F.pmod(F.xxhash64(F.concat(F.element_at("k", i), F.lit(" "), F.element_at("k", i + 1))), F.lit(BUCKETS)).cast("string")
+    figure = lambda t: F.regexp_replace(F.regexp_replace(F.regexp_replace(t, "[0-9]", "9"), r"\p{Lu}", "A"), r"[^\P{L}A]", "a")
+    tagged = lambda tag, items: F.transform(items, lambda x: F.struct(F.lit(tag).alias("tag"), x.alias("key")))
+    pairs_of = F.when(F.size("k") > 1, F.transform(F.sequence(F.lit(1), F.size("k") - 1), pair)).otherwise(F.array().cast("array<string>"))
+    items = F.concat(tagged("w", F.transform("w", F.lower)), tagged("p", pairs_of), tagged("s", F.transform(F.filter("w", lambda t: t.rlike("[0-9]")), figure)))
+    counts = staged(tokens.select(F.explode(items).alias("x")).groupBy("x.tag", "x.key").agg(F.count("*").alias("n")), "scan-counts")
+    total = counts.where("tag = 'w'").agg(F.sum("n")).first()[0] or 0
+    least = max(2, math.ceil(share * total))
+    kept = counts.where((F.col("tag") == "p") | (F.col("n") >= least)).toPandas()
+    of = lambda tag: kept[kept["tag"] == tag]
     pairs = np.zeros(BUCKETS, np.int64)
-    pairs[counted["b"].to_numpy()] = counted["count"].to_numpy()
-    mixed = F.regexp_extract_all(F.col("text"), F.lit(r"([\p{L}\p{N}]+(?:[-./,|][\p{L}\p{N}]+)*)"), F.lit(1))
-    codes = F.filter(mixed, lambda t: t.rlike("[0-9]"))
-    figure = F.regexp_replace(F.regexp_replace(F.regexp_replace("t", "[0-9]", "9"), r"\p{Lu}", "A"), r"[^\P{L}A]", "a")
-    shapes = dict(texts.where("text RLIKE '[0-9]'").select(F.explode(codes).alias("t")).groupBy(figure.alias("s")).count().where(F.col("count") >= least).toPandas().itertuples(index=False, name=None))
-    return Model(words, pairs, shapes, total)
+    pairs[of("p")["key"].astype(np.int64).to_numpy()] = of("p")["n"].to_numpy()
+    return Model(dict(zip(of("w")["key"], of("w")["n"])), pairs, dict(zip(of("s")["key"], of("s")["n"])), int(total))
 
 
 def page_units(lines: DataFrame) -> DataFrame:
     """(kind, unit, file, page, rows, after): one row for each page, its lines in order with their roles, and the first
     body line of the next page."""
-    rows = lines.select("line_id", "file", F.coalesce("page", F.lit(-1) - F.floor(F.coalesce("line_no", F.lit(0)) / 200)).cast("int").alias("page"), "line_no", "text", "size", "bold").where("line_id IS NOT NULL").dropDuplicates(["line_id", "text"])
-    rows = rows.withColumn("filled", F.length(F.trim(F.coalesce("text", F.lit("")))) > 0)
-    by_size = rows.where("filled AND size IS NOT NULL").groupBy("file", "size").agg(F.sum(F.length("text")).alias("n"))
-    body = by_size.groupBy("file").agg(F.max_by("size", F.struct("n", "size")).alias("body"))
-    line = F.struct("line_no", "line_id", "text", "size", "bold", "filled")
-    pages = rows.groupBy("file", "page").agg(F.array_sort(F.collect_list(line)).alias("rows"))
-    # margins: the first and last two filled lines
+    page = F.coalesce("page", F.lit(-1) - F.floor(F.coalesce("line_no", F.lit(0)) / 200)).cast("int").alias("page")
+    filled = (F.length(F.trim(F.coalesce("text", F.lit("")))) > 0).alias("filled")
+    rows = lines.where("line_id IS NOT NULL").select(F.coalesce("file", F.lit("")).alias("file"), page, F.struct("line_no", "line_id", "text", "size", filled).alias("r"))
+    # every later join is by file and page too, so that the texts are shuffled once
+    pages = rows.groupBy("file", "page").agg(F.array_sort(F.collect_set("r")).alias("rows"))
     kept = F.filter("rows", lambda r: r["filled"])
+    # margins: the first and last two filled lines
     margin = F.transform(F.array_union(F.slice(kept, 1, 2), F.slice(F.reverse(kept), 1, 2)), lambda r: r["line_id"])
     pages = pages.withColumn("margin", margin)
+    by_size = rows.where("r.filled AND r.size IS NOT NULL").groupBy("file", F.col("r.size").alias("size")).agg(F.sum(F.length("r.text")).alias("n"))
+    body = by_size.groupBy("file").agg(F.max_by("size", F.struct("n", "size")).alias("body"))
     edge = pages.select("file", "page", F.explode(F.filter("rows", lambda r: F.array_contains("margin", r["line_id"]))).alias("r")).select("file", "page", skeleton_column(F.col("r.text")).alias("skeleton"))
     often = edge.where("length(skeleton) >= 4").groupBy("file", "skeleton").agg(F.countDistinct("page").alias("n")).where("n >= 3")
-    running = edge.join(often, ["file", "skeleton"]).groupBy("file", "page").agg(F.collect_set("skeleton").alias("running"))
-    units = pages.join(body, "file", "left").join(running, ["file", "page"], "left")
+    running = edge.join(often, ["file", "skeleton"]).select("file", "page", "skeleton")
+    known = edge.select("file", "page").distinct().join(body, "file").select("file", "page", "body")
+    features = running.select("file", "page", "skeleton", F.lit(None).cast("double").alias("body")).unionByName(known.withColumn("skeleton", F.lit(None).cast("string")))
+    features = features.groupBy("file", "page").agg(F.collect_set("skeleton").alias("running"), F.max("body").alias("body"))
+    units = pages.join(features, ["file", "page"], "left")
     units = units.select("file", "page", F.transform("rows", lambda r: F.struct(r["line_id"].cast("string").alias("key"), r["text"].alias("text"), F.array_contains("margin", r["line_id"]).alias("margin"), (r["size"] < 0.9 * F.col("body")).alias("small"), F.coalesce(r["size"] <= 1.01 * F.col("body"), F.lit(True)).alias("normal"), F.array_contains(F.coalesce("running", F.array().cast("array<string>")), skeleton_column(r["text"])).alias("runs"))).alias("rows"))
     is_body = lambda r: ~F.coalesce(r["small"], F.lit(False)) & ~r["runs"] & (F.length(F.trim(F.coalesce(r["text"], F.lit("")))) > 0)
     heads = units.select("file", (F.col("page") - 1).alias("page"), F.get(F.filter("rows", is_body), F.lit(0))["text"].alias("after"))
@@ -378,7 +387,7 @@ def page_units(lines: DataFrame) -> DataFrame:
 def chunk_units(chunks: DataFrame) -> DataFrame:
     """The same for the chunks: a unit is a chunk, its lines those of its text; lines that run through the chunks of a file
     are found by their skeletons."""
-    rows = chunks.where("chunk_id IS NOT NULL AND text IS NOT NULL").select("chunk_id", "file", "text").dropDuplicates(["chunk_id", "text"])
+    rows = chunks.where("chunk_id IS NOT NULL AND text IS NOT NULL").groupBy("chunk_id").agg(F.min("file").alias("file"), F.collect_set("text").alias("t")).select("chunk_id", "file", F.explode("t").alias("text"))
     parts = F.split("text", "\n")
     short = F.filter(parts, lambda x: (F.length(x) <= 70) & (F.length(F.trim(x)) > 3) & ~x.rlike(r"[.!?:;,]\s*$|^\s*\p{Ll}"))
     lone = rows.where(F.contains("text", F.lit("\n"))).select("chunk_id", "file", F.explode(F.array_distinct(F.transform(short, skeleton_column))).alias("skeleton")).where("length(skeleton) >= 6")
@@ -447,6 +456,6 @@ def scan_units(units: DataFrame, model: Model) -> DataFrame:
 
 def scanned(lines: DataFrame, chunks: DataFrame) -> DataFrame:
     """scan_units over all pages and chunks, under the model of all their lines."""
-    texts = lines.select("line_id", "text").distinct().select("text").unionByName(chunks.select("chunk_id", "text").distinct().select(F.explode(F.split("text", "\n")).alias("text")))
+    texts = lines.select("text").unionByName(chunks.select(F.explode(F.split("text", "\n")).alias("text")))
     model = corpus_model(texts)
     return scan_units(page_units(lines).unionByName(chunk_units(chunks)), model)
