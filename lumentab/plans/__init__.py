@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("import_queries",)
+MODULES = ("eval_queries", "import_queries")
 
 
 def all_queries():
