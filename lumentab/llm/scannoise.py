@@ -20,6 +20,7 @@ import functools
 import itertools
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,18 +46,12 @@ _LETTERS = str.maketrans("0159864", "olsgbba")
 WORD = re.compile(r"[^\W_]+(?:[-'’./,|][^\W_]+)*")
 EDGE = "\"'“”„‘’«».,;:!?()[]{}<>*©|·–—"
 ENDS = ".!?:;…"
-BUCKETS = 1 << 17
+BUCKETS = 1 << 20
 PAGE_WORDS = r"page|pages|pg|p|seite|s|página|pagina|pág|pag|blatt|folio|feuille|עמוד|דף|עמ"
 _NUMBER = r"(?:[0-9lIOoSBi|]{1,5}|[ivxlcIVXLC]{1,7})"
 PAGE_NUMBER = re.compile(rf"(?i)^[\W_]*(?:(?:{PAGE_WORDS})\b\.?\s*)?{_NUMBER}(?:\s*(?:/|of|von|de|sur|di|van|מתוך|\||-)\s*{_NUMBER})?[\W_]*$")
 
 
-def words_column(text: Column) -> Column:
-    """The words of a line, without outer marks; a word broken at the line's end is left out."""
-    whole = F.regexp_replace(text, r"[\p{L}\p{N}]*[-¬‐\x{AD}]\s*$", "")
-    return F.regexp_extract_all(whole, F.lit(r"([\p{L}\p{N}]+(?:[-'’./,|][\p{L}\p{N}]+)*)"), F.lit(1))
-
-
 def skeleton_column(text: Column) -> Column:
     """What is left of a running line when its numbers change or its letters are misread."""
     low = F.translate(F.lower(text), "0159l|!", "oisgiii")
@@ -71,6 +66,28 @@ def _by_read() -> dict[str, list[str]]:
     return out
 
 
+@functools.cache
+def _coarse_table() -> dict[int, str | None]:
+    """Deletes every character of a confusion of groups, and those confused with them; what is left of a word no confusion
+    changes, but for classes that are written as one character."""
+    gone = {c for a, b in CONFUSIONS if len(a) > 1 or len(b) > 1 for c in a + b}
+    while more := {c for a, b in CONFUSIONS if (a in gone) != (b in gone) and len(a) == len(b) == 1 for c in a + b} - gone:
+        gone |= more
+    same: dict[str, str] = {}
+    for a, b in CONFUSIONS:
+        if len(a) == len(b) == 1 and a not in gone:
+            x, y = same.get(a, a), same.get(b, b)
+            for k in [k for k, v in same.items() if v == x]:
+                same[k] = y
+            same[a] = same[b] = y
+    return {ord(c): None for c in gone} | {ord(k): v for k, v in same.items()}
+
+
+def coarse(word: str) -> str:
+    """Equal for words that any confusions turn into each other (and for some others)."""
+    return word.translate(_coarse_table())
+
+
 def meanings(word: str) -> set[str]:
     """What word may have been before one confusion."""
     table = _by_read()
@@ -80,34 +97,34 @@ def meanings(word: str) -> set[str]:
 @functools.lru_cache(200_000)
 def channel(read: str, meant: str) -> float:
     """Log probability that meant is read as read: the best way of confusions between the two, -inf if there is none."""
-    table: dict[str, list[str]] = _by_meant()
     best = {(0, 0): 0.0}
-    step, keep = math.log(ERROR), 0.0
+    step = math.log(ERROR)
     for i in range(len(read) + 1):
         for j in range(len(meant) + 1):
             here = best.get((i, j))
             if here is None:
                 continue
             if i < len(read) and j < len(meant) and read[i] == meant[j]:
-                best[(i + 1, j + 1)] = max(best.get((i + 1, j + 1), -math.inf), here + keep)
-            if j < len(meant):
-                for a in table.get(meant[j], ()):
-                    if read.startswith(a, i):
-                        k = (i + len(a), j + 1)
-                        best[k] = max(best.get(k, -math.inf), here + step)
+                best[(i + 1, j + 1)] = max(best.get((i + 1, j + 1), -math.inf), here)
+            for a, b in CONFUSIONS:
+                if read.startswith(a, i) and meant.startswith(b, j):
+                    k = (i + len(a), j + len(b))
+                    best[k] = max(best.get(k, -math.inf), here + step)
     return best.get((len(read), len(meant)), -math.inf)
 
 
-@functools.cache
-def _by_meant() -> dict[str, list[str]]:
-    out: dict[str, list[str]] = {}
-    for a, b in CONFUSIONS:
-        out.setdefault(b, []).append(a)
-    return out
+class _Shapes(dict):
+    def __missing__(self, k: int) -> str:
+        c = chr(k)
+        self[k] = out = "9" if c.isdigit() else ("A" if c.isupper() else "a") if c.isalpha() else c
+        return out
+
+
+_SHAPES = _Shapes()
 
 
 def shape(word: str) -> str:
-    return re.sub(r"[^\W\d_]", lambda m: "A" if m.group().isupper() else "a", re.sub(r"\d", "9", word))
+    return word.translate(_SHAPES)
 
 
 def word_class(word: str) -> str:
@@ -122,16 +139,18 @@ class Model:
         self.words, self.pairs, self.shapes, self.total = words, pairs, shapes, max(1, total)
         self.most = max(words.values(), default=0)
         self._found: dict[tuple[str, bool], list[str]] = {}
+        self._doubtful: dict[str, bool] = {}
+        self._mixed: dict[str, str | None] = {}
+        self.most_shape = max(shapes.values(), default=0)
+        self.coarse = {coarse(w) for w in words if len(w) > 1}
 
     def pair(self, a: str, b: str) -> int:
-        h = xxhash.xxh64_intdigest(f"{a} {b}".encode(), seed=42)
-        h -= (h >> 63) << 64
-        return int(self.pairs[h % BUCKETS])
+        return int(self.pairs[pair_bucket(a, b)])
 
     def candidates(self, word: str, two: bool = True) -> list[str]:
         """Frequent words that may stand behind a word by one confusion (or two), at least fifty times as frequent as it."""
         own = self.words.get(word, 0)
-        if len(word) < 2 or own * 50 > self.most:
+        if len(word) < 2 or own * 50 > self.most or coarse(word) not in self.coarse:
             return []
         key = (word, two)
         found = self._found.get(key)
@@ -146,6 +165,19 @@ class Model:
                 self._found[key] = found
         return found
 
+    def doubtful(self, token: str) -> bool:
+        """Whether a token may be misread at all; said once for each distinct token."""
+        seen = self._doubtful.get(token)
+        if seen is None:
+            low = token.lower()
+            if any(map(str.isdigit, token)):
+                seen = any(map(str.isalpha, token)) and self.mixed(token) is not None
+            else:
+                seen = bool(self.candidates(low, token.islower() or token.isupper())) or "I" in token[1:] or (low[:1] == "l" and low not in self.words)
+            if len(self._doubtful) < 1_000_000:
+                self._doubtful[token] = seen
+        return seen
+
     def likelihood(self, before: str, word: str) -> float:
         """Log probability of a word after the class of the word before it; capitalised words stand alone."""
         alone = (self.words.get(word, 0) or 0.05) / self.total
@@ -182,9 +214,28 @@ class Model:
             out.append(best)
         return out[::-1]
 
+    def mixed(self, token: str) -> str | None:
+        """What stands behind a token of letters and digits: a word, a number or a code; null where it is as it should be."""
+        if token in self._mixed:
+            return self._mixed[token]
+        low = token.lower()
+        digits, letters = sum(map(str.isdigit, token)), sum(map(str.isalpha, token))
+        found = None
+        if letters > 1 or digits < 2:
+            only = low.translate(_LETTERS)
+            found = only if self.words.get(only, 0) >= max(5, 50 * self.words.get(low, 0)) else next(iter(self.candidates(low)), None)
+            if found is None and letters >= 3 and letters > digits and re.search(r"[a-zà-ÿ]{2}", token) and all(c in "01598643" for c in token if c.isdigit()) and not re.fullmatch(r"\d+\W?[^\W\d_]{1,3}", token):
+                found = only
+        found = found or self.code(token)
+        if len(self._mixed) < 200_000:
+            self._mixed[token] = found
+        return found
+
     def code(self, word: str) -> str | None:
         """The code or number behind a token of digits and letters, where its own shape is rare and that one's frequent."""
         own = self.shapes.get(shape(word), 0)
+        if 25 * own >= self.most_shape:
+            return None
         places = [i for i, c in enumerate(word) if c in CODE_CONFUSIONS]
         if not places or len(places) > 8:
             return None
@@ -212,17 +263,17 @@ class Model:
 
 def misread(model: Model, tokens: list[str]) -> list[str | None]:
     """For each token of a line the one behind it, where it was misread; else null."""
+    known = model._doubtful
+    for t in tokens:
+        seen = known.get(t)
+        if seen or (seen is None and model.doubtful(t)):
+            break
+    else:
+        return [None] * len(tokens)
     out: list[str | None] = [None] * len(tokens)
     for i, t in enumerate(tokens):
-        digits = sum(c.isdigit() for c in t)
-        letters = sum(c.isalpha() for c in t)
-        if digits and letters:
-            low = t.lower()
-            letters_only = low.translate(_LETTERS)
-            found = letters_only if model.words.get(letters_only, 0) >= max(5, 50 * model.words.get(low, 0)) else next(iter(model.candidates(low)), None)
-            if found is None and letters >= 3 and letters > digits and re.search(r"[a-zà-ÿ]{2}", t) and all(c in "01598643" for c in t if c.isdigit()) and not re.fullmatch(r"\d+\W?[^\W\d_]{1,3}", t):
-                found = letters_only
-            out[i] = found or model.code(t)
+        if any(map(str.isdigit, t)) and any(map(str.isalpha, t)):
+            out[i] = model.mixed(t)
     for i, (t, m) in enumerate(zip(tokens, model.decode(tokens))):
         if any(c.isdigit() for c in t):
             continue
@@ -267,8 +318,7 @@ def unit_noise(model: Model, lines: list[str], roles: list[str | None], after: s
         left = broken_end(text)
         ends_broken = left is not None and (follows is None or not model.own_hyphen(left, first_part(follows)))
         own = left is not None and not ends_broken
-        spans = [(m.start(), m.end()) for m in WORD.finditer(text)]
-        tokens = [text[a:b] for a, b in spans]
+        tokens = WORD.findall(text)
         whole = list(tokens)
         if carried and whole:
             whole[0] = carried + whole[0]
@@ -277,6 +327,7 @@ def unit_noise(model: Model, lines: list[str], roles: list[str | None], after: s
             whole[-1] = whole[-1] + ("-" if own else "") + right
         behind = misread(model, whole)
         out, last = [], 0
+        spans = [(m.start(), m.end()) for m in WORD.finditer(text)] if any(behind) else []
         for k, (a, b) in enumerate(spans):
             m = behind[k]
             if m is None:
@@ -334,20 +385,62 @@ def paragraphs(fixed: list[str], roles: list[str | None], lines: list[str]) -> l
     return out
 
 
+def line_words(text: str) -> list[str]:
+    """The words of a line, without outer marks; a word broken at the line's end is left out."""
+    found = WORD.findall(text)
+    t = text.rstrip()
+    if found and t and t[-1] in HYPHENS and t[:-1].endswith(found[-1]):
+        found.pop()
+    return found
+
+
+def count_lines(batches: Iterator[pd.DataFrame], most: int = 1_000_000) -> Iterator[pd.DataFrame]:
+    """(tag, key, n): words (w), hash values of pairs (p) and shapes of codes (s) of all lines of texts, summed up as far as
+    memory allows before they leave the task."""
+    words: Counter[str] = Counter()
+    pairs: Counter[tuple[str, str]] = Counter()
+    shapes: Counter[str] = Counter()
+    kinds: dict[str, str] = {}
+
+    def sums() -> pd.DataFrame:
+        low: Counter[str] = Counter()
+        for w, n in words.items():
+            low[w.lower()] += n
+            if any(map(str.isdigit, w)):
+                shapes[shape(w)] += n
+        hashed: Counter[str] = Counter()
+        for (x, y), n in pairs.items():
+            hashed[str(pair_bucket(x, y))] += n
+        out = [("w", k, n) for k, n in low.items()] + [("p", k, n) for k, n in hashed.items()] + [("s", k, n) for k, n in shapes.items()]
+        for c in (words, pairs, shapes, kinds):
+            c.clear()
+        return pd.DataFrame(out, columns=["tag", "key", "n"])
+
+    for b in batches:
+        for text in b["text"]:
+            for line in text.split("\n"):
+                found = line_words(line)
+                if not found:
+                    continue
+                words.update(found)
+                classes = [kinds.get(w) or kinds.setdefault(w, word_class(w)) for w in found]
+                pairs.update(zip(classes, classes[1:]))
+        if len(words) + len(pairs) > most:
+            yield sums()
+    yield sums()
+
+
+def pair_bucket(a: str, b: str) -> int:
+    return xxhash.xxh64_intdigest(f"{a} {b}".encode()) % BUCKETS
+
+
 def corpus_model(texts: DataFrame, share: float = 5e-6) -> Model:
-    """The model of all lines (text), counted in one pass.
+    """The model of all lines of texts (text), counted in one pass.
 
     What reaches the driver: at most 1 / share words, as many shapes, and the pair counts of BUCKETS hash values.
     """
-    kind = lambda x: F.when(x.rlike("[0-9]"), "#").when(x.rlike(r"^\p{Lu}"), "^").otherwise(F.lower(x))
-    tokens = texts.where("text IS NOT NULL AND text <> ''").select(words_column(F.col("text")).alias("w")).where(F.size("w") > 0)
-    tokens = tokens.select("w", F.transform("w", kind).alias("k"))
-    pair = lambda i: F.pmod(F.xxhash64(F.concat(F.element_at("k", i), F.lit(" "), F.element_at("k", i + 1))), F.lit(BUCKETS)).cast("string")
-    figure = lambda t: F.regexp_replace(F.regexp_replace(F.regexp_replace(t, "[0-9]", "9"), r"\p{Lu}", "A"), r"[^\P{L}A]", "a")
-    tagged = lambda tag, items: F.transform(items, lambda x: F.struct(F.lit(tag).alias("tag"), x.alias("key")))
-    pairs_of = F.when(F.size("k") > 1, F.transform(F.sequence(F.lit(1), F.size("k") - 1), pair)).otherwise(F.array().cast("array<string>"))
-    items = F.concat(tagged("w", F.transform("w", F.lower)), tagged("p", pairs_of), tagged("s", F.transform(F.filter("w", lambda t: t.rlike("[0-9]")), figure)))
-    counts = staged(tokens.select(F.explode(items).alias("x")).groupBy("x.tag", "x.key").agg(F.count("*").alias("n")), "scan-counts")
+    lines = texts.where("text IS NOT NULL AND text <> ''").select("text")
+    counts = staged(lines.mapInPandas(count_lines, "tag string, key string, n long").groupBy("tag", "key").agg(F.sum("n").alias("n")), "scan-counts")
     total = counts.where("tag = 'w'").agg(F.sum("n")).first()[0] or 0
     least = max(2, math.ceil(share * total))
     kept = counts.where((F.col("tag") == "p") | (F.col("n") >= least)).toPandas()
@@ -456,6 +549,6 @@ def scan_units(units: DataFrame, model: Model) -> DataFrame:
 
 def scanned(lines: DataFrame, chunks: DataFrame) -> DataFrame:
     """scan_units over all pages and chunks, under the model of all their lines."""
-    texts = lines.select("text").unionByName(chunks.select(F.explode(F.split("text", "\n")).alias("text")))
+    texts = lines.select("text").unionByName(chunks.select("text"))
     model = corpus_model(texts)
     return scan_units(page_units(lines).unionByName(chunk_units(chunks)), model)
