@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("eval_queries", "import_queries", "text_queries")
+MODULES = ("eval_queries", "import_queries", "text_queries", "graph_queries")
 
 
 def all_queries():
