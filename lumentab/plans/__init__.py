@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("eval_queries", "import_queries", "text_queries", "graph_queries", "profile_queries", "state_queries")
+MODULES = ("eval_queries", "import_queries", "text_queries", "graph_queries", "profile_queries", "state_queries", "page_queries")
 
 
 def all_queries():
