@@ -233,14 +233,14 @@ def segments_of(texts: pa.Array, names: list[str], weights: np.ndarray) -> Itera
 
 def language_model(documents: DataFrame, key: str, text: str, lang: str, per_language: int = 250, at_least: int = 20) -> tuple[list[str], np.ndarray]:
     """Fitted on the per_language labelled documents of each language with the least hashes; labels of fewer than at_least
-    documents are no languages of this corpus."""
+    documents (in small corpora, than a twentieth of the most frequent one's) are no languages of this corpus."""
     from pyspark.sql import Window
 
     labelled = documents.select(language_code(F.col(lang)).alias("l"), F.col(text).alias("t"), F.xxhash64(key, text).alias("h")).where("l IS NOT NULL AND t IS NOT NULL AND length(t) >= 40")
     nth = F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))
     rows = labelled.withColumn("n", nth).where(F.col("n") <= per_language).select("l", "t").orderBy("l", "t").toPandas()
     n = rows.groupby("l")["t"].transform("size") if len(rows) else pd.Series(dtype=int)
-    rows = rows[n >= min(at_least, n.max())] if len(rows) else rows
+    rows = rows[n >= min(at_least, max(2.0, 0.05 * n.max()))] if len(rows) else rows
     if not len(rows):
         return ["und"], np.zeros((SLOTS, 1), np.float32)
     return fit(rows["t"].tolist(), rows["l"].tolist())

@@ -152,6 +152,19 @@ def fold_points(points: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndar
             keep = np.ones(len(out), bool)
             keep[here[hit] + 1] = False
             out, ccc, row = out[keep], ccc[keep], row[keep]
+    for low, high, step in ((0x1161, 0x1175, 28), (0x11A8, 0x11C2, 1)):  # Korean syllables are put together by rule
+        second = np.flatnonzero((out >= low) & (out <= high))
+        second = second[second > 0]
+        if not len(second):
+            continue
+        before = out[second - 1].astype(np.int64)
+        leads = (before >= 0x1100) & (before <= 0x1112) if step == 28 else (before >= 0xAC00) & (before <= 0xD7A3) & ((before - 0xAC00) % 28 == 0)
+        second = second[leads & (row[second - 1] == row[second])]
+        b, now = out[second - 1].astype(np.int64), out[second].astype(np.int64)
+        out[second - 1] = 0xAC00 + (b - 0x1100) * 588 + (now - low) * 28 if step == 28 else b + now - low + 1
+        keep = np.ones(len(out), bool)
+        keep[second] = False
+        out, row = out[keep], row[keep]
     blank = out == SPACE
     again = blank[1:] & blank[:-1] & (row[1:] == row[:-1])
     if again.any():

@@ -67,7 +67,7 @@ def mix_sources(pool: DataFrame, targets: DataFrame, total_tokens: int | None =
     total *= sum(given.values())
     given = {k: v / sum(given.values()) for k, v in given.items()}
     # blocks small enough for the shares of small sources to come out
-    grain = max(64, min(block_tokens, int(total * min(given.values()) / 8)))
+    grain = max(64, min(block_tokens, int(total * min(given.values()) / 64)))
     slots = max(1, round(total / grain))
     bounds, at = [], 0.0
     for r in rows:

@@ -451,8 +451,8 @@ def corpus_model(texts: DataFrame, share: float = 5e-6) -> Model:
 
 
 def page_units(lines: DataFrame) -> DataFrame:
-    """(kind, unit, file, page, rows, after): one row for each page, its lines in order with their roles, and the first
-    body line of the next page."""
+    """(kind, unit, file, page, keys, texts, flags, running, after): one row for each page, its lines in order with flags of
+    place, size and repetition, and the first body line of the next page."""
     page = F.coalesce("page", F.lit(-1) - F.floor(F.coalesce("line_no", F.lit(0)) / 200)).cast("int").alias("page")
     filled = (F.length(F.trim(F.coalesce("text", F.lit("")))) > 0).alias("filled")
     rows = lines.where("line_id IS NOT NULL").select(F.coalesce("file", F.lit("")).alias("file"), page, F.struct("line_no", "line_id", "text", "size", filled).alias("r"))
@@ -461,7 +461,7 @@ def page_units(lines: DataFrame) -> DataFrame:
     kept = F.filter("rows", lambda r: r["filled"])
     # margins: the first and last two filled lines
     margin = F.transform(F.array_union(F.slice(kept, 1, 2), F.slice(F.reverse(kept), 1, 2)), lambda r: r["line_id"])
-    pages = pages.withColumn("margin", margin)
+    pages = staged(pages.withColumn("margin", margin), "scan-pages")  # read four times below
     by_size = rows.where("r.filled AND r.size IS NOT NULL").groupBy("file", F.col("r.size").alias("size")).agg(F.sum(F.length("r.text")).alias("n"))
     body = by_size.groupBy("file").agg(F.max_by("size", F.struct("n", "size")).alias("body"))
     edge = pages.select("file", "page", F.explode(F.filter("rows", lambda r: F.array_contains("margin", r["line_id"]))).alias("r")).select("file", "page", skeleton_column(F.col("r.text")).alias("skeleton"))
@@ -471,10 +471,18 @@ def page_units(lines: DataFrame) -> DataFrame:
     features = running.select("file", "page", "skeleton", F.lit(None).cast("double").alias("body")).unionByName(known.withColumn("skeleton", F.lit(None).cast("string")))
     features = features.groupBy("file", "page").agg(F.collect_set("skeleton").alias("running"), F.max("body").alias("body"))
     units = pages.join(features, ["file", "page"], "left")
-    units = units.select("file", "page", F.transform("rows", lambda r: F.struct(r["line_id"].cast("string").alias("key"), r["text"].alias("text"), F.array_contains("margin", r["line_id"]).alias("margin"), (r["size"] < 0.9 * F.col("body")).alias("small"), F.coalesce(r["size"] <= 1.01 * F.col("body"), F.lit(True)).alias("normal"), F.array_contains(F.coalesce("running", F.array().cast("array<string>")), skeleton_column(r["text"])).alias("runs"))).alias("rows"))
-    is_body = lambda r: ~F.coalesce(r["small"], F.lit(False)) & ~r["runs"] & (F.length(F.trim(F.coalesce(r["text"], F.lit("")))) > 0)
+    runs = lambda r: F.array_contains(F.coalesce("running", F.array().cast("array<string>")), skeleton_column(r["text"]))
+    edge_of = lambda r: F.array_contains("margin", r["line_id"])
+    small = lambda r: r["size"] < 0.9 * F.col("body")
+    flag = lambda c, bit: F.when(c, bit).otherwise(0)
+    flags = F.transform("rows", lambda r: F.when(edge_of(r), MARGIN + flag(small(r), SMALL) + flag(small(r).isNull(), UNKNOWN) + flag(runs(r), RUNS)).otherwise(0))
+    is_body = lambda r: r["filled"] & ~F.coalesce(edge_of(r) & (small(r) | runs(r)), F.lit(False))
     heads = units.select("file", (F.col("page") - 1).alias("page"), F.get(F.filter("rows", is_body), F.lit(0))["text"].alias("after"))
-    return units.join(heads, ["file", "page"], "left").select(F.lit("line").alias("kind"), F.concat_ws("#", "file", F.col("page").cast("string")).alias("unit"), "file", "page", "rows", "after")
+    out = units.join(heads, ["file", "page"], "left")
+    return out.select(
+        F.lit("line").alias("kind"), F.concat_ws("#", "file", F.col("page").cast("string")).alias("unit"), "file", "page", F.transform("rows", lambda r: r["line_id"]).alias("keys"),
+        F.transform("rows", lambda r: r["text"]).alias("texts"), flags.alias("flags"), F.lit(None).cast("array<string>").alias("running"), "after",
+    )
 
 
 def chunk_units(chunks: DataFrame) -> DataFrame:
@@ -487,29 +495,49 @@ def chunk_units(chunks: DataFrame) -> DataFrame:
     often = lone.groupBy("file", "skeleton").agg(F.countDistinct("chunk_id").alias("n")).where("n >= 2")
     running = lone.join(often, ["file", "skeleton"]).groupBy("chunk_id").agg(F.collect_set("skeleton").alias("running"))
     units = rows.join(running, "chunk_id", "left")
-    lines = F.transform(parts, lambda x: F.struct(F.col("chunk_id").alias("key"), x.alias("text"), F.lit(False).alias("margin"), F.lit(None).cast("boolean").alias("small"), F.lit(True).alias("normal"), F.coalesce(F.array_contains(F.col("running"), skeleton_column(x)), F.lit(False)).alias("runs")))
-    return units.select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("unit"), "file", F.lit(None).cast("int").alias("page"), lines.alias("rows"), F.lit(None).cast("string").alias("after"))
+    return units.select(
+        F.lit("chunk").alias("kind"), F.col("chunk_id").alias("unit"), "file", F.lit(None).cast("int").alias("page"), F.lit(None).cast("array<bigint>").alias("keys"),
+        F.array("text").alias("texts"), F.lit(None).cast("array<int>").alias("flags"), "running", F.lit(None).cast("string").alias("after"),
+    )
 
 
-def line_roles(rows: list[dict], kind: str) -> list[str | None]:
-    """header, page_number or null for each line of a unit."""
+def skeleton(text: str) -> str:
+    """skeleton_column in Python."""
+    low = text.lower().translate(str.maketrans("0159l|!", "oisgiii"))
+    return "".join(filter(str.isalpha, low))
+
+
+MARGIN, SMALL, UNKNOWN, RUNS = 1, 2, 4, 8
+
+
+def page_roles(texts: list[str], flags: list[int]) -> list[str | None]:
+    """header, page_number or null for each line of a page: small or repeated lines in its margins."""
+    roles: list[str | None] = []
+    for t, f in zip(texts, flags):
+        s = t.strip()
+        if not s or not f & MARGIN or not (f & SMALL or f & UNKNOWN and f & RUNS):
+            roles.append(None)
+        else:
+            roles.append("page_number" if len(s) <= 24 and PAGE_NUMBER.match(s) and any(map(str.isalnum, s)) else "header")
+    return roles
+
+
+def chunk_roles(texts: list[str], running: set[str]) -> list[str | None]:
+    """The same for the lines of a chunk, which have no place and size: by form, repetition in the file and broken flow."""
     roles: list[str | None] = []
-    texts = [r["text"] or "" for r in rows]
-    width = max((len(t.rstrip()) for t in texts), default=0)
     filled = [i for i, t in enumerate(texts) if t.strip()]
+    if len(filled) < 2:
+        return [None] * len(texts)
+    width = max(len(t.rstrip()) for t in texts)
     place = {i: k for k, i in enumerate(filled)}
-    for i, (r, t) in enumerate(zip(rows, texts)):
+    for i, t in enumerate(texts):
+        if len(t) > 90:
+            roles.append(None)
+            continue
         s = t.strip()
         role = None
         number = bool(s) and len(s) <= 24 and bool(PAGE_NUMBER.match(s)) and any(c.isalnum() for c in s)
-        if not s:
-            pass
-        elif kind == "line":
-            if r["margin"] and (r["small"] or (r["small"] is None and r["runs"])):
-                role = "page_number" if number else "header"
-            elif r["margin"] and r["runs"] and r["normal"] and not number and s[-1] not in ENDS and not s[0].islower():
-                role = "header" if r["small"] is None else None
-        elif len(filled) > 1:
+        if s:
             if number and not re.fullmatch(r"\d{4,}|[\d]+,\d+", s) and (s[0] in "-–[(" or len(re.sub(r"\D", "", s)) <= 3 or "/" in s):
                 role = "page_number"
             elif len(s) <= 70 and s[-1] not in ".!?:;," and not s[0].islower() and any(c.isalpha() for c in s):
@@ -519,7 +547,7 @@ def line_roles(rows: list[dict], kind: str) -> list[str | None]:
                 # a wrapped line goes on: the next word would not have fitted
                 wrapped = nxt is not None and len(t.rstrip()) + 1 + len(nxt.split()[0]) > width
                 cuts = before is not None and nxt is not None and before[-1] not in ENDS and (nxt[0].islower() or before[-1] in HYPHENS or bool(re.search(r"[a-zà-ÿ,א-ת]$", before))) and not wrapped
-                if r["runs"] and not wrapped or cuts and (len(s.split()) <= 8) or (k == 0 or nxt is None) and not wrapped and bool(re.search(r"\s[–|·/—]\s|^©|\s{2,}\S*$", s)) and len(s.split()) <= 9:
+                if running and not wrapped and skeleton(s) in running or cuts and (len(s.split()) <= 8) or (k == 0 or nxt is None) and not wrapped and bool(re.search(r"\s[–|·/—]\s|^©|\s{2,}\S*$", s)) and len(s.split()) <= 9:
                     role = "header"
         roles.append(role)
     return roles
@@ -533,12 +561,16 @@ def scan_units(units: DataFrame, model: Model) -> DataFrame:
         own = Model(*shared.value)
         for b in batches:
             out = []
-            for kind, unit, file, page, rows, after in zip(b["kind"], b["unit"], b["file"], b["page"], b["rows"], b["after"]):
-                rows = list(rows)
-                lines = [r["text"] or "" for r in rows]
-                roles = line_roles(rows, kind)
+            for kind, unit, file, page, keys, texts, flags, running, after in zip(*[b[c] for c in ("kind", "unit", "file", "page", "keys", "texts", "flags", "running", "after")]):
+                if kind == "chunk":
+                    lines = texts[0].split("\n")
+                    roles = chunk_roles(lines, set(running) if running is not None else set())
+                    keys = [unit] * len(lines)
+                else:
+                    lines = [t or "" for t in texts]
+                    roles = page_roles(lines, flags)
                 noises, fixed = unit_noise(own, lines, roles, after)
-                found = sorted({(r["key"], n) for r, ns in zip(rows, noises) for n in ns})
+                found = sorted({(str(k), n) for k, ns in zip(keys, noises) if ns for n in ns})
                 out.append((kind, unit, file, page, [{"key": k, "noise": n} for k, n in found], paragraphs(fixed, roles, lines)))
             made = pd.DataFrame(out, columns=["kind", "unit", "file", "page", "noise", "paragraphs"])
             made["page"] = pd.array(pd.to_numeric(made["page"]), dtype="Int32")
