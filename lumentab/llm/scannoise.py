@@ -538,7 +538,7 @@ def chunk_roles(texts: list[str], running: set[str]) -> list[str | None]:
         role = None
         number = bool(s) and len(s) <= 24 and bool(PAGE_NUMBER.match(s)) and any(c.isalnum() for c in s)
         if s:
-            if number and not re.fullmatch(r"\d{4,}|[\d]+,\d+", s) and (s[0] in "-–[(" or len(re.sub(r"\D", "", s)) <= 3 or "/" in s):
+            if number and s[-1] not in ".,;:" and not re.fullmatch(r"\d{4,}|[\d]+,\d+", s) and (s[0] in "-–[(" or len(re.sub(r"\D", "", s)) <= 3 or "/" in s):
                 role = "page_number"
             elif len(s) <= 70 and s[-1] not in ".!?:;," and not s[0].islower() and any(c.isalpha() for c in s):
                 k = place[i]
@@ -547,7 +547,9 @@ def chunk_roles(texts: list[str], running: set[str]) -> list[str | None]:
                 # a wrapped line goes on: the next word would not have fitted
                 wrapped = nxt is not None and len(t.rstrip()) + 1 + len(nxt.split()[0]) > width
                 cuts = before is not None and nxt is not None and before[-1] not in ENDS and (nxt[0].islower() or before[-1] in HYPHENS or bool(re.search(r"[a-zà-ÿ,א-ת]$", before))) and not wrapped
-                if running and not wrapped and skeleton(s) in running or cuts and (len(s.split()) <= 8) or (k == 0 or nxt is None) and not wrapped and bool(re.search(r"\s[–|·/—]\s|^©|\s{2,}\S*$", s)) and len(s.split()) <= 9:
+                parted = bool(re.search(r"\s[–|·/—]\s|^©|\s{2,}\S*$", s)) and len(s.split()) <= 9
+                titled = "," not in s and len(s.split()) <= 6 and sum(not w[0].islower() for w in s.split()) >= 0.6 * len(s.split())
+                if not wrapped and (running and skeleton(s) in running or (k == 0 or nxt is None) and parted or cuts and (parted or titled)):
                     role = "header"
         roles.append(role)
     return roles
