@@ -129,8 +129,8 @@ def _units_sql():
 
 
 @core.query(
-    f"""WITH {_units_sql()}, g AS (SELECT topic, count(*) AS chunks, sum(units)::bigint AS units, coalesce(sum(greatest(1, round_even(units * 0.35 / 3.2, 0)::bigint)) FILTER (units > 0), 0)::bigint AS content FROM un GROUP BY 1),
-    c AS (SELECT *, greatest(1, floor(units * 0.8 / 3.2)::bigint) AS ceiling FROM g) SELECT *, greatest(content, least(25, ceiling)) AS canonical,
+    f"""WITH {_units_sql()}, g AS (SELECT topic, count(*) AS chunks, sum(units)::bigint AS units, coalesce(sum(greatest(1, round_even(units * 0.35::double / 3.2::double, 0)::bigint)) FILTER (units > 0), 0)::bigint AS content FROM un GROUP BY 1),
+    c AS (SELECT *, greatest(1, floor(units * 0.8::double / 3.2::double)::bigint) AS ceiling FROM g) SELECT *, greatest(content, least(25, ceiling)) AS canonical,
     CASE WHEN content >= greatest(content, least(25, ceiling)) THEN 'content' WHEN ceiling < 25 THEN 'precision_capped' ELSE 'precision' END AS reason FROM c"""
 )
 def plan_topics(spark, d):

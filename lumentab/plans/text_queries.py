@@ -117,7 +117,7 @@ def candidate_grounding(spark, d):
 
 
 @core.query(
-    r"""WITH e AS (SELECT result_no, trim(regexp_replace(error, '[ \t\n\x0B\f\r]+', ' ', 'g')) AS e, trim(regexp_replace(answer, '[ \t\n\x0B\f\r]+', ' ', 'g')) AS a FROM results)
+    r"""WITH e AS (SELECT result_no, trim(regexp_replace(error, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS e, trim(regexp_replace(answer, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS a FROM results)
     SELECT result_no, CASE WHEN coalesce(e, '') <> '' THEN CASE WHEN length(e) > 240 THEN substr(e, 1, 240) || '…' ELSE e END WHEN coalesce(a, '') = '' THEN 'empty_answer' WHEN contains(lower(a), 'spike arrest violation') THEN 'rate_limited'
     WHEN regexp_matches(lower(a), '^\{.*"(?:error|fault)"') THEN CASE WHEN length(a) > 225 THEN substr('fault payload: ' || a, 1, 240) || '…' ELSE 'fault payload: ' || a END END AS reason FROM e"""
 )
@@ -208,7 +208,7 @@ def greedy_dedup(spark, d):
     """Texts that stay when each is dropped that is like an earlier one that stays; checked against the loop on fixtures."""
     docs = table(spark, d, "documents")
     pairs = retrieval.near_duplicates(docs).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
-    return retrieval.greedy_kept(docs.select("doc_id", "text"), pairs, "doc_id").select("doc_id")
+    return retrieval.greedy_kept(retrieval.first_copies(docs, "doc_id", "text"), pairs, "doc_id").select("doc_id")
 
 
 @core.query("SELECT doc_id, sha256(doc_id || chr(0) || coalesce(text, '')) AS digest FROM documents")
