@@ -56,20 +56,20 @@ def p4_groups(spark, d):
     return neardup.near_duplicate_groups(table(spark, d, "results"))
 
 
-def _scanned(spark, d):
-    return scannoise.scanned(table(spark, d, "text_lines"), table(spark, d, "chunks"))
+def _scanned(spark, d, repaired):
+    return scannoise.scanned(table(spark, d, "text_lines"), table(spark, d, "chunks"), repaired)
 
 
 @llm.query()
 def p5_found(spark, d):
-    rows = _scanned(spark, d).select(F.col("kind").alias("record_kind"), F.explode("noise").alias("n"))
+    rows = _scanned(spark, d, False).select(F.col("kind").alias("record_kind"), F.explode("noise").alias("n"))
     return rows.select("record_kind", F.col("n.key").alias("record_key"), "n.noise").distinct()
 
 
 @llm.query()
 def p5_paragraphs(spark, d):
     """The repaired text of every page and chunk, paragraph by paragraph."""
-    rows = _scanned(spark, d).select("kind", "unit", "file", "page", F.posexplode("paragraphs").alias("paragraph_no", "text"))
+    rows = _scanned(spark, d, True).select("kind", "unit", "file", "page", F.posexplode("paragraphs").alias("paragraph_no", "text"))
     return rows.withColumn("paragraph_no", F.col("paragraph_no") + 1)
 
 

@@ -264,31 +264,37 @@ class Model:
 def misread(model: Model, tokens: list[str]) -> list[str | None]:
     """For each token of a line the one behind it, where it was misread; else null."""
     known = model._doubtful
-    for t in tokens:
-        seen = known.get(t)
-        if seen or (seen is None and model.doubtful(t)):
-            break
-    else:
-        return [None] * len(tokens)
+    doubt = [i for i, t in enumerate(tokens) if (known[t] if t in known else model.doubtful(t))]
     out: list[str | None] = [None] * len(tokens)
-    for i, t in enumerate(tokens):
-        if any(map(str.isdigit, t)) and any(map(str.isalpha, t)):
-            out[i] = model.mixed(t)
-    for i, (t, m) in enumerate(zip(tokens, model.decode(tokens))):
-        if any(c.isdigit() for c in t):
-            continue
-        if m != t.lower():
-            out[i] = m
-        # a capital I read as l, or an l as I
-        if out[i] is None and re.search(r"[a-zà-ÿ]I", t) and t.replace("I", "l").lower() in model.words:
-            out[i] = t.replace("I", "l").lower()
-        elif out[i] is None and len(t) > 2 and re.match(r"l[b-df-hj-np-tv-z]", t) and "i" + t[1:].lower() in model.words and t.lower() not in model.words:
-            out[i] = "i" + t[1:].lower()
+    # all other words stand for themselves only, so that the decoder's paths meet in them: it runs from one to the next
+    at = 0
+    while at < len(doubt):
+        first = last = doubt[at]
+        while at + 1 < len(doubt) and doubt[at + 1] == last + 1:
+            at += 1
+            last = doubt[at]
+        at += 1
+        begin = max(0, first - 1)
+        stretch = tokens[begin : last + 2]
+        for i, m in enumerate(model.decode(stretch), begin):
+            if not first <= i <= last:
+                continue
+            t = tokens[i]
+            if any(map(str.isdigit, t)):
+                out[i] = model.mixed(t) if any(map(str.isalpha, t)) else None
+            elif m != t.lower():
+                out[i] = m
+            elif re.search(r"[a-zà-ÿ]I", t) and t.replace("I", "l").lower() in model.words:  # a capital I read as l, or an l as I
+                out[i] = t.replace("I", "l").lower()
+            elif len(t) > 2 and re.match(r"l[b-df-hj-np-tv-z]", t) and "i" + t[1:].lower() in model.words and t.lower() not in model.words:
+                out[i] = "i" + t[1:].lower()
     return out
 
 
 def broken_end(line: str) -> str | None:
     """The part of a word before the hyphen that ends a line; null where none does."""
+    if not line or line[-1].isalnum() or line[-1] in ".,":
+        return None
     t = line.rstrip()
     if len(t) < 2 or t[-1] not in HYPHENS or not t[-2].isalpha():
         return None
@@ -555,8 +561,8 @@ def chunk_roles(texts: list[str], running: set[str]) -> list[str | None]:
     return roles
 
 
-def scan_units(units: DataFrame, model: Model) -> DataFrame:
-    """(kind, unit, file, page, noise: array of (key, noise), paragraphs) of each unit."""
+def scan_units(units: DataFrame, model: Model, repaired: bool = True) -> DataFrame:
+    """(kind, unit, file, page, noise: array of (key, noise), paragraphs) of each unit; paragraphs only where repaired is asked."""
     shared = units.sparkSession.sparkContext.broadcast((model.words, model.pairs, model.shapes, model.total))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -573,7 +579,7 @@ def scan_units(units: DataFrame, model: Model) -> DataFrame:
                     roles = page_roles(lines, flags)
                 noises, fixed = unit_noise(own, lines, roles, after)
                 found = sorted({(str(k), n) for k, ns in zip(keys, noises) if ns for n in ns})
-                out.append((kind, unit, file, page, [{"key": k, "noise": n} for k, n in found], paragraphs(fixed, roles, lines)))
+                out.append((kind, unit, file, page, [{"key": k, "noise": n} for k, n in found], paragraphs(fixed, roles, lines) if repaired else None))
             made = pd.DataFrame(out, columns=["kind", "unit", "file", "page", "noise", "paragraphs"])
             made["page"] = pd.array(pd.to_numeric(made["page"]), dtype="Int32")
             yield made
@@ -581,8 +587,8 @@ def scan_units(units: DataFrame, model: Model) -> DataFrame:
     return units.mapInPandas(scan, "kind string, unit string, file string, page int, noise array<struct<key string, noise string>>, paragraphs array<string>")
 
 
-def scanned(lines: DataFrame, chunks: DataFrame) -> DataFrame:
+def scanned(lines: DataFrame, chunks: DataFrame, repaired: bool = True) -> DataFrame:
     """scan_units over all pages and chunks, under the model of all their lines."""
     texts = lines.select("text").unionByName(chunks.select("text"))
     model = corpus_model(texts)
-    return scan_units(page_units(lines).unionByName(chunk_units(chunks)), model)
+    return scan_units(page_units(lines).unionByName(chunk_units(chunks)), model, repaired)

@@ -92,10 +92,11 @@ def test_languages(spark):
 
 
 def test_held_out_accuracy(spark):
-    """Fitted on the smallest tables, held against documents of the next size whose label the letters confirm."""
+    """Fitted on the documents of even ids, held against the others whose label their function words confirm."""
     from lumentab.session import table
 
-    train, test = table(spark, "/root/testdata/sf0.001", "documents"), table(spark, "/root/testdata/sf0.01", "documents")
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    train, test = docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")
     names, weights = langid.language_model(train, "doc_id", "text", "lang")
     rows = test.where("text IS NOT NULL AND lang IN ('en', 'he', 'de', 'fr', 'es')").select("text", "lang").toPandas()
     rows = rows[[pairs.language_of(t)[0] == x for t, x in zip(rows["text"], rows["lang"])]].reset_index(drop=True)
@@ -104,4 +105,4 @@ def test_held_out_accuracy(spark):
         got.setdefault(r, {}).setdefault(lang, 0)
         got[r][lang] += b - a
     right = sum(max(v, key=v.get) == rows["lang"][r] for r, v in got.items())
-    assert len(got) > 500 and right / len(got) > 0.97
+    assert len(got) > 250 and right / len(got) > 0.97
