@@ -322,14 +322,25 @@ def language_of(text: str) -> tuple[str | None, float, dict[str, float]]:
     return order[0][0], order[0][1] - (order[1][1] if len(order) > 1 else 0), votes
 
 
+def own_votes(text: str, lang: str, other: str) -> int:
+    """Votes for one of two languages by function words that the other hasn't."""
+    votes = _tools()["votes"]
+    parts = (p for w in _WORD.findall(text.lower()) for p in re.split(r"['’]", w))
+    return sum(lang in v and other not in v for v in (votes.get(p, ()) for p in parts))
+
+
 def in_other_language(question: str | None, answer: str) -> bool:
     if not question:
         return False
-    asked, margin, asked_votes = language_of(question)
-    got, clear, votes = language_of(answer)
+    asked, _, asked_votes = language_of(question)
+    got, _, votes = language_of(answer)
     if asked is None or got is None or asked == got:
         return False
-    if margin < 1 or clear < 2 or votes.get(asked, 0) > 0.5 * votes[got]:
+    if "he" in (asked, got):
+        clear = votes[got] >= 2 and votes.get(asked, 0) <= 0.5 * votes[got]
+    else:
+        clear = own_votes(question, asked, got) > own_votes(question, got, asked) and own_votes(answer, got, asked) >= max(2, 2 * own_votes(answer, asked, got))
+    if not clear:
         return False
     tools = _tools()
     wanted = {tools["lang_of"][n] for _, n in tools["asked"].iter(question.lower())}
