@@ -132,6 +132,19 @@ def word_class(word: str) -> str:
     return "#" if any(c.isdigit() for c in word) else "^" if word[:1].isupper() else word.lower()
 
 
+class _Kept(dict):
+    """What a function says of each word, said once; emptied when it has grown too large."""
+
+    def __init__(self, f, most: int = 1_000_000):
+        self.f, self.most = f, most
+
+    def __missing__(self, word: str):
+        if len(self) >= self.most:
+            self.clear()
+        self[word] = out = self.f(word)
+        return out
+
+
 class Model:
     """Counts of frequent words, word pairs and code shapes, with the decoder over them."""
 
@@ -139,7 +152,7 @@ class Model:
         self.words, self.pairs, self.shapes, self.total = words, pairs, shapes, max(1, total)
         self.most = max(words.values(), default=0)
         self._found: dict[tuple[str, bool], list[str]] = {}
-        self._doubtful: dict[str, bool] = {}
+        self.doubt = _Kept(self.doubtful)
         self._mixed: dict[str, str | None] = {}
         self.most_shape = max(shapes.values(), default=0)
         self.coarse = {coarse(w) for w in words if len(w) > 1}
@@ -166,17 +179,11 @@ class Model:
         return found
 
     def doubtful(self, token: str) -> bool:
-        """Whether a token may be misread at all; said once for each distinct token."""
-        seen = self._doubtful.get(token)
-        if seen is None:
-            low = token.lower()
-            if any(map(str.isdigit, token)):
-                seen = any(map(str.isalpha, token)) and self.mixed(token) is not None
-            else:
-                seen = bool(self.candidates(low, token.islower() or token.isupper())) or "I" in token[1:] or (low[:1] == "l" and low not in self.words)
-            if len(self._doubtful) < 1_000_000:
-                self._doubtful[token] = seen
-        return seen
+        """Whether a token may be misread at all."""
+        low = token.lower()
+        if any(map(str.isdigit, token)):
+            return any(map(str.isalpha, token)) and self.mixed(token) is not None
+        return bool(self.candidates(low, token.islower() or token.isupper())) or "I" in token[1:] or (low[:1] == "l" and low not in self.words)
 
     def likelihood(self, before: str, word: str) -> float:
         """Log probability of a word after the class of the word before it; capitalised words stand alone."""
@@ -263,9 +270,11 @@ class Model:
 
 def misread(model: Model, tokens: list[str]) -> list[str | None]:
     """For each token of a line the one behind it, where it was misread; else null."""
-    known = model._doubtful
-    doubt = [i for i, t in enumerate(tokens) if (known[t] if t in known else model.doubtful(t))]
     out: list[str | None] = [None] * len(tokens)
+    flags = list(map(model.doubt.__getitem__, tokens))
+    if True not in flags:
+        return out
+    doubt = [i for i, f in enumerate(flags) if f]
     # all other words stand for themselves only, so that the decoder's paths meet in them: it runs from one to the next
     at = 0
     while at < len(doubt):
@@ -391,22 +400,14 @@ def paragraphs(fixed: list[str], roles: list[str | None], lines: list[str]) -> l
     return out
 
 
-def line_words(text: str) -> list[str]:
-    """The words of a line, without outer marks; a word broken at the line's end is left out."""
-    found = WORD.findall(text)
-    t = text.rstrip()
-    if found and t and t[-1] in HYPHENS and t[:-1].endswith(found[-1]):
-        found.pop()
-    return found
-
-
 def count_lines(batches: Iterator[pd.DataFrame], most: int = 1_000_000) -> Iterator[pd.DataFrame]:
     """(tag, key, n): words (w), hash values of pairs (p) and shapes of codes (s) of all lines of texts, summed up as far as
     memory allows before they leave the task."""
     words: Counter[str] = Counter()
     pairs: Counter[tuple[str, str]] = Counter()
     shapes: Counter[str] = Counter()
-    kinds: dict[str, str] = {}
+    kinds = _Kept(word_class)
+    find = WORD.findall
 
     def sums() -> pd.DataFrame:
         low: Counter[str] = Counter()
@@ -418,18 +419,20 @@ def count_lines(batches: Iterator[pd.DataFrame], most: int = 1_000_000) -> Itera
         for (x, y), n in pairs.items():
             hashed[str(pair_bucket(x, y))] += n
         out = [("w", k, n) for k, n in low.items()] + [("p", k, n) for k, n in hashed.items()] + [("s", k, n) for k, n in shapes.items()]
-        for c in (words, pairs, shapes, kinds):
+        for c in (words, pairs, shapes):
             c.clear()
         return pd.DataFrame(out, columns=["tag", "key", "n"])
 
     for b in batches:
         for text in b["text"]:
             for line in text.split("\n"):
-                found = line_words(line)
+                found = find(line)
                 if not found:
                     continue
+                if not line[-1].isalnum() and broken_end(line):  # a part of a word is no word
+                    found.pop()
                 words.update(found)
-                classes = [kinds.get(w) or kinds.setdefault(w, word_class(w)) for w in found]
+                classes = list(map(kinds.__getitem__, found))
                 pairs.update(zip(classes, classes[1:]))
         if len(words) + len(pairs) > most:
             yield sums()
