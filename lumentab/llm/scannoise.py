@@ -329,11 +329,14 @@ def unit_noise(model: Model, lines: list[str], roles: list[str | None], after: s
     carried = ""  # the beginning of a word whose end stands in this line
     for at, i in enumerate(body):
         text = lines[i]
+        tokens = WORD.findall(text)
+        if not carried and (text[-1].isalnum() or broken_end(text) is None) and True not in map(model.doubt.__getitem__, tokens):
+            fixed[i] = text
+            continue
         follows = lines[body[at + 1]] if at + 1 < len(body) else after
         left = broken_end(text)
         ends_broken = left is not None and (follows is None or not model.own_hyphen(left, first_part(follows)))
         own = left is not None and not ends_broken
-        tokens = WORD.findall(text)
         whole = list(tokens)
         if carried and whole:
             whole[0] = carried + whole[0]
