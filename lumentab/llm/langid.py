@@ -10,8 +10,9 @@ Fitting takes a bounded sample of labelled documents (`per_language` for each la
 twice: the second time without the sentences that the first model gives to another language than their label. Everything
 else, sentences, segments, languages, covers all texts whole.
 
-Sentences are cut at terminators and line breaks. Where the best languages of a document's sentences differ, the most
-probable sequence is taken under a price for every change, so that a foreign name or phrase, or a heading, makes no segment.
+Sentences are cut at terminators and line breaks. A whole sentence whose best language leads clearly has that language,
+wherever it stands. For the others, short, unfinished or unclear, the most probable sequence is taken under a price for every
+change, so that a foreign name or phrase, or a heading, makes no segment.
 
 Null, empty and letterless texts have no language. Repeated rows are judged alike. Labels are codes of two or three
 letters, codes with a region, and English names, in any case.
@@ -40,6 +41,10 @@ ru rus russian; sk slk slo slovak; sl slv slovenian; sr srp serbian; sv swe swed
 """
 SLOTS = 1 << 14
 LONGEST = 3
+CLEAR = 0.75  # lead of the best language's score, which is about 2 at most
+SENTENCE = 12  # letters
+LINE = 40  # letters from which an unfinished line is a sentence too
+CLOSERS = "\"'”’»)]}›“"
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 _SEED = np.array([0x27D4EB2F, 0x165667B1, 0xD3A2646D], np.uint32)
 
@@ -184,10 +189,26 @@ def confidence(s: np.ndarray) -> np.ndarray:
     return x / x.sum(-1, keepdims=True)
 
 
-def smooth(s: np.ndarray, letters: np.ndarray, price: float = 2.2) -> np.ndarray:
-    """The best language of each sentence of one document, every change at a price; short sentences weigh less."""
+def clear_sentences(points: np.ndarray, begin: np.ndarray, end: np.ndarray, letters: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Whether each is a whole sentence, finished or long, whose best language leads clearly."""
+    if s.shape[1] < 2:
+        return np.zeros(len(s), bool)
+    term, blank, line = _breaks()
+    skip = blank | line
+    skip[[ord(c) for c in CLOSERS]] = True
+    last = np.maximum.accumulate(np.where(skip[points], -1, np.arange(len(points))))[end - 1]
+    finished = (last >= begin) & term[points[last]]
+    top = np.partition(s, -2, axis=1)
+    return (top[:, -1] - top[:, -2] >= CLEAR) & (letters >= SENTENCE) & (finished | (letters >= LINE))
+
+
+def smooth(s: np.ndarray, letters: np.ndarray, price: float = 2.2, clear: np.ndarray | None = None) -> np.ndarray:
+    """The best language of each sentence of one document, every change at a price; short sentences weigh less, and those that
+    are clear keep their own best."""
     weight = np.clip(letters / 40.0, 0.02, 1.0)[:, None]
     gain = s * weight
+    if clear is not None:
+        gain = np.where(clear[:, None] & (np.arange(s.shape[1]) != s.argmax(1)[:, None]), -1e4, gain)
     best, back = gain[0].copy(), []
     for row in gain[1:]:
         stay, jump = best, best.max() - price
@@ -208,6 +229,7 @@ def segments_of(texts: pa.Array, names: list[str], weights: np.ndarray) -> Itera
     s = scores(points, a, e, weights)
     letters = np.add.reduceat((_letters()[points] != 32).astype(np.int64), a)
     full = letters > 0
+    clear = clear_sentences(points, a, e, letters, s)
     # a foreign phrase is no sentence: only those of some length count as such
     starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
     best = s.argmax(1)
@@ -216,11 +238,11 @@ def segments_of(texts: pa.Array, names: list[str], weights: np.ndarray) -> Itera
         if not len(use):
             continue
         own = best[use]
-        some = own[letters[use] >= 20]
+        some = own[(letters[use] >= 20) | clear[use]]
         if len(some) and (some == some[0]).all():
             own = np.full(len(own), some[0])  # only headings and scraps differ
         elif (own != own[0]).any():
-            own = smooth(s[use], letters[use])
+            own = smooth(s[use], letters[use], clear=clear[use])
         r, base = row[i], at[row[i]]
         cuts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
         for n, (p, q) in enumerate(zip(cuts, np.append(cuts[1:], len(use))), 1):
@@ -228,7 +250,7 @@ def segments_of(texts: pa.Array, names: list[str], weights: np.ndarray) -> Itera
             mean = (s[use[p:q]] * w[:, None]).sum(0) / w.sum()
             begin = a[use[p]] if n > 1 else at[r]
             end = a[use[q]] if q < len(use) else at[r + 1]
-            yield r, n, int(begin - base), int(end - base), int((w >= 12).sum()), names[own[p]], round(float(confidence(mean)[own[p]]), 4)
+            yield r, n, int(begin - base), int(end - base), int((w >= SENTENCE).sum()), names[own[p]], round(float(confidence(mean)[own[p]]), 4)
 
 
 def language_model(documents: DataFrame, key: str, text: str, lang: str, per_language: int = 250, at_least: int = 20) -> tuple[list[str], np.ndarray]:

@@ -106,3 +106,15 @@ def test_held_out_accuracy(spark):
         got[r][lang] += b - a
     right = sum(max(v, key=v.get) == rows["lang"][r] for r, v in got.items())
     assert len(got) > 250 and right / len(got) > 0.97
+
+
+def test_two_clear_sentences_anywhere():
+    en = ["The payroll desk approves every request before the end of the month.", "Please note that the office is closed on the first day of the year."]
+    de = ["Das Lohnbüro genehmigt jeden Antrag vor dem Ende des Monats.", "Bitte beachten Sie, dass das Amt am ersten Tag des Jahres geschlossen ist."]
+    names, weights = langid.fit([" ".join(en), " ".join(de)] * 12, ["en", "de"] * 12)
+    found = lambda text: [x[5] for x in langid.segments_of(pa.array([text]), names, weights)]
+    assert found(" ".join(en * 2 + de + en * 2)) == ["en", "de", "en"]
+    assert found(" ".join([*en, de[0], *en, de[1], *en])) == ["en", "de", "en", "de", "en"]
+    assert found(" ".join([de[0], *en, *en, de[1]])) == ["de", "en", "de"]
+    # a phrase is no sentence
+    assert found(f"{en[0]} (das Lohnbüro)\n{en[1]}") == ["en"]
