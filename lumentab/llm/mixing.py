@@ -1,13 +1,14 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
 The texts of each source, in an order shuffled by hash, are laid end to end and cut into blocks of equal tokens (a text is in
-the block of its middle). Slot i of the mixture gets the source in whose part of the cumulative weights the point
-frac(i * golden ratio) falls; any stretch of the mixture so has the target shares up to a block or two. The r-th slot of a
-source takes its block r modulo the number of its blocks, in round r div that number.
+the block of its middle), of about the same size in all sources. Slot i of the mixture gets the source in whose part of the
+cumulative weights (share over block size) the point frac(i * golden ratio) falls; any stretch of the mixture so has the target
+shares up to a block or two. The r-th slot of a source takes its block r modulo the number of its blocks, in round r div that
+number.
 
-The default size is the largest at which the sources miss no more than `tolerance` of the mixture together because they have
-too little for their share within max_repeats rounds (0: every share is reached). A source that has too little gives all it
-may, spread over the whole mixture; the report shows the shares reached.
+The default size is the largest at which each source has enough for its share within max_repeats rounds; with a `tolerance`,
+for all but that part of its share. Where total_tokens asks for more, a source that has too little gives all it may, spread
+over the whole mixture; the report shows the shares reached.
 
 A text that comes under several ids, or in several sources, counts as one, with the least id; so that no text is used more
 than max_repeats times. Sources without target (null among them), null and empty texts take no part. Targets are taken in
@@ -46,7 +47,7 @@ def _running(rows: DataFrame, by: str, bucket: str, order: list[str], size: str,
     return rows.join(before, [by, bucket]).withColumn(into, F.col("_before") + F.coalesce(F.sum(size).over(inner), F.lit(0))).drop("_before")
 
 
-def mix_sources(pool: DataFrame, targets: DataFrame, total_tokens: int | None = None, tolerance: float = 0.02, block_tokens: int = 4096, buckets: int = 256) -> DataFrame:
+def mix_sources(pool: DataFrame, targets: DataFrame, total_tokens: int | None = None, tolerance: float = 0.0, block_tokens: int = 4096, buckets: int = 256) -> DataFrame:
     """(slot, source, round, block, offset, key, n_tokens): the mixture, in order of slot and offset."""
     spark = pool.sparkSession
     want = targets.where("source IS NOT NULL AND target_share > 0 AND max_repeats >= 1").groupBy("source").agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("repeats"))
@@ -57,31 +58,32 @@ def mix_sources(pool: DataFrame, targets: DataFrame, total_tokens: int | None =
         return spark.createDataFrame([], "slot long, source string, round int, block long, offset long, key long, n_tokens int")
     caps = {r["source"]: float(r["repeats"] * r["tokens"]) for r in rows}
     wish = {r["source"]: r["share"] / shares for r in rows}
-    missed = lambda t: sum(max(0.0, wish[k] - caps[k] / t) for k in wish)
-    low, high = min(caps[k] / wish[k] for k in wish), max(caps[k] / wish[k] for k in wish)
-    for _ in range(60):
-        middle = (low + high) / 2
-        low, high = (middle, high) if missed(middle) <= tolerance else (low, middle)
-    total = float(total_tokens or low)
+    enough = [caps[k] / wish[k] for k in wish]
+    total = float(total_tokens or min(min(enough) / max(1e-9, 1.0 - tolerance), max(enough)))
     given = {k: min(wish[k], caps[k] / total) for k in wish}
     total *= sum(given.values())
     given = {k: v / sum(given.values()) for k, v in given.items()}
     # blocks small enough for the shares of small sources to come out
     grain = max(64, min(block_tokens, int(total * min(given.values()) / 64)))
-    slots = max(1, round(total / grain))
+    blocks_of = {r["source"]: max(1, math.ceil(r["tokens"] / grain)) for r in rows}
+    size = {r["source"]: r["tokens"] / blocks_of[r["source"]] for r in rows}  # no block is left with a rest
+    due = {k: total * v / size[k] for k, v in given.items()}
+    slots = max(1, round(sum(due.values())))
     bounds, at = [], 0.0
     for r in rows:
-        bounds.append((r["source"], at, at + given[r["source"]], r["repeats"], max(1, math.ceil(r["tokens"] / grain))))
-        at += given[r["source"]]
+        part = due[r["source"]] / sum(due.values())
+        bounds.append((r["source"], at, at + part, r["repeats"], blocks_of[r["source"]]))
+        at += part
     # the texts of a source in shuffled order, laid end to end
     # texts of more than a fifth of what their source is to give come last, the shorter ones first: one of them would miss the share
-    much = F.lit(None).cast("double")
+    much = block = F.lit(None).cast("double")
     for r in rows:
+        block = F.when(F.col("source") == r["source"], F.lit(size[r["source"]])).otherwise(block)
         much = F.when(F.col("source") == r["source"], F.lit(max(float(grain), 0.2 * total * given[r["source"]]))).otherwise(much)
     large = F.col("n_tokens") > much
     laid = pool.withColumn("h", F.when(large, F.col("n_tokens").cast("long")).otherwise(F.xxhash64(F.lit(11), "key")))
     laid = laid.withColumn("bucket", F.when(large, F.lit(buckets)).otherwise(F.pmod("h", F.lit(buckets))).cast("int"))
-    laid = _running(laid, "source", "bucket", ["h", "key"], "n_tokens", "offset").withColumn("block", F.floor((F.col("offset") + F.col("n_tokens") / 2) / grain))
+    laid = _running(laid, "source", "bucket", ["h", "key"], "n_tokens", "offset").withColumn("block", F.floor((F.col("offset") + F.col("n_tokens") / 2) / block))
     # the schedule
     point = F.pmod(F.col("id").cast("double") * F.lit(GOLDEN), F.lit(1.0))
     chosen = F.lit(None)

@@ -54,3 +54,11 @@ def test_mixture(spark):
     much = mixing.mix_sources(pool, targets_of, total_tokens=10_000_000)
     assert much.groupBy("source", "key").count().where("(source = 'big' AND count > 1) OR count > 3").count() == 0
     assert mixing.mix_sources(mixing.text_pool(df, targets), targets).count() > 0
+
+
+def test_each_source_of_a_mixture_has_its_share(spark):
+    pool = spark.createDataFrame([("big", i, 20 + i % 50) for i in range(3000)] + [("tiny", 10_000 + i, 20 + i % 5) for i in range(20)], "source string, key long, n_tokens int")
+    targets = spark.createDataFrame([("big", 0.99, 1), ("tiny", 0.01, 2)], "source string, target_share double, max_repeats int")
+    report = {r["source"]: r for r in mixing.mix_report(mixing.mix_sources(pool, targets), pool, targets).collect()}
+    assert abs(report["tiny"]["actual_share"] / 0.01 - 1) < 0.1 and abs(report["big"]["actual_share"] / 0.99 - 1) < 0.01
+    assert report["tiny"]["most_uses"] == 2 and report["big"]["most_uses"] == 1
