@@ -68,9 +68,10 @@ def p5_found(spark, d):
 
 @llm.query()
 def p5_paragraphs(spark, d):
-    """The repaired text of every page and chunk, paragraph by paragraph."""
-    rows = _scanned(spark, d, True).select("kind", "unit", "file", "page", F.posexplode("paragraphs").alias("paragraph_no", "text"))
-    return rows.withColumn("paragraph_no", F.col("paragraph_no") + 1)
+    """The repaired text of every page and chunk, paragraph by paragraph; one that continues goes on in the first of the next page."""
+    rows = _scanned(spark, d, True).select("kind", "unit", "file", "page", F.size("paragraphs").alias("n"), "continues", F.posexplode("paragraphs").alias("paragraph_no", "text"))
+    rows = rows.withColumn("paragraph_no", F.col("paragraph_no") + 1)
+    return rows.select("kind", "unit", "file", "page", "paragraph_no", "text", (F.col("continues") & (F.col("paragraph_no") == F.col("n"))).alias("continues"))
 
 
 @llm.query()

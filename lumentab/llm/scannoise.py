@@ -315,10 +315,18 @@ def first_part(line: str) -> str:
     return m.group(1) if m else (line.strip()[:1])
 
 
-def unit_noise(model: Model, lines: list[str], roles: list[str | None], after: str | None) -> tuple[list[set[str]], list[str]]:
-    """(noises of each line, its repaired text) for the lines of one page or chunk; after: the first line that follows it.
+def moved_part(line: str) -> str:
+    """The end of a broken word, with its marks, that goes to the page before; empty where the line breaks that word again."""
+    part = line.split(None, 1)[:1]
+    return part[0] if part and any(map(str.isalpha, part[0])) and (line.strip() != part[0] or broken_end(line) is None) else ""
 
-    Repaired lines end in U+0001 where the word goes on in the next line.
+
+def unit_noise(model: Model, lines: list[str], roles: list[str | None], after: str | None, before: str | None = None) -> tuple[list[set[str]], list[str]]:
+    """(noises of each line, its repaired text) for the lines of one page or chunk; after: the first line that follows it;
+    before: the last of the page before, where it may break a word.
+
+    Repaired lines end in U+0001 where the word goes on in the next line. A word broken at the end of a page is put together
+    there, and its end taken from the page after.
     """
     noises: list[set[str]] = [set() for _ in lines]
     fixed = ["" for _ in lines]
@@ -327,6 +335,9 @@ def unit_noise(model: Model, lines: list[str], roles: list[str | None], after: s
         if r in ("header", "page_number"):
             n.add(r)
     carried = ""  # the beginning of a word whose end stands in this line
+    if body and before is not None and (left := broken_end(before)) is not None:
+        carried = left + "-" if model.own_hyphen(left, first_part(lines[body[0]])) else left
+    taken = moved_part(lines[body[0]]) if carried else ""
     for at, i in enumerate(body):
         text = lines[i]
         tokens = WORD.findall(text)
@@ -360,11 +371,14 @@ def unit_noise(model: Model, lines: list[str], roles: list[str | None], after: s
                 last = b
             noises[i].add("ocr")
         mended = "".join(out) + text[last:]
+        if at == 0 and taken:
+            mended = re.sub(r"^\s*\S+", "", mended)
+        given = moved_part(after) if at + 1 == len(body) and after is not None else ""
         if ends_broken:
             noises[i].add("hyphen")
-            fixed[i] = mended.rstrip()[:-1] + "\u0001"
+            fixed[i] = mended.rstrip()[:-1] + (given or "\u0001")
         elif own:
-            fixed[i] = mended.rstrip() + "\u0001"
+            fixed[i] = mended.rstrip() + (given or "\u0001")
         else:
             fixed[i] = mended
         carried = left if ends_broken else (left + "-" if own else "")
@@ -381,6 +395,11 @@ def _case_like(was: str, now: str) -> str:
 
 def paragraphs(fixed: list[str], roles: list[str | None], lines: list[str]) -> list[str]:
     """Continuous paragraphs of repaired lines; a blank line, and a short last line of a sentence, ends one."""
+    return open_paragraphs(fixed, roles, lines)[0]
+
+
+def open_paragraphs(fixed: list[str], roles: list[str | None], lines: list[str], after: str | None = None) -> tuple[list[str], bool]:
+    """(paragraphs, whether the last one goes on in the page whose first line is after)."""
     width = max((len(x) for x, r in zip(lines, roles) if r is None), default=0)
     out, now = [], ""
     for k, (text, role) in enumerate(zip(fixed, roles)):
@@ -398,9 +417,13 @@ def paragraphs(fixed: list[str], roles: list[str | None], lines: list[str]) -> l
         if text.rstrip().endswith((".", "!", "?")) and len(lines[k]) < 0.75 * width:
             out.append(now)
             now = ""
+    goes_on = bool(now) and after is not None
+    if goes_on and now[-1] in ".!?" and (part := moved_part(after)) == after.strip() and now.endswith(part):
+        last = [x for x, r in zip(lines, roles) if r is None and x.strip()][-1]
+        goes_on = broken_end(last) is None  # the one word of that line was all that was left
     if now:
         out.append(now.rstrip("\u0001"))
-    return out
+    return out, goes_on
 
 
 def count_lines(batches: Iterator[pd.DataFrame], most: int = 1_000_000) -> Iterator[pd.DataFrame]:
@@ -463,8 +486,9 @@ def corpus_model(texts: DataFrame, share: float = 5e-6) -> Model:
 
 
 def page_units(lines: DataFrame) -> DataFrame:
-    """(kind, unit, file, page, keys, texts, flags, running, after): one row for each page, its lines in order with flags of
-    place, size and repetition, and the first body line of the next page."""
+    """(kind, unit, file, page, keys, texts, flags, running, after, before): one row for each page, its lines in order with
+    flags of place, size and repetition, the first body line of the next page, and the last of the page before if it may break a
+    word."""
     page = F.coalesce("page", F.lit(-1) - F.floor(F.coalesce("line_no", F.lit(0)) / 200)).cast("int").alias("page")
     filled = (F.length(F.trim(F.coalesce("text", F.lit("")))) > 0).alias("filled")
     rows = lines.where("line_id IS NOT NULL").select(F.coalesce("file", F.lit("")).alias("file"), page, F.struct("line_no", "line_id", "text", "size", filled).alias("r"))
@@ -488,12 +512,24 @@ def page_units(lines: DataFrame) -> DataFrame:
     small = lambda r: r["size"] < 0.9 * F.col("body")
     flag = lambda c, bit: F.when(c, bit).otherwise(0)
     flags = F.transform("rows", lambda r: F.when(edge_of(r), MARGIN + flag(small(r), SMALL) + flag(small(r).isNull(), UNKNOWN) + flag(runs(r), RUNS)).otherwise(0))
-    is_body = lambda r: r["filled"] & ~F.coalesce(edge_of(r) & (small(r) | runs(r)), F.lit(False))
-    heads = units.select("file", (F.col("page") - 1).alias("page"), F.get(F.filter("rows", is_body), F.lit(0))["text"].alias("after"))
-    out = units.join(heads, ["file", "page"], "left")
+    # just the lines to which page_roles gives no role: both pages of a broken word must see the same two lines
+    is_body = lambda r: r["text"].rlike(r"(?U)[^\s\x1c-\x1f]") & ~F.coalesce(edge_of(r) & (small(r) | small(r).isNull() & runs(r)), F.lit(False))
+    page = F.col("page")  # lines without a page are in -1, -2 and so on
+    body_rows = units.select("file", "page", F.filter("rows", is_body).alias("rows")).select("file", "page", F.get("rows", F.lit(0))["text"].alias("head"), F.try_element_at("rows", F.lit(-1))["text"].alias("tail"))
+    beside = body_rows.select(
+        "file",
+        F.explode(
+            F.array(
+                F.struct(F.when(page > 0, page - 1).when(page < -1, page + 1).alias("page"), F.col("head").alias("after"), F.lit(None).cast("string").alias("before")),
+                F.struct(F.when(page >= 0, page + 1).otherwise(page - 1).alias("page"), F.lit(None).cast("string").alias("after"), F.when(F.col("tail").rlike(rf"(?U)[{HYPHENS}]\s*$"), F.col("tail")).alias("before")),
+            )
+        ).alias("x"),
+    ).select("file", "x.*")
+    beside = beside.where("page IS NOT NULL AND (after IS NOT NULL OR before IS NOT NULL)").groupBy("file", "page").agg(F.max("after").alias("after"), F.max("before").alias("before"))
+    out = units.join(beside, ["file", "page"], "left")
     return out.select(
         F.lit("line").alias("kind"), F.concat_ws("#", "file", F.col("page").cast("string")).alias("unit"), "file", "page", F.transform("rows", lambda r: r["line_id"]).alias("keys"),
-        F.transform("rows", lambda r: r["text"]).alias("texts"), flags.alias("flags"), F.lit(None).cast("array<string>").alias("running"), "after",
+        F.transform("rows", lambda r: r["text"]).alias("texts"), flags.alias("flags"), F.lit(None).cast("array<string>").alias("running"), "after", "before",
     )
 
 
@@ -509,7 +545,7 @@ def chunk_units(chunks: DataFrame) -> DataFrame:
     units = rows.join(running, "chunk_id", "left")
     return units.select(
         F.lit("chunk").alias("kind"), F.col("chunk_id").alias("unit"), "file", F.lit(None).cast("int").alias("page"), F.lit(None).cast("array<bigint>").alias("keys"),
-        F.array("text").alias("texts"), F.lit(None).cast("array<int>").alias("flags"), "running", F.lit(None).cast("string").alias("after"),
+        F.array("text").alias("texts"), F.lit(None).cast("array<int>").alias("flags"), "running", F.lit(None).cast("string").alias("after"), F.lit(None).cast("string").alias("before"),
     )
 
 
@@ -568,14 +604,15 @@ def chunk_roles(texts: list[str], running: set[str]) -> list[str | None]:
 
 
 def scan_units(units: DataFrame, model: Model, repaired: bool = True) -> DataFrame:
-    """(kind, unit, file, page, noise: array of (key, noise), paragraphs) of each unit; paragraphs only where repaired is asked."""
+    """(kind, unit, file, page, noise: array of (key, noise), paragraphs, continues) of each unit; paragraphs, and whether the last
+    one goes on in the next page of the file, only where repaired is asked."""
     shared = units.sparkSession.sparkContext.broadcast((model.words, model.pairs, model.shapes, model.total))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Model(*shared.value)
         for b in batches:
             out = []
-            for kind, unit, file, page, keys, texts, flags, running, after in zip(*[b[c] for c in ("kind", "unit", "file", "page", "keys", "texts", "flags", "running", "after")]):
+            for kind, unit, file, page, keys, texts, flags, running, after, before in zip(*[b[c] for c in ("kind", "unit", "file", "page", "keys", "texts", "flags", "running", "after", "before")]):
                 if kind == "chunk":
                     lines = texts[0].split("\n")
                     roles = chunk_roles(lines, set(running) if running is not None else set())
@@ -583,14 +620,15 @@ def scan_units(units: DataFrame, model: Model, repaired: bool = True) -> DataFra
                 else:
                     lines = [t or "" for t in texts]
                     roles = page_roles(lines, flags)
-                noises, fixed = unit_noise(own, lines, roles, after)
+                noises, fixed = unit_noise(own, lines, roles, after, before)
                 found = sorted({(str(k), n) for k, ns in zip(keys, noises) if ns for n in ns})
-                out.append((kind, unit, file, page, [{"key": k, "noise": n} for k, n in found], paragraphs(fixed, roles, lines) if repaired else None))
-            made = pd.DataFrame(out, columns=["kind", "unit", "file", "page", "noise", "paragraphs"])
+                out.append((kind, unit, file, page, [{"key": k, "noise": n} for k, n in found], *(open_paragraphs(fixed, roles, lines, after) if repaired else (None, None))))
+            made = pd.DataFrame(out, columns=["kind", "unit", "file", "page", "noise", "paragraphs", "continues"])
+            made["continues"] = pd.array(made["continues"], dtype="boolean")
             made["page"] = pd.array(pd.to_numeric(made["page"]), dtype="Int32")
             yield made
 
-    return units.mapInPandas(scan, "kind string, unit string, file string, page int, noise array<struct<key string, noise string>>, paragraphs array<string>")
+    return units.mapInPandas(scan, "kind string, unit string, file string, page int, noise array<struct<key string, noise string>>, paragraphs array<string>, continues boolean")
 
 
 def scanned(lines: DataFrame, chunks: DataFrame, repaired: bool = True) -> DataFrame:

@@ -118,3 +118,16 @@ def test_two_clear_sentences_anywhere():
     assert found(" ".join([de[0], *en, *en, de[1]])) == ["de", "en", "de"]
     # a phrase is no sentence
     assert found(f"{en[0]} (das Lohnbüro)\n{en[1]}") == ["en"]
+
+
+def test_words_and_paragraphs_over_page_ends(spark):
+    pages = [["Binder Rules", "the payroll desk may approve leave request for every em-"], ["Binder Rules", "ployee, in the follow-"], ["Binder Rules", "up report of the section office.", "The desk."]]
+    lines = [(10 * p + n, "f.pdf", p, n, t, 9.0 if n == 0 else 11.0, False) for p, page in enumerate(pages, 1) for n, t in enumerate(page)]
+    lines += [(100 + n, "g.pdf", 1, n, t, 11.0, False) for n, t in enumerate(["every employee has a follow-up report"] * 9)]
+    df = spark.createDataFrame(lines, "line_id long, file string, page int, line_no int, text string, size double, bold boolean")
+    chunks = spark.createDataFrame([("c#1", "c", "the payroll desk")], "chunk_id string, file string, text string")
+    got = {r["page"]: r for r in scannoise.scanned(df, chunks).where("file = 'f.pdf'").collect()}
+    assert [got[p]["paragraphs"] for p in (1, 2)] == [["the payroll desk may approve leave request for every employee,"], ["in the follow-up"]]
+    assert " ".join(got[3]["paragraphs"]) == "report of the section office. The desk."
+    assert [got[p]["continues"] for p in (1, 2, 3)] == [True, True, False]
+    assert {(n["key"], n["noise"]) for r in got.values() for n in r["noise"]} == {("10", "header"), ("20", "header"), ("30", "header"), ("11", "hyphen")}
