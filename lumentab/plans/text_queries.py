@@ -179,7 +179,17 @@ def dense_topk(spark, d):
 def rrf_fusion(spark, d):
     """Lexical and dense ranks of the documents that have a vector, fused; every twentieth one is a query."""
     e = table(spark, d, "embeddings")
-    docs = table(spark, d, "documents").join(e.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
+    return fused(table(spark, d, "documents").join(e.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi"), e)
+
+
+@core.query()
+def rrf_fusion_all(spark, d):
+    """The same over all documents, with a vector or without; checked on a fixture."""
+    return fused(table(spark, d, "documents"), table(spark, d, "embeddings"))
+
+
+def fused(docs, e):
+    """(query, doc, score, rank): the ten best by lexical rank among docs and dense rank among the vectors e."""
     everything = 1 << 30
     lexical = retrieval.bm25_top_k(docs, "doc_id", "text", docs.where("doc_id % 20 = 0"), "doc_id", "text", everything)
     dense = retrieval.top_k(retrieval.dense_scores(e, e.where("vec_id % 20 = 0"), "vec_id", "embedding"), everything)

@@ -149,3 +149,15 @@ def test_rejections():
     assert generation.rejection(good | {"quotes": [{"source_id": "f#chunk-1", "quote": "pays 21"}]}, chunks) == "quote_not_verbatim"
     assert generation.rejection(good | {"question_type": "cross_document"}, chunks) == "invalid_cross_document_evidence"
     assert generation.rejection(good | {"source_ids": ["g#chunk-1"]}, chunks) == "unknown_source_id"
+
+
+def test_fusion_ranks_documents_without_a_vector(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    docs = [(20, "leave request of the desk"), (21, "leave request of the desk, signed"), (22, "another text"), (40, "cabinet of the office"), (41, "office cabinet")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(20, [1.0, 0.0]), (22, [0.9, 0.1])], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r["query"], r["doc"]): r["score"] for r in entry.queries()["rrf_fusion_all"](spark, str(tmp_path)).collect()}
+    assert got[20, 20] == round(2 / 61, 9) and got[20, 22] == round(1 / 62, 9)
+    assert got[20, 21] == round(1 / 62, 9)  # in the lexical list only
+    assert {(40, 40), (40, 41)} <= set(got)  # a query without a vector
