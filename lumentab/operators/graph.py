@@ -57,14 +57,19 @@ def spine_edges(chunks: DataFrame) -> DataFrame:
     return rows.select(before.alias("src"), F.col("chunk_id").alias("dst"), F.lit(1.0).alias("weight")).where("src IS NOT NULL")
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(id, component): the least id of the connected component; nodes without edges are their own.
 
     Alternating large-star and small-star steps on the edge list: its diameter shrinks with every round, no node's neighbours
-    are gathered, and each round ends in the shared checkpoint folder.
+    are gathered, and each round ends in the shared checkpoint folder. It ends when nothing changes, and with an error where
+    `rounds` aren't enough.
     """
     e = cut(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct())
-    for _ in range(rounds):
+    done = 0
+    while True:
+        if done == rounds:
+            raise RuntimeError(f"components change after {rounds} rounds")
+        done += 1
         # large star: every larger neighbour is linked to the least one
         both = e.select("u", "v").union(e.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))

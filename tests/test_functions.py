@@ -161,3 +161,20 @@ def test_fusion_ranks_documents_without_a_vector(spark, tmp_path):
     assert got[20, 20] == round(2 / 61, 9) and got[20, 22] == round(1 / 62, 9)
     assert got[20, 21] == round(1 / 62, 9)  # in the lexical list only
     assert {(40, 40), (40, 41)} <= set(got)  # a query without a vector
+
+
+def test_greedy_dedup_tells_when_rounds_are_too_few(spark):
+    from lumentab.operators import retrieval
+
+    n = 8  # as many rounds
+    items, pairs = spark.createDataFrame([(i,) for i in range(n)], "k long"), spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "a long, b long")
+    assert sorted(r[0] for r in retrieval.greedy_kept(items, pairs, "k").collect()) == list(range(0, n, 2))
+    with pytest.raises(RuntimeError):
+        retrieval.greedy_kept(items, pairs, "k", rounds=2)
+
+
+def test_components_tell_when_rounds_are_too_few(spark):
+    nodes, edges = spark.createDataFrame([(i,) for i in range(40)], "id long"), spark.createDataFrame([(i, i + 1) for i in range(39)], "src long, dst long")
+    assert {r["component"] for r in graph.components(nodes, edges).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        graph.components(nodes, edges, rounds=1)
