@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 from pathlib import Path
 
@@ -42,11 +43,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a folder of our own only where none is set."""
-    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The shared folder for intermediate tables: that of spark.checkpoint.dir, or the one set on the context.
+
+    A local session without either gets a folder of its own. On a cluster there is none that all executors share, so that
+    this is an error there.
+    """
+    sc = spark.sparkContext
+    given = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
     if given:
         return given
-    return f"{os.environ.get('TMPDIR', '/tmp')}/lumentab-checkpoints"
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    own = tempfile.mkdtemp(prefix="lumentab-checkpoints-")
+    _remove_at_end(spark, own)
+    sc.setCheckpointDir(own)
+    return own
+
+
+def _remove_at_end(spark: SparkSession, path: str) -> None:
+    """The file system removes path when the driver's JVM ends."""
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(where)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -58,7 +76,9 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Like cut, but as a columnar table, which later reads prune by column."""
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """Like cut, but as a columnar table, which later reads prune by column. It is removed when the driver ends."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _remove_at_end(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
