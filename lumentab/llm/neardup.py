@@ -3,20 +3,24 @@
 A record is the set of its lower-cased words. Two sets that reach the threshold share, under any global order of all words,
 a word of their prefixes (the first |s| - ceil(t |s|) + 1 words). Candidates must do so under three orders:
 
-1. rare words first, frequent ones by frequency: the key of the join. Where the key would be a frequent word, it is made of
-   the first two common words instead: both stand in the prefix made longer by one, so that no pair is lost;
-2. and 3. two independent hash orders over all words, tested on the candidates before any verification.
+1. rare words first, frequent ones by frequency: the key under which records meet. Where the key would be a frequent word, it
+   is made of the first two common words instead: both stand in the prefix made longer by one, so that no pair is lost;
+2. and 3. two independent hash orders over all words. A record carries its prefix under each as a bitmap of 64 places; where
+   the bitmaps of two records have no place in common, neither have the prefixes.
 
-Between join and fetch stand the sizes and a bitmap: the parity of the words at each of 128 hash values differs in at most
-as many places as the sets do in words. What is left is verified on the words themselves.
+All filters meet where the records do, before any text is fetched: the sizes, the two prefix bitmaps, and a third bitmap, the
+parity of the words at each of 128 hash values, which differs in at most as many places as the sets do in words. What is left
+is verified on the words themselves.
+
+A key of more than `block` classes is split: its classes are dealt into blocks, and each pair of blocks is a key of its own,
+so that no task holds more than two blocks of one key.
 
 Equal sets are one class, whatever the number of copies; the classes are paired. Records with a null or empty text in any
-of the columns are left out. Long records (above `long_words` words) meet by single words only.
+of the columns are left out.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,8 +51,17 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def postings(classes: DataFrame, threshold: float, share: float, heavy: int, long_words: int) -> DataFrame:
-    """(token, class_id, size, b0, b1): the keys of order 1 of each class, with its size and bitmap."""
+def _prefix_map(flat: np.ndarray, row: np.ndarray, at: np.ndarray, most: np.ndarray, seed: int) -> np.ndarray:
+    """For each set the places, of 64, of the hashes of its first `most` words in the hash order of seed."""
+    order = _mix(np.full(len(flat), seed), flat)
+    by = np.lexsort((order, row))
+    kept = np.arange(len(flat)) - at[row] < most[row]  # by keeps the rows where they are
+    place = np.where(kept, np.uint64(1) << (order[by] & np.uint64(63)), np.uint64(0))
+    return np.bitwise_or.reduceat(place, at).view(np.int64)
+
+
+def postings(classes: DataFrame, threshold: float, share: float, heavy: int) -> DataFrame:
+    """(token, class_id, size, b0, b1, p2, p3): the keys of order 1 of each class, with its size and bitmaps."""
     hashed = classes.select("class_id", F.transform(F.split("words", " "), lambda w: F.xxhash64(w)).alias("set"))
     frequent, counts, n = frequent_tokens(hashed, "set", share)
     hot = np.sort(frequent[counts >= heavy])
@@ -64,63 +77,76 @@ def postings(classes: DataFrame, threshold: float, share: float, heavy: int, lon
             at = np.cumsum(size) - size
             bit = flat.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(57)  # 0..127
             one = np.uint64(1) << (bit & np.uint64(63))
-            maps = [np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == half, one, np.uint64(0)), at).view(np.int64) for half in (0, 1)]
+            slack = size - np.ceil(threshold * size - 1e-9).astype(np.int64)
+            maps = {f"b{half}": np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == half, one, np.uint64(0)), at).view(np.int64) for half in (0, 1)}
+            maps |= {f"p{seed}": _prefix_map(flat, row, at, slack + 1, seed) for seed in (2, 3)}
+            ids = b["class_id"].to_numpy()
+
+            def posted(r: np.ndarray, key: np.ndarray, size=size, maps=maps, ids=ids) -> pd.DataFrame:
+                return pd.DataFrame({"token": key.view(np.int64), "class_id": ids[r], "size": size[r].astype(np.int32)} | {k: m[r] for k, m in maps.items()})
+
             order = np.lexsort((flat, ranks(flat, frequent, counts), row))
             flat = flat[order]
             nth = np.arange(len(flat)) - at[row]
-            slack = size - np.ceil(threshold * size - 1e-9).astype(np.int64)
             k = np.minimum(np.searchsorted(hot, flat), max(0, len(hot) - 1))
             is_hot = hot[k] == flat if len(hot) else np.zeros(len(flat), bool)
-            short = size <= long_words
-            # long records, and those that may be like one, by single words
             prefix = nth <= slack[row]
-            single = prefix & ~is_hot & short[row]
-            far = prefix & (size >= threshold * long_words)[row]
-            out_row = [row[single], row[far]]
-            out_key = [flat[single].view(np.uint64), _mix(flat[far].view(np.uint64), np.zeros(int(far.sum()), np.uint64))]
+            # sets so small that they need share but one word keep their single words, frequent or not
+            tiny = (np.ceil(threshold * size - 1e-9) < 2)[row]
+            single = prefix & (~is_hot | tiny)
+            yield posted(row[single], flat[single])
             # the first frequent word of the order and all after it are frequent: pairs of two in the longer prefix
             cold = np.add.reduceat((~is_hot).astype(np.int64), at)
-            width = np.where(short, np.minimum(slack + 2, size) - cold, 0)
-            for w in np.unique(width[width > 0]):
+            width = np.minimum(slack + 2, size) - cold
+            for w in np.unique(width[width > 1]):  # a set of one frequent word, or one left after the rare ones, has no pair
                 who = np.flatnonzero(width == w)
-                if w == 1:  # a set of one frequent word, or one left after the rare ones
-                    continue
-                window = flat[(at[who] + cold[who])[:, None] + np.arange(w)]
-                i, j = np.array(list(itertools.combinations(range(w), 2))).T
-                out_row.append(np.repeat(who, len(i)))
-                out_key.append(_mix(window[:, i].ravel().view(np.uint64), window[:, j].ravel().view(np.uint64)))
-            # sets so small that they need share but one word keep their single words
-            tiny = prefix & is_hot & (np.ceil(threshold * size - 1e-9) < 2)[row]
-            out_row.append(row[tiny])
-            out_key.append(flat[tiny].view(np.uint64))
-            r = np.concatenate(out_row)
-            yield pd.DataFrame({"token": np.concatenate(out_key).view(np.int64), "class_id": b["class_id"].to_numpy()[r], "size": size[r].astype(np.int32), "b0": maps[0][r], "b1": maps[1][r]})
-
-    return hashed.mapInPandas(keys, "token long, class_id long, size int, b0 long, b1 long")
-
-
-def _prefix(words: Column, threshold: float, seed: int) -> Column:
-    order = F.array_sort(F.transform(words, lambda w: F.xxhash64(F.lit(seed), w)))
-    return F.slice(order, 1, (F.size(words) - F.ceil(threshold * F.size(words) - 1e-9) + 1).cast("int"))
-
-
-def similar_records(classes: DataFrame, threshold: float = 0.8, share: float = 2e-4, heavy: int = 1000, long_words: int = 160) -> DataFrame:
-    """(class_a, class_b) of all pairs of different classes (class_id, words) that reach the threshold."""
-    slim = postings(classes, threshold, share, heavy, long_words)
-    other = slim.select("token", F.col("class_id").alias("class_b"), F.col("size").alias("size_b"), F.col("b0").alias("c0"), F.col("b1").alias("c1"))
-    most = (1 - threshold) / (1 + threshold)
-    near = (
-        slim.withColumnRenamed("class_id", "class_a").join(other, "token")
-        .where((F.col("class_a") < F.col("class_b")) & (F.col("size") >= threshold * F.col("size_b") - 1e-9) & (F.col("size_b") >= threshold * F.col("size") - 1e-9))
-        .where(F.bit_count(F.col("b0").bitwiseXOR(F.col("c0"))) + F.bit_count(F.col("b1").bitwiseXOR(F.col("c1"))) <= (F.col("size") + F.col("size_b")) * most + 1e-9)
-        .select("class_a", "class_b").distinct()
-    )
+                i, j = np.triu_indices(w, 1)
+                some = max(1, 1_000_000 // len(i))
+                for first in range(0, len(who), some):
+                    part = who[first : first + some]
+                    window = flat[(at[part] + cold[part])[:, None] + np.arange(w)]
+                    yield posted(np.repeat(part, len(i)), _mix(window[:, i].ravel().view(np.uint64), window[:, j].ravel().view(np.uint64)))
+
+    return hashed.mapInPandas(keys, "token long, class_id long, size int, b0 long, b1 long, p2 long, p3 long")
+
+
+def _near(a: DataFrame, b: DataFrame, on: list[str], threshold: float, distinct_blocks: Column) -> DataFrame:
+    """(class_a, class_b) of the classes that meet under a key and pass all filters."""
+    fields = [c for c in a.columns if c not in on]
+    both = a.join(b.select(*on, *[F.col(c).alias(f"o_{c}") for c in fields]), on)
+    x, y = F.col("size"), F.col("o_size")
+    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"o_{c}"))) for c in ("b0", "b1")), F.lit(0))
+    kept = (x >= threshold * y - 1e-9) & (y >= threshold * x - 1e-9) & (apart <= (x + y) * ((1 - threshold) / (1 + threshold)) + 1e-9)
+    for c in ("p2", "p3"):
+        kept = kept & (F.col(c).bitwiseAND(F.col(f"o_{c}")) != 0)
+    met = both.where((distinct_blocks | (F.col("class_id") < F.col("o_class_id"))) & kept)
+    return met.select(F.least("class_id", "o_class_id").alias("class_a"), F.greatest("class_id", "o_class_id").alias("class_b"))
+
+
+def candidates(classes: DataFrame, threshold: float, share: float, heavy: int, block: int) -> DataFrame:
+    """(class_a, class_b), class_a < class_b, of all pairs of classes that pass the filters of all three orders."""
+    # shuffled once, by key: the counts, the join with them and the pairs of the keys of one block stay in their partitions
+    routed = postings(classes, threshold, share, heavy).repartition("token")
+    large = routed.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > block).select("token", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    small = routed.join(large, "token", "left_anti")
+    near = _near(small, small, ["token"], threshold, F.lit(False))
+    dealt = routed.join(large, "token").withColumn("own", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
+    first = dealt.withColumn("i", F.col("own")).withColumn("j", F.explode(F.sequence("own", F.col("blocks") - 1))).drop("own", "blocks")
+    second = dealt.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("own")))).withColumn("j", F.col("own")).drop("own", "blocks")
+    return near.unionByName(_near(first, second, ["token", "i", "j"], threshold, F.col("i") < F.col("j"))).distinct()
+
+
+def similar_records(classes: DataFrame, threshold: float = 0.8, share: float = 2e-4, heavy: int = 1000, block: int = 4_000) -> DataFrame:
+    """(class_a, class_b) of all pairs of different classes (class_id, words) that reach the threshold.
+
+    share: words in at least this share of the classes are ordered by frequency; heavy: of these, words of at least so many
+    classes are keys in pairs only; block: keys of more classes are split.
+    """
+    near = candidates(classes, threshold, share, heavy, block)
     text = classes.select("class_id", "words")
     full = near.join(text.withColumnRenamed("class_id", "class_a").withColumnRenamed("words", "ta"), "class_a")
     full = full.join(text.withColumnRenamed("class_id", "class_b").withColumnRenamed("words", "tb"), "class_b")
     full = full.select("class_a", "class_b", F.split("ta", " ").alias("wa"), F.split("tb", " ").alias("wb"))
-    for seed in (2, 3):
-        full = full.where(F.arrays_overlap(_prefix(F.col("wa"), threshold, seed), _prefix(F.col("wb"), threshold, seed)))
     shared = F.size(F.array_intersect("wa", "wb"))
     return full.where(shared >= threshold * (F.size("wa") + F.size("wb") - shared) - 1e-9).select("class_a", "class_b")
 
@@ -131,10 +157,9 @@ def class_table(records: DataFrame) -> DataFrame:
 
 def near_duplicate_pairs(df: DataFrame, key: str = "result_no", columns: tuple[str, ...] = ("question", "expected_answer"), threshold: float = 0.8) -> DataFrame:
     """(key_a, key_b), key_a < key_b: all pairs of records, repeats of one word set included."""
-    records = record_classes(df, key, list(columns))
-    classes = staged(class_table(records), "neardup-classes")
-    pairs = similar_records(classes, threshold)
-    members = staged(records.select("class_id", "key").distinct(), "neardup-members")
+    records = staged(record_classes(df, key, list(columns)), "neardup-records")
+    pairs = similar_records(staged(class_table(records), "neardup-classes"), threshold)
+    members = records.select("class_id", "key").distinct()
     between = (
         pairs.join(members.select(F.col("class_id").alias("class_a"), F.col("key").alias("ka")), "class_a")
         .join(members.select(F.col("class_id").alias("class_b"), F.col("key").alias("kb")), "class_b").select("ka", "kb")
@@ -148,9 +173,8 @@ def near_duplicate_pairs(df: DataFrame, key: str = "result_no", columns: tuple[s
 def near_duplicate_groups(df: DataFrame, key: str = "result_no", columns: tuple[str, ...] = ("question", "expected_answer"), threshold: float = 0.8) -> DataFrame:
     """(key, class_key, copies, links): each record with the least key of its class, the number of the class's records, and
     that of the other classes linked to it. Copies are not expanded into pairs."""
-    records = record_classes(df, key, list(columns))
-    classes = staged(class_table(records), "neardup-classes")
-    pairs = similar_records(classes, threshold)
+    records = staged(record_classes(df, key, list(columns)), "neardup-records")
+    pairs = similar_records(staged(class_table(records), "neardup-classes"), threshold)
     ends = pairs.select(F.explode(F.array("class_a", "class_b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
     members = records.select("class_id", "key").distinct()
     size = members.groupBy("class_id").agg(F.min("key").alias("class_key"), F.count("*").alias("copies"))

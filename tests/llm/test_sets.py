@@ -61,11 +61,11 @@ def test_near_duplicates(spark):
     want = brute([s for s in sets if s[1]], 0.8)
     got = neardup.near_duplicate_pairs(df)
     assert {tuple(r) for r in got.collect()} == want
-    # frequent words as keys of pairs, and long records by single words
+    # frequent words as keys of pairs, and every key split into blocks
     classes = neardup.class_table(neardup.record_classes(df, "result_no", ["question", "expected_answer"]))
     plain = {tuple(sorted(r)) for r in neardup.similar_records(classes).collect()}
-    for heavy, long_words in ((2, 160), (5, 12), (2, 1000)):
-        assert {tuple(sorted(r)) for r in neardup.similar_records(classes, heavy=heavy, long_words=long_words).collect()} == plain
+    for heavy, block in ((2, 4000), (5, 3), (1000, 2)):
+        assert {tuple(sorted(r)) for r in neardup.similar_records(classes, heavy=heavy, block=block).collect()} == plain
     groups = {r["result_no"]: (r["class_key"], r["copies"], r["links"]) for r in neardup.near_duplicate_groups(df).collect()}
     assert groups[603] == groups[604] == (603, 2, 0) and 600 not in groups and 602 not in groups
     assert neardup.near_duplicate_pairs(df.limit(0)).count() == 0
