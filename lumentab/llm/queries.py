@@ -41,8 +41,21 @@ def p3_found(spark, d):
 
 @llm.query()
 def p3_classes(spark, d):
-    """Pairs of distinct sets, copies not expanded."""
-    return setsim.similar_pairs(_sets(spark, d), 0.6, expand=False)
+    """Pairs of distinct sets by the least keys of their records, copies not expanded; p3_members has the records of each."""
+    return setsim.similar_representatives(_sets(spark, d), 0.6)
+
+
+@llm.query()
+def p3_members(spark, d):
+    """Every record with the least key of those that have its set."""
+    return setsim.class_members(_sets(spark, d))
+
+
+@llm.query()
+def p3_between(spark, d):
+    """Between two tables: the entities of nodes and the values shared by edges."""
+    nodes, edges = table(spark, d, "graph_nodes"), table(spark, d, "graph_edges")
+    return setsim.similar_between(setsim.set_records(nodes, "node_id", "entities", 5, "terms"), setsim.set_records(edges, "edge_id", "shared", 5, "terms"), 0.6)
 
 
 @llm.query()

@@ -102,8 +102,8 @@ def merge_partition(ids: list[int], sets: list[np.ndarray], sides: list[int], th
 
 
 def class_table(records: DataFrame) -> DataFrame:
-    """(class_id, set) of the distinct sets of records (key, set), the class id being a hash of the set."""
-    return records.groupBy("class_id").agg(F.first("set").alias("set"))
+    """(class_id, set, field, rep, copies) of the distinct sets of set_records; rep is the least key of a class."""
+    return records.groupBy("class_id").agg(F.first("set").alias("set"), F.first("field").alias("field"), F.min("key").alias("rep"), F.count_distinct("key").alias("copies"))
 
 
 def similar_classes(classes: DataFrame, threshold: float, across: bool = False, share: float = 0.001, block: int = 4_000, per_partition: int = 20_000) -> DataFrame:
@@ -132,18 +132,17 @@ def similar_classes(classes: DataFrame, threshold: float, across: bool = False,
             r = row[keep]
             yield pd.DataFrame({"token": flat[order][keep], "class_id": b["class_id"].to_numpy()[r], "side": b["side"].to_numpy()[r], "set": [sets[i] for i in r]})
 
-    routed = classes.mapInPandas(prefixes, "token long, class_id long, side int, set array<long>")
-    # few tokens are shared by more classes than a block; the join is by broadcast where they are small, else by shuffle
-    hot = routed.groupBy("token").agg(F.count("*").alias("_n")).where(F.col("_n") > block).withColumn("_blocks", F.ceil(F.col("_n") / block).cast("int"))
-    dealt = routed.join(hot.select("token", "_blocks"), "token", "left")
-    blocks = F.coalesce("_blocks", F.lit(1))
-    mine = F.pmod(F.hash("class_id", "side"), blocks)
-    # a record of block i meets block j in the partition (i, j), i <= j
-    places = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j")))
     parts = max(spark.sparkContext.defaultParallelism, math.ceil(4 * n / per_partition))
+    # shuffled once, by token: the counts, the join with them and the merge of all tokens of one block stay in their partitions
+    routed = classes.select("class_id", "side", "set").mapInPandas(prefixes, "token long, class_id long, side int, set array<long>").repartition(parts, "token")
+    large = routed.groupBy("token").agg(F.count("*").alias("_n")).where(F.col("_n") > block).select("token", F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
+    small = routed.join(large, "token", "left_anti").select(F.lit(0).alias("part"), "class_id", "side", "set")
+    dealt = routed.join(large, "token")
+    mine = F.pmod(F.hash("class_id", "side"), F.col("_blocks"))
+    # a record of block i meets block j in the partition (i, j), i <= j
+    places = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j")))
     placed = dealt.select("token", "class_id", "side", "set", F.explode(places).alias("p"))
-    placed = placed.withColumn("part", F.pmod(F.hash("token", "p.i", "p.j"), F.lit(parts)))
-    placed = placed.repartition(parts, "part").select("part", "class_id", "side", "set")
+    placed = placed.withColumn("part", F.pmod(F.hash("token", "p.i", "p.j"), F.lit(parts))).repartition(parts, "part").select("part", "class_id", "side", "set")
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, dict[tuple[int, int], np.ndarray]] = {}
@@ -163,7 +162,8 @@ def similar_classes(classes: DataFrame, threshold: float, across: bool = False,
             yield pd.DataFrame(out, columns=["class_a", "class_b", "size_a", "size_b", "overlap"], dtype="int64")
 
     # a pair may share tokens of several partitions
-    return placed.mapInPandas(merge, "class_a long, class_b long, size_a long, size_b long, overlap long").distinct()
+    pairs = "class_a long, class_b long, size_a long, size_b long, overlap long"
+    return small.mapInPandas(merge, pairs).unionByName(placed.mapInPandas(merge, pairs)).distinct()
 
 
 def set_records(df: DataFrame, key: str, column: str, min_size: int = 1, field: str | None = None) -> DataFrame:
@@ -174,17 +174,11 @@ def set_records(df: DataFrame, key: str, column: str, min_size: int = 1, field:
     return hashed.withColumn("class_id", F.xxhash64("set")).select("field", "key", "class_id", "set")
 
 
-def similar_pairs(records: DataFrame, threshold: float = 0.6, expand: bool = True) -> DataFrame:
-    """Pairs of keys (expand) or of class representatives, within each field of set_records.
-
-    expand=False gives (field, class_a, class_b, overlap, size_a, size_b), to be read with class_members.
-    """
+def similar_pairs(records: DataFrame, threshold: float = 0.6) -> DataFrame:
+    """(field, key_a, key_b) of all pairs of records, copies expanded, within each field of set_records."""
     records = staged(records.dropDuplicates(["field", "key", "class_id"]), "set-records")
-    pairs = similar_classes(class_table(records), threshold)
-    if not expand:
-        return pairs
+    pairs = staged(similar_classes(class_table(records), threshold), "set-pairs")
     members = records.select("field", "key", "class_id")
-    pairs = staged(pairs, "set-pairs")
     a, b = members.select(F.col("class_id").alias("class_a"), "field", F.col("key").alias("ka")), members.select(F.col("class_id").alias("class_b"), F.col("key").alias("kb"))
     between = pairs.select("class_a", "class_b").join(a, "class_a").join(b, "class_b").select("field", "ka", "kb")
     # copies: the pairs of keys of one class, asked for by the result's definition
@@ -194,12 +188,26 @@ def similar_pairs(records: DataFrame, threshold: float = 0.6, expand: bool = Tru
     return both.select("field", F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b")).distinct()
 
 
+def similar_representatives(records: DataFrame, threshold: float = 0.6) -> DataFrame:
+    """(field, rep_a, rep_b, overlap, size_a, size_b): pairs of classes by their least keys, to be read with class_members."""
+    classes = staged(class_table(records), "set-classes")
+    name = lambda side: classes.select(F.col("class_id").alias(f"class_{side}"), F.col("rep").alias(f"rep_{side}"), *(["field"] if side == "a" else []))
+    pairs = similar_classes(classes, threshold).join(name("a"), "class_a").join(name("b"), "class_b")
+    return pairs.select("field", "rep_a", "rep_b", "overlap", "size_a", "size_b")
+
+
 def class_members(records: DataFrame) -> DataFrame:
-    """(field, class_id, key) of every record."""
-    return records.select("field", "class_id", "key").distinct()
+    """(field, key, rep, copies) of every record: the least key of the records with its set, and their number."""
+    own = records.select("field", "class_id", "key").distinct()
+    return own.join(class_table(records).select("class_id", "rep", "copies"), "class_id").select("field", "key", "rep", "copies")
 
 
 def similar_between(left: DataFrame, right: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """(class_a, class_b, overlap, …): pairs of a class of left and one of right, both (key, class_id, set) with one token space."""
-    sides = class_table(left).withColumn("side", F.lit(0)).unionByName(class_table(right).withColumn("side", F.lit(1)))
-    return similar_classes(sides, threshold, across=True)
+    """(rep_a, rep_b, overlap, size_a, size_b): pairs of a class of left and one of right, by their least keys.
+
+    Both are set_records under one name of the field, so that their values are compared with each other.
+    """
+    sides = staged(class_table(left).withColumn("side", F.lit(0)).unionByName(class_table(right).withColumn("side", F.lit(1))), "set-sides")
+    name = lambda side, k: sides.where(F.col("side") == k).select(F.col("class_id").alias(f"class_{side}"), F.col("rep").alias(f"rep_{side}"))
+    pairs = similar_classes(sides, threshold, across=True).join(name("a", 0), "class_a").join(name("b", 1), "class_b")
+    return pairs.select("rep_a", "rep_b", "overlap", "size_a", "size_b")

@@ -38,10 +38,18 @@ def test_similar_sets(spark):
     flat = lambda x: {tuple(sorted(p)) for p in x}
     assert flat(a) == flat(b) and len(a) == len(flat(a))
     assert setsim.similar_pairs(rec.limit(0), 0.6).count() == 0
+    # by representatives and their members, every link is there
+    rep = {(r["key"], r["rep"]) for r in setsim.class_members(rec).collect()}
+    links = {(r["rep_a"], r["rep_b"]) for r in setsim.similar_representatives(rec, 0.6).collect()}
+    back = {(min(x, y), max(x, y)) for p, q in links for x, a in rep for y, b in rep if (a, b) == (p, q) and x != y} | {(x, y) for x, a in rep for y, b in rep if a == b and x < y}
+    assert back == want
     left, right = rec.where("key < 60"), rec.where("key >= 100")
-    across = setsim.similar_between(left, right).count()
-    lr = {(x, y) for x, y in brute([(k, s) for k, s in sets if len(s) >= 5], 0.6) if x < 60 <= 100 <= y}
-    assert across >= len({x for x, _ in lr}) - 1 and across > 0
+    across = {(r["rep_a"], r["rep_b"]) for r in setsim.similar_between(left, right).collect()}
+    small = lambda df: {r["key"]: r["rep"] for r in setsim.class_members(df).collect()}
+    lr = {(x, y) for x, y in want if x < 60 and y >= 100}
+    of_left, of_right = small(left.where("key <> 5")), small(right)
+    assert {(of_left[x], of_right[y]) for x, y in lr if x != 5} == {p for p in across if p[0] != 5} and len(across) > 0
+    assert setsim.similar_between(left.limit(0), right).count() == 0
 
 
 def test_near_duplicates(spark):
