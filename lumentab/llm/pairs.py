@@ -5,8 +5,10 @@ A row gets at most one defect, the first that holds of
 empty, error, copy, refusal, other_language, truncated.
 
 Method: the answer is traversed over a suffix automaton of the prompt, which gives for each position the longest
-copied stretch ending there; one Aho-Corasick automaton over all phrases finds refusals and fault messages; a stack of
-delimiters and the terminators of the last sentence decide truncation; stopwords vote for the language.
+copied stretch ending there, and so what of the answer is covered by copies of (nearly) the whole prompt; an answer whose
+uncovered rest is nothing but labels is a copy. One Aho-Corasick automaton over all phrases finds refusals and fault messages,
+which must stand at the head and make up a share of the answer, however long it is; a stack of delimiters and the terminators
+of the last sentence decide truncation; stopwords vote for the language.
 
 Sentences without a terminator are held against the reference answer first (does the same stretch go on there?), then
 against the ends of all sentences of the table, which are counted in one aggregation over all rows.
@@ -18,6 +20,7 @@ repeated rows get the same class and an empty table gives an empty result. Extra
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -28,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import staged
+
 # Marks that stand for nothing, compared without case and without blanks.
 NOTHING = {
     "n/a", "na", "n.a.", "n.a", "none", "null", "nil", "nan", "undefined", "void", "empty", "{}", "[]", "()", '""', "''",
@@ -149,6 +154,7 @@ def _tools() -> dict:
         _MADE["refusal"] = _automaton([p for ps in REFUSALS.values() for p in ps])
         _MADE["fault"] = _automaton(FAULTS)
         _MADE["asked"] = _automaton([n for ns in LANGUAGE_NAMES.values() for n in ns])
+        _MADE["labels"] = {_letters(x) for x in LABELS}
         _MADE["lang_of"] = {n: k for k, ns in LANGUAGE_NAMES.items() for n in ns}
     return _MADE
 
@@ -197,17 +203,28 @@ class SuffixAutomaton:
             yield n
 
 
-def copied_share(question: list[str], answer: list[str]) -> tuple[float, int]:
-    """Share of the answer that lies in stretches of the question of at least half its length, and the longest stretch."""
-    if not question or not answer:
-        return 0.0, 0
-    least, covered, reach, longest = max(1, (len(question) + 1) // 2), 0, 0, 0
-    for i, n in enumerate(SuffixAutomaton(question).matches(answer)):
-        longest = max(longest, n)
+WHOLE = 0.9  # of the prompt, from which a copied stretch counts
+SAID = 0.25  # of an answer, that the sentences of a refusal or fault make up at least
+
+
+def uncovered(question: str, answer: str, least: int) -> list[tuple[int, int]]:
+    """The spans of the answer outside all stretches of at least `least` characters that stand in the question too."""
+    out: list[tuple[int, int]] = []
+    copied: list[tuple[int, int]] = []
+    for end, n in enumerate(SuffixAutomaton(question).matches(answer), 1):
         if n >= least:
-            covered += i + 1 - max(reach, i + 1 - n)
-            reach = i + 1
-    return covered / len(answer), longest
+            begin = end - n
+            while copied and copied[-1][0] >= begin:
+                copied.pop()
+            if copied and copied[-1][1] >= begin:
+                begin = copied.pop()[0]
+            copied.append((begin, end))
+    at = 0
+    for begin, end in [*copied, (len(answer), len(answer))]:
+        if begin > at:
+            out.append((at, begin))
+        at = end
+    return out
 
 
 def visible(text: str) -> str:
@@ -222,51 +239,69 @@ def visible(text: str) -> str:
 def is_nothing(text: str | None) -> bool:
     if text is None:
         return True
-    if len(text) > 200 and text[:40].strip() and any(c.isalnum() for c in text[:40]) and "<" not in text[:40]:
-        return False
     seen = visible(text)
     key = re.sub(r"\s+", "", seen).lower()
     return not any(c.isalnum() for c in key) or key in NOTHING or key.strip("\"'.()[]{}<>-–—*") in NOTHING
 
 
+_FAULT_KEY = re.compile(r'"(?:error|errors|errormessage|fault|faultstring|exception|traceback)"\s*:|"(?:status|state|code)"\s*:\s*(?:"?(?:failed|failure|error|fail)"?|"?[45]\d\d"?)')
+
+
+def said_share(low: str, hits: list[int]) -> tuple[int | None, float]:
+    """(the first sentence in which one of the places stands, the share of the text in such sentences)."""
+    parts, at, first, said, total = sentences(low), 0, None, 0, 0
+    for k, s in enumerate(parts):
+        i = low.find(s, at)
+        at = i + len(s)
+        total += len(s)
+        if any(i <= h < at for h in hits):
+            first = k if first is None else first
+            said += len(s)
+    return first, said / max(1, total)
+
+
 def is_fault(text: str) -> bool:
+    """A payload with a key of faults, a message by its form, or one whose first sentence has a wording of faults."""
     low = text.strip().lower()
-    if low.startswith(("{", "[")):
-        if len(low) < 2000 and re.search(r'"(?:error|errors|errormessage|fault|faultstring|exception|traceback)"\s*:', low):
-            return True
-        if len(low) < 2000 and re.search(r'"(?:status|state|code)"\s*:\s*(?:"?(?:failed|failure|error|fail)"?|"?[45]\d\d"?)', low):
-            return True
-    if _HTML_FAULT.match(low) or _FAULT_START.match(low):
+    if low.startswith(("{", "[")) and _FAULT_KEY.search(low):
+        return True
+    if _HTML_FAULT.match(low) or _FAULT_START.match(low) or low.startswith("traceback (most recent"):
         return True
-    if len(low) <= 300:
-        for end, phrase in _tools()["fault"].iter(low):
-            if end - len(phrase) < 60:
-                return True
-    return low.startswith("traceback (most recent")
+    hits = [end - len(phrase) + 1 for end, phrase in _tools()["fault"].iter(low)]
+    if not hits:
+        return False
+    first, share = said_share(low, hits)
+    return first == 0 and share >= SAID
 
 
 def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def _letters(text: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKC", text).lower() if c.isalnum())
+
+
 def is_copy(question: str | None, answer: str) -> bool:
-    """The answer holds nothing but the question, once or again and again, perhaps under a label."""
+    """The answer holds nothing but the question, or nearly all of it, once or again and again, perhaps under labels.
+
+    A label is one of LABELS, or a rest that stands before the first copy and ends in a colon.
+    """
     if not question:
         return False
-    q = "".join(c for c in unicodedata.normalize("NFKC", question).lower() if c.isalnum())
-    if not q or len(answer) < len(q):
+    q, a = _letters(question), _letters(answer)
+    if not q:
         return False
-    a = "".join(c for c in unicodedata.normalize("NFKC", answer).lower() if c.isalnum())
-    if len(a) < len(q) or q not in a:  # whoever copies the question holds it at least once
+    least = max(1, math.ceil(WHOLE * len(q)))
+    if q[len(q) - least : least] not in a:  # stands in every stretch of so many characters of the question
         return False
-    share, longest = copied_share(list(q), list(a))
-    if longest < len(q):
+    rest = uncovered(q, a, least)
+    if rest == [(0, len(a))]:
         return False
-    if share == 1.0:
-        return True
-    rest = [w for w in a.split(q) if w]
-    labels = {"".join(c for c in x if c.isalnum()) for x in LABELS}
-    return all(w in labels for w in rest)
+    labels = _tools()["labels"]
+    head = answer.find(":")
+    before = len(_letters(answer[:head])) if head >= 0 else -1
+    return all(a[i:j] in labels or (i == 0 and j == before) for i, j in rest)
 
 
 def sentences(text: str) -> list[str]:
@@ -274,27 +309,14 @@ def sentences(text: str) -> list[str]:
 
 
 def is_refusal(answer: str) -> bool:
-    """A refusal is said in the first sentence, or the second after a courtesy, and little else follows."""
+    """A refusal is said in the first sentence, or the second after a courtesy, and makes up a share of the whole."""
     low = answer.replace("’", "'").lower()
-    tools = _tools()
-    head = low[:600]
-    hits = [(end - len(p) + 1, end) for end, p in tools["refusal"].iter(head)]
-    hits = [(s, e) for s, e in hits if (s == 0 or not low[s - 1].isalnum())]
+    hits = [(end - len(p) + 1) for end, p in _tools()["refusal"].iter(low)]
+    hits = [s for s in hits if s == 0 or not low[s - 1].isalnum()]
     if not hits:
         return False
-    parts = sentences(low)
-    if len(parts) > 4:
-        return False
-    at, rest = 0, 0
-    first_hit = None
-    for k, s in enumerate(parts):
-        i = low.find(s, at)
-        at = i + len(s)
-        if any(i <= h < at for h, _ in hits):
-            first_hit = k if first_hit is None else first_hit
-        else:
-            rest += len(s)
-    return first_hit is not None and first_hit <= 1 and rest <= 160 and len(low) <= 500
+    first, share = said_share(low, hits)
+    return first is not None and first <= 1 and share >= SAID
 
 
 def language_votes(text: str) -> dict[str, float]:
@@ -363,7 +385,7 @@ def ending(text: str) -> str | None:
         t = t[:-1].rstrip()
     if not t or t[-1] in END:
         return None
-    last = re.findall(r"\S+", t[-120:])[-2:]
+    last = t.rsplit(None, 2)[-2:]
     return " ".join(_shape(w.strip(CLOSERS + ",;:")) for w in last) if len(last) == 2 else None
 
 
@@ -462,7 +484,9 @@ def flag_pairs(
     first = df.withColumn("__first", _first_defect(col(question), col(answer), col(behavior), col(reference)))
     ends = sentence_ends(df.select(F.explode(F.array(*[col(c) for c in (answer, reference) if c])).alias("_text")), "_text")
     # an ending is one of the language if it makes up a share of all of them: endings of other broken answers don't
-    ends = ends.crossJoin(F.broadcast(ends.agg(F.sum("_ends").alias("_all")))).where("_ends >= greatest(2, 3e-5 * _all)").drop("_all")
+    ends = staged(ends, "sentence-ends")  # counted once
+    total = ends.agg(F.sum("_ends")).first()[0] or 0
+    ends = ends.where(F.col("_ends") >= max(2.0, 3e-5 * total))
     open_key = F.when(F.col("__first").startswith("?"), F.expr("substring(__first, 2)"))
     out = first.withColumn("__key", open_key).join(ends.withColumnRenamed("_key", "__key"), "__key", "left")
     verdict = (

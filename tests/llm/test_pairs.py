@@ -20,6 +20,27 @@ def test_types(answer, behavior, defect):
     assert P.first_defect(Q, answer, behavior, None) == defect
 
 
+def test_lengths_decide_nothing():
+    """Each text is beyond a length at which earlier versions stopped looking."""
+    import json
+
+    assert P.first_defect(Q, json.dumps({"error": "x" * 5000}), None, None) == "error"
+    assert P.first_defect(Q, "An internal server error kept the answer service, " + "which we run for you, " * 40 + "from answering.", None, None) == "error"
+    assert P.first_defect(Q, "I'm sorry, but for a number of reasons, " + "which we would name if we could, " * 30 + "I can't help with that request.", None, None) == "refusal"
+    assert P.first_defect(Q, "I can't help with that. " + "The guard signs it every evening. " * 40, None, None) == ""
+    assert P.first_defect(Q, "<p>" * 100 + " " * 300 + "</p>" * 100, None, None) == "empty"
+    assert P.ending("The guard " + "w" * 500 + " goes") == "w" * 500 + " goes"
+
+
+def test_copies():
+    assert P.is_copy(Q, "You wanted to know: " + Q)  # a label by its form
+    assert P.is_copy(Q, Q + " " + Q[:-4])  # nearly all of it, again
+    assert not P.is_copy(Q, Q + " Yes.") and not P.is_copy(Q, Q + " Every evening: he signs it.")
+    assert not P.is_copy(Q, "The night guard reviews the visitor register under rule 12.")
+    assert not P.is_copy("", "x") and not P.is_copy("?", "?")
+    assert P.uncovered("abcd", "xabcdyabcabcd", 4) == [(0, 1), (5, 9)]
+
+
 def test_asked_language_and_reference():
     german = "Der Wächter prüft das Buch nach der Regel, wenn der Antrag gestellt ist."
     assert P.first_defect("Please answer in German: " + Q, german, None, None) == ""
