@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -34,3 +35,23 @@ def token_count(text: Column, path: str = VOCABULARY) -> Column:
         return pd.Series([len(encode(t)) if t else 0 for t in texts], dtype="int32")
 
     return count(text)
+
+
+_PROMPT_END = re.compile(r"(?:[.!?…。؟！？][\"'”’»)\]]*(?=\s)|(?=[\r\n]))(?=\s*\S)")
+
+
+def prompt_count(text: Column, path: str = VOCABULARY) -> Column:
+    """(n_tokens, prompt_tokens) of each text: all of its tokens, and those of its first sentence or line; 1 where nothing
+    follows that."""
+
+    @F.pandas_udf("n_tokens int, prompt_tokens int")
+    def count(texts: pd.Series) -> pd.DataFrame:
+        encode = encoder(path).encode_ordinary
+        out = []
+        for t in texts:
+            n = len(encode(t)) if t else 0
+            m = _PROMPT_END.search(t, len(t) - len(t.lstrip())) if t else None
+            out.append((n, min(n, len(encode(t[: m.end()]))) if m else min(n, 1)))
+        return pd.DataFrame(out, columns=["n_tokens", "prompt_tokens"], dtype="int32")
+
+    return count(text)

@@ -7,12 +7,19 @@ from lumentab.llm import mixing, packing
 def test_pack():
     rng = np.random.default_rng(3)
     sizes = rng.integers(1, 500, 3000)
-    where = packing.pack(sizes, 512, 8, 500)
-    n = np.bincount(where)
-    load = np.bincount(where, sizes)
-    assert load.max() <= 512 and n.max() <= 8 and np.bincount(where, sizes - 1).max() <= 500 and n.min() > 0
-    assert 1 - sizes.sum() / (512 * len(n)) < 0.05
-    assert packing.pack(np.full(7, 512), 512, 8, 512).max() == 6
+    prompts = np.minimum(sizes, rng.integers(1, 60, 3000))
+    losses = sizes - prompts
+    for share in (0.95, 0.8):
+        where = packing.pack(sizes, losses, 512, 8, int(share * 512))
+        n = np.bincount(where)
+        load, loss = np.bincount(where, sizes), np.bincount(where, losses)
+        assert load.max() <= 512 and n.max() <= 8 and n.min() > 0
+        assert loss[n > 1].max() <= int(share * 512)
+    # at 0.8 of the capacity the limit on loss-bearing tokens is what fills the containers
+    assert (loss[n > 1] >= 0.97 * int(0.8 * 512)).mean() > 0.5
+    where = packing.pack(sizes, losses, 512, 8, int(0.95 * 512))
+    assert 1 - sizes.sum() / (512 * (where.max() + 1)) < 0.05
+    assert packing.pack(np.full(7, 512), np.full(7, 511), 512, 8, 400).max() == 6
 
 
 def test_containers(spark):
@@ -23,6 +30,10 @@ def test_containers(spark):
     want = sizes.groupBy("doc_id").agg(F.sum("n_tokens").alias("w"), F.max("n_tokens").alias("m"))
     assert per.join(want, "doc_id").where("t <> w").count() == 0
     assert per.count() == 2 * sizes.where("n_tokens > 0").select("doc_id").distinct().count()
+    assert got.where("loss_tokens > token_end - token_begin or loss_tokens < 0").count() == 0
+    prompted = sizes.withColumn("prompt_tokens", F.col("n_tokens") % 40)
+    many = limits.select("capacity_tokens").union(spark.range(64, 1264).selectExpr("cast(id as int)")).selectExpr("concat('c', capacity_tokens) container", "capacity_tokens")
+    assert packing.fill_containers(prompted.limit(3), many).select("container").distinct().count() == 1202  # every kind of container
     over = got.groupBy("container", "container_id").agg(F.sum(F.expr("token_end - token_begin")).alias("t"), F.max("capacity").alias("c")).where("t > c")
     assert over.count() == 0
     assert packing.fill_containers(sizes.limit(0), limits).count() == 0
@@ -32,6 +43,9 @@ def test_sizes(spark):
     docs = spark.createDataFrame([(1, "hello world"), (2, None), (3, ""), (4, "x " * 5000)], "doc_id long, text string")
     got = {r["doc_id"]: r["n_tokens"] for r in packing.sized(docs).collect()}
     assert set(got) == {1, 4} and 1 < got[1] < 5 and got[4] >= 5000
+    heads = spark.createDataFrame([(1, "What is it? It is a lamp."), (2, "Title\nBody of the text"), (3, "One sentence only."), (4, " \n x")], "doc_id long, text string")
+    parts = {r["doc_id"]: (r["prompt_tokens"], r["n_tokens"]) for r in packing.sized(heads).collect()}
+    assert parts[3][0] == parts[4][0] == 1 and 1 < parts[1][0] < parts[1][1] and 1 <= parts[2][0] < parts[2][1]
 
 
 def test_mixture(spark):
