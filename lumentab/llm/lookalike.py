@@ -197,6 +197,17 @@ def fold(texts: pd.Series) -> pd.Series:
     return fold_arrow(_as_arrow(texts)).to_pandas()
 
 
+@F.pandas_udf(T.StringType())
+def _fold_repeated(texts: pd.Series) -> pd.Series:
+    """fold, each distinct text of a batch once."""
+    coded = _as_arrow(texts).dictionary_encode()
+    return fold_arrow(coded.dictionary).take(coded.indices).to_pandas()
+
+
+# so that the optimiser neither repeats it nor runs it over rows that the filters before it leave out
+_fold_repeated = _fold_repeated.asNondeterministic()
+
+
 def fold_text(text: str) -> str:
     return fold_arrow(pa.array([text], pa.string()))[0].as_py()
 
@@ -215,5 +226,6 @@ def lookalike_quotes(quotes: DataFrame, chunks: DataFrame, quote_id: str = "quot
     q = quotes.where(F.col(source_id).isNotNull() & F.col(quote).isNotNull()).select(F.col(quote_id).alias("_id"), F.col(source_id).alias("_chunk"), F.col(quote).alias("_quote")).distinct()
     c = chunks.where(F.col(chunk_id).isNotNull() & F.col(text).isNotNull()).select(F.col(chunk_id).alias("_chunk"), F.col(text).alias("_text")).distinct()
     both = q.join(c, "_chunk").where(~F.contains("_text", "_quote"))
-    found = both.select("_id", fold("_quote").alias("_q"), fold("_text").alias("_t"))
+    # rows of one chunk follow each other after the join, and its text is folded once for all of them
+    found = both.select("_id", _fold_repeated("_quote").alias("_q"), _fold_repeated("_text").alias("_t"))
     return found.where((F.trim("_q") != "") & F.contains("_t", F.trim("_q"))).select(F.col("_id").alias(quote_id)).distinct()

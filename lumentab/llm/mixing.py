@@ -14,7 +14,10 @@ A text that comes under several ids, or in several sources, counts as one, with
 than max_repeats times. Sources without target (null among them), null and empty texts take no part. Targets are taken in
 proportion to their sum; a null target, or a max_repeats below 1, is none.
 
-Running sums never run over a whole source in one task: they are sums within hash buckets plus the sums of the buckets before.
+Running sums never run over a whole source in one task: they are sums within hash buckets plus the sums of the buckets before;
+a source has a bucket for every `per_bucket` of its texts. Texts of more than a fifth of what their source is to give stand
+behind all others, by size (in steps of a quarter of a doubling) and within a size by hash, as one of them in front would miss
+the share by itself.
 """
 
 from __future__ import annotations
@@ -47,11 +50,11 @@ def _running(rows: DataFrame, by: str, bucket: str, order: list[str], size: str,
     return rows.join(before, [by, bucket]).withColumn(into, F.col("_before") + F.coalesce(F.sum(size).over(inner), F.lit(0))).drop("_before")
 
 
-def mix_sources(pool: DataFrame, targets: DataFrame, total_tokens: int | None = None, tolerance: float = 0.0, block_tokens: int = 4096, buckets: int = 256) -> DataFrame:
+def mix_sources(pool: DataFrame, targets: DataFrame, total_tokens: int | None = None, tolerance: float = 0.0, block_tokens: int = 4096, per_bucket: int = 20_000) -> DataFrame:
     """(slot, source, round, block, offset, key, n_tokens): the mixture, in order of slot and offset."""
     spark = pool.sparkSession
     want = targets.where("source IS NOT NULL AND target_share > 0 AND max_repeats >= 1").groupBy("source").agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("repeats"))
-    have = pool.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
+    have = pool.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("texts"))
     rows = want.join(have, "source").orderBy("source").collect()  # one row for each target
     shares = sum(r["share"] for r in want.collect()) or 1.0
     if not rows:
@@ -74,15 +77,16 @@ def mix_sources(pool: DataFrame, targets: DataFrame, total_tokens: int | None =
         part = due[r["source"]] / sum(due.values())
         bounds.append((r["source"], at, at + part, r["repeats"], blocks_of[r["source"]]))
         at += part
-    # the texts of a source in shuffled order, laid end to end
-    # texts of more than a fifth of what their source is to give come last, the shorter ones first: one of them would miss the share
-    much = block = F.lit(None).cast("double")
+    # the texts of a source in shuffled order, laid end to end, the large ones last
+    much, block, buckets = (F.lit(None).cast(t) for t in ("double", "double", "int"))
     for r in rows:
-        block = F.when(F.col("source") == r["source"], F.lit(size[r["source"]])).otherwise(block)
-        much = F.when(F.col("source") == r["source"], F.lit(max(float(grain), 0.2 * total * given[r["source"]]))).otherwise(much)
-    large = F.col("n_tokens") > much
-    laid = pool.withColumn("h", F.when(large, F.col("n_tokens").cast("long")).otherwise(F.xxhash64(F.lit(11), "key")))
-    laid = laid.withColumn("bucket", F.when(large, F.lit(buckets)).otherwise(F.pmod("h", F.lit(buckets))).cast("int"))
+        own = F.col("source") == r["source"]
+        block = F.when(own, F.lit(size[r["source"]])).otherwise(block)
+        much = F.when(own, F.lit(max(float(grain), 0.2 * total * given[r["source"]]))).otherwise(much)
+        buckets = F.when(own, F.lit(math.ceil(r["texts"] / per_bucket))).otherwise(buckets)
+    laid = pool.withColumn("h", F.xxhash64(F.lit(11), "key")).withColumn("k", buckets)
+    step = F.when(F.col("n_tokens") > much, 1 + F.floor(4 * F.log2("n_tokens"))).otherwise(0)
+    laid = laid.withColumn("bucket", step * F.col("k") + F.pmod("h", F.col("k"))).drop("k")
     laid = _running(laid, "source", "bucket", ["h", "key"], "n_tokens", "offset").withColumn("block", F.floor((F.col("offset") + F.col("n_tokens") / 2) / block))
     # the schedule
     point = F.pmod(F.col("id").cast("double") * F.lit(GOLDEN), F.lit(1.0))

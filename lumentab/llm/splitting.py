@@ -1,12 +1,13 @@
 """Splitting oversized items at natural boundaries, by structure-tree packing.
 
-A text is parsed into a tree: sections under headings, paragraphs between blank lines, lines and list items, sentences,
-words, characters. Only a node above the limit is descended into; the pieces of its children are merged again, in order,
-as long as they fit. Every piece after the first begins with the last overlap_chars characters of the text before it.
+A text is parsed into a tree: sections under headings of the first level, those of the second within them and so on,
+paragraphs between blank lines, list items by their indentation, lines, sentences, words, characters. Only a node above the
+limit is descended into; the pieces of its children are merged again, in order, as long as they fit. Every piece after the
+first begins with the last overlap_chars characters of the text before it.
 
 All positions are code points. A piece is never longer than max_chars, and the pieces without their overlaps are, put
 together, the text. A text within the limit is one piece. Null and empty texts have none. A max_chars below 1 or null, and
-files whose suffix has no limit, leave the text whole; an overlap of half the limit or more counts as half of it less one.
+files whose suffix has no limit, leave the text whole; an overlap that would leave no room counts as the limit less one.
 Rows repeated with the same key and text are split once.
 """
 
@@ -19,15 +20,31 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_HEADING = re.compile(r"^(?=[ \t]*(?:#{1,6}[ \t]|<h[1-6]\b))", re.M | re.I)
 _BLANK = re.compile(r"\n[^\S\n]*\n\s*")
 _LINE = re.compile(r"\n+")
 _ITEM = re.compile(r"(?<=\s)(?=(?:[-*•‣▪]|\d{1,3}[.)])\s)")
 _SENTENCE = re.compile(r"(?<=[.?!])\s+")
 _SPACE = re.compile(r"\s+")
 
+_MARK = r"(?:[-*+•‣▪·]|\d{1,3}[.)]|[A-Za-z][.)])[ \t]"
+
+
+def _section(depth: int) -> re.Pattern:
+    """Before a heading of at most this depth."""
+    return re.compile(rf"^(?=[ \t]*(?:#{{1,{depth}}}[ \t]|<h[1-{depth}]\b))", re.M | re.I)
+
+
+def _list(indent: int | None) -> re.Pattern:
+    """Before a line that is a list item of at most this indentation (a tab counts as two); of any where there is none."""
+    blanks = r"[ \t]*" if indent is None else "" if indent == 0 else rf"(?:[ ]{{0,{indent}}}|\t{{1,{indent // 2}}})"
+    return re.compile(rf"^(?={blanks}{_MARK})", re.M)
+
+
 #: What separates the children of a node, from the top of the tree down; separators belong to the child before them.
-LEVELS = (("section", _HEADING), ("paragraph", _BLANK), ("line", _LINE), ("item", _ITEM), ("sentence", _SENTENCE), ("word", _SPACE))
+LEVELS = (
+    *((f"section {k}", _section(k)) for k in range(1, 7)), ("paragraph", _BLANK), *((f"item {k}", _list(k)) for k in (0, 2, 4, 8)), ("item", _list(None)),
+    ("line", _LINE), ("inline item", _ITEM), ("sentence", _SENTENCE), ("word", _SPACE),
+)
 
 
 def children(text: str, start: int, end: int, separator: re.Pattern) -> list[tuple[int, int]]:
@@ -67,7 +84,7 @@ def pieces(text: str, max_chars: int, overlap_chars: int) -> list[tuple[int, int
         return []
     if max_chars < 1 or len(text) <= max_chars:
         return [(0, 0, len(text))]
-    overlap = max(0, min(overlap_chars, (max_chars - 1) // 2))
+    overlap = max(0, min(overlap_chars, max_chars - 1))
     return [(max(0, a - overlap), a, b) for a, b in spans(text, max_chars, max_chars - overlap)]
 
 

@@ -10,7 +10,7 @@ def test_pieces(text, limit, overlap):
     p = S.pieces(text, limit, overlap)
     assert "".join(text[a:e] for _, a, e in p) == text
     assert all(e - a0 <= limit and a < e for a0, a, e in p)
-    lap = max(0, min(overlap, (limit - 1) // 2))
+    lap = max(0, min(overlap, limit - 1))
     if len(text) > limit:
         assert all(a - a0 == min(lap, a) for a0, a, e in p)
 
@@ -21,6 +21,19 @@ def test_natural_cuts():
     assert cuts[0].endswith("\n\n") and all(c.rstrip().endswith(".") for c in cuts)
 
 
+def test_nested_structure():
+    part = "Some words of the part. " * 3
+    text = f"# One\n{part}\n## One a\n{part}\n## One b\n{part}\n# Two\n{part}\n"
+    one = text.index("# Two")
+    cuts = [(a, e) for _, a, e in S.pieces(text, one, 0)]
+    assert cuts == [(0, one), (one, len(text))]  # a section stays with its subsections
+    cuts = [text[a:e] for _, a, e in S.pieces(text, len(part) + 20, 0)]
+    assert [c.split("\n")[0] for c in cuts] == ["# One", "## One a", "## One b", "# Two"]
+    items = "- first thing\n  - of the first\n  - more of it\n- second thing\n  - of the second\n"
+    cuts = [items[a:e] for _, a, e in S.pieces(items, items.index("- second") + 1, 0)]
+    assert cuts == [items[: items.index("- second")], items[items.index("- second") :]]
+
+
 def test_boundary():
     assert S.boundary("a" * 5 + "\n \n" + "b" * 5, 5) == "paragraph"
     assert S.boundary("aaaa. bbbb.", 6) == "sentence"
