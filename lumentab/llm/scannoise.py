@@ -17,7 +17,6 @@ Null and empty texts have no noise. Rows repeated exactly count once. Lines with
 from __future__ import annotations
 
 import functools
-import itertools
 import math
 import re
 from collections import Counter
@@ -155,6 +154,9 @@ class Model:
         self.doubt = _Kept(self.doubtful)
         self._mixed: dict[str, str | None] = {}
         self.most_shape = max(shapes.values(), default=0)
+        self.shapes_of: dict[int, list[tuple[str, int]]] = {}
+        for x, n in sorted(shapes.items(), key=lambda kv: (-kv[1], kv[0])):
+            self.shapes_of.setdefault(len(x), []).append((x, n))
         self.coarse = {coarse(w) for w in words if len(w) > 1}
 
     def pair(self, a: str, b: str) -> int:
@@ -173,7 +175,7 @@ class Model:
             found = [c for c in near if self.words.get(c, 0) >= least]
             if not found and two and len(word) > 3:
                 found = [c for x in near for c in meanings(x) if self.words.get(c, 0) >= 4 * least and c != word]
-            found = sorted(set(found), key=lambda c: (-self.words[c], c))[:4]
+            found = sorted(set(found), key=lambda c: (-self.words[c], c))
             if len(self._found) < 300_000:
                 self._found[key] = found
         return found
@@ -239,26 +241,29 @@ class Model:
         return found
 
     def code(self, word: str) -> str | None:
-        """The code or number behind a token of digits and letters, where its own shape is rare and that one's frequent."""
+        """The code or number behind a token of digits and letters, where its own shape is rare and that one's frequent: of the
+        frequent shapes that confusions turn it into, the one by the fewest of them, the most frequent on a tie."""
         own = self.shapes.get(shape(word), 0)
         if 25 * own >= self.most_shape:
             return None
-        places = [i for i, c in enumerate(word) if c in CODE_CONFUSIONS]
-        if not places or len(places) > 8:
-            return None
-        best, most = None, max(10, 25 * own)
-        for n in (1, 2, 3, 4):
-            for which in itertools.combinations(places, n):
-                for to in itertools.product(*[CODE_CONFUSIONS[word[i]] for i in which]):
-                    made = list(word)
-                    for i, c in zip(which, to):
-                        made[i] = c
-                    made = "".join(made)
-                    if (k := self.shapes.get(shape(made), 0)) > most:
-                        best, most = made, k
-            if best:
-                return best
-        return None
+        least, best, found = max(10, 25 * own), None, None
+        for like, n in self.shapes_of.get(len(word), ()):
+            if n <= least:
+                break  # they come by frequency
+            made, edits = [], 0
+            for c, kind in zip(word, like):
+                if shape(c) == kind:
+                    made.append(c)
+                    continue
+                to = next((x for x in CODE_CONFUSIONS.get(c, "") if shape(x) == kind), None)
+                if to is None:
+                    break
+                made.append(to)
+                edits += 1
+            else:
+                if edits and (best is None or edits < best):
+                    best, found = edits, "".join(made)
+        return found
 
     def own_hyphen(self, left: str, right: str) -> bool:
         """Whether left-right is a hyphenated word, rather than one broken at a line's end."""
