@@ -20,7 +20,7 @@ import functools
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -144,6 +144,68 @@ class _Kept(dict):
         return out
 
 
+_MASK = (1 << 64) - 1
+_BASE = 0x9E3779B97F4A7C15
+
+
+@functools.cache
+def _kinds() -> np.ndarray:
+    """By code point: 1 for letters and digits, 2 for what may join two of them into one word, 3 for other visible characters."""
+    out = np.full(0x110000, 3, np.uint8)
+    for cp in range(0x32400):  # there are no letters, digits or blanks beyond
+        if not 0xD800 <= cp < 0xE000:
+            c = chr(cp)
+            out[cp] = 1 if c.isalnum() else 0 if c.isspace() else 3
+    out[[ord(c) for c in "-'’./,|"]] = 2
+    return out
+
+
+@functools.cache
+def _digits_and_capitals() -> tuple[np.ndarray, np.ndarray]:
+    digit, capital = np.zeros(0x110000, bool), np.zeros(0x110000, bool)
+    for cp in range(0x20000):
+        c = chr(cp)
+        digit[cp], capital[cp] = c.isdigit(), c.isupper()
+    return digit, capital
+
+
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """The first n powers of the base and of its inverse."""
+    if len(_POWERS[0]) < n:
+        for k, x in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            _POWERS[k] = np.cumprod(np.concatenate([[np.uint64(1)], np.full(2 * n, x, np.uint64)]))
+    return _POWERS
+
+
+def tokens_of(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(code points, starts, ends, hashes, lines) of all matches of WORD in text, whose lines end in line feeds."""
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    kind = _kinds()[points]
+    word = np.zeros(len(points) + 2, np.int8)
+    word[1:-1] = kind == 1
+    word[2:-2] |= ((kind[1:-1] == 2) & (kind[:-2] == 1) & (kind[2:] == 1)).view(np.int8) if len(points) > 2 else 0
+    turn = np.diff(word)
+    start, end = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
+    power, back = _powers(len(points))
+    sums = np.concatenate([[np.uint64(0)], np.cumsum((points + np.uint64(1)) * power[: len(points)])])
+    h = (sums[end] - sums[start]) * back[start]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    return points, start, end, h, np.searchsorted(np.flatnonzero(points == 10), start)
+
+
+def distinct(hashes: np.ndarray) -> tuple[np.ndarray, list[int], np.ndarray]:
+    """(number of each token's distinct hash, those hashes, the place of the first token of each)."""
+    code, values = pd.factorize(hashes)
+    first = np.empty(len(values), np.int64)
+    first[code[::-1]] = np.arange(len(hashes))[::-1]
+    return code, values.tolist(), first
+
+
 class Model:
     """Counts of frequent words, word pairs and code shapes, with the decoder over them."""
 
@@ -326,9 +388,10 @@ def moved_part(line: str) -> str:
     return part[0] if part and any(map(str.isalpha, part[0])) and (line.strip() != part[0] or broken_end(line) is None) else ""
 
 
-def unit_noise(model: Model, lines: list[str], roles: list[str | None], after: str | None, before: str | None = None) -> tuple[list[set[str]], list[str]]:
+def unit_noise(model: Model, lines: list[str], roles: list[str | None], after: str | None, before: str | None = None, doubt: Sequence[bool] | None = None) -> tuple[list[set[str]], list[str]]:
     """(noises of each line, its repaired text) for the lines of one page or chunk; after: the first line that follows it;
-    before: the last of the page before, where it may break a word.
+    before: the last of the page before, where it may break a word; doubt: whether a line has a doubtful word, where that is
+    known.
 
     Repaired lines end in U+0001 where the word goes on in the next line. A word broken at the end of a page is put together
     there, and its end taken from the page after.
@@ -345,10 +408,12 @@ def unit_noise(model: Model, lines: list[str], roles: list[str | None], after: s
     taken = moved_part(lines[body[0]]) if carried else ""
     for at, i in enumerate(body):
         text = lines[i]
-        tokens = WORD.findall(text)
-        if not carried and (text[-1].isalnum() or broken_end(text) is None) and True not in map(model.doubt.__getitem__, tokens):
+        tokens = None if doubt is not None else WORD.findall(text)
+        doubtful = doubt[i] if tokens is None else True in map(model.doubt.__getitem__, tokens)
+        if not carried and not doubtful and (text[-1].isalnum() or broken_end(text) is None):
             fixed[i] = text
             continue
+        tokens = WORD.findall(text) if tokens is None else tokens
         follows = lines[body[at + 1]] if at + 1 < len(body) else after
         left = broken_end(text)
         ends_broken = left is not None and (follows is None or not model.own_hyphen(left, first_part(follows)))
@@ -433,45 +498,84 @@ def open_paragraphs(fixed: list[str], roles: list[str | None], lines: list[str],
 
 def count_lines(batches: Iterator[pd.DataFrame], most: int = 1_000_000) -> Iterator[pd.DataFrame]:
     """(tag, key, n): words (w), hash values of pairs (p) and shapes of codes (s) of all lines of texts, summed up as far as
-    memory allows before they leave the task."""
-    words: Counter[str] = Counter()
-    pairs: Counter[tuple[str, str]] = Counter()
-    shapes: Counter[str] = Counter()
-    kinds = _Kept(word_class)
-    find = WORD.findall
+    memory allows before they leave the task. Words are found in arrays of code points; Python sees each distinct one once."""
+    known: dict[int, int] = {}
+    words: list[str] = []
+    coded: list[bool] = []  # whether a word has a digit
+    counts, classes = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    digit, capital = _digits_and_capitals()
+    number, name = class_hash("#"), class_hash("^")
+    pairs = np.zeros(BUCKETS, np.int64)
+    hyphen = np.zeros(0x110000, bool)
+    hyphen[[ord(c) for c in HYPHENS]] = True
 
     def sums() -> pd.DataFrame:
         low: Counter[str] = Counter()
-        for w, n in words.items():
-            low[w.lower()] += n
-            if any(map(str.isdigit, w)):
-                shapes[shape(w)] += n
-        hashed: Counter[str] = Counter()
-        for (x, y), n in pairs.items():
-            hashed[str(pair_bucket(x, y))] += n
-        out = [("w", k, n) for k, n in low.items()] + [("p", k, n) for k, n in hashed.items()] + [("s", k, n) for k, n in shapes.items()]
-        for c in (words, pairs, shapes):
-            c.clear()
+        shapes: Counter[str] = Counter()
+        for w, has, n in zip(words, coded, counts.tolist()):
+            if n:
+                low[w.lower()] += n
+                if has:
+                    shapes[shape(w)] += n
+        some = np.flatnonzero(pairs)
+        out = [("w", k, n) for k, n in low.items()] + [("p", str(k), n) for k, n in zip(some.tolist(), pairs[some].tolist())] + [("s", k, n) for k, n in shapes.items()]
         return pd.DataFrame(out, columns=["tag", "key", "n"])
 
     for b in batches:
-        for text in b["text"]:
-            for line in text.split("\n"):
-                found = find(line)
-                if not found:
-                    continue
-                if not line[-1].isalnum() and broken_end(line):  # a part of a word is no word
-                    found.pop()
-                words.update(found)
-                classes = list(map(kinds.__getitem__, found))
-                pairs.update(zip(classes, classes[1:]))
-        if len(words) + len(pairs) > most:
+        text = "\n".join(b["text"]) + "\n"
+        points, start, end, h, line = tokens_of(text)
+        if not len(start):
+            continue
+        # a part of a word at a line's end is no word
+        feeds = np.flatnonzero(points == 10)
+        last = np.maximum.accumulate(np.where(_kinds()[points] > 0, np.arange(len(points)), -1))[feeds]
+        begin = np.concatenate([[0], feeds[:-1] + 1])
+        whole = np.ones(len(start), bool)
+        for k in np.flatnonzero((last >= begin) & hyphen[points[last]]).tolist():
+            if broken_end(text[begin[k] : feeds[k]]) and (i := int(np.searchsorted(start, feeds[k])) - 1) >= 0 and line[i] == k:
+                whole[i] = False
+        start, end, h, line = start[whole], end[whole], h[whole], line[whole]
+        code, values, first = distinct(h)
+        fresh = [k for k, v in enumerate(values) if v not in known]
+        at = first[fresh]
+        digits = np.concatenate([[0], np.cumsum(digit[points])])
+        made = []
+        for k, a, e, has, big in zip(fresh, start[at].tolist(), end[at].tolist(), (digits[end[at]] > digits[start[at]]).tolist(), capital[points[start[at]]].tolist()):
+            known[values[k]] = len(words)
+            words.append(text[a:e])
+            coded.append(has)
+            made.append(number if has else name if big else class_hash(text[a:e].lower()))
+        classes = np.concatenate([classes, np.array(made, np.uint64)])
+        counts = np.concatenate([counts, np.zeros(len(fresh), np.int64)])
+        place = np.array([known[v] for v in values], np.int64)
+        counts[place] += np.bincount(code, minlength=len(values))
+        of = classes[place][code]
+        beside = line[1:] == line[:-1]
+        pairs += np.bincount(pair_buckets(of[:-1][beside], of[1:][beside]), minlength=BUCKETS)
+        if len(words) > most:
             yield sums()
+            known.clear()
+            words.clear()
+            coded.clear()
+            counts, classes = counts[:0], classes[:0]
+            pairs[:] = 0
     yield sums()
 
 
+@functools.lru_cache(200_000)
+def class_hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(word.encode())
+
+
+def pair_buckets(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """pair_bucket of arrays of class hashes."""
+    x = a * np.uint64(_BASE) + b
+    return ((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(44)).astype(np.int64)
+
+
 def pair_bucket(a: str, b: str) -> int:
-    return xxhash.xxh64_intdigest(f"{a} {b}".encode()) % BUCKETS
+    x = (class_hash(a) * _BASE + class_hash(b)) & _MASK
+    return ((x ^ (x >> 29)) * 0xBF58476D1CE4E5B9 & _MASK) >> 44
 
 
 def corpus_model(texts: DataFrame, share: float = 5e-6) -> Model:
@@ -584,16 +688,13 @@ def chunk_roles(texts: list[str], running: set[str]) -> list[str | None]:
     width = max(len(t.rstrip()) for t in texts)
     place = {i: k for k, i in enumerate(filled)}
     for i, t in enumerate(texts):
-        if len(t) > 90:
-            roles.append(None)
-            continue
         s = t.strip()
         role = None
         number = bool(s) and len(s) <= 24 and bool(PAGE_NUMBER.match(s)) and any(c.isalnum() for c in s)
         if s:
             if number and s[-1] not in ".,;:" and not re.fullmatch(r"\d{4,}|[\d]+,\d+", s) and (s[0] in "-–[(" or len(re.sub(r"\D", "", s)) <= 3 or "/" in s):
                 role = "page_number"
-            elif len(s) <= 70 and s[-1] not in ".!?:;," and not s[0].islower() and any(c.isalpha() for c in s):
+            elif s[-1] not in ".!?:;," and not s[0].islower() and any(c.isalpha() for c in s):
                 k = place[i]
                 before = texts[filled[k - 1]].rstrip() if k else None
                 nxt = texts[filled[k + 1]].lstrip() if k + 1 < len(filled) else None
@@ -608,6 +709,22 @@ def chunk_roles(texts: list[str], running: set[str]) -> list[str | None]:
     return roles
 
 
+def doubtful_lines(model: Model, lines: list[str], known: dict[int, bool]) -> list[bool]:
+    """Whether each line has a word that may be misread; known keeps what is known of words, by their hashes."""
+    out = np.zeros(len(lines), bool)
+    text = "\n".join([x.replace("\n", " ") for x in lines]) + "\n"
+    _, start, end, h, line = tokens_of(text)
+    if len(start):
+        code, values, first = distinct(h)
+        if len(known) > 1_000_000:
+            known.clear()
+        for v, i in zip(values, first.tolist()):
+            if v not in known:
+                known[v] = model.doubtful(text[start[i] : end[i]])
+        out[line[np.array([known[v] for v in values], bool)[code]]] = True
+    return out.tolist()
+
+
 def scan_units(units: DataFrame, model: Model, repaired: bool = True) -> DataFrame:
     """(kind, unit, file, page, noise: array of (key, noise), paragraphs, continues) of each unit; paragraphs, and whether the last
     one goes on in the next page of the file, only where repaired is asked."""
@@ -615,17 +732,21 @@ def scan_units(units: DataFrame, model: Model, repaired: bool = True) -> DataFra
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Model(*shared.value)
+        known: dict[int, bool] = {}
         for b in batches:
-            out = []
-            for kind, unit, file, page, keys, texts, flags, running, after, before in zip(*[b[c] for c in ("kind", "unit", "file", "page", "keys", "texts", "flags", "running", "after", "before")]):
+            units_of = []
+            for kind, unit, keys, texts, flags, running in zip(*[b[c] for c in ("kind", "unit", "keys", "texts", "flags", "running")]):
                 if kind == "chunk":
                     lines = texts[0].split("\n")
-                    roles = chunk_roles(lines, set(running) if running is not None else set())
-                    keys = [unit] * len(lines)
+                    units_of.append((lines, chunk_roles(lines, set(running) if running is not None else set()), [unit] * len(lines)))
                 else:
                     lines = [t or "" for t in texts]
-                    roles = page_roles(lines, flags)
-                noises, fixed = unit_noise(own, lines, roles, after, before)
+                    units_of.append((lines, page_roles(lines, flags), keys))
+            doubt = doubtful_lines(own, [x for lines, _, _ in units_of for x in lines], known)
+            out, at = [], 0
+            for (lines, roles, keys), kind, unit, file, page, after, before in zip(units_of, *[b[c] for c in ("kind", "unit", "file", "page", "after", "before")]):
+                noises, fixed = unit_noise(own, lines, roles, after, before, doubt[at : at + len(lines)])
+                at += len(lines)
                 found = sorted({(str(k), n) for k, ns in zip(keys, noises) if ns for n in ns})
                 out.append((kind, unit, file, page, [{"key": k, "noise": n} for k, n in found], *(open_paragraphs(fixed, roles, lines, after) if repaired else (None, None))))
             made = pd.DataFrame(out, columns=["kind", "unit", "file", "page", "noise", "paragraphs", "continues"])

@@ -1,5 +1,6 @@
 import unicodedata
 
+import pandas as pd
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -65,6 +66,29 @@ def test_channel_and_coarse_key():
     assert scannoise.channel("house", "mouse") == float("-inf")
 
 
+@given(st.lists(st.text(alphabet="aB9é-'’.,| \n\tא", max_size=40), max_size=8))
+@settings(max_examples=300, deadline=None)
+def test_words_in_arrays(lines):
+    import re
+
+    text = "".join(x + "\n" for x in lines)
+    points, start, end, h, line = scannoise.tokens_of(text)
+    assert [text[a:b] for a, b in zip(start, end)] == scannoise.WORD.findall(text)
+    assert [text[:a].count("\n") for a in start] == line.tolist()
+    assert len({*h.tolist()}) == len({*scannoise.WORD.findall(text)})
+    got = pd.concat(scannoise.count_lines(iter([pd.DataFrame({"text": lines[:3]}), pd.DataFrame({"text": lines[3:]})])))
+    want: dict = {}
+    for row in [y for x in lines for y in x.split("\n")]:
+        found = scannoise.WORD.findall(row)
+        if found and not row[-1].isalnum() and scannoise.broken_end(row):
+            found.pop()
+        kinds = [scannoise.word_class(w) for w in found]
+        adds = [("w", w.lower()) for w in found] + [("s", scannoise.shape(w)) for w in found if re.search(r"\d", w)] + [("p", str(scannoise.pair_bucket(a, b))) for a, b in zip(kinds, kinds[1:])]
+        for k in adds:
+            want[k] = want.get(k, 0) + 1
+    assert got.groupby(["tag", "key"])["n"].sum().to_dict() == want
+
+
 def test_scanned_table(spark):
     lines = [(i, "f.pdf", p, n, t, 9.0 if n == 1 else 11.0, False) for p in (1, 2, 3) for n, (i, t) in enumerate([(p * 10, "Binder Rules"), (p * 10 + 1, "the payroll desk may approve"), (p * 10 + 2, "leave for every employee."), (p * 10 + 3, None if p == 3 else "")], 1)]
     df = spark.createDataFrame(lines + lines[:2] + [(99, None, None, None, "the desk", None, None)], "line_id long, file string, page int, line_no int, text string, size double, bold boolean")
