@@ -594,51 +594,64 @@ def corpus_model(texts: DataFrame, share: float = 5e-6) -> Model:
     return Model(dict(zip(of("w")["key"], of("w")["n"])), pairs, dict(zip(of("s")["key"], of("s")["n"])), int(total))
 
 
-def page_units(lines: DataFrame) -> DataFrame:
+def page_units(lines: DataFrame, salts: int = 16) -> DataFrame:
     """(kind, unit, file, page, keys, texts, flags, running, after, before): one row for each page, its lines in order with
     flags of place, size and repetition, the first body line of the next page, and the last of the page before if it may break a
-    word."""
+    word.
+
+    The texts are put together once, in a table; what is found out about a page is read from its edges: the margin lines (the
+    first and last two filled ones) and the five lines at either end, of which four at most can be in the margins.
+    """
     page = F.coalesce("page", F.lit(-1) - F.floor(F.coalesce("line_no", F.lit(0)) / 200)).cast("int").alias("page")
     filled = (F.length(F.trim(F.coalesce("text", F.lit("")))) > 0).alias("filled")
     rows = lines.where("line_id IS NOT NULL").select(F.coalesce("file", F.lit("")).alias("file"), page, F.struct("line_no", "line_id", "text", "size", filled).alias("r"))
-    # every later join is by file and page too, so that the texts are shuffled once
     pages = rows.groupBy("file", "page").agg(F.array_sort(F.collect_set("r")).alias("rows"))
-    kept = F.filter("rows", lambda r: r["filled"])
-    # margins: the first and last two filled lines
-    margin = F.transform(F.array_union(F.slice(kept, 1, 2), F.slice(F.reverse(kept), 1, 2)), lambda r: r["line_id"])
-    pages = staged(pages.withColumn("margin", margin), "scan-pages")  # read four times below
+    pages = pages.withColumn("kept", F.filter("rows", lambda r: r["filled"])).withColumn("solid", F.filter("rows", lambda r: r["text"].rlike(r"(?U)[^\s\x1c-\x1f]")))
+    end = lambda c, n: F.concat(F.slice(c, 1, n), F.slice(F.reverse(c), 1, n))
+    brief = lambda c: F.transform(c, lambda r: F.struct(r["line_id"].alias("id"), r["text"].alias("text")))
+    pages = pages.select(
+        "file", "page", F.transform("rows", lambda r: r["line_id"]).alias("keys"), F.transform("rows", lambda r: r["text"]).alias("texts"),
+        F.array_distinct(F.transform(end(F.col("kept"), 2), lambda r: F.struct(r["line_id"].alias("id"), r["size"].alias("size"), skeleton_column(r["text"]).alias("skeleton")))).alias("margin"),
+        brief(F.slice("solid", 1, 5)).alias("head"), brief(F.slice(F.reverse("solid"), 1, 5)).alias("tail"),
+    )
+    pages = staged(pages, "scan-pages")
+    # the size of most characters of a file; a page of a large file meets it under one of several salts
     by_size = rows.where("r.filled AND r.size IS NOT NULL").groupBy("file", F.col("r.size").alias("size")).agg(F.sum(F.length("r.text")).alias("n"))
-    body = by_size.groupBy("file").agg(F.max_by("size", F.struct("n", "size")).alias("body"))
-    edge = pages.select("file", "page", F.explode(F.filter("rows", lambda r: F.array_contains("margin", r["line_id"]))).alias("r")).select("file", "page", skeleton_column(F.col("r.text")).alias("skeleton"))
-    often = edge.where("length(skeleton) >= 4").groupBy("file", "skeleton").agg(F.countDistinct("page").alias("n")).where("n >= 3")
-    running = edge.join(often, ["file", "skeleton"]).select("file", "page", "skeleton")
-    known = edge.select("file", "page").distinct().join(body, "file").select("file", "page", "body")
-    features = running.select("file", "page", "skeleton", F.lit(None).cast("double").alias("body")).unionByName(known.withColumn("skeleton", F.lit(None).cast("string")))
-    features = features.groupBy("file", "page").agg(F.collect_set("skeleton").alias("running"), F.max("body").alias("body"))
-    units = pages.join(features, ["file", "page"], "left")
-    runs = lambda r: F.array_contains(F.coalesce("running", F.array().cast("array<string>")), skeleton_column(r["text"]))
-    edge_of = lambda r: F.array_contains("margin", r["line_id"])
-    small = lambda r: r["size"] < 0.9 * F.col("body")
+    body = by_size.groupBy("file").agg(F.max_by("size", F.struct("n", "size")).alias("body")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    edge = pages.select("file", "page", F.explode(F.array_distinct(F.transform("margin", lambda m: m["skeleton"]))).alias("skeleton")).where("length(skeleton) >= 4")
+    often = edge.groupBy("file", "skeleton").agg(F.count("*").alias("n")).where("n >= 3")
+    running = edge.join(often, ["file", "skeleton"]).select("file", "page", "skeleton", F.lit(None).cast("double").alias("body"))
+    known = pages.select("file", "page", F.pmod("page", F.lit(salts)).alias("salt")).join(body, ["file", "salt"]).select("file", "page", F.lit(None).cast("string").alias("skeleton"), "body")
+    features = running.unionByName(known).groupBy("file", "page").agg(F.collect_set("skeleton").alias("running"), F.max("body").alias("body"))
+    slim = pages.select("file", "page", "margin", "head", "tail").join(features, ["file", "page"], "left")
+    small = lambda m: m["size"] < 0.9 * F.col("body")
+    runs = lambda m: F.array_contains(F.coalesce("running", F.array().cast("array<string>")), m["skeleton"])
     flag = lambda c, bit: F.when(c, bit).otherwise(0)
-    flags = F.transform("rows", lambda r: F.when(edge_of(r), MARGIN + flag(small(r), SMALL) + flag(small(r).isNull(), UNKNOWN) + flag(runs(r), RUNS)).otherwise(0))
+    marks = F.transform("margin", lambda m: F.struct(m["id"].alias("id"), (MARGIN + flag(small(m), SMALL) + flag(small(m).isNull(), UNKNOWN) + flag(runs(m), RUNS)).alias("flag")))
     # just the lines to which page_roles gives no role: both pages of a broken word must see the same two lines
-    is_body = lambda r: r["text"].rlike(r"(?U)[^\s\x1c-\x1f]") & ~F.coalesce(edge_of(r) & (small(r) | small(r).isNull() & runs(r)), F.lit(False))
-    page = F.col("page")  # lines without a page are in -1, -2 and so on
-    body_rows = units.select("file", "page", F.filter("rows", is_body).alias("rows")).select("file", "page", F.get("rows", F.lit(0))["text"].alias("head"), F.try_element_at("rows", F.lit(-1))["text"].alias("tail"))
-    beside = body_rows.select(
+    slim = slim.withColumn("marks", marks)
+    has_role = lambda i: F.exists("marks", lambda m: (m["id"] == i) & ((m["flag"].bitwiseAND(SMALL) > 0) | ((m["flag"].bitwiseAND(UNKNOWN) > 0) & (m["flag"].bitwiseAND(RUNS) > 0))))
+    first = lambda c: F.get(F.filter(c, lambda r: ~has_role(r["id"])), F.lit(0))["text"]
+    page, text = F.col("page"), F.lit(None).cast("string")  # lines without a page are in -1, -2 and so on
+    nothing = F.lit(None).cast("array<struct<id bigint, flag int>>")
+    told = slim.select(
+        "file", "page", "marks", first("head").alias("first"), first("tail").alias("last")
+    ).select(
         "file",
         F.explode(
             F.array(
-                F.struct(F.when(page > 0, page - 1).when(page < -1, page + 1).alias("page"), F.col("head").alias("after"), F.lit(None).cast("string").alias("before")),
-                F.struct(F.when(page >= 0, page + 1).otherwise(page - 1).alias("page"), F.lit(None).cast("string").alias("after"), F.when(F.col("tail").rlike(rf"(?U)[{HYPHENS}]\s*$"), F.col("tail")).alias("before")),
+                F.struct(page.alias("page"), "marks", text.alias("after"), text.alias("before")),
+                F.struct(F.when(page > 0, page - 1).when(page < -1, page + 1).alias("page"), nothing.alias("marks"), F.col("first").alias("after"), text.alias("before")),
+                F.struct(F.when(page >= 0, page + 1).otherwise(page - 1).alias("page"), nothing.alias("marks"), text.alias("after"), F.when(F.col("last").rlike(rf"(?U)[{HYPHENS}]\s*$"), F.col("last")).alias("before")),
             )
         ).alias("x"),
-    ).select("file", "x.*")
-    beside = beside.where("page IS NOT NULL AND (after IS NOT NULL OR before IS NOT NULL)").groupBy("file", "page").agg(F.max("after").alias("after"), F.max("before").alias("before"))
-    out = units.join(beside, ["file", "page"], "left")
+    ).select("file", "x.*").where("page IS NOT NULL AND (marks IS NOT NULL OR after IS NOT NULL OR before IS NOT NULL)")
+    told = told.groupBy("file", "page").agg(F.max("marks").alias("marks"), F.max("after").alias("after"), F.max("before").alias("before"))
+    out = pages.select("file", "page", "keys", "texts").join(told, ["file", "page"], "left")
+    flags = F.transform("keys", lambda k: F.coalesce(F.get(F.filter("marks", lambda m: m["id"] == k), F.lit(0))["flag"], F.lit(0)))
     return out.select(
-        F.lit("line").alias("kind"), F.concat_ws("#", "file", F.col("page").cast("string")).alias("unit"), "file", "page", F.transform("rows", lambda r: r["line_id"]).alias("keys"),
-        F.transform("rows", lambda r: r["text"]).alias("texts"), flags.alias("flags"), F.lit(None).cast("array<string>").alias("running"), "after", "before",
+        F.lit("line").alias("kind"), F.concat_ws("#", "file", F.col("page").cast("string")).alias("unit"), "file", "page", "keys", "texts",
+        flags.alias("flags"), F.lit(None).cast("array<string>").alias("running"), "after", "before",
     )
 
 
@@ -713,15 +726,20 @@ def doubtful_lines(model: Model, lines: list[str], known: dict[int, bool]) -> li
     """Whether each line has a word that may be misread; known keeps what is known of words, by their hashes."""
     out = np.zeros(len(lines), bool)
     text = "\n".join([x.replace("\n", " ") for x in lines]) + "\n"
-    _, start, end, h, line = tokens_of(text)
+    points, start, end, h, line = tokens_of(text)
     if len(start):
         code, values, first = distinct(h)
         if len(known) > 1_000_000:
             known.clear()
-        for v, i in zip(values, first.tolist()):
-            if v not in known:
+        # a number without letters is beyond doubt
+        digit, _ = _digits_and_capitals()
+        digits = np.concatenate([[0], np.cumsum(digit[points])])
+        first = np.asarray(first)
+        plain = digits[end[first]] - digits[start[first]] == end[first] - start[first]
+        for v, i, number in zip(values, first.tolist(), plain.tolist()):
+            if not number and v not in known:
                 known[v] = model.doubtful(text[start[i] : end[i]])
-        out[line[np.array([known[v] for v in values], bool)[code]]] = True
+        out[line[np.array([known.get(v, False) for v in values], bool)[code]]] = True
     return out.tolist()
 
 
