@@ -20,4 +20,5 @@ def wilson(hits: Column, n: Column, digits: int = 6) -> tuple[Column, Column]:
     middle = p + zz / (2 * m)
     half = Z * F.sqrt((p * (1 - p) + zz / (4 * m)) / m)
     scale = 1 + zz / m
-    return F.round(F.greatest(F.lit(0.0), (middle - half) / scale), digits), F.round(F.least(F.lit(1.0), (middle + half) / scale), digits)
+    some = lambda c: F.when(n > 0, F.round(c, digits))
+    return some(F.greatest(F.lit(0.0), (middle - half) / scale)), some(F.least(F.lit(1.0), (middle + half) / scale))

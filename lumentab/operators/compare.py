@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import rate
-from .metrics import headline, metric_predicates
-from .outcomes import SEVERITY, classified
+from .metrics import COMPARED, ERRORS, PIPELINE, in_headline, metric_predicates, topic_of
+from .outcomes import classified
 
-#: What must be equal in both runs for a question to be the same one.
-MATERIAL = ("topic", "expected_behavior", "question_form", "parent_question_id", "required", "min_key_points")
+#: What isn't part of a question as such; all its other fields must be equal in both runs for it to be the same one.
+NOT_MATERIAL = ("review_status", "reviewer_notes")
+#: The fields of a question among those of an evaluation record.
+MATERIAL = ("topic", "expected_behavior", "answerable", "question_form", "parent_question_id", "anchor", "clarification_acceptable", "required", "min_key_points")
 
 
 def normalized(c: Column) -> Column:
@@ -34,49 +36,80 @@ def matched_runs(previous: DataFrame, current: DataFrame, key: str = "question_i
 
 
 def match_report(previous: DataFrame, current: DataFrame, key: str = "question_id") -> DataFrame:
+    """(status, n): matched, changed, previous_only, current_only, and ids that are repeated in a run."""
     m = matched_runs(previous, current, key)
-    return m.groupBy(F.when(F.col("side") == "both", F.when(F.col("same"), "matched").otherwise("changed")).otherwise(F.col("side")).alias("status")).agg(F.count("*").alias("n"))
+    one = m.groupBy(F.when(F.col("side") == "both", F.when(F.col("same"), "matched").otherwise("changed")).otherwise(F.col("side")).alias("status")).agg(F.count("*").alias("n"))
+    again = [df.groupBy(key).count().where("count > 1").agg(F.count("*").alias("n")).select(F.lit(name).alias("status"), "n").where("n > 0") for df, name in ((previous, "previous_duplicates"), (current, "current_duplicates"))]
+    return one.unionByName(again[0]).unionByName(again[1])
 
 
-def _flags(records: DataFrame) -> DataFrame:
-    rows = classified(headline(records))
-    flags = [F.when(population, hit.cast("int")).alias(name) for name, (population, hit) in metric_predicates().items()]
-    return rows.select("question_id", "topic", "outcome", *MATERIAL[1:], *flags)
+def _flags(records: DataFrame, canonical_scoring: str = "gap") -> DataFrame:
+    """Of each record its question, outcome, and one flag for each compared rate: whether it hits, null outside the population
+    or the headline scope. Nothing else of it goes through the match."""
+    scope, predicates = in_headline(canonical_scoring), metric_predicates()
+    flags = [F.when(scope & predicates[name][0], predicates[name][1].cast("int")).alias(name) for name in COMPARED]
+    return classified(records).select("question_id", *MATERIAL, "outcome", *flags)
 
 
-def comparison_metrics(previous: DataFrame, current: DataFrame) -> DataFrame:
-    """For each metric: rates on the questions of both populations, and whether the two populations are the same.
+def comparison_metrics(previous: DataFrame, current: DataFrame, canonical_scoring: str = "gap") -> DataFrame:
+    """One row for each compared rate: its value in both runs, and like for like on the matched questions (soft_).
 
-    A strict difference exists only where they are; the soft one is that of the shared questions.
+    The difference of the whole runs (delta) exists only where the runs have the same questions, each once and unchanged, and
+    the rate the same population in both; reason says which of the two fails. favorable: whether the difference is for the better.
     """
-    p, c = _flags(previous), _flags(current)
+    p, c = _flags(previous, canonical_scoring), _flags(current, canonical_scoring)
     m = matched_runs(p, c)
-    names = list(metric_predicates())
-    rows = m.select("same", F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(f"p.{n}").alias("a"), F.col(f"c.{n}").alias("b")) for n in names])).alias("x")).select("same", "x.*")
-    both = F.col("same") & F.col("a").isNotNull() & F.col("b").isNotNull()
-    odd = F.coalesce(F.col("a").isNotNull(), F.lit(False)) != F.coalesce(F.col("b").isNotNull(), F.lit(False))
-    out = rows.groupBy("metric").agg(
-        F.count_if(both).alias("matched"), F.coalesce(F.sum(F.when(both, F.col("a"))), F.lit(0)).cast("bigint").alias("previous_hits"), F.coalesce(F.sum(F.when(both, F.col("b"))), F.lit(0)).cast("bigint").alias("current_hits"),
-        F.count_if(odd | (~F.col("same") & (F.col("a").isNotNull() | F.col("b").isNotNull()))).alias("unmatched"),
+    names = list(COMPARED)
+    flags = lambda side: F.array(*[F.col(f"{side}.{n}") for n in names])
+    rows = m.select("side", "same", F.explode(F.arrays_zip(F.array(*map(F.lit, names)).alias("metric"), flags("p").alias("a"), flags("c").alias("b"))).alias("x")).select("side", "same", "x.*")
+    a, b = F.col("a").isNotNull(), F.col("b").isNotNull()
+    both = F.col("same") & a & b
+    one = rows.groupBy("metric").agg(
+        F.count_if(both).alias("soft_denominator"), F.coalesce(F.sum(F.when(both, F.col("a"))), F.lit(0)).alias("soft_previous_numerator"), F.coalesce(F.sum(F.when(both, F.col("b"))), F.lit(0)).alias("soft_current_numerator"),
+        F.count_if(a != b).alias("odd"), F.count_if(~F.col("same")).alias("unmatched"),
     )
-    delta = rate(F.col("current_hits") - F.col("previous_hits"), F.col("matched"))
-    return out.select("metric", "matched", "unmatched", "previous_hits", "current_hits", delta.alias("soft_delta"), F.when(F.col("unmatched") == 0, delta).alias("strict_delta"))
+
+    def whole(df: DataFrame, side: str) -> DataFrame:
+        longer = df.select(F.explode(F.arrays_zip(F.array(*map(F.lit, names)).alias("metric"), F.array(*[F.col(n) for n in names]).alias("x"))).alias("x")).select("x.*")
+        return longer.groupBy("metric").agg(F.coalesce(F.sum("x"), F.lit(0)).alias(f"{side}_numerator"), F.count("x").alias(f"{side}_denominator"), F.count_if(F.col("x").isNull()).alias(f"{side}_excluded"))
+
+    again = p.groupBy("question_id").count().unionByName(c.groupBy("question_id").count()).agg(F.count_if(F.col("count") > 1).alias("repeated"))
+    out = one.join(whole(p, "previous"), "metric").join(whole(c, "current"), "metric").crossJoin(F.broadcast(again))
+    for side in ("previous", "current", "soft_previous", "soft_current"):
+        out = out.withColumn(side, rate(F.col(f"{side}_numerator"), F.col("soft_denominator" if side.startswith("soft") else f"{side}_denominator")))
+    known = (F.col("unmatched") == 0) & (F.col("repeated") == 0)
+    out = out.withColumn("reason", F.when(~known, "benchmark_identity_changed").when(F.col("odd") > 0, "eligible_population_changed"))
+    # differences of the rates themselves, not of the rounded ones
+    exact = lambda side, of: F.try_divide(F.col(f"{side}_numerator").cast("double"), F.col(of))
+    out = out.withColumn("delta", F.when(F.col("reason").isNull(), F.round(exact("current", "current_denominator") - exact("previous", "previous_denominator"), 6)))
+    out = out.withColumn("soft_delta", rate(F.col("soft_current_numerator") - F.col("soft_previous_numerator"), F.col("soft_denominator")))
+    lower = F.try_element_at(F.create_map(*[F.lit(x) for kv in COMPARED.items() for x in kv]), F.col("metric"))
+    better = lambda d: F.when(F.col(d) != 0, F.when(lower, F.col(d) < 0).otherwise(F.col(d) > 0))
+    return out.select(
+        "metric", "reason", *[f"{s}_{x}" for s in ("previous", "current") for x in ("numerator", "denominator", "excluded")], "previous", "current", "delta", better("delta").alias("favorable"),
+        "soft_denominator", "soft_previous_numerator", "soft_current_numerator", "soft_previous", "soft_current", "soft_delta", better("soft_delta").alias("soft_favorable"),
+    )
+
+
+STATES = ("improved", "regressed", "unchanged_success", "unchanged_failure", "not_comparable")
 
 
 def state_of(before: Column, after: Column) -> Column:
-    rank = F.create_map(*[F.lit(x) for kv in SEVERITY.items() for x in kv])
-    a, b = F.try_element_at(rank, before), F.try_element_at(rank, after)
-    return F.when(a.isNull() | b.isNull(), "not_comparable").when(b < a, "improved").when(b > a, "regressed").when(a == 0, "unchanged_good").otherwise("unchanged_bad")
+    """Of a question's two outcomes, by whether they are a success of the pipeline; errors can't be compared."""
+    was, now = before.isin(*PIPELINE), after.isin(*PIPELINE)
+    changed = F.when(now & ~was, "improved").when(was & ~now, "regressed").when(now, "unchanged_success").otherwise("unchanged_failure")
+    return F.when(before.isin(*ERRORS) | after.isin(*ERRORS), "not_comparable").otherwise(changed)
 
 
 def state_transitions(previous: DataFrame, current: DataFrame, by_topic: bool = False) -> DataFrame:
-    """(transition, state, n), or (topic, improved, regressed, unchanged_good, unchanged_bad, not_comparable, net)."""
-    m = matched_runs(_flags(previous), _flags(current)).where("same")
+    """(transition, state, n), or (topic, one count for each state, net_improvement, total), over all matched questions."""
+    own = lambda df: classified(df).select("question_id", *MATERIAL, "outcome")
+    m = matched_runs(own(previous), own(current)).where("same")
     rows = m.select(F.col("c.topic").alias("topic"), F.col("p.outcome").alias("a"), F.col("c.outcome").alias("b")).withColumn("state", state_of(F.col("a"), F.col("b")))
     if not by_topic:
         return rows.groupBy(F.concat_ws("->", "a", "b").alias("transition"), "state").agg(F.count("*").alias("n"))
-    states = ("improved", "regressed", "unchanged_good", "unchanged_bad", "not_comparable")
-    return rows.groupBy("topic").agg(*[F.count_if(F.col("state") == s).alias(s) for s in states]).withColumn("net", F.col("improved") - F.col("regressed"))
+    counts = rows.groupBy(topic_of().alias("topic")).agg(*[F.count_if(F.col("state") == s).alias(s) for s in STATES], F.count("*").alias("total"))
+    return counts.withColumn("net_improvement", F.col("improved") - F.col("regressed"))
 
 
 def contract_diff(previous: dict, current: dict) -> list[str]:

@@ -11,8 +11,8 @@ OUTCOMES = (
 )
 # From the mildest to the most severe; outcomes of one rank are alike.
 SEVERITY = {
-    "correct_answer": 0, "correct_abstention": 0, "correct_clarification": 0, "partial_too_much": 1, "partial_too_little": 2, "incorrect_abstention": 3,
-    "missing_clarification": 4, "unrelated_answer": 5, "should_have_abstained": 6, "misleading_hallucination": 7,
+    "correct_answer": 0, "correct_abstention": 0, "correct_clarification": 0, "partial_too_much": 1, "partial_too_little": 2, "unrelated_answer": 3,
+    "incorrect_abstention": 4, "missing_clarification": 5, "should_have_abstained": 6, "misleading_hallucination": 7,
 }
 
 
@@ -48,28 +48,37 @@ def classified(records: DataFrame) -> DataFrame:
 def reconcile_false_claims(df: DataFrame, claims: str = "claims") -> DataFrame:
     """Only false claims that cite evidence stay; the others count as unsupported.
 
-    claims is an array of structs with the field evidence; adds cited, demoted and the new counts.
+    claims is an array of structs with the field evidence; adds cited, demoted and the new counts. The judge's label
+    "hallucination" stays only beside a cited claim; else it becomes "unrelated", or "not_applicable" where a point is correct.
     """
-    cited = F.size(F.filter(F.coalesce(F.col(claims), F.array()), lambda x: F.trim(F.coalesce(x["evidence"], F.lit(""))) != ""))
-    listed = F.greatest(F.col("false_claims"), F.size(F.coalesce(F.col(claims), F.array())))
-    out = df.withColumn("cited", cited).withColumn("demoted", listed - F.col("cited"))
-    return out.withColumn("unsupported", F.col("unsupported") + F.col("demoted")).withColumn("false_claims", F.col("cited")).withColumn(
-        "incorrect_type", F.when(F.col("cited") > 0, "contradiction").when((F.col("demoted") > 0) & (F.col("incorrect_type") == "contradiction"), "unsupported").otherwise(F.col("incorrect_type"))
-    )
+    listed = F.coalesce(F.col(claims), F.array())
+    cited = F.size(F.filter(listed, lambda x: F.trim(F.coalesce(x["evidence"], F.lit(""))) != ""))
+    out = df.withColumn("cited", cited).withColumn("demoted", F.greatest(F.col("false_claims"), F.size(listed)) - F.col("cited"))
+    label = F.when((F.col("incorrect_type") == "hallucination") & (F.col("cited") == 0), F.when(F.col("correct") == 0, "unrelated").otherwise("not_applicable")).otherwise(F.col("incorrect_type"))
+    return out.withColumn("unsupported", F.col("unsupported") + F.col("demoted")).withColumn("false_claims", F.col("cited")).withColumn("incorrect_type", label)
 
 
 def recount_claims(df: DataFrame, assessments: str = "assessments", expected: str = "required") -> DataFrame:
-    """Totals from per-claim flags (id, addressed, correct, found). The ids must be C001 to Cnnn, each once, or the row is
-    a judge error; tasks other than answers have no claims."""
-    a = F.col(assessments)
+    """Totals from per-claim flags (id, addressed, correct), and fault, why the judgement can't be used; null where it can.
+
+    The ids must be C001 to Cnnn, each once, in any order (claim_ids); tasks other than answers have no claims
+    (claims_of_non_answer), and all their totals are 0. The points found by retrieval are the judge's, of the claims at most
+    (found_above_claims). A faulty row has no totals.
+    """
+    a = F.coalesce(F.col(assessments), F.array().cast(df.schema[assessments].dataType))
+    n = F.col(expected).cast("int")
+    want = F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.format_string("C%03d", i))).otherwise(F.array().cast("array<string>"))
     ids = F.array_sort(F.transform(a, lambda x: x["id"]))
-    want = F.when(F.col(expected) > 0, F.transform(F.sequence(F.lit(1), F.col(expected).cast("int")), lambda i: F.concat(F.lit("C"), F.lpad(i.cast("string"), 3, "0")))).otherwise(F.array().cast("array<string>"))
-    count = lambda field: F.size(F.filter(a, lambda x: x[field])).cast("bigint")
     answer = F.col("expected_behavior") == "answer"
-    out = df.withColumn("ids_valid", ~answer | F.coalesce(ids == want, F.lit(False)))
-    for name, field in (("addressed", "addressed"), ("correct", "correct"), ("retrieval_found", "found")):
-        out = out.withColumn(name, F.when(answer & F.col("ids_valid"), count(field)).when(answer, F.lit(None)).otherwise(F.lit(0)).cast("bigint"))
-    return out
+    fault = (
+        F.when(~answer, F.when(F.size(a) > 0, "claims_of_non_answer"))
+        .when(~F.coalesce(ids == F.array_sort(want), F.lit(False)), "claim_ids")
+        .when(F.col("retrieval_found") > F.size(want), "found_above_claims")
+    )
+    total = lambda c: F.when(F.col("fault").isNull(), F.when(answer, c).otherwise(F.lit(0))).cast("bigint")
+    count = lambda field: F.size(F.filter(a, lambda x: x[field]))
+    out = df.withColumn("fault", fault).withColumn("retrieval_found", total(F.col("retrieval_found")))
+    return out.withColumn("addressed", total(count("addressed"))).withColumn("correct", total(count("correct"))).withColumn(expected, total(F.size(want)))
 
 
 def second_vote(first: Column, second: Column, harsher: bool = True) -> Column:
@@ -80,11 +89,12 @@ def second_vote(first: Column, second: Column, harsher: bool = True) -> Column:
     return F.when(second.isNotNull() & F.coalesce(better, F.lit(False)), second).otherwise(first)
 
 
-def needs_second_vote(df: DataFrame) -> Column:
-    """Rows whose first vote is costly to get wrong: false or unsupported claims, or a partial or unrelated answer to a question with
-    all its passages found."""
+def needs_second_vote() -> Column:
+    """Judged rows that rest on a doubtful call: a contradicted claim, one that was demoted or overturned, a value left to
+    verify, or an outcome of that kind."""
     c = F.col
-    return c("error_kind").isNull() & ((c("false_claims") > 0) | (c("unsupported") > 0) | (c("outcome").isin("partial_too_little", "unrelated_answer") & (c("required") > 0) & (c("retrieval_found") == c("required"))))
+    doubtful = sum((c(x) for x in ("false_claims", "demoted", "requires_verification", "overturned_supports", "overturned_unrelated")), F.lit(0)) > 0
+    return ~c("outcome").isin("chatbot_error", "judge_error") & (doubtful | c("outcome").isin("misleading_hallucination", "unrelated_answer"))
 
 
 def second_pass(claims: DataFrame, verdict: str = "verdict") -> DataFrame:

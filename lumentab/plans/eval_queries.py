@@ -32,21 +32,57 @@ E_ = "outcome NOT IN ('chatbot_error', 'judge_error')"
 AVAILABLE = f"({E_} AND expected_behavior = 'answer' AND {CONTEXT})"
 USEFUL = "outcome IN ('correct_answer', 'partial_too_little', 'partial_too_much', 'correct_clarification')"
 PIPE = "outcome IN ('correct_answer', 'correct_abstention', 'correct_clarification')"
+RISKY = "outcome IN ('misleading_hallucination', 'should_have_abstained', 'missing_clarification')"
+BEHAVIOR = "outcome IN ('missing_clarification', 'incorrect_abstention', 'should_have_abstained')"
+TASK = {x: f"({E_} AND expected_behavior = '{x}')" for x in ("answer", "clarify", "abstain")}
+HEAD = "NOT anchor"  # questions that are asked for comparison only stand apart
+RISK = "(false_claims > 0 OR unsupported > 0)"
 METRICS = {
     "infrastructure_error_rate": ("true", f"NOT ({E_})"),
-    "factual_answer_success_rate": (f"{E_} AND expected_behavior = 'answer'", "outcome = 'correct_answer'"),
-    "useful_answer_rate_on_answerable": (f"{E_} AND expected_behavior <> 'abstain'", USEFUL),
-    "clarification_success_rate": (f"{E_} AND expected_behavior = 'clarify'", "outcome = 'correct_clarification'"),
-    "abstention_success_rate": (f"{E_} AND expected_behavior = 'abstain'", "outcome = 'correct_abstention'"),
+    "correct_answer_rate_on_answerable": (TASK["answer"], "outcome = 'correct_answer'"),
+    "factual_answer_success_rate": (TASK["answer"], "outcome = 'correct_answer'"),
+    "useful_answer_rate_on_answerable": (f"({E_} AND answerable)", USEFUL),
+    "clarification_success_rate": (TASK["clarify"], "outcome = 'correct_clarification'"),
+    "abstention_success_rate": (TASK["abstain"], "outcome = 'correct_abstention'"),
     "misinformation_rate": (E_, "outcome = 'misleading_hallucination'"),
-    "risky_misinformation_rate": (E_, "outcome IN ('misleading_hallucination', 'should_have_abstained', 'missing_clarification')"),
+    "risky_misinformation_rate": (E_, RISKY),
     "good_retrieval_rate": (AVAILABLE, GOOD),
-    "factual_risk_rate": (E_, "(false_claims > 0 OR unsupported > 0)"),
-    "behavior_failure_rate": (E_, "outcome IN ('missing_clarification', 'incorrect_abstention', 'should_have_abstained')"),
-    "pipeline_success_rate": (E_, PIPE),
-    "generation_failure_rate": (f"{AVAILABLE} AND {GOOD}", f"NOT ({USEFUL}) AND NOT ({PIPE})"),
-    "generation_partial_rate": (f"{AVAILABLE} AND {GOOD}", f"{USEFUL} AND NOT ({PIPE})"),
+    "factual_risk_rate": (E_, RISK),
+    "requires_verification_rate": (E_, "requires_verification > 0"),
+    "behavior_failure_rate": (E_, BEHAVIOR),
 }
+LOWER = {"misinformation_rate", "risky_misinformation_rate", "infrastructure_error_rate", "factual_risk_rate", "behavior_failure_rate"}
+COMPARED = [m for m in METRICS if m not in ("correct_answer_rate_on_answerable", "requires_verification_rate")]
+_N = lambda cond: f"count(*) FILTER ({HEAD} AND {cond})"
+_S = lambda x, cond: f"coalesce(sum({x}) FILTER ({HEAD} AND {cond}), 0)"
+_GOOD, _ANS = f"({AVAILABLE} AND {GOOD})", TASK["answer"]
+_OVER = "(overturned_supports + overturned_unrelated)"
+COUNTS = {
+    "total": f"count(*) FILTER ({HEAD})", "evaluable": _N(E_), "answerable_questions": _N(f"{E_} AND answerable"), "unanswerable_questions": _N(f"{E_} AND NOT answerable"), "answer_tasks": _N(_ANS),
+    "clarification_tasks": _N(TASK["clarify"]), "abstention_tasks": _N(TASK["abstain"]), "infrastructure_errors": _N(f"NOT ({E_})"), "anchor_records": "count(*) FILTER (anchor)",
+    "correct_answer_count": _N(f"{_ANS} AND outcome = 'correct_answer'"), "factual_answer_success_count": _N(f"{_ANS} AND outcome = 'correct_answer'"), "factual_answer_success_denominator": _N(_ANS),
+    "useful_answer_count": _N(f"{E_} AND answerable AND {USEFUL}"), "useful_answer_denominator": _N(f"{E_} AND answerable"), "clarification_success_count": _N(f"{TASK['clarify']} AND outcome = 'correct_clarification'"),
+    "abstention_success_count": _N(f"{TASK['abstain']} AND outcome = 'correct_abstention'"), "misinformation_count": _N("outcome = 'misleading_hallucination'"), "misinformation_denominator": _N(E_),
+    "retrieval_evaluated": _N(AVAILABLE), "good_retrieval_count": _N(_GOOD), "pipeline_evaluable": _N(_ANS),
+    "generation_failures_despite_good_retrieval": _N(f"{_GOOD} AND NOT ({USEFUL}) AND NOT ({PIPE})"), "generation_partials_despite_good_retrieval": _N(f"{_GOOD} AND {USEFUL} AND NOT ({PIPE})"),
+    "pipeline.retrieval_unavailable": _N(f"{_ANS} AND NOT ({CONTEXT})"), "pipeline.retrieval_good_answer_good": _N(f"{_GOOD} AND {PIPE}"), "pipeline.retrieval_good_answer_poor": _N(f"{_GOOD} AND NOT ({PIPE})"),
+    "pipeline.retrieval_poor_answer_good": _N(f"{AVAILABLE} AND NOT {GOOD} AND {PIPE}"), "pipeline.retrieval_poor_answer_poor": _N(f"{AVAILABLE} AND NOT {GOOD} AND NOT ({PIPE})"),
+    "factual_risk_count": _N(f"{E_} AND {RISK}"), "factual_risk_denominator": _N(E_), "behavior_failure_count": _N(BEHAVIOR), "behavior_failure_denominator": _N(E_),
+    "requires_verification_count": _N(f"{E_} AND requires_verification > 0"), "requires_verification_denominator": _N(E_), "requires_verification_values_total": _S("requires_verification", E_),
+    "false_claim_verification_calls": _S("verification_calls", E_), "second_vote_rows": _N(f"{E_} AND votes > 0"), "second_vote_calls": _S("second_vote_calls", E_), "second_vote_errors": _N(f"{E_} AND second_vote_error <> ''"),
+    "votes_disagree_count": _N(f"{E_} AND votes > 0 AND votes_disagree"), "false_claims_checked": _S("claims_checked", E_), "false_claims_confirmed": _S(f"claims_checked - {_OVER}", E_), "false_claims_overturned": _S(_OVER, E_),
+    "false_claims_overturned.supports": _S("overturned_supports", E_), "false_claims_overturned.unrelated": _S("overturned_unrelated", E_),
+    "all_response_claim_violations.scored_responses": _N(E_), "all_response_claim_violations.responses_with_violations": _N(f"{E_} AND {RISK}"),
+    "all_response_claim_violations.false_claims_total": _S("false_claims", E_), "all_response_claim_violations.unsupported_claims_total": _S("unsupported", E_),
+    **{f"answer_claim_metrics.{k}_total": _S(c, _ANS) for k, c in (("required_points", "required"), ("addressed_points", "addressed"), ("correct_points", "correct"), ("false_claims", "false_claims"), ("unsupported_claims", "unsupported"), ("extraneous_claims", "extraneous"))},
+    **{f"retrieval_claim_metrics.{k}_total": _S(c, AVAILABLE) for k, c in (("required_points", "required"), ("points_found", "retrieval_found"), ("chunks", "chunks_total"), ("relevant_chunks", "chunks_relevant"), ("irrelevant_chunks", "chunks_total - chunks_relevant"), ("contradictory_chunks", "chunks_contradictory"))},
+}
+RATIOS = {
+    "answer_claim_metrics.required_point_coverage": (_S("correct", _ANS), _S("required", _ANS)), "answer_claim_metrics.addressed_point_accuracy": (_S("correct", _ANS), _S("addressed", _ANS)),
+    **{f"answer_claim_metrics.{k}_claims_per_answer": (_S(c, _ANS), _N(_ANS)) for k, c in (("false", "false_claims"), ("unsupported", "unsupported"), ("extraneous", "extraneous"))},
+    "retrieval_claim_metrics.required_point_coverage": (_S("retrieval_found", AVAILABLE), _S("required", AVAILABLE)), "retrieval_claim_metrics.relevant_chunk_rate": (_S("chunks_relevant", AVAILABLE), _S("chunks_total", AVAILABLE)),
+    "retrieval_claim_metrics.contradictory_chunk_rate": (_S("chunks_contradictory", AVAILABLE), _S("chunks_total", AVAILABLE)),
+}
 
 
 def out_sql(run: str = "A", name: str = "o") -> str:
@@ -64,11 +100,20 @@ def rate_sql(k: str, n: str, name: str = "rate") -> str:
     return f"CASE WHEN {n} <> 0 THEN round(({k})::double / {n}, 6) END AS {name}"
 
 
-def summary_sql(keys: str = "", run: str = "A") -> str:
-    k = f"{keys}, " if keys else ""
-    group = f"GROUP BY {keys}" if keys else ""
-    parts = " UNION ALL ".join(f"SELECT {k}'{m}' AS metric, count(*) FILTER (({p}) AND ({h})) AS numerator, count(*) FILTER ({p}) AS denominator FROM o {group}" for m, (p, h) in METRICS.items())
-    return f"WITH {out_sql(run)}, m AS ({parts}) SELECT {k}metric, numerator, denominator, {rate_sql('numerator', 'denominator')}, {wilson_sql('numerator', 'denominator')} FROM m"
+def rates_sql(keys: str) -> str:
+    parts = " UNION ALL ".join(f"SELECT {keys}, '{m}' AS metric, count(*) FILTER ({p} AND {h}) AS numerator, count(*) FILTER ({p}) AS denominator FROM o WHERE {HEAD} GROUP BY {keys}" for m, (p, h) in METRICS.items())
+    return f"WITH {out_sql()}, m AS ({parts}) SELECT {keys}, metric, numerator, denominator, {rate_sql('numerator', 'denominator')}, {wilson_sql('numerator', 'denominator')} FROM m"
+
+
+def summary_sql() -> str:
+    rows = [f"SELECT '{m}' AS entry, 1 AS kind, count(*) FILTER ({HEAD} AND {p} AND {h}) AS n, count(*) FILTER ({HEAD} AND {p}) AS d FROM o" for m, (p, h) in METRICS.items()]
+    rows += [f"SELECT '{k}', 0, {v}, NULL FROM o" for k, v in COUNTS.items()] + [f"SELECT '{k}', 2, {a}, {b} FROM o" for k, (a, b) in RATIOS.items()]
+    return f"""WITH {out_sql()}, m AS ({' UNION ALL '.join(rows)}), w AS (SELECT *, {wilson_sql('n', 'd')} FROM m)
+    SELECT entry, CASE WHEN kind = 0 THEN n::double WHEN d <> 0 THEN round(n::double / d, 6) END AS value, CASE WHEN kind > 0 THEN n::bigint END AS numerator, d::bigint AS denominator,
+    CASE WHEN kind = 1 THEN low END AS low, CASE WHEN kind = 1 THEN high END AS high FROM w"""
+
+
+TOPIC = "CASE WHEN topic = '' THEN 'לא סווג' ELSE topic END"
 
 
 @core.query(f"WITH {out_sql()} SELECT question_id, topic, outcome FROM o")
@@ -76,32 +121,48 @@ def outcome_classify(spark, d):
     return outcomes.classified(eval_records(spark, d)).select("question_id", "topic", "outcome")
 
 
-@core.query(f"WITH {out_sql()} SELECT 'all' AS scope, outcome, count(*) AS n FROM o GROUP BY outcome UNION ALL SELECT topic, outcome, count(*) FROM o GROUP BY topic, outcome")
+@core.query(f"WITH {out_sql()}, h AS (SELECT * FROM o WHERE {HEAD}) SELECT 'all' AS scope, outcome, count(*) AS n FROM h GROUP BY outcome UNION ALL SELECT {TOPIC}, outcome, count(*) FROM h GROUP BY 1, 2")
 def outcome_histogram(spark, d):
     return metrics.outcome_histogram(eval_records(spark, d))
 
 
 @core.query(summary_sql())
 def run_summary_long(spark, d):
+    """Every number of a run's summary: counts, rates with intervals, sums and ratios."""
     return metrics.run_summary(eval_records(spark, d))
 
 
-@core.query(summary_sql("topic"))
+@core.query(rates_sql("topic"))
 def topic_summary_long(spark, d):
-    return metrics.run_summary(eval_records(spark, d), ["topic"])
+    return metrics.rate_summary(eval_records(spark, d), ["topic"])
 
 
 @core.query(
-    f"""WITH {out_sql()}, t AS (SELECT topic, count(*) AS total, count(*) FILTER ({E_}) AS evaluable, count(*) FILTER ({E_} AND expected_behavior = 'answer') AS a,
-    count(*) FILTER (outcome = 'correct_answer' AND expected_behavior = 'answer') AS correct, count(*) FILTER (outcome = 'misleading_hallucination') AS h FROM o GROUP BY topic)
-    SELECT topic, total, evaluable, correct, {rate_sql('correct', 'a', 'correct_rate')}, {wilson_sql('correct', 'a')}, {rate_sql('h', 'evaluable', 'misinformation_rate')}, evaluable < 10 AS small_sample FROM t"""
+    f"""WITH {out_sql()}, h AS (SELECT * FROM o WHERE {HEAD}) SELECT 'generation_failures' AS list, question_id FROM h WHERE {_GOOD} AND NOT ({USEFUL}) AND NOT ({PIPE}) UNION ALL SELECT 'generation_partials', question_id FROM h WHERE {_GOOD} AND {USEFUL} AND NOT ({PIPE})
+    UNION ALL SELECT 'requires_verification', question_id FROM h WHERE {E_} AND requires_verification > 0 UNION ALL SELECT 'votes_disagree', question_id FROM h WHERE {E_} AND votes > 0 AND votes_disagree
+    UNION ALL SELECT 'false_claims_overturned', question_id FROM h WHERE {E_} AND {_OVER} > 0"""
+)
+def flagged_questions(spark, d):
+    """The questions behind the counts of the summary that name them."""
+    return metrics.flagged_questions(eval_records(spark, d))
+
+
+_TOPIC_RATES = (("correct", "answer_tasks"), ("useful", "answerable_questions"), ("misinformation", "evaluable"), ("risky", "evaluable"), ("good_retrieval", "retrieval_evaluated"))
+
+
+@core.query(
+    f"""WITH {out_sql()}, t AS (SELECT {TOPIC} AS topic, count(*) AS total, count(*) FILTER ({E_}) AS evaluable, count(*) FILTER ({AVAILABLE}) AS retrieval_evaluated, count(*) FILTER ({_ANS}) AS answer_tasks, count(*) FILTER ({E_} AND answerable) AS answerable_questions,
+    count(*) FILTER (outcome = 'correct_answer') AS correct, count(*) FILTER ({USEFUL}) AS useful, count(*) FILTER (outcome = 'misleading_hallucination') AS misinformation, count(*) FILTER ({RISKY}) AS risky, count(*) FILTER ({_GOOD}) AS good_retrieval FROM o WHERE {HEAD} GROUP BY 1)
+    SELECT *, """
+    + ", ".join(f"{rate_sql(a, b, a + '_rate')}, {wilson_sql(a, b).replace('AS low', f'AS {a}_low').replace('AS high', f'AS {a}_high')}" for a, b in _TOPIC_RATES)
+    + ", evaluable < 10 AS small_sample FROM t"
 )
 def topic_breakdown(spark, d):
     return metrics.topic_breakdown(eval_records(spark, d))
 
 
 @core.query(
-    f"""WITH {out_sql()}, e AS (SELECT *, {AVAILABLE} AS av FROM o WHERE {E_}), s AS (SELECT
+    f"""WITH {out_sql()}, e AS (SELECT *, {AVAILABLE} AS av FROM o WHERE {E_} AND {HEAD}), s AS (SELECT
     sum(addressed) FILTER (expected_behavior = 'answer') AS ad, sum(required) FILTER (expected_behavior = 'answer') AS rq, sum(correct) FILTER (expected_behavior = 'answer') AS co,
     sum(retrieval_found) FILTER (av) AS rf, sum(required) FILTER (av) AS rr, sum(chunks_relevant) FILTER (av) AS cr, sum(chunks_total) FILTER (av) AS ct, sum(chunks_contradictory) FILTER (av) AS cc FROM e),
     m AS (SELECT 'claim_coverage' AS metric, ad AS numerator, rq AS denominator FROM s UNION ALL SELECT 'claim_accuracy', co, ad FROM s UNION ALL SELECT 'claim_success', co, rq FROM s
@@ -114,13 +175,13 @@ def claim_metrics(spark, d):
 
 @core.query(
     f"""WITH {out_sql()} SELECT CASE WHEN NOT ({CONTEXT}) THEN 'unavailable' WHEN {GOOD} THEN 'good' ELSE 'poor' END AS retrieval,
-    CASE WHEN {PIPE} THEN 'good' ELSE 'poor' END AS answer, count(*) AS n FROM o WHERE {E_} AND expected_behavior = 'answer' GROUP BY 1, 2"""
+    CASE WHEN {PIPE} THEN 'good' ELSE 'poor' END AS answer, count(*) AS n FROM o WHERE {E_} AND {HEAD} AND expected_behavior = 'answer' GROUP BY 1, 2"""
 )
 def pipeline_crosstab(spark, d):
     return metrics.pipeline_crosstab(eval_records(spark, d))
 
 
-@core.query(f"WITH {out_sql()}, f AS (SELECT question_form, count(*) AS evaluable, count(*) FILTER ({PIPE}) AS successes FROM o WHERE {E_} GROUP BY 1) SELECT *, {rate_sql('successes', 'evaluable')} FROM f")
+@core.query(f"WITH {out_sql()}, f AS (SELECT question_form, count(*) AS evaluable, count(*) FILTER ({PIPE}) AS successes FROM o WHERE {E_} AND {HEAD} GROUP BY 1) SELECT *, {rate_sql('successes', 'evaluable')} FROM f")
 def by_form(spark, d):
     return metrics.by_form(eval_records(spark, d))
 
@@ -145,37 +206,54 @@ def phrasing_gap(spark, d):
     return metrics.phrasing_gap(eval_records(spark, d))
 
 
-_MAT = " AND ".join(f"p.{m} IS NOT DISTINCT FROM c.{m}" for m in compare.MATERIAL)
-_FLAG = ", ".join(f"CASE WHEN {p} THEN ({h})::int END AS {m}" for m, (p, h) in METRICS.items())
-_COLS = ", ".join(["question_id", "outcome", *compare.MATERIAL])
-TWO = f"""{out_sql('A', 'oa')}, {out_sql('B', 'ob')},
-    fp AS (SELECT {_COLS}, {_FLAG} FROM oa WHERE NOT anchor), fc AS (SELECT {_COLS}, {_FLAG} FROM ob WHERE NOT anchor)"""
-SEV = "CASE {0} WHEN 'correct_answer' THEN 0 WHEN 'correct_abstention' THEN 0 WHEN 'correct_clarification' THEN 0 WHEN 'partial_too_much' THEN 1 WHEN 'partial_too_little' THEN 2 WHEN 'incorrect_abstention' THEN 3 WHEN 'missing_clarification' THEN 4 WHEN 'unrelated_answer' THEN 5 WHEN 'should_have_abstained' THEN 6 WHEN 'misleading_hallucination' THEN 7 END"
-TRANS = f"""WITH {TWO}, x AS (SELECT c.topic, p.outcome AS a, c.outcome AS b, {SEV.format('p.outcome')} AS ra, {SEV.format('c.outcome')} AS rb FROM fp p JOIN fc c ON p.question_id = c.question_id AND {_MAT}),
-    y AS (SELECT *, CASE WHEN ra IS NULL OR rb IS NULL THEN 'not_comparable' WHEN rb < ra THEN 'improved' WHEN rb > ra THEN 'regressed' WHEN ra = 0 THEN 'unchanged_good' ELSE 'unchanged_bad' END AS state FROM x)"""
-
-
-@core.query(
-    f"WITH {TWO}, "
-    + "r AS ("
-    + " UNION ALL ".join(f"SELECT '{m}' AS metric, coalesce({_MAT}, false) AND p.question_id IS NOT NULL AND c.question_id IS NOT NULL AS same, p.{m} AS a, c.{m} AS b FROM fp p FULL JOIN fc c ON p.question_id = c.question_id" for m in METRICS)
-    + f"""), g AS (SELECT metric, count(*) FILTER (same AND a IS NOT NULL AND b IS NOT NULL) AS matched,
-    count(*) FILTER ((a IS NULL) <> (b IS NULL) OR (NOT same AND (a IS NOT NULL OR b IS NOT NULL))) AS unmatched,
-    coalesce(sum(a) FILTER (same AND a IS NOT NULL AND b IS NOT NULL), 0)::bigint AS previous_hits, coalesce(sum(b) FILTER (same AND a IS NOT NULL AND b IS NOT NULL), 0)::bigint AS current_hits FROM r GROUP BY 1)
-    SELECT *, {rate_sql('current_hits - previous_hits', 'matched', 'soft_delta')}, CASE WHEN unmatched = 0 AND matched > 0 THEN round((current_hits - previous_hits)::double / matched, 6) END AS strict_delta FROM g"""
-)
+# texts are the same question whatever their case and blanks
+_same = lambda m: f"lower(trim(regexp_replace(p.{m}::varchar, '\\s+', ' ', 'g'))) IS NOT DISTINCT FROM lower(trim(regexp_replace(c.{m}::varchar, '\\s+', ' ', 'g')))"
+_MAT = "(" + " AND ".join(map(_same, ("topic", "expected_behavior", "answerable", "question_form", "parent_question_id", "anchor", "clarification_acceptable", "required", "min_key_points"))) + ")"
+_FLAG = ", ".join(f"CASE WHEN {HEAD} AND {METRICS[m][0]} THEN ({METRICS[m][1]})::int END AS {m}" for m in COMPARED)
+TWO = f"{out_sql('A', 'oa')}, {out_sql('B', 'ob')}, fp AS (SELECT *, {_FLAG} FROM oa), fc AS (SELECT *, {_FLAG} FROM ob)"
+# from the mildest to the most severe
+SEV = "CASE {0} WHEN 'correct_answer' THEN 0 WHEN 'correct_abstention' THEN 0 WHEN 'correct_clarification' THEN 0 WHEN 'partial_too_much' THEN 1 WHEN 'partial_too_little' THEN 2 WHEN 'unrelated_answer' THEN 3 WHEN 'incorrect_abstention' THEN 4 WHEN 'missing_clarification' THEN 5 WHEN 'should_have_abstained' THEN 6 WHEN 'misleading_hallucination' THEN 7 END"
+_A, _B = PIPE.replace("outcome", "a"), PIPE.replace("outcome", "b")
+TRANS = f"""WITH {TWO}, x AS (SELECT c.topic, p.outcome AS a, c.outcome AS b FROM fp p JOIN fc c ON p.question_id = c.question_id AND {_MAT}),
+    y AS (SELECT *, CASE WHEN a IN ('chatbot_error', 'judge_error') OR b IN ('chatbot_error', 'judge_error') THEN 'not_comparable' WHEN {_B} AND NOT {_A} THEN 'improved' WHEN {_A} AND NOT {_B} THEN 'regressed' WHEN {_B} THEN 'unchanged_success' ELSE 'unchanged_failure' END AS state FROM x)"""
+
+
+def comparison_sql(two: str = TWO) -> str:
+    rows = " UNION ALL ".join(f"SELECT '{m}' AS metric, {str(m in LOWER).lower()} AS lower, p.question_id IS NOT NULL AND c.question_id IS NOT NULL AND {_MAT} AS same, p.{m} AS a, c.{m} AS b FROM fp p FULL JOIN fc c ON p.question_id = c.question_id" for m in COMPARED)
+    whole = lambda t, x: " UNION ALL ".join(f"SELECT '{m}' AS metric, coalesce(sum({m}), 0)::bigint AS {x}_numerator, count({m}) AS {x}_denominator, count(*) - count({m}) AS {x}_excluded FROM {t}" for m in COMPARED)
+    good = lambda d: f"CASE WHEN {d} <> 0 THEN CASE WHEN lower THEN {d} < 0 ELSE {d} > 0 END END"
+    return f"""WITH {two}, r AS ({rows}), g AS (SELECT metric, any_value(lower) AS lower, count(*) FILTER (same AND a IS NOT NULL AND b IS NOT NULL) AS soft_denominator, coalesce(sum(a) FILTER (same AND a IS NOT NULL AND b IS NOT NULL), 0)::bigint AS soft_previous_numerator,
+    coalesce(sum(b) FILTER (same AND a IS NOT NULL AND b IS NOT NULL), 0)::bigint AS soft_current_numerator, count(*) FILTER ((a IS NULL) <> (b IS NULL)) AS odd, count(*) FILTER (NOT same) AS unmatched FROM r GROUP BY 1),
+    wp AS ({whole('fp', 'previous')}), wc AS ({whole('fc', 'current')}), j AS (SELECT *, CASE WHEN unmatched > 0 THEN 'benchmark_identity_changed' WHEN odd > 0 THEN 'eligible_population_changed' END AS reason FROM g JOIN wp USING (metric) JOIN wc USING (metric)),
+    z AS (SELECT *, {rate_sql('previous_numerator', 'previous_denominator', 'previous')}, {rate_sql('current_numerator', 'current_denominator', 'current')}, {rate_sql('soft_previous_numerator', 'soft_denominator', 'soft_previous')}, {rate_sql('soft_current_numerator', 'soft_denominator', 'soft_current')},
+    {rate_sql('soft_current_numerator - soft_previous_numerator', 'soft_denominator', 'soft_delta')}, CASE WHEN reason IS NULL AND previous_denominator > 0 AND current_denominator > 0 THEN round(current_numerator::double / current_denominator - previous_numerator::double / previous_denominator, 6) END AS delta FROM j)
+    SELECT metric, reason, previous_numerator, previous_denominator, previous_excluded, current_numerator, current_denominator, current_excluded, previous, current, delta, {good('delta')} AS favorable, soft_denominator, soft_previous_numerator, soft_current_numerator,
+    soft_previous, soft_current, soft_delta, {good('soft_delta')} AS soft_favorable FROM z"""
+
+
+@core.query(comparison_sql())
 def run_comparison_metrics(spark, d):
+    """Two runs that differ in their questions: only the matched ones are compared."""
     return compare.comparison_metrics(eval_records(spark, d, "A"), eval_records(spark, d, "B"))
 
 
+_SHARED = "question_id % 89 <> 0 AND question_id % 97 <> 0 AND question_id % 211 <> 0"
+
+
+@core.query(comparison_sql(TWO.replace("fp AS (SELECT *, ", f"fp0 AS (SELECT * FROM oa WHERE {_SHARED}), fc0 AS (SELECT * FROM ob WHERE {_SHARED}), fp AS (SELECT *, ").replace("FROM oa), fc", "FROM fp0), fc").replace("FROM ob)", "FROM fc0)")))
+def run_comparison_same(spark, d):
+    """The same of the questions that both runs have unchanged: the rates with one population have a difference."""
+    return compare.comparison_metrics(*[eval_records(spark, d, r).where(_SHARED) for r in "AB"])
+
+
 @core.query(f"{TRANS} SELECT a || '->' || b AS transition, state, count(*) AS n FROM y GROUP BY 1, 2")
 def state_transitions(spark, d):
     return compare.state_transitions(eval_records(spark, d, "A"), eval_records(spark, d, "B"))
 
 
 @core.query(
-    f"""{TRANS} SELECT topic, {', '.join(f"count(*) FILTER (state = '{s}') AS {s}" for s in ('improved', 'regressed', 'unchanged_good', 'unchanged_bad', 'not_comparable'))},
-    count(*) FILTER (state = 'improved') - count(*) FILTER (state = 'regressed') AS net FROM y GROUP BY topic"""
+    f"""{TRANS} SELECT {TOPIC} AS topic, {', '.join(f"count(*) FILTER (state = '{s}') AS {s}" for s in ('improved', 'regressed', 'unchanged_success', 'unchanged_failure', 'not_comparable'))}, count(*) AS total,
+    count(*) FILTER (state = 'improved') - count(*) FILTER (state = 'regressed') AS net_improvement FROM y GROUP BY 1"""
 )
 def topic_transitions(spark, d):
     return compare.state_transitions(eval_records(spark, d, "A"), eval_records(spark, d, "B"), by_topic=True)
@@ -189,26 +267,29 @@ def run_match_report(spark, d):
     return compare.match_report(eval_records(spark, d, "A"), eval_records(spark, d, "B"))
 
 
+_LISTED = "(required + CASE WHEN question_id % 13 = 0 THEN 1 ELSE 0 END)"  # every thirteenth row has a claim too many
+_FOUND = "(retrieval_found + CASE WHEN question_id % 19 = 0 THEN 5 ELSE 0 END)"  # and in every nineteenth more is found than there is
+
+
 @core.query(
-    f"""WITH {eval_sql()}, n AS (SELECT question_id, expected_behavior, required, generate_series AS i FROM ev, generate_series(1, 4) WHERE generate_series <= required)
-    SELECT e.question_id, true AS ids_valid, coalesce(count(*) FILTER ((e.question_id + i) % 3 <> 0), 0) AS addressed, count(*) FILTER ((e.question_id + i) % 3 = 1) AS correct, count(*) FILTER ((e.question_id + i) % 5 < 3) AS retrieval_found
-    FROM ev e JOIN n ON e.question_id = n.question_id WHERE e.question_id % 13 <> 0 GROUP BY 1
-    UNION ALL SELECT question_id, expected_behavior <> 'answer', CASE WHEN expected_behavior <> 'answer' THEN 0 END, CASE WHEN expected_behavior <> 'answer' THEN 0 END, CASE WHEN expected_behavior <> 'answer' THEN 0 END FROM ev WHERE question_id % 13 = 0 OR required = 0"""
+    f"""WITH {eval_sql()}, x AS (SELECT *, CASE WHEN expected_behavior <> 'answer' THEN CASE WHEN {_LISTED} > 0 THEN 'claims_of_non_answer' END WHEN {_LISTED} <> required THEN 'claim_ids' WHEN {_FOUND} > required THEN 'found_above_claims' END AS fault FROM ev),
+    n AS (SELECT question_id AS q, count(*) FILTER ((question_id + i) % 3 <> 0) AS addressed, count(*) FILTER ((question_id + i) % 3 = 1) AS correct FROM x, generate_series(1, 5) g(i) WHERE i <= required GROUP BY 1)
+    SELECT question_id, fault, CASE WHEN fault IS NULL THEN required::bigint END AS required, CASE WHEN fault IS NULL THEN coalesce(n.addressed, 0) END AS addressed, CASE WHEN fault IS NULL THEN coalesce(n.correct, 0) END AS correct,
+    CASE WHEN fault IS NULL THEN CASE WHEN expected_behavior = 'answer' THEN {_FOUND}::bigint ELSE 0 END END AS retrieval_found FROM x LEFT JOIN n ON question_id = q"""
 )
 def claim_recount(spark, d):
     ev = eval_records(spark, d)
     k = F.col("question_id")
-    # every thirteenth row has a claim too many, so that its ids are wrong
-    n = F.col("required") + F.when(k % 13 == 0, 1).otherwise(0)
-    claim = lambda i: F.struct(F.concat(F.lit("C"), F.lpad(i.cast("string"), 3, "0")).alias("id"), ((k + i) % 3 != 0).alias("addressed"), ((k + i) % 3 == 1).alias("correct"), ((k + i) % 5 < 3).alias("found"))
-    made = F.when(n > 0, F.transform(F.sequence(F.lit(1), n.cast("int")), claim)).otherwise(F.transform(F.array().cast("array<int>"), claim))
-    return outcomes.recount_claims(ev.withColumn("assessments", made)).select("question_id", "ids_valid", "addressed", "correct", "retrieval_found")
+    n = F.expr(_LISTED)
+    claim = lambda i: F.struct(F.format_string("C%03d", i).alias("id"), ((k + i) % 3 != 0).alias("addressed"), ((k + i) % 3 == 1).alias("correct"))
+    made = F.when(n > 0, F.reverse(F.transform(F.sequence(F.lit(1), n.cast("int")), claim))).otherwise(F.transform(F.array().cast("array<int>"), claim))
+    return outcomes.recount_claims(ev.withColumn("assessments", made).withColumn("retrieval_found", F.expr(_FOUND))).select("question_id", "fault", "required", "addressed", "correct", "retrieval_found")
 
 
 @core.query(
     f"""WITH {eval_sql()}, c AS (SELECT *, question_id % 4 AS listed, (SELECT count(*) FROM generate_series(1, question_id % 4) g(i) WHERE (question_id + i) % 3 <> 0) AS cited FROM ev)
     SELECT question_id, cited AS false_claims, (greatest(false_claims, listed) - cited)::bigint AS demoted, (unsupported + greatest(false_claims, listed) - cited)::bigint AS unsupported,
-    CASE WHEN cited > 0 THEN 'contradiction' WHEN greatest(false_claims, listed) - cited > 0 AND incorrect_type = 'contradiction' THEN 'unsupported' ELSE incorrect_type END AS incorrect_type FROM c"""
+    CASE WHEN incorrect_type = 'hallucination' AND cited = 0 THEN CASE WHEN correct = 0 THEN 'unrelated' ELSE 'not_applicable' END ELSE incorrect_type END AS incorrect_type FROM c"""
 )
 def false_claim_reconcile(spark, d):
     ev = eval_records(spark, d)
@@ -229,11 +310,9 @@ def second_vote(spark, d):
     return a.join(b, "question_id", "left").select("question_id", "first", "second", outcomes.second_vote(F.col("first"), F.col("second")).alias("harsher"), outcomes.second_vote(F.col("first"), F.col("second"), False).alias("lenient"))
 
 
-@core.query(
-    f"""WITH {out_sql()} SELECT question_id FROM o WHERE error_kind IS NULL AND (false_claims > 0 OR unsupported > 0 OR (outcome IN ('partial_too_little', 'unrelated_answer') AND required > 0 AND retrieval_found = required))"""
-)
+@core.query(f"WITH {out_sql()} SELECT question_id FROM o WHERE {E_} AND (false_claims > 0 OR demoted > 0 OR requires_verification > 0 OR overturned_supports > 0 OR overturned_unrelated > 0 OR outcome IN ('misleading_hallucination', 'unrelated_answer'))")
 def second_vote_rows(spark, d):
-    return outcomes.classified(eval_records(spark, d)).where(outcomes.needs_second_vote(None)).select("question_id")
+    return outcomes.classified(eval_records(spark, d)).where(outcomes.needs_second_vote()).select("question_id")
 
 
 @core.query(

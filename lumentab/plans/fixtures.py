@@ -9,8 +9,10 @@ from ..session import table
 # column -> expression over k (question number), s (k moved for the run) and topic; // is integer division
 COLUMNS = {
     "question_id": "k",
-    "topic": "topic",
+    # run B writes a topic otherwise now and then (no change) and moves some questions to another one (a change)
+    "topic": "case when s <> k and k % 211 = 0 then 'MOVED' when s <> k and k % 5 = 0 then concat('  ', lower(topic)) when k % 223 = 0 then '' else topic end",
     "expected_behavior": "case k % 10 when 0 then 'abstain' when 1 then 'clarify' else 'answer' end",
+    "answerable": "k % 10 <> 0",
     "question_form": "case when k % 10 = 1 then 'ambiguous' when k % 4 = 1 then 'natural_user' when k % 4 = 2 then 'broad' else 'canonical' end",
     "parent_question_id": "case when k % 4 = 1 and k % 10 <> 1 then k - 1 end",
     "anchor": "k % 4 = 0 and k % 10 <> 1 and (k + 1) % 10 <> 1",
@@ -27,7 +29,17 @@ COLUMNS = {
     "chunks_relevant": "least(s % 6, s % 4)",
     "chunks_contradictory": "case when s % 19 = 0 then least(s % 6, 1) else 0 end",
     "answer_scope": "case s % 9 when 0 then 'too_much' when 1 then 'too_little' else 'complete' end",
-    "incorrect_type": "case s % 17 when 0 then 'unrelated' when 1 then 'contradiction' else 'none' end",
+    "incorrect_type": "case s % 17 when 0 then 'unrelated' when 1 then 'hallucination' else 'not_applicable' end",
+    "demoted": "case when s % 61 = 0 then 1 else 0 end",
+    "requires_verification": "case when s % 27 = 0 then 1 + s % 2 else 0 end",
+    "claims_checked": "case when s % 25 = 0 then 1 + s % 3 else 0 end",
+    "overturned_supports": "case when s % 50 = 0 then 1 else 0 end",
+    "overturned_unrelated": "case when s % 75 = 0 then least(1, s % 3) else 0 end",
+    "verification_calls": "case when s % 25 = 0 then 1 else 0 end",
+    "votes": "case when s % 33 = 0 then 2 else 0 end",
+    "votes_disagree": "s % 66 = 0",
+    "second_vote_calls": "case when s % 33 = 0 then 1 else 0 end",
+    "second_vote_error": "case when s % 99 = 0 then 'no answer' else '' end",
     "is_abstention": "(k % 10 = 0 and s % 3 <> 0) or (k % 10 > 1 and s % 47 = 0)",
     "is_clarification": "(k % 10 = 1 and s % 2 = 0) or (k % 10 > 1 and s % 53 = 0 and s % 47 <> 0)",
     "retrieved_context": "case s % 11 when 0 then '' when 1 then '[]' when 2 then ' NULL ' else 'passage' end",

@@ -6,6 +6,7 @@ import html
 import json
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import compare, metrics
 from .records import write_text
@@ -26,9 +27,9 @@ def build_report(current: DataFrame, previous: DataFrame | None = None) -> dict:
     """Everything a report shows; only aggregates come to the driver."""
     rows = lambda df: [r.asDict() for r in df.collect()]
     out = {
-        "metrics": rows(metrics.run_summary(metrics.headline(current)).orderBy("metric")),
+        "summary": rows(metrics.run_summary(current).orderBy("entry")),
         "claims": rows(metrics.claim_metrics(current).orderBy("metric")),
-        "topics": rows(metrics.topic_breakdown(current).orderBy("total", ascending=False)),
+        "topics": rows(metrics.topic_breakdown(current).orderBy(F.desc("total"), "topic")),
         "outcomes": rows(metrics.outcome_histogram(current).orderBy("scope", "outcome")),
         "forms": rows(metrics.by_form(current).orderBy("question_form")),
     }

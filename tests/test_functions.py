@@ -178,3 +178,32 @@ def test_components_tell_when_rounds_are_too_few(spark):
     assert {r["component"] for r in graph.components(nodes, edges).collect()} == {0}
     with pytest.raises(RuntimeError):
         graph.components(nodes, edges, rounds=1)
+
+
+def test_wilson(spark):
+    from lumentab.functions.stats import rate, wilson
+
+    df = spark.createDataFrame([(0, 0), (5, 10)], "k long, n long")
+    low, high = wilson(F.col("k"), F.col("n"))
+    assert df.select(rate(F.col("k"), F.col("n")), low, high).collect() == [(None, None, None), (0.5, 0.236590, 0.763410)]
+
+
+def test_severity_and_states(spark):
+    from lumentab.operators import compare, outcomes
+
+    rows = [("unrelated_answer", "incorrect_abstention"), ("partial_too_little", "misleading_hallucination"), ("correct_answer", "correct_clarification"), ("partial_too_much", "correct_answer"), ("correct_abstention", "unrelated_answer"), ("judge_error", "correct_answer"), ("correct_answer", None)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    got = df.select(outcomes.second_vote(F.col("a"), F.col("b")).alias("h"), outcomes.second_vote(F.col("a"), F.col("b"), False).alias("l"), compare.state_of(F.col("a"), F.col("b")).alias("s")).collect()
+    assert [r["h"] for r in got] == ["incorrect_abstention", "misleading_hallucination", "correct_answer", "partial_too_much", "unrelated_answer", "judge_error", "correct_answer"]
+    assert [r["l"] for r in got][:5] == ["unrelated_answer", "partial_too_little", "correct_answer", "correct_answer", "correct_abstention"]
+    assert [r["s"] for r in got][:6] == ["unchanged_failure", "unchanged_failure", "unchanged_success", "improved", "regressed", "not_comparable"]
+
+
+def test_recount_of_many_claims_and_its_faults(spark):
+    from lumentab.operators import outcomes
+
+    claim = lambda i: (f"C{i:03d}", True, i % 2 == 0)
+    rows = [(1, "answer", 1001, 3, [claim(i) for i in range(1001, 0, -1)]), (2, "answer", 2, 3, [claim(1), claim(2)]), (3, "answer", 2, 0, [claim(1), claim(1)]), (4, "abstain", 0, 0, [claim(1)]), (5, "abstain", 7, 4, [])]
+    df = spark.createDataFrame(rows, "question_id long, expected_behavior string, required int, retrieval_found int, assessments array<struct<id string, addressed boolean, correct boolean>>")
+    got = {r["question_id"]: (r["fault"], r["required"], r["addressed"], r["correct"], r["retrieval_found"]) for r in outcomes.recount_claims(df).collect()}
+    assert got == {1: (None, 1001, 1001, 500, 3), 2: ("found_above_claims", None, None, None, None), 3: ("claim_ids", None, None, None, None), 4: ("claims_of_non_answer", None, None, None, None), 5: (None, 0, 0, 0, 0)}

@@ -45,7 +45,7 @@ def test_report(spark, tmp_path):
     eval_records(spark, SF, "B").write.parquet(str(tmp_path / "b"))
     cli.main(["report", str(tmp_path / "b"), str(tmp_path / "r"), "--previous", str(tmp_path / "a")], spark)
     summary = json.loads((tmp_path / "r" / "summary.json").read_text())
-    assert {"metrics", "topics", "comparison", "transitions"} <= set(summary)
+    assert {"summary", "topics", "comparison", "transitions"} <= set(summary)
     assert "<table>" in (tmp_path / "r" / "report.html").read_text()
 
 
