@@ -57,7 +57,7 @@ def make_report(spark: SparkSession, a: argparse.Namespace) -> dict:
     """Evaluation records, and those of an earlier run, to summary.json and report.html."""
     previous = spark.read.parquet(a.previous) if a.previous else None
     made = report.write_report(a.out, spark.read.parquet(a.source), previous, direction="rtl" if a.rtl else "ltr")
-    return {"metrics": len(made["metrics"])}
+    return {"entries": len(made["summary"])}
 
 
 COMMANDS = {"chunk": chunk, "graph": build_graph, "plan": plan, "import": import_answers, "report": make_report}

@@ -8,7 +8,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, staged
+from .pairing import meetings, similar_sets
 
 
 def keys_of(values: Column) -> Column:
@@ -29,25 +30,16 @@ def shared_key_edges(keyed: DataFrame) -> DataFrame:
     shared pairs, from which the weight is read without fetching the keys again.
     """
     two = F.flatten(F.transform("keys", lambda x, i: F.transform(F.slice("keys", i + 2, F.size("keys")), lambda y: F.xxhash64(x, y))))
-    post = keyed.where(F.size("keys") >= 2).select("id", F.explode(two).alias("pair"))
-    other = post.select(F.col("id").alias("dst"), "pair")
-    met = post.withColumnRenamed("id", "src").join(other, "pair").where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("c"))
-    return met.select("src", "dst", F.round((1 + F.sqrt(1 + 8 * F.col("c"))) / 2).cast("bigint").alias("weight"))
+    met = meetings(keyed.where(F.size("keys") >= 2).select("id", F.explode(two).alias("token")))
+    one = met.groupBy(F.col("id").alias("src"), F.col("o_id").alias("dst")).agg(F.count("*").alias("c"))
+    return one.select("src", "dst", F.round((1 + F.sqrt(1 + 8 * F.col("c"))) / 2).cast("bigint").alias("weight"))
 
 
 def jaccard_edges(keyed: DataFrame, threshold: float) -> DataFrame:
-    """(src, dst, weight): pairs whose key sets reach the threshold, by prefixes of rare keys; weight rounded to four digits."""
-    exploded = keyed.select("id", F.size("keys").alias("n"), F.explode("keys").alias("k"))
-    df = exploded.groupBy("k").agg(F.count("*").alias("df"))
-    ordered = exploded.join(df, "k").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "k"))), lambda x: x["k"]).alias("keys"))
-    sets = ordered.withColumn("n", F.size("keys"))
-    slim = sets.select("id", "n", F.explode(F.slice("keys", F.lit(1), (F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1).cast("int"))).alias("k"))
-    other = slim.toDF("dst", "m", "k")
-    pairs = slim.withColumnRenamed("id", "src").join(other, "k").where((F.col("src") < F.col("dst")) & (F.col("n") >= threshold * F.col("m") - 1e-9) & (F.col("m") >= threshold * F.col("n") - 1e-9)).select("src", "dst").distinct()
-    full = pairs.join(sets.select(F.col("id").alias("src"), F.col("keys").alias("a")), "src").join(sets.select(F.col("id").alias("dst"), F.col("keys").alias("b")), "dst")
-    shared = F.size(F.array_intersect("a", "b"))
-    similarity = shared / (F.size("a") + F.size("b") - shared)
-    return full.where(similarity >= threshold - 1e-9).select("src", "dst", F.bround(similarity, 4).alias("weight"))
+    """(src, dst, weight): pairs whose key sets reach the threshold; weight rounded to four digits."""
+    sets = staged(keyed.select("id", F.array_sort(F.transform("keys", lambda k: F.xxhash64(k))).alias("set")), "key-sets")
+    pairs = similar_sets(sets, threshold)
+    return pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.bround(F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), 4).alias("weight"))
 
 
 def spine_edges(chunks: DataFrame) -> DataFrame:
@@ -65,7 +57,7 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int | None = None) ->
     `rounds` aren't enough.
     """
     e = cut(edges.select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct())
-    done = 0
+    done, mark = 0, None
     while True:
         if done == rounds:
             raise RuntimeError(f"components change after {rounds} rounds")
@@ -77,10 +69,11 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int | None = None) ->
         # small star: every smaller neighbour, and the node itself, to the least one
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
-        nxt = cut(small)
-        if not nxt.exceptAll(e).limit(1).count() and not e.exceptAll(nxt).limit(1).count():
+        e = cut(small)
+        now = e.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
+        if now == mark:  # the same edges, by their number and the sum of their hashes
             break
-        e = nxt
+        mark = now
     return nodes.select("id").distinct().join(e.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").select("id", F.coalesce("root", "id").alias("component"))
 
 

@@ -1,12 +1,12 @@
 """Rows that fail to parse: they come out apart with the reason, while the valid ones load.
 
 Method: a minimum-cost error parse. A record is read as fields between delimiters; a dynamic program over its quotes,
-delimiters and stretches of text finds the fewest insertions and deletions of quotes and delimiters that make it a record
-of as many fields as its header. A record of cost zero whose values fit their fields loads. Of the others the reason is the
-first that holds of
+delimiters and stretches of text finds the cheapest insertions and deletions of quotes and delimiters that make it a record
+of as many fields as its header: first the fewest edits that mend quoting, then the fewest others. A record of cost zero whose
+values fit their fields loads. Of the others the edits give the reason, the first that holds of
 
-``broken_quoting``  no reading without inserting or deleting a quote,
-``column_count``    the quotes are sound, but fields lack or are left over (empty ones left over at the end don't count),
+``broken_quoting``  every reading has an edit of a quote, or parts a field at a quote that stands inside it,
+``column_count``    delimiters alone are inserted or deleted (empty fields left over at the end don't count),
 ``invalid_value``   question or expected answer is empty, or a value is outside its domain.
 
 The edits say where: ``insert quote at 12`` counts characters from 0. Records of zero cost are recognised by one regular
@@ -73,8 +73,12 @@ def sound_fields(text: str, delimiter: str) -> list[str] | None:
 START, PLAIN, QUOTED, CLOSED = range(4)
 
 
+QUOTING = 1 << 20  # what an edit that mends quoting costs; any number of others is cheaper
+
+
 def cheapest_edits(text: str, delimiter: str, columns: int) -> tuple[int, list[str]]:
-    """The least number of inserted or deleted quotes and delimiters for a record of so many fields, and which they are.
+    """(cost, edits): the cheapest edits that make text a record of so many fields; QUOTING for each that mends quoting, 1 for
+    each other.
 
     The program's states are the place in a field (its start, in plain text, within quotes, after the closing quote) and the
     fields begun so far, up to columns; stretches without quote or delimiter are one step.
@@ -85,7 +89,7 @@ def cheapest_edits(text: str, delimiter: str, columns: int) -> tuple[int, list[s
     columns = max(1, columns)
 
     def reach(k: int, state: tuple[int, int], cost: int, back: tuple) -> None:
-        if state[1] <= columns and cost < best[k].get(state, (1 << 30, None))[0]:
+        if state[1] <= columns and cost < best[k].get(state, (1 << 60, None))[0]:
             best[k][state] = (cost, back)
 
     for k, (at, piece) in enumerate(steps):
@@ -97,36 +101,36 @@ def cheapest_edits(text: str, delimiter: str, columns: int) -> tuple[int, list[s
                 reach(here[0] + ahead, (to, fields), cost + more, (here, edit))
 
             if piece == '"':
-                go(place, n, 1, f"delete quote at {at}")
+                go(place, n, QUOTING, f"delete quote at {at}")
                 if place == START:
                     go(QUOTED, n)
                 elif place == PLAIN:
-                    go(QUOTED, n + 1, 1, f"insert delimiter at {at}")
+                    go(QUOTED, n + 1, QUOTING, f"insert delimiter at {at}")
                 elif place == QUOTED:
                     go(CLOSED, n)
-                    go(QUOTED, n, 1, f"insert quote at {at}")
+                    go(QUOTED, n, QUOTING, f"insert quote at {at}")
                     if twice:
                         go(QUOTED, n, ahead=2)
                 else:
-                    go(QUOTED, n + 1, 1, f"insert delimiter at {at}")
+                    go(QUOTED, n + 1, QUOTING, f"insert delimiter at {at}")
             elif piece == delimiter:
                 if place == QUOTED:
                     go(QUOTED, n)
-                    go(START, n + 1, 1, f"insert quote at {at}")
+                    go(START, n + 1, QUOTING, f"insert quote at {at}")
                 else:
                     go(START, n + 1)
                     go(place, n, 1, f"delete delimiter at {at}")
             elif place == START:
                 go(PLAIN, n)
-                go(QUOTED, n, 1, f"insert quote at {at}")
+                go(QUOTED, n, QUOTING, f"insert quote at {at}")
             elif place == CLOSED:
-                go(PLAIN, n + 1, 1, f"insert delimiter at {at}")
+                go(PLAIN, n + 1, QUOTING, f"insert delimiter at {at}")
             else:
                 go(place, n)
     ends = []
     for (place, n), (cost, _) in best[-1].items():
         tail = [f"insert quote at {len(text)}"] * (place == QUOTED) + [f"insert delimiter at {len(text)}"] * (columns - n)
-        ends.append((cost + len(tail), -n, place, tail))
+        ends.append((cost + (QUOTING if place == QUOTED else 0) + columns - n, -n, place, tail))
     if not ends:
         return len(steps), ["no reading"]
     cost, n, place, tail = min(ends)
@@ -167,14 +171,14 @@ def parse_record(text: str | None, delimiter: str | None, header: str | None) ->
     names = sound_fields(header, delimiter) or header.split(delimiter)
     text = text or ""
     fields = sound_fields(text, delimiter)
-    if fields is None:
-        cost, edits = cheapest_edits(text, delimiter, len(names))
-        return "broken_quoting", "; ".join(edits), cost, {}
-    while len(fields) > len(names) and fields[-1] == "":
+    while fields and len(fields) > len(names) and fields[-1] == "":
         fields.pop()
-    if len(fields) != len(names):
+    if fields is None or len(fields) != len(names):  # no reading of cost zero
         cost, edits = cheapest_edits(text, delimiter, len(names))
-        return "column_count", f"{len(fields)} fields for {len(names)} columns: " + "; ".join(edits), cost, {}
+        many, few = divmod(cost, QUOTING)
+        reason = "broken_quoting" if many else "column_count"
+        told = "; ".join(edits) if many else f"{len(fields or [])} fields for {len(names)} columns: " + "; ".join(edits)
+        return reason, told, many + few, {}
     values: dict[str, str] = {}
     for name, value in zip(names, fields):
         field = field_of(name)

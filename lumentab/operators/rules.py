@@ -39,17 +39,29 @@ def conjunction(r: Column) -> Column:
     return F.when(F.count_if(r == F.lit(False)) > 0, False).when(F.count_if(r.isNull()) > 0, F.lit(None).cast("boolean")).otherwise(True)
 
 
-def evaluate_rules(predicates: DataFrame, facts: DataFrame) -> DataFrame:
+def all_of(results: Column) -> Column:
+    """The same of an array."""
+    return F.when(F.exists(results, lambda r: F.coalesce(~r, F.lit(False))), False).when(F.exists(results, lambda r: r.isNull()), F.lit(None).cast("boolean")).otherwise(True)
+
+
+def evaluate_rules(predicates: DataFrame, facts: DataFrame, small: int = 10_000) -> DataFrame:
     """(rule_id, person, applies): every rule against every profile.
 
-    predicates: (rule_id, pos, key, kind, op, values); facts: (person, key, value) in long form. Predicates meet facts by key,
-    so that only the fields a rule names are read; rules are a bounded list kept on one side.
+    predicates: (rule_id, pos, key, kind, op, values); facts: (person, key, value) in long form. The facts that some rule names are
+    put together into one map for each person, and a rule is one row with its predicates; the result has a row for each person
+    and rule, and that join makes just these. The rules go to all executors only where there are at most `small` predicates. A
+    person without any fact that a rule names is still a person; of two values of one key the least counts.
     """
-    people = facts.select("person").distinct()
-    grid = people.crossJoin(predicates)
-    both = grid.join(facts, ["person", "key"], "left")
-    value = predicate_value(F.col("kind"), F.col("op"), F.col("value"), F.col("values"))
-    return both.withColumn("r", value).groupBy("rule_id", "person").agg(conjunction(F.col("r")).alias("applies"))
+    named = predicates.select("key").distinct()
+    few = predicates.count() <= small
+    kept = facts.join(F.broadcast(named) if few else named, "key", "left_semi")
+    one = kept.where("value IS NOT NULL").groupBy("person", "key").agg(F.min("value").alias("value"))
+    maps = one.groupBy("person").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("profile"))
+    people = facts.select("person").distinct().join(maps, "person", "left").withColumn("profile", F.coalesce("profile", F.create_map().cast("map<string,string>")))
+    whole = predicates.groupBy("rule_id").agg(F.array_sort(F.collect_list(F.struct("pos", "key", "kind", "op", "values"))).alias("predicates"))
+    both = people.crossJoin(F.broadcast(whole) if few else whole)
+    results = F.transform("predicates", lambda p: predicate_value(p["kind"], p["op"], F.try_element_at("profile", p["key"]), p["values"]))
+    return both.select("rule_id", "person", all_of(results).alias("applies"))
 
 
 def predicate_faults(predicates: DataFrame, fields: DataFrame) -> DataFrame:
