@@ -119,7 +119,7 @@ def cheapest_edits(text: str, delimiter: str, columns: int) -> tuple[int, list[s
                     go(START, n + 1, QUOTING, f"insert quote at {at}")
                 else:
                     go(START, n + 1)
-                    go(place, n, 1, f"delete delimiter at {at}")
+                    go(START, n, 1, f"delete delimiter at {at}")  # the fields on both sides are one
             elif place == START:
                 go(PLAIN, n)
                 go(QUOTED, n, QUOTING, f"insert quote at {at}")

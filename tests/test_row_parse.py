@@ -46,3 +46,19 @@ def test_table(spark):
     errors = R.import_errors(R.parse_rows(raw, files)).where("file_name = 'f'").first()
     assert (errors["total"], errors["accepted"], errors["skipped"]) == (3, 2, 1) and errors["errors"][0]["row"] == 3
     assert R.parse_rows(raw.limit(0), files).count() == 0
+
+
+def test_edits_give_the_reason():
+    """Delimiters alone mend a record whose quotes are sound, whatever is quoted; nothing but a quote mends the others."""
+    import random
+
+    rng = random.Random(4)
+    for _ in range(400):
+        text = "".join(rng.choice('ab"",;') for _ in range(rng.randrange(1, 14)))
+        n = rng.randrange(1, 6)
+        cost, edits = R.cheapest_edits(text, ",", n)
+        fields = R.sound_fields(text, ",")
+        assert (cost >= R.QUOTING) == (fields is None)
+        assert (cost == 0) == (fields is not None and len(fields) == n)
+        if fields is not None:
+            assert cost == abs(len(fields) - n) == len(edits)
