@@ -1,5 +1,5 @@
-"""Text functions of the corpus and evaluation operators. Column functions stay in the JVM; those on Unicode forms are
-vectorised over Arrow batches."""
+"""Text functions of the corpus and evaluation operators. All are column expressions; only compatibility forms of Unicode, which
+Spark lacks, are made in Python, batch by batch and for texts beyond ASCII only."""
 
 from __future__ import annotations
 
@@ -12,36 +12,50 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WORD = r"[\p{L}\p{N}_]+"
+BLANKS = "[ \\t\\n\\x0B\\f\\r]"
 # a terminator with no digit on either side, or line breaks
 CLAIM_END = r"(?<![0-9])[.!?;](?![0-9])|\n+"
-NIQQUD = re.compile("[֑-ׇ]")
-QUOTES = re.compile("[\"'`´’‘“”„‟׳״]")
-PREFIXES = "ובכלמשה"  # fixed value: letters that are written onto a Hebrew word
+# the same, or a bullet, a number of a list, a cell's border
+STATEMENT_END = CLAIM_END + r"|[ \t\n\r\f][-–•▪][ \t\n\r\f]|[ \t\n\r\f][0-9]+[.)][ \t\n\r\f]|\|"
+# What stands before an item of a list; vowel points; quotes that a name may have or lack; attached Hebrew letters.
+BULLET = r"^[ \t\n\x0B\f\r]*(?:[-*•·]|[0-9]+[.)]|[א-ת][.)])[ \t\n\x0B\f\r]*"
+NIQQUD = "[\u0591-\u05C7]"
+NAME_QUOTES = "[\"'\u05F3\u05F4\u2018\u2019\u201C\u201D`]"
+ATTACHED = "והבלכמש"
 
 
 def words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(f"({WORD})"), F.lit(1))
 
 
-def unbullet(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.trim(c), r"^([-*•–]|[0-9]{1,3}[.)])\s+", ""))
+def flat(c: Column) -> Column:
+    """c without outer blanks, inner ones reduced to one."""
+    return F.trim(F.regexp_replace(c, f"{BLANKS}+", " "))
+
+
+def folded_case(c: Column) -> Column:
+    """Lower case in which ß and ss are alike."""
+    return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
 
 
 def derived_claims(c: Column) -> Column:
-    """The statements of an answer, each once, in order; the whole text where it has none."""
-    parts = F.filter(F.transform(F.split(c, CLAIM_END), lambda x: unbullet(x)), lambda x: x.rlike(r"[\p{L}\p{N}]"))
-    whole = F.trim(c)
-    return F.when(F.size(parts) > 0, F.array_distinct(parts)).when(F.coalesce(whole, F.lit("")) != "", F.array(whole)).otherwise(F.array().cast("array<string>"))
+    """The statements of an answer, each once, in order, without bullets; the whole text where it has none."""
+    parts = F.filter(F.transform(F.split(c, CLAIM_END), lambda x: flat(F.regexp_replace(x, BULLET, ""))), lambda x: x.rlike(r"[\p{L}\p{N}]"))
+    return F.when(F.size(parts) > 0, F.array_distinct(parts)).when(c.isNotNull(), F.array(flat(c)))
 
 
 def statements(c: Column, least: int = 4) -> Column:
-    """Distinct statements of at least so many words, each as its words in lower case: the information units of a text."""
-    plain = F.regexp_replace(c, r"[*_`#>]+", " ")
-    parts = F.split(plain, CLAIM_END + r"|\|")
-    word_lists = F.filter(F.transform(parts, lambda x: words(x)), lambda w: F.size(w) >= least)
+    """Distinct statements of at least so many words, each as its words in lower case."""
+    plain = F.regexp_replace(c, r"\*\*|__|`|#{1,6}[ \t\n\r\f]", " ")
+    word_lists = F.filter(F.transform(F.split(plain, STATEMENT_END), lambda x: words(folded_case(x))), lambda w: F.size(w) >= least)
     return F.array_distinct(F.transform(word_lists, lambda w: F.array_join(w, " ")))
 
 
+def information_units(c: Column) -> Column:
+    """The number of statements; at least 1 for a text that isn't blank."""
+    return F.when(flat(c) == "", 0).otherwise(F.greatest(F.size(statements(c)), F.lit(1)))
+
+
 def specific_sentences(c: Column, most: int = 8) -> Column:
     """The first sentences that have at least three words and a digit or a quoted name."""
     parts = F.transform(F.split(c, r"(?<=[.!?;:])|\n+"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
@@ -93,83 +107,76 @@ def seeded(seed: int | str, c: Column) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}:"), c.cast("string")), 256)
 
 
-# --- Unicode forms -------------------------------------------------------------------------------------------------
+# --- names and quotes in one form ----------------------------------------------------------------------------------
+
 
+@F.pandas_udf(T.StringType())
+def compatible(texts: pd.Series) -> pd.Series:
+    """Compatibility forms (NFKC) of a batch of texts; nulls stay null. (Arrow's own function doesn't compose.)"""
+    return pd.Series([x if x is None or x.isascii() else unicodedata.normalize("NFKC", x) for x in texts], dtype=object)
 
-def canonical_name(text: str | None) -> str | None:
-    """An entity's name for comparisons: compatibility form, without vowel points and quotes, folded, words by one blank."""
-    if text is None:
-        return None
-    t = QUOTES.sub("", NIQQUD.sub("", unicodedata.normalize("NFKC", text)))
-    return " ".join(re.sub(r"[^\w]+", " ", t.casefold()).split())
 
+def plain_name(c: Column | str) -> Column:
+    """A name for comparisons: without vowel points and quotes, in one case, words by one blank."""
+    bare = F.regexp_replace(compatible(c), f"{NIQQUD}|{NAME_QUOTES}", "")
+    return F.trim(F.regexp_replace(folded_case(bare), r"[^\p{L}\p{N}_\u0590-\u05FF]+", " "))
 
-def canonical_quote(text: str | None) -> str | None:
-    """A quote for comparisons: compatibility form, one kind of quotes and hyphens, no emphasis, marks or invisible characters."""
-    if text is None:
-        return None
-    t = NIQQUD.sub("", unicodedata.normalize("NFKC", text))
-    t = re.sub("[’‘׳`´]", "'", re.sub("[“”„״«»]", '"', t)).translate(dict.fromkeys(map(ord, "‐‑‒–—־"), "-"))
-    t = re.sub("[​-‏‪-‮⁠-⁩﻿­]", "", t)
-    t = re.sub(r"(?m)^\s*#{1,6}\s+|[*_]{1,3}(?=\S)|(?<=\S)[*_]{1,3}", "", t)
-    return " ".join(t.split()).casefold()
 
+def plain_words(c: Column | str) -> Column:
+    """The words of a text in the form of plain_name."""
+    return F.filter(F.split(plain_name(c), " "), lambda w: w != "")
 
-def prefix_stems(token: str) -> list[str]:
-    """What is left of a Hebrew word without one or two attached letters, where enough is left."""
-    out = []
-    if re.fullmatch("[א-ת]+", token):
-        if len(token) >= 4 and token[0] in PREFIXES:
-            out.append(token[1:])
-        if len(token) >= 5 and token[0] in PREFIXES and token[1] in PREFIXES:
-            out.append(token[2:])
-    return out
 
+def plain_quote(c: Column | str) -> Column:
+    """A quote for comparisons: one kind of quotes and hyphens, without emphasis, heading marks, vowel points and invisible
+    characters, blanks reduced to one, in one case."""
+    t = F.translate(compatible(c), "״“”„׳‘’־", 4 * '"' + 3 * "'" + "-")
+    t = F.regexp_replace(t, r"\*\*|__|~~|`|(?:(?<=\s)|^)#{1,6}(?=\s)|[\u200b-\u200f\u202a-\u202e\u2066-\u2069\ufeff]", "")
+    return folded_case(flat(F.regexp_replace(t, NIQQUD, "")))
 
-def match_keys(name: str) -> list[str]:
-    """The canonical name, and where it is an acronym or has several words, its forms without attached letters."""
-    c = canonical_name(name) or ""
-    keys = [c] if c else []
-    acronym = bool(re.search("[\"״]", name or ""))
-    if c and (acronym or " " in c):
-        first, _, rest = c.partition(" ")
-        for n in (1, 2):
-            if len(first) - n >= 4 and all(x in PREFIXES for x in first[:n]) and re.fullmatch("[א-ת]+", first):
-                keys.append(f"{first[n:]} {rest}".strip())
-    return keys
 
+def _attached(c: Column, n: int) -> Column:
+    """Whether a word begins with n attached letters and has three more at least."""
+    return c.rlike(f"^[{ATTACHED}]{{{n}}}.{{3,}}$")
 
-def index_terms(tokens: list[str]) -> list[str]:
-    """A document's terms: its tokens, and ~stem for every stem of them."""
-    return [x for t in tokens for x in (t, *(f"~{s}" for s in prefix_stems(t)))]
 
+def bare_forms(c: Column) -> Column:
+    """What a word may be without one attached letter, and without two; these are only proposals."""
+    both = F.array(F.when(_attached(c, 1), F.substring(c, F.lit(2), F.length(c))), F.when(_attached(c, 2), F.substring(c, F.lit(3), F.length(c))))
+    return F.filter(both, lambda x: x.isNotNull())
 
-def query_terms(tokens: list[str]) -> list[str]:
-    """A query's terms: its tokens, and as stems both the tokens and their own stems."""
-    return [x for t in tokens for x in (t, f"~{t}", *(y for s in prefix_stems(t) for y in (s, f"~{s}")))]
 
+def document_terms(tokens: Column) -> Column:
+    """A document's terms: its words, and marked with ~ what they may be without attached letters."""
+    return F.flatten(F.transform(tokens, lambda t: F.concat(F.array(t), F.transform(bare_forms(t), lambda x: F.concat(F.lit("~"), x)))))
 
-def token_similarity(a: list[str], b: list[str]) -> float:
-    """Jaccard of two token sets; a token counts as its stem where the stem stands in either of them."""
-    vocabulary = set(a) | set(b)
-    fold = lambda ts: {next((s for s in prefix_stems(t) if s in vocabulary), t) for t in ts}
-    x, y = fold(set(a)), fold(set(b))
-    return len(x & y) / len(x | y) if x | y else 0.0
 
+def question_terms(tokens: Column) -> Column:
+    """A query's terms: its words as they are and marked, and unmarked what they may be without attached letters. A word so meets
+    itself and its own form with letters attached, but not another word that has but the rest in common."""
+    return F.flatten(F.transform(tokens, lambda t: F.concat(F.array(t, F.concat(F.lit("~"), t)), bare_forms(t))))
 
-def _column(f, kind: T.DataType):
-    @F.pandas_udf(kind)
-    def apply(s: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else f(x) for x in s], dtype=object)
 
-    return apply
+def word_similarity(a: Column, b: Column) -> Column:
+    """Jaccard of two arrays of words; a word counts without its attached letters where that form stands in either of them."""
+    known = F.array_union(a, b)
+    own = lambda ws: F.array_distinct(F.transform(ws, lambda t: F.coalesce(F.get(F.filter(bare_forms(t), lambda x: F.array_contains(known, x)), F.lit(0)), t)))
+    x, y = own(a), own(b)
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(x, y)), F.size(F.array_union(x, y))), F.lit(0.0))
 
 
-canonical_name_column = _column(canonical_name, T.StringType())
-canonical_quote_column = _column(canonical_quote, T.StringType())
-match_keys_column = _column(match_keys, T.ArrayType(T.StringType()))
-index_terms_column = _column(lambda x: index_terms(list(x)), T.ArrayType(T.StringType()))
-query_terms_column = _column(lambda x: query_terms(list(x)), T.ArrayType(T.StringType()))
+def name_keys(c: Column | str) -> Column:
+    """The forms under which a name is met: that of plain_name, and where it has several words or quotes in it, the one without
+    the letters attached to its first word."""
+    surface = F.col(c) if isinstance(c, str) else c
+    name = plain_name(surface)
+    first = F.substring_index(name, " ", 1)
+    rest = F.substring(name, F.length(first) + 1, F.length(name))
+    one = F.when((F.length(first) >= 4) & first.rlike(f"^[{ATTACHED}]"), F.substring(first, F.lit(2), F.length(first)))
+    two = F.when((F.length(one) >= 4) & one.rlike(f"^[{ATTACHED}]"), F.substring(one, F.lit(2), F.length(one))).otherwise(one)
+    loose = surface.rlike(NAME_QUOTES) | F.contains(name, F.lit(" "))
+    keys = F.filter(F.array(name, F.when(loose, F.concat(two, rest))), lambda x: x.isNotNull())
+    return F.when(F.coalesce(name, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array_distinct(keys))
 
 
 def locate_quote(text: str, quote: str) -> tuple[int, int] | None:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import datetime
 import json
+import math
 import random
 import time
 import urllib.error
@@ -58,17 +60,22 @@ def may_retry(status: int) -> bool:
 
 
 def retry_delay(attempt: int, retry_after: str | None = None, base: float = 1.0, cap: float = 60.0, jitter: Callable[[], float] = random.random) -> float:
-    """What the server asks for, in seconds or as a date, else base doubled with each attempt and up to a quarter more."""
-    if retry_after:
+    """What the server asks for, in seconds or as a date, where that is a finite time to come; else base doubled with each
+    attempt and up to a quarter more. Never above cap."""
+    asked = math.nan
+    if retry_after is not None:
         try:
-            return max(0.0, min(cap, float(retry_after)))
-        except ValueError:
+            asked = float(retry_after)
+        except (TypeError, ValueError):
             try:
-                return max(0.0, min(cap, parsedate_to_datetime(retry_after).timestamp() - time.time()))
-            except (TypeError, ValueError):
+                at = parsedate_to_datetime(retry_after)
+                asked = (at if at.tzinfo else at.replace(tzinfo=datetime.timezone.utc)).timestamp() - time.time()
+            except (TypeError, ValueError, OverflowError):
                 pass
-    delay = min(cap, base * 2**attempt)
-    return delay * (1 + 0.25 * jitter())
+    if math.isfinite(asked) and asked >= 0:
+        return min(cap, asked)
+    wait = min(cap, base * 2 ** min(attempt, 100))
+    return min(cap, wait * (1 + 0.25 * jitter()))
 
 
 class HttpModel:
@@ -94,21 +101,20 @@ class HttpModel:
                 time.sleep(retry_delay(attempt))
         raise RuntimeError("no attempt")
 
-    def generate(self, prompt: str, schema: dict) -> dict:
-        body = {"model": self.model, "messages": [{"role": "user", "content": prompt}], "response_format": {"type": "json_schema", "json_schema": {"name": "answer", "schema": required_everywhere(schema)}}}
+    def generate(self, prompt: str, schema: dict, required: dict[str, int] | None = None) -> dict:
+        body = {"model": self.model, "messages": [{"role": "user", "content": prompt}], "response_format": {"type": "json_schema", "json_schema": {"name": "answer", "schema": with_required(schema, required)}}}
         text = self.post("/chat/completions", body)["choices"][0]["message"]["content"].strip()
         return json.loads(text.removeprefix("```json").removeprefix("```").removesuffix("```"))
 
 
-def required_everywhere(schema: dict) -> dict:
-    """A JSON schema in which every property of every object is required."""
-    if not isinstance(schema, dict):
+def with_required(schema: dict, fields: dict[str, int] | None) -> dict:
+    """The schema with these of its properties required, arrays among them with so many items at least; the given one stays."""
+    if not fields:
         return schema
-    out = {k: required_everywhere(v) if isinstance(v, dict) else [required_everywhere(x) for x in v] if isinstance(v, list) else v for k, v in schema.items()}
-    if isinstance(schema.get("properties"), dict):
-        out["properties"] = {k: required_everywhere(v) for k, v in schema["properties"].items()}
-        out["required"] = sorted(schema["properties"])
-    return out
+    known = {f: n for f, n in fields.items() if f in schema.get("properties", {})}
+    properties = {k: v | {"minItems": max(known[k], v.get("minItems", 0))} if known.get(k, 0) > 0 and v.get("type") == "array" else v for k, v in schema.get("properties", {}).items()}
+    before = list(schema.get("required", []))
+    return schema | {"properties": properties, "required": before + [f for f in known if f not in before]}
 
 
 def structured_calls(df: DataFrame, key: str, prompt: str, schema: dict, build: Callable[[], StructuredModel] = StubModel) -> DataFrame:
@@ -173,7 +179,7 @@ def embed_in_batches(embedder: Embedder, texts: list[str], batch: int = 100) ->
 
 def embed_missing(texts: DataFrame, text: str, cache: DataFrame, build: Callable[[], Embedder] = HashEmbedder) -> DataFrame:
     """(digest, vector) of the distinct texts that aren't in the cache (digest, vector)."""
-    todo = texts.where(F.col(text).isNotNull()).select(F.sha2(text, 256).alias("digest"), F.substring(F.col(text), 1, 8000).alias("t")).dropDuplicates(["digest"]).join(cache.select("digest"), "digest", "left_anti")
+    todo = texts.where(F.col(text).isNotNull()).select(F.sha2(text, 256).alias("digest"), F.col(text).alias("t")).dropDuplicates(["digest"]).join(cache.select("digest"), "digest", "left_anti")
 
     def embed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e = build()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import canonical_quote_column
+from ..functions.text import plain_quote
 
 
 def _blank(c: str):
@@ -28,27 +28,52 @@ def quote_status(quotes: DataFrame, chunks: DataFrame) -> DataFrame:
     return both.select("quote_id", status.alias("status"))
 
 
-def candidate_grounding(quotes: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(question_id, reason): the first reason why a question's quotes don't ground it, null where they do."""
-    q = quotes.where("question_id IS NOT NULL").select("quote_id", "question_id", "source_id", "quote").distinct()
-    c = chunks.select(F.col("chunk_id").alias("source_id"), "file", "text").distinct().withColumn("known", F.lit(True))
-    rows = q.join(c, "source_id", "left")
-    known = F.col("known").isNotNull()
-    g = rows.groupBy("question_id").agg(
-        F.count("*").alias("quotes"), F.count_if(_blank("source_id")).alias("blank"), F.count_if(~known & ~_blank("source_id")).alias("unknown"),
-        F.count_if(known & ~F.coalesce(F.contains("text", "quote"), F.lit(False))).alias("loose"), F.countDistinct("file").alias("files"),
-    )
+def candidate_grounding(candidates: DataFrame, chunks: DataFrame, key: str = "candidate_id") -> DataFrame:
+    """(key, reason): the first of seventeen reasons why a candidate question isn't grounded in its chunks; null where it is.
+
+    candidates: (key, question, expected_answer, answerable, question_type, source_ids array, claims array, quotes array of
+    (source_id, quote)); null arrays are empty. Quotes are compared as plain_quote, each distinct chunk text put into that form once.
+    """
+    some = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) != ""
+    c = candidates
+    for name, kind in (("source_ids", "array<string>"), ("claims", "array<string>"), ("quotes", "array<struct<source_id: string, quote: string>>")):
+        c = c.withColumn(name, F.coalesce(F.col(name), F.array().cast(kind)))
+    text = chunks.select(F.col("chunk_id").alias("source_id"), "file", "text").dropDuplicates(["source_id"])
+    cited = c.select(key, F.explode(F.array_distinct("source_ids")).alias("source_id")).join(text.select("source_id", "file", F.lit(True).alias("known")), "source_id", "left")
+    cited = cited.groupBy(key).agg(F.count_if(F.col("known").isNull()).alias("unknown"), F.countDistinct("file").alias("files"))
+    told = c.select(key, "source_ids", F.posexplode("quotes").alias("pos", "q")).select(key, "source_ids", "pos", "q.source_id", "q.quote")
+    wanted = text.join(told.select("source_id").distinct(), "source_id", "left_semi").select("source_id", plain_quote("text").alias("text"))
+    told = told.withColumn("quote", plain_quote("quote")).join(wanted, "source_id", "left")
+    inside = (F.length("quote") >= 3) & F.contains("text", "quote")
+    fault = F.when(~F.array_contains("source_ids", F.col("source_id")) | F.col("text").isNull(), "quote_source_mismatch").when(~F.coalesce(inside, F.lit(False)), "quote_not_verbatim")
+    told = told.withColumn("fault", fault).groupBy(key).agg(F.min(F.when(F.col("fault").isNotNull(), F.struct("pos", "fault")))["fault"].alias("fault"), F.collect_set("source_id").alias("quoted"))
+    rows = c.join(cited, key, "left").join(told, key, "left")
+    said = F.filter(F.transform("claims", lambda x: F.trim(x)), lambda x: x != "")
+    n = F.size("source_ids")
+    kind = F.coalesce("question_type", F.lit(""))
+    open_ = (
+        F.when(kind != "unanswerable", "invalid_unanswerable_type").when(n == 0, "missing_source_ids").when(F.size(said) > 0, "unanswerable_has_reference_claims").when(F.size("quotes") > 0, "unanswerable_has_supporting_quotes")
+    )
     reason = (
-        F.when(F.col("blank") > 0, "missing_source_ids").when(F.col("unknown") > 0, "unknown_source_id").when(F.col("loose") > 0, "quote_not_verbatim")
-        .when((F.col("quotes") > 1) & (F.col("files") < 2), "invalid_cross_document_evidence")
+        F.when(~some("question"), "blank_question").when(~some("expected_answer"), "blank_expected_answer").when(n != F.size(F.array_distinct("source_ids")), "duplicate_source_ids")
+        .when(F.coalesce("unknown", F.lit(0)) > 0, "unknown_source_id").when(~F.col("answerable"), open_)
+        .when(kind.isin("personal_basic", "personal_integration", "unanswerable"), "unsupported_question_type").when((n == 0) | (F.size("quotes") == 0), "missing_evidence")
+        .when(F.size(said) == 0, "missing_reference_claims").when(F.size(said) != F.size(F.array_distinct(said)), "duplicate_reference_claims").when(F.col("fault").isNotNull(), F.col("fault"))
+        .when(F.size(F.array_except("source_ids", F.coalesce("quoted", F.array().cast("array<string>")))) > 0, "source_without_quote")
+        .when((kind == "document_wide") & ((n < 2) | (F.col("files") != 1)), "invalid_document_wide_evidence").when((kind == "cross_document") & (F.col("files") < 2), "invalid_cross_document_evidence")
     )
-    return g.select("question_id", reason.alias("reason"))
+    return rows.select(key, reason.alias("reason"))
+
+
+def rejection_counts(rejected: DataFrame) -> DataFrame:
+    """(reason, n) of the rejected candidates."""
+    return rejected.where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n"))
 
 
 def canonical_containment(quotes: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(quote_id, contained) under the canonical form of quotes."""
+    """(quote_id, contained) in the form of plain_quote."""
     both = quotes.select("quote_id", F.col("source_id").alias("chunk_id"), "quote").distinct().join(chunks.select("chunk_id", "text").distinct(), "chunk_id")
-    return both.select("quote_id", F.contains(canonical_quote_column("text"), canonical_quote_column("quote")).alias("contained"))
+    return both.select("quote_id", F.contains(plain_quote("text"), plain_quote("quote")).alias("contained"))
 
 
 def budget_prefix(rows: DataFrame, group: str, order: list[str], text: str, budget: int, marker: str = " [truncated]", separator: int = 2) -> DataFrame:

@@ -9,50 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import canonical_quote, content_id, token_similarity
+from ..functions.text import bare_forms, content_id, plain_words, word_similarity
 from ..models import StructuredModel, StubModel
 from .planning import balanced_windows
 
 
-def rejection(c: dict, chunks: dict[str, str], types: tuple[str, ...] = ("basic_knowledge", "topic_integration", "document_wide", "cross_document")) -> str | None:
-    """The first reason why a candidate isn't grounded in its chunks; null where it is."""
-    ids, quotes, claims = c.get("source_ids") or [], c.get("quotes") or [], c.get("claims") or []
-    if not (c.get("question") or "").strip():
-        return "blank_question"
-    if not (c.get("expected_answer") or "").strip():
-        return "blank_expected_answer"
-    if len(ids) != len(set(ids)):
-        return "duplicate_source_ids"
-    if any(i not in chunks for i in ids):
-        return "unknown_source_id"
-    if not c.get("answerable", True):
-        if c.get("question_type") != "unanswerable":
-            return "invalid_unanswerable_type"
-        if not ids:
-            return "missing_source_ids"
-        return "unanswerable_has_reference_claims" if claims else "unanswerable_has_supporting_quotes" if quotes else None
-    if c.get("question_type") not in types:
-        return "unsupported_question_type"
-    if not ids or not quotes:
-        return "missing_evidence"
-    if not claims:
-        return "missing_reference_claims"
-    if len({x.strip().casefold() for x in claims}) < len(claims):
-        return "duplicate_reference_claims"
-    if any(q.get("source_id") not in ids for q in quotes):
-        return "quote_source_mismatch"
-    if any(canonical_quote(q.get("quote") or "") not in canonical_quote(chunks[q["source_id"]]) or not (q.get("quote") or "").strip() for q in quotes):
-        return "quote_not_verbatim"
-    if {q["source_id"] for q in quotes} != set(ids):
-        return "source_without_quote"
-    files = {i.split("#")[0] for i in ids}
-    if c["question_type"] == "document_wide" and (len(files) != 1 or len(ids) < 2):
-        return "invalid_document_wide_evidence"
-    if c["question_type"] == "cross_document" and len(files) < 2:
-        return "invalid_cross_document_evidence"
-    return None
-
-
 def generate_candidates(chunks: DataFrame, topic: str, order: list[str], per_window: int, schema: dict, build=StubModel) -> DataFrame:
     """(topic, window_no, response): one call for each window of a topic's chunks; a window is a bounded group."""
     rows = balanced_windows(chunks.where("text IS NOT NULL"), topic, order, per_window)
@@ -71,19 +32,19 @@ def generate_candidates(chunks: DataFrame, topic: str, order: list[str], per_win
 
 
 def dedup_in_order(candidates: DataFrame, threshold: float = 0.78) -> DataFrame:
-    """Candidates of a topic in order, without those like an earlier one of it; topics are bounded by their quota."""
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        held, rows = [], []
-        for i, q in zip(pdf.index, pdf["question"]):
-            words = (q or "").lower().split()
-            if not any(token_similarity(words, h) >= threshold for h in held):
-                held.append(words)
-                rows.append(i)
-        return pdf.loc[rows]
-
-    ordered = candidates.select("topic", "pos", "question")
-    return ordered.groupBy("topic").applyInPandas(lambda p: keep(p.sort_values("pos")), "topic string, pos long, question string")
+    """(topic, pos, question): the candidates of a topic in order, without those like an earlier one of it that stays.
+
+    Questions of a topic that share a word are compared (unlike ones share none, and are never similar); the rule that an
+    earlier one decides is resolved in rounds. Questions without a word stay.
+    """
+    from .pairing import meetings
+    from .retrieval import greedy_kept
+
+    rows = candidates.select("topic", "pos", "question", plain_words("question").alias("w"), F.struct("topic", "pos").alias("id"))
+    both = F.array_distinct(F.concat("w", F.flatten(F.transform("w", lambda t: bare_forms(t)))))
+    posts = rows.select("id", "w", F.explode(both).alias("word")).select(F.xxhash64("id.topic", "word").alias("token"), "id", "w")
+    near = meetings(posts).where((F.col("id.topic") == F.col("o_id.topic")) & (word_similarity(F.col("w"), F.col("o_w")) >= threshold)).select(F.col("id").alias("a"), F.col("o_id").alias("b")).distinct()
+    return greedy_kept(rows.select("id", "question"), near, "id").select("id.topic", "id.pos", "question")
 
 
 def merged_in_order(candidates: DataFrame, budget: int) -> DataFrame:

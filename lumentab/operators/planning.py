@@ -15,11 +15,11 @@ def precision_floor(margin: float) -> int:
 
 def largest_remainder(weights: DataFrame, total: int, name: str = "name", weight: str = "weight", minimum: int = 0) -> DataFrame:
     """(name, quota): shares of total in proportion to the weights, at least minimum each, the seats left over by the largest
-    remainders, ties by name. weights has one row for each name, and few."""
+    remainders, ties by name; where all weights are 0, one each by name. weights has one row for each name, and few."""
     rows = weights.select(F.col(name).alias("name"), F.col(weight).cast("double").alias("w"))
     sums = rows.agg(F.sum("w").alias("all"), F.count("*").alias("n"))
     free = F.greatest(F.lit(total) - minimum * F.col("n"), F.lit(0))
-    raw = rows.crossJoin(F.broadcast(sums)).withColumn("raw", F.when(F.col("all") > 0, F.col("w") / F.col("all") * free).otherwise(free / F.col("n")))
+    raw = rows.crossJoin(F.broadcast(sums)).withColumn("raw", F.coalesce(F.try_divide(F.col("w") * free, F.col("all")), F.lit(0.0)))
     based = raw.withColumn("base", F.floor(F.col("raw") + 1e-9)).withColumn("part", F.round(F.col("raw") - F.floor(F.col("raw") + 1e-9), 9))
     left = based.agg((F.first(free) - F.sum("base")).alias("left"))
     place = F.row_number().over(Window.orderBy(F.desc("part"), "name"))
@@ -27,12 +27,14 @@ def largest_remainder(weights: DataFrame, total: int, name: str = "name", weight
 
 
 def divisor_quota(weights: DataFrame, total: int, cap: int, name: str = "name", weight: str = "weight", minimum: int = 1) -> DataFrame:
-    """(name, quota): the minimum first to the heaviest, then seat by seat to the largest weight / (quota + 1) below cap.
+    """(name, quota): the minimum, of the cap at most, first to the heaviest, then seat by seat to the largest weight /
+    (quota + 1) below cap.
 
     As a set: the best quotients of all names are the seats, so that no loop runs.
     """
     rows = weights.select(F.col(name).alias("name"), F.col(weight).cast("double").alias("w")).withColumn("place", F.row_number().over(Window.orderBy(F.desc("w"), "name")))
-    first = F.least(F.lit(minimum), F.greatest(F.lit(0), F.lit(total) - (F.col("place") - 1) * minimum))
+    least = max(0, min(minimum, cap))
+    first = F.least(F.lit(least), F.greatest(F.lit(0), F.lit(total) - (F.col("place") - 1) * least))
     based = rows.withColumn("base", first)
     used = based.agg(F.sum("base").alias("used"))
     seats = based.where(F.col("base") < cap).select("name", "place", F.explode(F.sequence(F.col("base"), F.lit(cap - 1))).alias("k"), "w").withColumn("q", F.col("w") / (F.col("k") + 1))
@@ -41,17 +43,33 @@ def divisor_quota(weights: DataFrame, total: int, cap: int, name: str = "name",
     return based.join(more, "name", "left").select("name", (F.col("base") + F.coalesce("more", F.lit(0))).cast("bigint").alias("quota"))
 
 
-def balanced_windows(rows: DataFrame, group: str, order: list[str], most: int) -> DataFrame:
-    """rows with window_no: contiguous windows of at most `most` rows whose sizes differ by one at most, the larger ones first."""
+def balanced_windows(rows: DataFrame, group: str, order: list[str], most: int, wanted: int | str = 0, per_call: int = 8) -> DataFrame:
+    """rows with window_no: contiguous windows of at most `most` rows whose sizes differ by one at most, the larger ones first.
+
+    There are also as many windows as keep the `wanted` questions of a group (a number, or a column) at per_call for each, though
+    never more than rows.
+    """
     w = Window.partitionBy(group).orderBy(*order)
     n = F.count("*").over(Window.partitionBy(group))
-    k = F.greatest(F.lit(1), F.ceil(n / most))
+    goal = F.col(wanted) if isinstance(wanted, str) else F.lit(wanted)
+    k = F.least(n, F.greatest(F.lit(1), F.ceil(n / max(1, most)), F.ceil(F.greatest(goal, F.lit(0)) / max(1, per_call))))
     small, extra = F.floor(n / k), n % k
     i = F.row_number().over(w) - 1
     big = extra * (small + 1)
     return rows.withColumn("window_no", F.when(i < big, F.floor(i / (small + 1))).otherwise(extra + F.floor((i - big) / F.greatest(small, F.lit(1)))).cast("bigint") + 1)
 
 
+def window_goals(windows: DataFrame, group: str, weight: str, wanted: str) -> DataFrame:
+    """(group, window_no, goal): the wanted questions of a group over its windows in proportion to their weights, what is left
+    over by the largest remainders, ties by window; windows is (group, window_no, weight, wanted)."""
+    own = Window.partitionBy(group)
+    raw = F.coalesce(F.try_divide(F.col(wanted) * F.col(weight).cast("double"), F.sum(F.col(weight).cast("double")).over(own)), F.lit(0.0))
+    rows = windows.withColumn("_raw", F.when(F.col(wanted) > 0, raw).otherwise(0.0)).withColumn("_base", F.floor(F.col("_raw") + 1e-9))
+    left = F.when(F.sum("_raw").over(own) > 0, F.col(wanted) - F.sum("_base").over(own)).otherwise(0)
+    place = F.row_number().over(own.orderBy(F.desc(F.round(F.col("_raw") - F.col("_base"), 9)), "window_no"))
+    return rows.select(group, "window_no", (F.col("_base") + (place <= left).cast("int")).cast("bigint").alias("goal"))
+
+
 def plan_topics(content: DataFrame, coverage: float = 0.35, max_coverage: float = 0.8, claims: float = 3.2, margin: float = 0.2) -> DataFrame:
     """(topic, chunks, units, content, ceiling, canonical, reason): questions a topic's content carries, raised to the precision
     floor where the content allows; content is (topic, units) for each chunk. Halves are rounded to even."""

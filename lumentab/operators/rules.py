@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import canonical_quote, seeded
+from ..functions.text import plain_quote, seeded
 
 # Operators and the field kinds they suit.
 OPERATORS = {"eq": None, "ne": None, "in": ("enum", "text"), "not_in": ("enum", "text"), "lt": ("number", "date"), "lte": ("number", "date"), "gt": ("number", "date"), "gte": ("number", "date")}
@@ -126,19 +126,21 @@ def merge_rules(rules: DataFrame, threshold: float = 0.6) -> DataFrame:
     rules: (rule_id, condition, consequence, exclusive, source_ids, pos). Conditions are few-rule groups by nature.
     """
 
+    columns = rules.columns
+
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         kept: list[dict] = []
         for r in pdf.sort_values(["pos", "rule_id"]).to_dict("records"):
             for k in kept:
-                if canonical_quote(k["consequence"]) == canonical_quote(r["consequence"]) or consequence_similarity(k["consequence"], r["consequence"]) >= threshold:
+                if k["_plain"] == r["_plain"] or consequence_similarity(k["consequence"], r["consequence"]) >= threshold:
                     k["source_ids"] = list(dict.fromkeys([*k["source_ids"], *r["source_ids"]]))
                     k["exclusive"] = bool(k["exclusive"] and r["exclusive"])
                     break
             else:
                 kept.append(r | {"source_ids": list(r["source_ids"])})
-        return pd.DataFrame(kept, columns=pdf.columns)
+        return pd.DataFrame(kept, columns=columns)
 
-    return rules.groupBy("condition").applyInPandas(fold, rules.schema)
+    return rules.withColumn("_plain", plain_quote("consequence")).groupBy("condition").applyInPandas(fold, rules.schema)
 
 
 def rule_faults(candidates: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -107,6 +107,25 @@ def window_split(spark, d):
     return planning.balanced_windows(rows, "file", ["chunk_no", "chunk_id"], 4).select("chunk_id", "window_no")
 
 
+_WINDOWS = """c AS (SELECT DISTINCT file, chunk_no, chunk_id FROM chunks), n AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY chunk_no, chunk_id) - 1 AS i, count(*) OVER (PARTITION BY file) AS n FROM c),
+    k AS (SELECT *, least(n, greatest(1, ceil(n / 4.0), ceil((2 * n + 3) / 8.0)))::bigint AS k FROM n), b AS (SELECT *, n // k AS s, n % k AS e FROM k), w AS (SELECT file, n, chunk_id, CASE WHEN i < e * (s + 1) THEN i // (s + 1) ELSE e + (i - e * (s + 1)) // greatest(s, 1) END + 1 AS window_no FROM b)"""
+
+
+@core.query(
+    f"""WITH {_WINDOWS}, t AS (SELECT chunk_id, max(length(text)) AS size FROM chunks GROUP BY 1), g AS (SELECT w.file, window_no, sum(coalesce(size, 0))::double AS weight, any_value(2 * n + 3) AS wanted FROM w JOIN t ON w.chunk_id IS NOT DISTINCT FROM t.chunk_id GROUP BY 1, 2),
+    r AS (SELECT *, CASE WHEN sum(weight) OVER (PARTITION BY file) > 0 THEN wanted * weight / sum(weight) OVER (PARTITION BY file) ELSE 0 END AS raw FROM g), f AS (SELECT *, floor(raw + 1e-9) AS base FROM r),
+    l AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY round(raw - base, 9) DESC, window_no) AS place, CASE WHEN sum(raw) OVER (PARTITION BY file) > 0 THEN wanted - sum(base) OVER (PARTITION BY file) ELSE 0 END AS left_over FROM f)
+    SELECT file, window_no, (base + (place <= left_over)::int)::bigint AS goal FROM l"""
+)
+def window_goals(spark, d):
+    """Two questions for each chunk of a file and three more, over its windows by the length of their texts."""
+    rows = table(spark, d, "chunks").groupBy("file", "chunk_no", "chunk_id").agg(F.max(F.length("text")).alias("size"))
+    n = rows.groupBy("file").agg((2 * F.count("*") + 3).alias("wanted"))
+    windows = planning.balanced_windows(rows.join(n, rows["file"].eqNullSafe(n["file"])).drop(n["file"]), "file", ["chunk_no", "chunk_id"], 4, "wanted")
+    g = windows.groupBy("file", "window_no").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("weight"), F.max("wanted").alias("wanted"))
+    return planning.window_goals(g, "file", "weight", "wanted")
+
+
 @core.query(
     """WITH w AS (SELECT question_type AS name, count(*) AS weight, (SELECT count(DISTINCT file) FROM chunks) AS files FROM results WHERE question_type IN ('basic_knowledge', 'topic_integration', 'document_wide', 'cross_document') GROUP BY 1),
     f AS (SELECT name, weight::double AS w FROM w WHERE name <> 'cross_document' OR files >= 2), s AS (SELECT sum(w) AS a FROM f), r AS (SELECT name, w / a * 40 AS raw FROM f, s),
@@ -122,10 +141,10 @@ def type_targets(spark, d):
 
 
 def _units_sql():
-    from .text_queries import RESTORE, W, protect
+    from .text_queries import FLAT, RESTORE, W, units_sql
 
-    return rf"""u AS (SELECT source AS topic, doc_id, unnest(regexp_split_to_array({protect("regexp_replace(text, '[*_`#>]+', ' ', 'g')")}, '[.!?;]|\n+|\|')) AS x FROM documents WHERE text IS NOT NULL AND source IS NOT NULL),
-    ww AS (SELECT topic, doc_id, regexp_extract_all(lower({RESTORE.format('x')}), '{W}') AS w FROM u), un AS (SELECT topic, doc_id, count(DISTINCT CASE WHEN len(w) >= 4 THEN array_to_string(w, ' ') END) AS units FROM ww GROUP BY 1, 2)"""
+    return rf"""u AS (SELECT source AS topic, doc_id, text, unnest({units_sql()}) AS x FROM documents WHERE text IS NOT NULL AND source IS NOT NULL),
+    ww AS (SELECT topic, doc_id, text, regexp_extract_all(replace(lower({RESTORE.format('x')}), 'ß', 'ss'), '{W}') AS w FROM u), un AS (SELECT topic, doc_id, CASE WHEN {FLAT.format('any_value(text)')} = '' THEN 0 ELSE greatest(1, count(DISTINCT CASE WHEN len(w) >= 4 THEN array_to_string(w, ' ') END)) END AS units FROM ww GROUP BY 1, 2)"""
 
 
 @core.query(
@@ -135,13 +154,13 @@ def _units_sql():
 )
 def plan_topics(spark, d):
     docs = table(spark, d, "documents").where("text IS NOT NULL AND source IS NOT NULL")
-    return planning.plan_topics(docs.select(F.col("source").alias("topic"), F.size(X.statements(F.col("text"))).cast("bigint").alias("units")))
+    return planning.plan_topics(docs.select(F.col("source").alias("topic"), X.information_units(F.col("text")).cast("bigint").alias("units")))
 
 
 @core.query(f"WITH {_units_sql()}, r AS (SELECT units, row_number() OVER (ORDER BY units) - 1 AS i, count(*) OVER () AS n FROM un) SELECT units AS median FROM r WHERE i = n // 2")
 def median_units(spark, d):
     docs = table(spark, d, "documents").where("text IS NOT NULL AND source IS NOT NULL")
-    return planning.upper_median(docs.select(F.size(X.statements(F.col("text"))).cast("bigint").alias("units")), "units")
+    return planning.upper_median(docs.select(X.information_units(F.col("text")).cast("bigint").alias("units")), "units")
 
 
 @core.query("SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (ORDER BY turn, source) AS n FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY sha256('7:' || doc_id), doc_id) AS turn FROM documents WHERE source IS NOT NULL)) WHERE n <= 100")

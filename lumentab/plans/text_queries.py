@@ -24,9 +24,14 @@ def protect(c: str) -> str:
 RESTORE = "translate({0}, '" + "".join(chr(0xE000 + i) for i in range(4)) + "', '.!?;')"
 
 
+BL = r"[ \t\n\x0B\f\r]"
+FLAT = "trim(regexp_replace({0}, '" + BL + "+', ' ', 'g'))"
+PUA = "".join(chr(0xE000 + i) for i in range(4))
+
+
 @core.query(
     rf"""WITH p AS (SELECT doc_id, text, unnest(regexp_split_to_array({protect('text')}, '[.!?;]|\n+')) AS x FROM documents WHERE text IS NOT NULL),
-    c AS (SELECT doc_id, trim(regexp_replace(trim({RESTORE.format('x')}), '^([-*•–]|[0-9]{{1,3}}[.)])\s+', '')) AS claim FROM p)
+    c AS (SELECT doc_id, {FLAT.format("regexp_replace(" + RESTORE.format('x') + ", '^" + BL + "*(?:[-*•·]|[0-9]+[.)]|[א-ת][.)])" + BL + "*', '')")} AS claim FROM p)
     SELECT DISTINCT doc_id, claim FROM c WHERE regexp_matches(claim, '[\p{{L}}\p{{N}}]')"""
 )
 def derived_claims(spark, d):
@@ -35,14 +40,20 @@ def derived_claims(spark, d):
     return docs.select("doc_id", F.explode(X.derived_claims(F.col("text"))).alias("claim")).where(F.col("claim").rlike(r"[\p{L}\p{N}]"))
 
 
+def units_sql(text: str = "text") -> str:
+    """The parts of a text between the ends of statements; a digit's full stop is set aside, and so is looked for by its stand-in."""
+    plain = f"regexp_replace({text}, '\\*\\*|__|`|#{{1,6}}[ \\t\\n\\r\\f]', ' ', 'g')"
+    return f"regexp_split_to_array({protect(plain)}, '[.!?;]|\\n+|[ \\t\\n\\r\\f][-–•▪][ \\t\\n\\r\\f]|[ \\t\\n\\r\\f][0-9]+[{chr(0xE000)}.)][ \\t\\n\\r\\f]|\\|')"
+
+
 @core.query(
-    rf"""WITH p AS (SELECT doc_id, unnest(regexp_split_to_array({protect("regexp_replace(text, '[*_`#>]+', ' ', 'g')")}, '[.!?;]|\n+|\|')) AS x FROM documents WHERE text IS NOT NULL),
-    w AS (SELECT doc_id, regexp_extract_all(lower({RESTORE.format('x')}), '{W}') AS w FROM p),
+    rf"""WITH p AS (SELECT doc_id, unnest({units_sql()}) AS x FROM documents WHERE text IS NOT NULL),
+    w AS (SELECT doc_id, regexp_extract_all(replace(lower({RESTORE.format('x')}), 'ß', 'ss'), '{W}') AS w FROM p),
     n AS (SELECT doc_id, count(DISTINCT array_to_string(w, ' ')) AS units FROM w WHERE len(w) >= 4 GROUP BY doc_id)
-    SELECT d.doc_id, coalesce(n.units, 0) AS units FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id WHERE d.text IS NOT NULL"""
+    SELECT d.doc_id, CASE WHEN {FLAT.format('d.text')} = '' THEN 0 ELSE greatest(coalesce(n.units, 0), 1) END AS units FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id WHERE d.text IS NOT NULL"""
 )
 def information_units(spark, d):
-    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.size(X.statements(F.col("text"))).cast("bigint").alias("units"))
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", X.information_units(F.col("text")).cast("bigint").alias("units"))
 
 
 @core.query(
@@ -106,25 +117,88 @@ def quote_contains(spark, d):
     return evidence.quote_status(table(spark, d, "evidence_quotes"), table(spark, d, "chunks"))
 
 
+# compatibility forms of the characters that the tables have: full-width forms, two ligatures, accents apart from their letters
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
+_NARROW = "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
+_QUOTES = "'[\"''׳״‘’“”`]|[\u0591-\u05C7]'"
+
+
+def nfk(x: str) -> str:
+    return f"nfc_normalize(replace(replace(replace(translate({x}, '{_WIDE}', '{_NARROW}'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), '…', '...'))"
+
+
+def ss(x: str) -> str:
+    return f"replace(lower({x}), 'ß', 'ss')"
+
+
+def plain_quote_sql(x: str) -> str:
+    t = f"translate({nfk(x)}, '״“”„׳‘’־', '" + '"' * 4 + "' || chr(39) || chr(39) || chr(39) || '-')"
+    t = rf"regexp_replace({t}, '\*\*|__|~~|`|[\x{{200b}}-\x{{200f}}\x{{202a}}-\x{{202e}}\x{{2066}}-\x{{2069}}\x{{feff}}]', '', 'g')"
+    t = rf"regexp_replace({t}, '(^|\s)#{{1,6}}(\s)', '\1\2', 'g')"
+    return ss(FLAT.format("@").replace("@", f"regexp_replace({t}, '[֑-ׇ]', '', 'g')"))
+
+
 @core.query(
-    """WITH q AS (SELECT DISTINCT quote_id, question_id, source_id, quote FROM evidence_quotes WHERE question_id IS NOT NULL), c AS (SELECT DISTINCT chunk_id, file, text FROM chunks),
-    g AS (SELECT question_id, count(*) AS quotes, count(*) FILTER (q.source_id IS NULL OR trim(q.source_id) = '') AS blank, count(*) FILTER (c.chunk_id IS NULL AND trim(coalesce(q.source_id, '')) <> '') AS unknown,
-    count(*) FILTER (c.chunk_id IS NOT NULL AND NOT coalesce(contains(c.text, q.quote), false)) AS loose, count(DISTINCT c.file) AS files FROM q LEFT JOIN c ON q.source_id = c.chunk_id GROUP BY 1)
-    SELECT question_id, CASE WHEN blank > 0 THEN 'missing_source_ids' WHEN unknown > 0 THEN 'unknown_source_id' WHEN loose > 0 THEN 'quote_not_verbatim' WHEN quotes > 1 AND files < 2 THEN 'invalid_cross_document_evidence' END AS reason FROM g"""
+    f"""WITH r AS (SELECT result_no, max(question) AS question, max(expected_answer) AS expected_answer, max(answerable) AS answerable, max(question_type) AS question_type, max(reference_claims) AS reference_claims, max(supporting_quotes) AS supporting_quotes, max(reference_sources) AS reference_sources FROM results GROUP BY result_no),
+    c AS (SELECT result_no AS id, question, expected_answer, coalesce(lower(trim(answerable)) NOT IN ('false', '0', 'no', 'n'), true) AS answerable, coalesce(question_type, '') AS kind,
+    list_filter(string_split(coalesce(reference_sources, ''), ';'), lambda x: trim(x) <> '') AS s0, CASE WHEN json_valid(reference_claims) AND json_type(reference_claims) = 'ARRAY' THEN list_filter(list_transform(from_json(reference_claims, '["VARCHAR"]'), lambda x: trim(x)), lambda x: x <> '') ELSE [] END AS said,
+    CASE WHEN json_valid(supporting_quotes) AND json_type(supporting_quotes) = 'ARRAY' THEN from_json(supporting_quotes, '[{{"source_id": "VARCHAR", "quote": "VARCHAR"}}]') ELSE [] END AS quotes FROM r),
+    k AS (SELECT * REPLACE (list_transform(s0, lambda x: trim(x)) AS s0) FROM c), t AS (SELECT chunk_id, any_value(file) AS file, any_value(text) AS text FROM chunks GROUP BY 1),
+    ci AS (SELECT id, count(*) FILTER (t.chunk_id IS NULL) AS unknown, count(DISTINCT file) AS files FROM (SELECT DISTINCT id, unnest(s0) AS s FROM k) LEFT JOIN t ON s = t.chunk_id GROUP BY 1),
+    qu AS (SELECT id, s0, generate_subscripts(quotes, 1) AS pos, unnest(quotes) AS q FROM k),
+    qf AS (SELECT id, pos, q.source_id AS s, CASE WHEN NOT list_contains(s0, q.source_id) OR t.text IS NULL THEN 'quote_source_mismatch' WHEN NOT coalesce(length({plain_quote_sql('q.quote')}) >= 3 AND contains({plain_quote_sql('t.text')}, {plain_quote_sql('q.quote')}), false) THEN 'quote_not_verbatim' END AS fault FROM qu LEFT JOIN t ON q.source_id = t.chunk_id),
+    qg AS (SELECT id, min_by(fault, pos) FILTER (fault IS NOT NULL) AS fault, list(DISTINCT s) AS quoted FROM qf GROUP BY 1)
+    SELECT k.id AS candidate_id, CASE WHEN coalesce(trim(question), '') = '' THEN 'blank_question' WHEN coalesce(trim(expected_answer), '') = '' THEN 'blank_expected_answer' WHEN len(s0) <> len(list_distinct(s0)) THEN 'duplicate_source_ids'
+    WHEN coalesce(unknown, 0) > 0 THEN 'unknown_source_id' WHEN NOT answerable THEN CASE WHEN kind <> 'unanswerable' THEN 'invalid_unanswerable_type' WHEN len(s0) = 0 THEN 'missing_source_ids' WHEN len(said) > 0 THEN 'unanswerable_has_reference_claims' WHEN len(quotes) > 0 THEN 'unanswerable_has_supporting_quotes' END
+    WHEN kind IN ('personal_basic', 'personal_integration', 'unanswerable') THEN 'unsupported_question_type' WHEN len(s0) = 0 OR len(quotes) = 0 THEN 'missing_evidence' WHEN len(said) = 0 THEN 'missing_reference_claims' WHEN len(said) <> len(list_distinct(said)) THEN 'duplicate_reference_claims'
+    WHEN fault IS NOT NULL THEN fault WHEN len(list_filter(s0, lambda x: NOT list_contains(quoted, x))) > 0 THEN 'source_without_quote' WHEN kind = 'document_wide' AND (len(s0) < 2 OR files <> 1) THEN 'invalid_document_wide_evidence' WHEN kind = 'cross_document' AND files < 2 THEN 'invalid_cross_document_evidence' END AS reason
+    FROM k LEFT JOIN ci ON k.id = ci.id LEFT JOIN qg ON k.id = qg.id"""
 )
 def candidate_grounding(spark, d):
-    return evidence.candidate_grounding(table(spark, d, "evidence_quotes"), table(spark, d, "chunks"))
+    """The results as candidate questions: why each isn't grounded in the chunks."""
+    names = ("question", "expected_answer", "answerable", "question_type", "reference_claims", "supporting_quotes", "reference_sources")
+    rows = table(spark, d, "results").groupBy(F.col("result_no").alias("candidate_id")).agg(*[F.max(c).alias(c) for c in names])
+    listed = lambda c, kind: F.when(F.json_array_length(c).isNotNull(), F.from_json(c, kind))
+    c = rows.select(
+        "candidate_id", "question", "expected_answer", F.coalesce(~F.lower(F.trim("answerable")).isin(*validation.FALSE), F.lit(True)).alias("answerable"), "question_type",
+        F.filter(F.transform(F.split(F.coalesce("reference_sources", F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != "").alias("source_ids"),
+        listed("reference_claims", "array<string>").alias("claims"), listed("supporting_quotes", "array<struct<source_id: string, quote: string>>").alias("quotes"),
+    )
+    return evidence.candidate_grounding(c, table(spark, d, "chunks"))
 
 
 @core.query(
-    r"""WITH e AS (SELECT result_no, trim(regexp_replace(error, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS e, trim(regexp_replace(answer, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' ') AS a FROM results)
-    SELECT result_no, CASE WHEN coalesce(e, '') <> '' THEN CASE WHEN length(e) > 240 THEN substr(e, 1, 240) || '…' ELSE e END WHEN coalesce(a, '') = '' THEN 'empty_answer' WHEN contains(lower(a), 'spike arrest violation') THEN 'rate_limited'
-    WHEN regexp_matches(lower(a), '^\{.*"(?:error|fault)"') THEN CASE WHEN length(a) > 225 THEN substr('fault payload: ' || a, 1, 240) || '…' ELSE 'fault payload: ' || a END END AS reason FROM e"""
+    f"""WITH e AS (SELECT result_no, coalesce({FLAT.format('error')}, '') AS e, coalesce({FLAT.format('answer')}, '') AS a FROM results)
+    SELECT result_no, CASE WHEN e <> '' THEN 'stored_error: ' || substr(e, 1, 240) || CASE WHEN length(e) > 240 THEN '…' ELSE '' END WHEN a = '' THEN '{validation.EMPTY_ERROR}' WHEN a = '{validation.PLACEHOLDER}' THEN '{validation.PLACEHOLDER_ERROR}'
+    WHEN contains(lower(a), 'spike arrest violation') THEN '{validation.THROTTLED_ERROR}' WHEN (starts_with(a, '{{') OR starts_with(a, '[')) AND (contains(lower(a), chr(39) || 'fault' || chr(39)) OR contains(lower(a), '"fault"') OR contains(lower(a), 'errorcode') OR contains(lower(a), 'faultstring')) THEN '{validation.FAULT_ERROR}' ELSE '' END AS reason FROM e"""
 )
 def import_errors(spark, d):
     return table(spark, d, "results").select("result_no", validation.import_error(F.col("answer"), F.col("error")).alias("reason"))
 
 
+_TV = "lower(trim({0})) NOT IN ('true', '1', 'yes', 'y', 'false', '0', 'no', 'n')"
+
+
+@core.query(
+    f"""WITH r AS (SELECT result_no, id, question, expected_answer, nullif(trim(answerable), '') AS a, lower(nullif(trim(expected_behavior), '')) AS b, lower(nullif(trim(question_form), '')) AS f, nullif(trim(reference_claims), '') AS rc, nullif(trim(supporting_quotes), '') AS sq FROM results),
+    n AS (SELECT *, CASE WHEN {_TV.format('a')} THEN 'answerable is no truth value' WHEN rc IS NOT NULL AND NOT (json_valid(rc) AND json_type(rc) = 'ARRAY') THEN 'reference_claims is no JSON array' WHEN sq IS NOT NULL AND NOT (json_valid(sq) AND json_type(sq) = 'ARRAY') THEN 'supporting_quotes is no JSON array' END AS pf,
+    coalesce(CASE WHEN lower(a) IN ('true', '1', 'yes', 'y') THEN true WHEN lower(a) IN ('false', '0', 'no', 'n') THEN false END, b IS NULL OR b <> 'abstain') AS ans, CASE WHEN json_valid(rc) AND json_type(rc) = 'ARRAY' THEN json_array_length(rc) ELSE 0 END AS held FROM r),
+    m AS (SELECT *, coalesce(b, CASE WHEN ans THEN 'answer' ELSE 'abstain' END) AS beh FROM n), v AS (SELECT *, coalesce(f, CASE WHEN beh = 'clarify' THEN 'ambiguous' ELSE 'canonical' END) AS form FROM m),
+    x AS (SELECT result_no, unnest([pf, CASE WHEN coalesce(trim(id), '') = '' THEN 'blank_id' END, CASE WHEN coalesce(trim(question), '') = '' THEN 'blank_question' END, CASE WHEN coalesce(trim(expected_answer), '') = '' THEN 'blank_expected_answer' END,
+    CASE WHEN form = 'broad' AND beh <> 'answer' THEN 'broad_without_answer' END, CASE WHEN beh = 'answer' AND NOT ans THEN 'answer_not_answerable' END, CASE WHEN beh = 'clarify' AND (NOT ans OR form <> 'ambiguous') THEN 'clarify_not_ambiguous' END, CASE WHEN beh = 'clarify' AND held > 0 THEN 'clarify_with_claims' END,
+    CASE WHEN beh = 'abstain' AND ans THEN 'abstain_answerable' END, CASE WHEN beh = 'abstain' AND held > 0 THEN 'abstain_with_claims' END]) AS fault FROM v)
+    SELECT result_no::varchar AS record, fault FROM x WHERE fault IS NOT NULL UNION ALL SELECT id, 'duplicate_id' FROM (SELECT id FROM results WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1)"""
+)
+def question_set_faults(spark, d):
+    """The results as a question set: every rule that a record breaks, and the ids that stand twice."""
+    rows = validation.normalized_payload(table(spark, d, "results"))
+    named = rows.withColumn("record", F.col("result_no").cast("string"))
+    own = validation.question_set_faults(named.withColumn("_blank_id", F.trim(F.coalesce("id", F.lit(""))) == ""), "record").where("fault <> 'duplicate_id'")
+    blank = named.where(F.trim(F.coalesce("id", F.lit(""))) == "").select("record", F.lit("blank_id").alias("fault"))
+    again = validation.duplicate_ids(rows, "id").select(F.col("id").alias("record"), F.lit("duplicate_id").alias("fault"))
+    return own.unionByName(blank).unionByName(again)
+
+
 @core.query("SELECT id, count(*) AS n FROM results WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1")
 def duplicate_ids(spark, d):
     return validation.duplicate_ids(table(spark, d, "results"), "id")
@@ -139,23 +213,46 @@ def strict_booleans(spark, d):
     return table(spark, d, "results").select("result_no", validation.strict_boolean(c, True).alias("answerable"), validation.boolean_fault(c).alias("fault"))
 
 
-@core.query(f"""SELECT term, count(*) AS df, sum(tf)::bigint AS cf FROM (SELECT doc_id, t AS term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{W}')) AS t FROM documents WHERE text IS NOT NULL) GROUP BY 1, 2) GROUP BY 1""")
+# words in the form of names, and what they may be without attached letters
+_P = "[והבלכמש]"
+
+
+def tokens_sql(x: str) -> str:
+    return f"regexp_extract_all({ss(f'regexp_replace({x}, {_QUOTES}, {chr(39)}{chr(39)}, {chr(39)}g{chr(39)})')}, " + r"'[\p{L}\p{N}_\x{0590}-\x{05FF}]+')"
+
+
+def _bare(mark: str) -> str:
+    return f"CASE WHEN regexp_matches(t, '^{_P}{{2}}.{{3,}}$') THEN [{mark}substr(t, 2), {mark}substr(t, 3)] WHEN regexp_matches(t, '^{_P}.{{3,}}$') THEN [{mark}substr(t, 2)] ELSE []::varchar[] END"
+
+
+def doc_terms(x: str) -> str:
+    return f"flatten(list_transform({tokens_sql(x)}, lambda t: list_concat([t], {_bare(chr(39) + '~' + chr(39) + ' || ')})))"
+
+
+def ask_terms(x: str) -> str:
+    return f"flatten(list_transform({tokens_sql(x)}, lambda t: list_concat([t, '~' || t], {_bare('')})))"
+
+
+@core.query(f"""SELECT term, count(*) AS df, sum(tf)::bigint AS cf FROM (SELECT doc_id, t AS term, count(*) AS tf FROM (SELECT doc_id, unnest({doc_terms('text')}) AS t FROM documents WHERE text IS NOT NULL) GROUP BY 1, 2) GROUP BY 1""")
 def term_stats(spark, d):
+    """How many documents have a term, and how often it stands in them; Hebrew words also without attached letters."""
     return retrieval.term_stats(retrieval.postings(table(spark, d, "documents"), "doc_id", "text"))
 
 
-BM25_SQL = f"""p AS (SELECT doc, t AS term, count(*) AS tf, any_value(n) AS length FROM (SELECT doc, len(w) AS n, unnest(w) AS t FROM (SELECT %s AS doc, regexp_extract_all(lower(text), '{W}') AS w FROM %s)) GROUP BY 1, 2),
+def bm25_sql(doc: str, text: str, source: str, ask: str, asked: str) -> str:
+    """p, dl, s, f, q, sc: postings, lengths, size, frequencies, queries and scores; asked gives (query, qt)."""
+    return f"""p AS (SELECT doc, t AS term, count(*) AS tf, any_value(n) AS length FROM (SELECT doc, len(w) AS n, unnest(w) AS t FROM (SELECT {doc} AS doc, {doc_terms(text)} AS w FROM {source})) GROUP BY 1, 2),
     dl AS (SELECT doc, any_value(length) AS length FROM p GROUP BY 1), s AS (SELECT count(*)::double AS n, avg(length) AS average FROM dl), f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
-    q AS (SELECT DISTINCT query, unnest(regexp_extract_all(lower(qt), '{W}')) AS term FROM (%s)),
+    q AS (SELECT DISTINCT query, unnest({ask_terms(ask)}) AS term FROM ({asked})),
     sc AS (SELECT query, doc, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / average))), 6) AS score FROM q JOIN p USING (term) JOIN f USING (term), s GROUP BY 1, 2)"""
 
 
 @core.query(
-    "WITH " + BM25_SQL % ("chunk_id", "(SELECT DISTINCT chunk_id, text FROM chunks WHERE text IS NOT NULL)", "SELECT DISTINCT quote_id AS query, quote AS qt FROM evidence_quotes WHERE quote_id % 20 = 0 AND quote IS NOT NULL")
+    "WITH " + bm25_sql("chunk_id", nfk("text"), "(SELECT DISTINCT chunk_id, text FROM chunks WHERE text IS NOT NULL)", nfk("qt"), "SELECT DISTINCT quote_id AS query, quote AS qt FROM evidence_quotes WHERE quote_id % 20 = 0 AND quote IS NOT NULL")
     + ", r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM sc) SELECT query, doc, score, rank FROM r WHERE rank <= 10"
 )
 def bm25_topk(spark, d):
-    """Every twentieth quote as a query against all chunks."""
+    """Every twentieth quote as a query against all chunks; words meet also where one has letters attached."""
     chunks = table(spark, d, "chunks").where("text IS NOT NULL").select("chunk_id", "text").distinct()
     quotes = table(spark, d, "evidence_quotes").where("quote_id % 20 = 0").select("quote_id", "quote").distinct()
     return retrieval.bm25_top_k(chunks, "chunk_id", "text", quotes, "quote_id", "quote").withColumn("rank", F.col("rank").cast("bigint"))
@@ -168,13 +265,13 @@ DENSE_SQL = "dn AS (SELECT a.vec_id AS query, b.vec_id AS doc, round(list_cosine
 def dense_topk(spark, d):
     """Every twentieth vector as a query against all vectors."""
     e = table(spark, d, "embeddings")
-    return retrieval.top_k(retrieval.dense_scores(e, e.where("vec_id % 20 = 0"), "vec_id", "embedding"), 10).withColumn("rank", F.col("rank").cast("bigint"))
+    return retrieval.dense_top_k(e, e.where("vec_id % 20 = 0"), "vec_id", "embedding").withColumn("rank", F.col("rank").cast("bigint"))
 
 
 @core.query(
-    "WITH " + BM25_SQL % ("doc_id", "(SELECT doc_id, text FROM documents JOIN embeddings ON doc_id = vec_id WHERE text IS NOT NULL)", "SELECT doc_id AS query, text AS qt FROM documents JOIN embeddings ON doc_id = vec_id WHERE doc_id % 20 = 0 AND text IS NOT NULL")
+    "WITH " + bm25_sql("doc_id", "text", "(SELECT doc_id, text FROM documents JOIN embeddings ON doc_id = vec_id WHERE text IS NOT NULL)", "qt", "SELECT doc_id AS query, text AS qt FROM documents JOIN embeddings ON doc_id = vec_id WHERE doc_id % 20 = 0 AND text IS NOT NULL")
     + f", {DENSE_SQL}, l AS (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM sc UNION ALL SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) FROM dn),"
-    " fu AS (SELECT query, doc, round(sum(1.0 / (60 + rank)), 9) AS score FROM l GROUP BY 1, 2), z AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM fu) SELECT * FROM z WHERE rank <= 10"
+    " fu AS (SELECT query, doc, round(sum(1.0 / (60 + rank)), 9) AS score FROM l WHERE rank <= 1000 GROUP BY 1, 2), z AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS rank FROM fu) SELECT * FROM z WHERE rank <= 10"
 )
 def rrf_fusion(spark, d):
     """Lexical and dense ranks of the documents that have a vector, fused; every twentieth one is a query."""
@@ -188,11 +285,13 @@ def rrf_fusion_all(spark, d):
     return fused(table(spark, d, "documents"), table(spark, d, "embeddings"))
 
 
-def fused(docs, e):
-    """(query, doc, score, rank): the ten best by lexical rank among docs and dense rank among the vectors e."""
-    everything = 1 << 30
-    lexical = retrieval.bm25_top_k(docs, "doc_id", "text", docs.where("doc_id % 20 = 0"), "doc_id", "text", everything)
-    dense = retrieval.top_k(retrieval.dense_scores(e, e.where("vec_id % 20 = 0"), "vec_id", "embedding"), everything)
+def fused(docs, e, depth: int = 1000):
+    """(query, doc, score, rank): the ten best by lexical rank among docs and dense rank among the vectors e.
+
+    Every document and vector is ranked; a rank beyond depth, which would add less than 1 / (60 + depth), adds nothing.
+    """
+    lexical = retrieval.bm25_top_k(docs, "doc_id", "text", docs.where("doc_id % 20 = 0"), "doc_id", "text", depth)
+    dense = retrieval.dense_top_k(e, e.where("vec_id % 20 = 0"), "vec_id", "embedding", depth)
     return retrieval.fuse([lexical, dense], 10).withColumn("rank", F.col("rank").cast("bigint"))
 
 
@@ -226,8 +325,17 @@ def record_digest(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit("\0"), F.coalesce("text", F.lit(""))), 256).alias("digest"))
 
 
-@core.query()
+_CANON = f"trim(regexp_replace({ss(f'regexp_replace(entity, {_QUOTES}, {chr(39)}{chr(39)}, {chr(39)}g{chr(39)})')}, " + r"'[^\p{L}\p{N}_\x{0590}-\x{05FF}]+', ' ', 'g'))"
+
+
+@core.query(
+    f"""WITH e AS (SELECT DISTINCT node_id, entity, {_CANON} AS c FROM (SELECT node_id, unnest(entities) AS entity FROM graph_nodes) WHERE entity IS NOT NULL),
+    f AS (SELECT *, split_part(c, ' ', 1) AS t, regexp_matches(entity, {_QUOTES.split('|')[0]}') OR contains(c, ' ') AS loose FROM e), g AS (SELECT *, CASE WHEN loose AND length(t) >= 4 AND regexp_matches(t, '^[והבלכמש]') THEN substr(t, 2) END AS one FROM f),
+    h AS (SELECT *, CASE WHEN length(one) >= 4 AND regexp_matches(one, '^[והבלכמש]') THEN substr(one, 2) ELSE one END AS two FROM g)
+    SELECT node_id, entity, c AS canonical, CASE WHEN c = '' THEN '' ELSE array_to_string(list_sort(list_distinct(list_filter([c, two || substr(c, length(t) + 1)], lambda x: x IS NOT NULL))), '|') END AS match_keys FROM h"""
+)
 def canonical_entities(spark, d):
-    """Canonical names and match keys of the nodes' entities, by Unicode functions SQL lacks; checked on literals."""
+    """Names of the nodes' entities in one form, and the keys under which they are met; the compatibility forms that SQL lacks are
+    the texts themselves here, and checked on literals."""
     rows = table(spark, d, "graph_nodes").select("node_id", F.explode("entities").alias("entity")).where("entity IS NOT NULL").distinct()
-    return rows.select("node_id", "entity", X.canonical_name_column("entity").alias("canonical"), F.array_join(X.match_keys_column("entity"), "|").alias("match_keys"))
+    return rows.select("node_id", "entity", X.plain_name("entity").alias("canonical"), F.array_join(F.array_sort(X.name_keys("entity")), "|").alias("match_keys"))

@@ -17,14 +17,28 @@ def test_claims_do_not_split_beside_digits(spark):
     df = one(spark, t="Pays 3.5 units. Needs form B! is 100. Next\n- a line")
     got = df.select(text.derived_claims(F.col("t")).alias("c")).first()["c"]
     assert got == ["Pays 3.5 units", "Needs form B", "is 100. Next", "a line"]
+    df = one(spark, t="·one  two\n(א.שלוש\n2)four\nא.חמש\n– six")
+    assert df.select(text.derived_claims(F.col("t")).alias("c")).first()["c"] == ["one two", "(א", "שלוש", "four", "א", "חמש", "– six"]
+    assert one(spark, t=" ... ").select(text.derived_claims(F.col("t")).alias("c")).first()["c"] == ["..."]
 
 
-def test_hebrew_prefixes():
-    assert text.prefix_stems("והכלב") == ["הכלב", "כלב"]
-    assert text.prefix_stems("שלו") == []
-    assert text.token_similarity(["בבית"], ["בית"]) == 1.0
-    assert text.token_similarity(["בבית"], ["ובית"]) < 1.0  # only the remainder is shared
-    assert text.canonical_name("  It's  “Fine” ") == "its fine"
+def test_hebrew_words(spark):
+    forms = lambda w: one(spark, w=w).select(text.bare_forms(F.col("w")).alias("f")).first()["f"]
+    assert forms("והכלב") == ["הכלב", "כלב"] and forms("שלו") == [] and forms("abcd") == []
+    like = lambda a, b: one(spark, a=a, b=b).select(text.word_similarity(F.col("a"), F.col("b")).alias("s")).first()["s"]
+    assert like(["בבית"], ["בית"]) == 1.0 and like(["בבית", "x"], ["ובית", "x"]) < 1.0  # only the remainder is shared
+    names = spark.createDataFrame([("  It's  “Fine” ",), ("ｃａｆé ﬁle",), ("Straße",), (None,)], "n string").select(text.plain_name("n").alias("p")).collect()
+    assert [r["p"] for r in names] == ["its fine", "café file", "strasse", None]
+    keys = lambda n: one(spark, n=n).select(text.name_keys("n").alias("k")).first()["k"]
+    assert keys('ולמע"מ') == ["ולמעמ", "מעמ"] and keys("שכר") == ["שכר"] and keys("ולשכר הוגן") == ["ולשכר הוגן", "שכר הוגן"]
+
+
+def test_words_that_share_only_a_remainder_do_not_meet(spark):
+    from lumentab.operators import retrieval
+
+    docs = spark.createDataFrame([(1, "המורה לימד"), (2, "הורה אחד"), (3, "לעובד"), (4, "other words")], "id long, t string")
+    ask = lambda q: {r["doc"] for r in retrieval.bm25_top_k(docs, "id", "t", spark.createDataFrame([(9, q)], "q long, t string"), "q", "t").collect()}
+    assert ask("הורה") == {2} and ask("עובד") == {3} and ask("מורה") == {1} and ask("nothing") == set()
 
 
 def test_locate_quote():
@@ -59,7 +73,12 @@ def test_blocks_and_packing():
     packed = chunking.packed([f"block {i} " + "x" * 40 for i in range(9)] + ["y" * 250], 120, 60)
     assert all(len(x) <= 120 for *_, x in packed)
     assert [a for a, *_ in packed] == sorted(a for a, *_ in packed)
-    assert {n for a, b, _ in packed for n in range(a, b + 1)} == set(range(1, 11))
+    assert {n for a, b, _ in packed for n in range(a, b + 1)} == set(range(1, 9 + len(range(0, 250, 60)) + 1))  # pieces, each in a chunk
+    assert chunking.blocks("a\x0bb\n\n c:\n") == ["a b", "c:"]
+    # where going back would begin at the chunk itself, the next begins behind it
+    assert [x[:2] for x in chunking.packed(["a" * 10, "b" * 10, "c" * 90], 100, 30)] == [(1, 2), (3, 3)]
+    assert [x[:2] for x in chunking.packed(["a" * 60, "b" * 10, "c" * 90], 100, 30)] == [(1, 2), (2, 2), (3, 3)]
+    assert [x[:2] for x in chunking.packed(["a" * 60, "b" * 10, "c" * 60], 100, 30)] == [(1, 2), (2, 3)]
     assert chunking.page_sections("lead <!-- page: 1 --> one <!-- page: 2 --> two") == [("page 1", "lead\n\none"), ("page 2", "two")]
 
 
@@ -87,6 +106,14 @@ def test_covering_and_repair():
 def test_planning_rules(spark):
     assert planning.precision_floor(0.2) == 25 and planning.precision_floor(0) == 0
     w = spark.createDataFrame([("a", 5.0), ("b", 3.0), ("c", 1.0)], "name string, weight double")
+    zero = w.withColumn("weight", F.lit(0.0))
+    assert {r["name"]: r["quota"] for r in planning.largest_remainder(zero, 5, minimum=1).collect()} == {"a": 2, "b": 2, "c": 1}
+    assert {r["name"]: r["quota"] for r in planning.divisor_quota(w, 9, 2, minimum=5).collect()} == {"a": 2, "b": 2, "c": 2}
+    rows = spark.createDataFrame([("f", i) for i in range(7)], "f string, i long")
+    assert planning.balanced_windows(rows, "f", ["i"], 5, wanted=30).select("window_no").distinct().count() == 4
+    assert planning.balanced_windows(rows, "f", ["i"], 5, wanted=900).select("window_no").distinct().count() == 7
+    goals = planning.window_goals(spark.createDataFrame([("f", 1, 1.0, 5), ("f", 2, 1.0, 5), ("g", 1, 0.0, 5)], "f string, window_no long, w double, n int"), "f", "w", "n")
+    assert sorted(map(tuple, goals.collect())) == [("f", 1, 3), ("f", 2, 2), ("g", 1, 0)]
     assert sum(r["quota"] for r in planning.largest_remainder(w, 10).collect()) == 10
     got = {r["name"]: r["quota"] for r in planning.divisor_quota(w, 9, 9).collect()}
     q = {"a": 1, "b": 1, "c": 1}
@@ -142,13 +169,54 @@ def test_pages():
     assert pages.page_markdown([("Big", 18, False), ("one", 11, False), ("two", 11, False), ("• x", 11, False)], 11).startswith("# Big\n\none two\n\n- x")
 
 
-def test_rejections():
-    chunks = {"f#chunk-1": "The fund pays 20 units.", "f#chunk-2": "It ends in May."}
-    good = {"question": "q", "expected_answer": "a", "answerable": True, "question_type": "basic_knowledge", "source_ids": ["f#chunk-1"], "claims": ["c"], "quotes": [{"source_id": "f#chunk-1", "quote": "pays  20 units"}]}
-    assert generation.rejection(good, chunks) is None
-    assert generation.rejection(good | {"quotes": [{"source_id": "f#chunk-1", "quote": "pays 21"}]}, chunks) == "quote_not_verbatim"
-    assert generation.rejection(good | {"question_type": "cross_document"}, chunks) == "invalid_cross_document_evidence"
-    assert generation.rejection(good | {"source_ids": ["g#chunk-1"]}, chunks) == "unknown_source_id"
+def test_grounding(spark):
+    from lumentab.operators import evidence
+
+    chunks = spark.createDataFrame([("f#1", "f", "The fund **pays** 20 units."), ("f#2", "f", "It ends in May."), ("g#1", "g", "It begins in June.")], "chunk_id string, file string, text string")
+    q1, q2, q3 = ("f#1", "pays  20 units"), ("f#2", "ends in may"), ("g#1", "It begins")
+    good = ("q", "a", True, "basic_knowledge", ["f#1"], ["c"], [q1])
+    cases = {
+        None: good, "blank_question": (" ", *good[1:]), "blank_expected_answer": ("q", None, *good[2:]), "duplicate_source_ids": (*good[:4], ["f#1", "f#1"], ["c"], [q1]), "unknown_source_id": (*good[:4], ["z"], ["c"], [q1]),
+        "invalid_unanswerable_type": ("q", "a", False, *good[3:]), "missing_source_ids": ("q", "a", False, "unanswerable", [], [], []), "unanswerable_has_reference_claims": ("q", "a", False, "unanswerable", ["f#1"], ["c"], []),
+        "unanswerable_has_supporting_quotes": ("q", "a", False, "unanswerable", ["f#1"], None, [q1]), "unsupported_question_type": ("q", "a", True, "personal_basic", *good[4:]), "missing_evidence": (*good[:6], None), "missing_reference_claims": (*good[:5], [" "], [q1]),
+        "duplicate_reference_claims": (*good[:5], ["c", "c "], [q1]), "quote_source_mismatch": (*good[:6], [q2]), "quote_not_verbatim": (*good[:6], [("f#1", "pays 21 units")]), "source_without_quote": (*good[:4], ["f#1", "f#2"], ["c"], [q1]),
+        "invalid_document_wide_evidence": (*good[:3], "document_wide", ["f#1"], ["c"], [q1]), "invalid_cross_document_evidence": (*good[:3], "cross_document", ["f#1", "f#2"], ["c"], [q1, q2]),
+    }
+    fine = [(*good[:3], "document_wide", ["f#1", "f#2"], ["c"], [q1, q2]), (*good[:3], "cross_document", ["f#1", "g#1"], ["c"], [q1, q3]), ("q", "a", False, "unanswerable", ["f#1"], None, None)]
+    rows = [(i, *c) for i, c in enumerate([*cases.values(), *fine])]
+    df = spark.createDataFrame(rows, "candidate_id long, question string, expected_answer string, answerable boolean, question_type string, source_ids array<string>, claims array<string>, quotes array<struct<source_id: string, quote: string>>")
+    got = {r["candidate_id"]: r["reason"] for r in evidence.candidate_grounding(df, chunks).collect()}
+    assert [got[i] for i in range(len(rows))] == [*cases, None, None, None]
+    assert {r["n"] for r in evidence.rejection_counts(evidence.candidate_grounding(df, chunks)).collect()} == {1}
+
+
+def test_dedup_in_order(spark):
+    rows = [("t", 1, "the old red house stands here today"), ("t", 2, "the old red house stands here now today"), ("t", 3, "something else"), ("u", 1, "the old red house stands here today"), ("t", 4, ""), ("t", 5, "something else")]
+    got = generation.dedup_in_order(spark.createDataFrame(rows, "topic string, pos long, question string"))
+    assert sorted((r["topic"], r["pos"]) for r in got.collect()) == [("t", 1), ("t", 3), ("t", 4), ("u", 1)]
+
+
+def test_import_errors(spark):
+    from lumentab.operators import validation
+
+    rows = [("fine", None), ("fine", " quota  gone "), ("", None), (validation.PLACEHOLDER.replace(" ", "  "), ""), ("got a Spike Arrest Violation", None), ("[{'fault': 1}]", None), ('{"x": "errorCode"}', None), ('{"x": 1}', None), ("x", "e" * 300)]
+    df = spark.createDataFrame(rows, "answer string, error string")
+    got = [r[0] for r in df.select(validation.import_error(F.col("answer"), F.col("error"))).collect()]
+    assert got[:8] == ["", "stored_error: quota gone", validation.EMPTY_ERROR, validation.PLACEHOLDER_ERROR, validation.THROTTLED_ERROR, validation.FAULT_ERROR, validation.FAULT_ERROR, ""]
+    assert got[8] == "stored_error: " + "e" * 240 + "…"
+
+
+def test_retry_delays():
+    from lumentab.models import retry_delay, with_required
+
+    most = lambda: 1.0
+    assert retry_delay(10, None, jitter=most) == 60.0 and retry_delay(0, None, jitter=most) == 1.25
+    assert retry_delay(0, "7") == 7.0 and retry_delay(0, "700") == 60.0
+    for bad in ("nan", "-3", "inf", "soon", "Wed, 01 Jan 2020 00:00:00 GMT"):
+        assert retry_delay(1, bad, jitter=lambda: 0.0) == 2.0
+    schema = {"properties": {"a": {"type": "array"}, "b": {"type": "string"}}, "required": ["b"]}
+    assert with_required(schema, {"a": 2, "z": 1}) == {"properties": {"a": {"type": "array", "minItems": 2}, "b": {"type": "string"}}, "required": ["b", "a"]}
+    assert schema["required"] == ["b"]
 
 
 def test_fusion_ranks_documents_without_a_vector(spark, tmp_path):
