@@ -5,11 +5,11 @@ a word of their prefixes (the first |s| - ceil(t |s|) + 1 words). Candidates mus
 
 1. rare words first, frequent ones by frequency: the key under which records meet. Where the key would be a frequent word, it
    is made of the first two common words instead: both stand in the prefix made longer by one, so that no pair is lost;
-2. and 3. two independent hash orders over all words. A record carries its prefix under each as a bitmap of 64 places; where
+2. and 3. two independent hash orders over all words. A record carries its prefix under each as a bitmap of 32 places; where
    the bitmaps of two records have no place in common, neither have the prefixes.
 
 All filters meet where the records do, before any text is fetched: the sizes, the two prefix bitmaps, and a third bitmap, the
-parity of the words at each of 128 hash values, which differs in at most as many places as the sets do in words. What is left
+parity of the words at each of 64 hash values, which differs in at most as many places as the sets do in words. What is left
 is verified on the words themselves.
 
 A key of more than `block` classes is split: its classes are dealt into blocks, and each pair of blocks is a key of its own,
@@ -52,16 +52,16 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _prefix_map(flat: np.ndarray, row: np.ndarray, at: np.ndarray, most: np.ndarray, seed: int) -> np.ndarray:
-    """For each set the places, of 64, of the hashes of its first `most` words in the hash order of seed."""
+    """For each set the places, of 32, of the hashes of its first `most` words in the hash order of seed."""
     order = _mix(np.full(len(flat), seed), flat)
     by = np.lexsort((order, row))
     kept = np.arange(len(flat)) - at[row] < most[row]  # by keeps the rows where they are
-    place = np.where(kept, np.uint64(1) << (order[by] & np.uint64(63)), np.uint64(0))
-    return np.bitwise_or.reduceat(place, at).view(np.int64)
+    place = np.where(kept, np.uint64(1) << (order[by] & np.uint64(31)), np.uint64(0))
+    return np.bitwise_or.reduceat(place, at)
 
 
 def postings(classes: DataFrame, threshold: float, share: float, heavy: int) -> DataFrame:
-    """(token, class_id, size, b0, b1, p2, p3): the keys of order 1 of each class, with its size and bitmaps."""
+    """(token, class_id, size, words, prefixes): the keys of order 1 of each class, with its size and bitmaps."""
     hashed = classes.select("class_id", F.transform(F.split("words", " "), lambda w: F.xxhash64(w)).alias("set"))
     frequent, counts, n = frequent_tokens(hashed, "set", share)
     hot = np.sort(frequent[counts >= heavy])
@@ -75,11 +75,10 @@ def postings(classes: DataFrame, threshold: float, share: float, heavy: int) ->
             flat = np.concatenate(sets)
             row = np.repeat(np.arange(len(sets)), size)
             at = np.cumsum(size) - size
-            bit = flat.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(57)  # 0..127
-            one = np.uint64(1) << (bit & np.uint64(63))
+            one = np.uint64(1) << (flat.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(58))
             slack = size - np.ceil(threshold * size - 1e-9).astype(np.int64)
-            maps = {f"b{half}": np.bitwise_xor.reduceat(np.where(bit >> np.uint64(6) == half, one, np.uint64(0)), at).view(np.int64) for half in (0, 1)}
-            maps |= {f"p{seed}": _prefix_map(flat, row, at, slack + 1, seed) for seed in (2, 3)}
+            maps = {"words": np.bitwise_xor.reduceat(one, at).view(np.int64)}
+            maps["prefixes"] = (_prefix_map(flat, row, at, slack + 1, 2) << np.uint64(32) | _prefix_map(flat, row, at, slack + 1, 3)).view(np.int64)
             ids = b["class_id"].to_numpy()
 
             def posted(r: np.ndarray, key: np.ndarray, size=size, maps=maps, ids=ids) -> pd.DataFrame:
@@ -107,7 +106,7 @@ def postings(classes: DataFrame, threshold: float, share: float, heavy: int) ->
                     window = flat[(at[part] + cold[part])[:, None] + np.arange(w)]
                     yield posted(np.repeat(part, len(i)), _mix(window[:, i].ravel().view(np.uint64), window[:, j].ravel().view(np.uint64)))
 
-    return hashed.mapInPandas(keys, "token long, class_id long, size int, b0 long, b1 long, p2 long, p3 long")
+    return hashed.mapInPandas(keys, "token long, class_id long, size int, words long, prefixes long")
 
 
 def _near(a: DataFrame, b: DataFrame, on: list[str], threshold: float, distinct_blocks: Column) -> DataFrame:
@@ -115,19 +114,19 @@ def _near(a: DataFrame, b: DataFrame, on: list[str], threshold: float, distinct_
     fields = [c for c in a.columns if c not in on]
     both = a.join(b.select(*on, *[F.col(c).alias(f"o_{c}") for c in fields]), on)
     x, y = F.col("size"), F.col("o_size")
-    apart = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"o_{c}"))) for c in ("b0", "b1")), F.lit(0))
+    apart = F.bit_count(F.col("words").bitwiseXOR(F.col("o_words")))
     kept = (x >= threshold * y - 1e-9) & (y >= threshold * x - 1e-9) & (apart <= (x + y) * ((1 - threshold) / (1 + threshold)) + 1e-9)
-    for c in ("p2", "p3"):
-        kept = kept & (F.col(c).bitwiseAND(F.col(f"o_{c}")) != 0)
+    common = F.col("prefixes").bitwiseAND(F.col("o_prefixes"))
+    kept = kept & (F.shiftrightunsigned(common, 32) != 0) & (common.bitwiseAND(F.lit(0xFFFFFFFF)) != 0)
     met = both.where((distinct_blocks | (F.col("class_id") < F.col("o_class_id"))) & kept)
     return met.select(F.least("class_id", "o_class_id").alias("class_a"), F.greatest("class_id", "o_class_id").alias("class_b"))
 
 
 def candidates(classes: DataFrame, threshold: float, share: float, heavy: int, block: int) -> DataFrame:
     """(class_a, class_b), class_a < class_b, of all pairs of classes that pass the filters of all three orders."""
-    # shuffled once, by key: the counts, the join with them and the pairs of the keys of one block stay in their partitions
-    routed = postings(classes, threshold, share, heavy).repartition("token")
+    routed = staged(postings(classes, threshold, share, heavy), "neardup-postings")  # read for the counts, and on either side
     large = routed.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > block).select("token", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    large = staged(large, "neardup-large-keys")
     small = routed.join(large, "token", "left_anti")
     near = _near(small, small, ["token"], threshold, F.lit(False))
     dealt = routed.join(large, "token").withColumn("own", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
