@@ -133,10 +133,11 @@ def similar_classes(classes: DataFrame, threshold: float, across: bool = False,
             yield pd.DataFrame({"token": flat[order][keep], "class_id": b["class_id"].to_numpy()[r], "side": b["side"].to_numpy()[r], "set": [sets[i] for i in r]})
 
     parts = max(spark.sparkContext.defaultParallelism, math.ceil(4 * n / per_partition))
-    # shuffled once, by token: the counts, the join with them and the merge of all tokens of one block stay in their partitions
-    routed = classes.select("class_id", "side", "set").mapInPandas(prefixes, "token long, class_id long, side int, set array<long>").repartition(parts, "token")
+    routed = staged(classes.select("class_id", "side", "set").mapInPandas(prefixes, "token long, class_id long, side int, set array<long>"), "set-postings")
     large = routed.groupBy("token").agg(F.count("*").alias("_n")).where(F.col("_n") > block).select("token", F.ceil(F.col("_n") / block).cast("int").alias("_blocks"))
-    small = routed.join(large, "token", "left_anti").select(F.lit(0).alias("part"), "class_id", "side", "set")
+    large = staged(large, "set-large-tokens")
+    # all of a token of one block, and of many more tokens, is one partition
+    small = routed.join(large, "token", "left_anti").repartition(parts, "token").select(F.lit(0).alias("part"), "class_id", "side", "set")
     dealt = routed.join(large, "token")
     mine = F.pmod(F.hash("class_id", "side"), F.col("_blocks"))
     # a record of block i meets block j in the partition (i, j), i <= j
