@@ -19,6 +19,7 @@ from __future__ import annotations
 import functools
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
@@ -658,11 +659,14 @@ def page_units(lines: DataFrame, salts: int = 16) -> DataFrame:
 def chunk_units(chunks: DataFrame) -> DataFrame:
     """The same for the chunks: a unit is a chunk, its lines those of its text; lines that run through the chunks of a file
     are found by their skeletons."""
-    rows = chunks.where("chunk_id IS NOT NULL AND text IS NOT NULL").groupBy("chunk_id").agg(F.min("file").alias("file"), F.collect_set("text").alias("t")).select("chunk_id", "file", F.explode("t").alias("text"))
+    some = chunks.where("chunk_id IS NOT NULL AND text IS NOT NULL").select("chunk_id", "file", "text")
+    # moved once, by chunk: repeated rows and the join with what runs through the file stay in their partitions
+    rows = some.repartition("chunk_id").distinct()
     parts = F.split("text", "\n")
     short = F.filter(parts, lambda x: (F.length(x) <= 70) & (F.length(F.trim(x)) > 3) & ~x.rlike(r"[.!?:;,]\s*$|^\s*\p{Ll}"))
-    lone = rows.where(F.contains("text", F.lit("\n"))).select("chunk_id", "file", F.explode(F.array_distinct(F.transform(short, skeleton_column))).alias("skeleton")).where("length(skeleton) >= 6")
-    often = lone.groupBy("file", "skeleton").agg(F.countDistinct("chunk_id").alias("n")).where("n >= 2")
+    lone = some.where(F.contains("text", F.lit("\n"))).select("chunk_id", "file", F.explode(F.array_distinct(F.transform(short, skeleton_column))).alias("skeleton")).where("length(skeleton) >= 6")
+    one = F.xxhash64("chunk_id")  # two chunks at least
+    often = lone.groupBy("file", "skeleton").agg(F.min(one).alias("a"), F.max(one).alias("b")).where("a <> b").select("file", "skeleton")
     running = lone.join(often, ["file", "skeleton"]).groupBy("chunk_id").agg(F.collect_set("skeleton").alias("running"))
     units = rows.join(running, "chunk_id", "left")
     return units.select(
@@ -722,6 +726,17 @@ def chunk_roles(texts: list[str], running: set[str]) -> list[str | None]:
     return roles
 
 
+_MODELS: dict[str, tuple[Model, dict[int, bool]]] = {}
+
+
+def kept_model(name: str, shared) -> tuple[Model, dict[int, bool]]:
+    """The model of a scan, and what is known of its words: a worker keeps both from task to task, those of the last scan only."""
+    if name not in _MODELS:
+        _MODELS.clear()
+        _MODELS[name] = (Model(*shared.value), {})
+    return _MODELS[name]
+
+
 def doubtful_lines(model: Model, lines: list[str], known: dict[int, bool]) -> list[bool]:
     """Whether each line has a word that may be misread; known keeps what is known of words, by their hashes."""
     out = np.zeros(len(lines), bool)
@@ -747,10 +762,10 @@ def scan_units(units: DataFrame, model: Model, repaired: bool = True) -> DataFra
     """(kind, unit, file, page, noise: array of (key, noise), paragraphs, continues) of each unit; paragraphs, and whether the last
     one goes on in the next page of the file, only where repaired is asked."""
     shared = units.sparkSession.sparkContext.broadcast((model.words, model.pairs, model.shapes, model.total))
+    name = uuid.uuid4().hex
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Model(*shared.value)
-        known: dict[int, bool] = {}
+        own, known = kept_model(name, shared)
         for b in batches:
             units_of = []
             for kind, unit, keys, texts, flags, running in zip(*[b[c] for c in ("kind", "unit", "keys", "texts", "flags", "running")]):
