@@ -170,6 +170,20 @@ def _digits_and_capitals() -> tuple[np.ndarray, np.ndarray]:
     return digit, capital
 
 
+@functools.cache
+def _lower_and_shapes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By code point: its lower case (0 where that is longer), the character of its shape, whether it is a lower-case letter."""
+    low, form, small = np.arange(0x110000, dtype=np.uint32), np.arange(0x110000, dtype=np.uint32), np.zeros(0x110000, bool)
+    for cp in range(0x32400):
+        if not 0xD800 <= cp < 0xE000:
+            c = chr(cp)
+            to = c.lower()
+            low[cp] = ord(to) if len(to) == 1 else 0
+            form[cp] = ord(_SHAPES[cp])
+            small[cp] = c.islower()
+    return low, form, small
+
+
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -190,13 +204,30 @@ def tokens_of(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     word[2:-2] |= ((kind[1:-1] == 2) & (kind[:-2] == 1) & (kind[2:] == 1)).view(np.int8) if len(points) > 2 else 0
     turn = np.diff(word)
     start, end = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
+    return points, start, end, span_hashes(points, start, end), np.searchsorted(np.flatnonzero(points == 10), start)
+
+
+def span_hashes(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each stretch of points, by running sums of their products with powers."""
     power, back = _powers(len(points))
     sums = np.concatenate([[np.uint64(0)], np.cumsum((points + np.uint64(1)) * power[: len(points)])])
     h = (sums[end] - sums[start]) * back[start]
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(32)
-    return points, start, end, h, np.searchsorted(np.flatnonzero(points == 10), start)
+    return h ^ (h >> np.uint64(32))
+
+
+def word_hashes(words: list[str]) -> np.ndarray:
+    """span_hashes of whole words, ascending."""
+    points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    end = np.cumsum([len(w) for w in words], dtype=np.int64)
+    return np.unique(span_hashes(points, np.concatenate([[0], end[:-1]]).astype(np.int64), end)) if words else np.zeros(0, np.uint64)
+
+
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
 
 
 def distinct(hashes: np.ndarray) -> tuple[np.ndarray, list[int], np.ndarray]:
@@ -222,6 +253,26 @@ class Model:
             self.shapes_of.setdefault(len(x), []).append((x, n))
         self.coarse = {coarse(w) for w in words if len(w) > 1}
 
+    @functools.cached_property
+    def misreadings(self) -> np.ndarray:
+        """Hashes of all that one confusion makes of the frequent words."""
+        found = {w[:i] + a + w[i + len(b) :] for w in self.words for a, b in CONFUSIONS for i in range(len(w) - len(b) + 1) if w.startswith(b, i)}
+        return word_hashes(sorted(found))
+
+    @functools.cached_property
+    def known_words(self) -> np.ndarray:
+        return word_hashes(sorted(self.words))
+
+    @functools.cached_property
+    def safe_words(self) -> np.ndarray:
+        """Of these, the ones so frequent that they stand for nothing else."""
+        return word_hashes(sorted(w for w, n in self.words.items() if n * 50 > self.most))
+
+    @functools.cached_property
+    def sound_shapes(self) -> np.ndarray:
+        """Hashes of the shapes so frequent that a code of them is never doubted."""
+        return word_hashes(sorted(x for x, n in self.shapes.items() if 25 * n >= self.most_shape))
+
     def pair(self, a: str, b: str) -> int:
         return int(self.pairs[pair_bucket(a, b)])
 
@@ -733,35 +784,61 @@ def kept_model(name: str, shared) -> tuple[Model, dict[int, bool]]:
     """The model of a scan, and what is known of its words: a worker keeps both from task to task, those of the last scan only."""
     if name not in _MODELS:
         _MODELS.clear()
-        _MODELS[name] = (Model(*shared.value), {})
+        *counts, misreadings = shared.value
+        own = Model(*counts)
+        own.misreadings = misreadings  # made once, for all workers
+        _MODELS[name] = (own, {})
     return _MODELS[name]
 
 
+def may_be_doubtful(model: Model, points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """False for words of which Model.doubtful is surely false: all at once, by hashes of their lower case and shape."""
+    digit, capital = _digits_and_capitals()
+    low, form, small = _lower_and_shapes()
+    count = lambda flags: np.concatenate([[0], np.cumsum(flags)])
+    within = lambda sums: sums[end] - sums[start]
+    lower = low[points]
+    digits, capitals, smalls, letters = (within(count(x)) for x in (digit[points], capital[points], small[points], (_kinds()[points] == 1) & ~digit[points]))
+    odd = within(count(lower == 0)) > 0  # what has a longer lower case is looked at by itself
+    key = span_hashes(lower, start, end)
+    # codes and numbers: a letter among digits in a shape that is frequent, or no letter at all
+    code = (letters > 0) & ~((letters == 1) & (digits >= 2) & _among(span_hashes(form[points], start, end), model.sound_shapes))
+    # words: one confusion away from a frequent one, or of one case, where two confusions count, or with I and l in odd places
+    one_case = ((capitals == 0) & (smalls > 0)) | ((smalls == 0) & (capitals > 0))
+    marks = count(points == ord("I"))
+    known = _among(key, model.known_words)
+    word = _among(key, model.misreadings) | (one_case & ~_among(key, model.safe_words)) | (marks[end] - marks[np.minimum(start + 1, end)] > 0) | ((lower[start] == ord("l")) & ~known)
+    return np.where(digits > 0, code, word) | odd
+
+
 def doubtful_lines(model: Model, lines: list[str], known: dict[int, bool]) -> list[bool]:
     """Whether each line has a word that may be misread; known keeps what is known of words, by their hashes."""
     out = np.zeros(len(lines), bool)
     text = "\n".join([x.replace("\n", " ") for x in lines]) + "\n"
     points, start, end, h, line = tokens_of(text)
-    if len(start):
-        code, values, first = distinct(h)
-        if len(known) > 1_000_000:
-            known.clear()
-        # a number without letters is beyond doubt
-        digit, _ = _digits_and_capitals()
-        digits = np.concatenate([[0], np.cumsum(digit[points])])
-        first = np.asarray(first)
-        plain = digits[end[first]] - digits[start[first]] == end[first] - start[first]
-        for v, i, number in zip(values, first.tolist(), plain.tolist()):
-            if not number and v not in known:
-                known[v] = model.doubtful(text[start[i] : end[i]])
-        out[line[np.array([known.get(v, False) for v in values], bool)[code]]] = True
+    if not len(start):
+        return out.tolist()
+    code, values, first = distinct(h)
+    # the distinct words, one after the other
+    size = end[first] - start[first]
+    at = np.cumsum(size) - size
+    ask = np.flatnonzero(may_be_doubtful(model, points[np.repeat(start[first] - at, size) + np.arange(size.sum())], at, at + size))
+    if len(known) > 1_000_000:
+        known.clear()
+    doubt = np.zeros(len(values), bool)
+    for k, a, e in zip(ask.tolist(), start[first[ask]].tolist(), end[first[ask]].tolist()):
+        v = values[k]
+        if v not in known:
+            known[v] = model.doubtful(text[a:e])
+        doubt[k] = known[v]
+    out[line[doubt[code]]] = True
     return out.tolist()
 
 
 def scan_units(units: DataFrame, model: Model, repaired: bool = True) -> DataFrame:
     """(kind, unit, file, page, noise: array of (key, noise), paragraphs, continues) of each unit; paragraphs, and whether the last
     one goes on in the next page of the file, only where repaired is asked."""
-    shared = units.sparkSession.sparkContext.broadcast((model.words, model.pairs, model.shapes, model.total))
+    shared = units.sparkSession.sparkContext.broadcast((model.words, model.pairs, model.shapes, model.total, model.misreadings))
     name = uuid.uuid4().hex
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -66,6 +66,14 @@ def test_channel_and_coarse_key():
     assert scannoise.channel("house", "mouse") == float("-inf")
 
 
+@given(st.lists(st.text(alphabet="clarkIiLl1O0rnmE7.-ß", min_size=1, max_size=9), min_size=1, max_size=9))
+@settings(max_examples=400, deadline=None)
+def test_no_doubt_is_lost(words):
+    m = model()
+    lines = [" ".join(words), "the clesk of marn, C205.37"]
+    assert scannoise.doubtful_lines(m, lines, {}) == [any(m.doubtful(w) for w in scannoise.WORD.findall(x)) for x in lines]
+
+
 @given(st.lists(st.text(alphabet="aB9é-'’.,| \n\tא", max_size=40), max_size=8))
 @settings(max_examples=300, deadline=None)
 def test_words_in_arrays(lines):
