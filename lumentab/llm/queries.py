@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..plans.catalog import Catalog
 from ..session import table
-from . import langid, lookalike, mixing, neardup, packing, pairs, scannoise, setsim, splitting
+from . import langid, lookalike, mixing, neardup, oracles, packing, pairs, scannoise, setsim, splitting
 
 llm = Catalog()
 
@@ -16,7 +16,7 @@ def p1_found(spark, d):
     return pairs.flag_pairs(table(spark, d, "results")).where("defect is not null").select("result_no", "defect").distinct()
 
 
-@llm.query()
+@llm.query(oracles.oversized())
 def p2_found(spark, d):
     made = splitting.split_oversized(table(spark, d, "chunks"), table(spark, d, "split_limits"))
     return made.where("piece_no = 1").select("chunk_id", "boundary").distinct()
@@ -34,7 +34,7 @@ def _sets(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@llm.query()
+@llm.query(oracles.similar_sets())
 def p3_found(spark, d):
     return setsim.similar_pairs(_sets(spark, d), 0.6)
 
@@ -58,7 +58,7 @@ def p3_between(spark, d):
     return setsim.similar_between(setsim.set_records(nodes, "node_id", "entities", 5, "terms"), setsim.set_records(edges, "edge_id", "shared", 5, "terms"), 0.6)
 
 
-@llm.query()
+@llm.query(oracles.near_duplicates())
 def p4_found(spark, d):
     return neardup.near_duplicate_pairs(table(spark, d, "results")).toDF("result_a", "result_b")
 
@@ -87,7 +87,7 @@ def p5_paragraphs(spark, d):
     return rows.select("kind", "unit", "file", "page", "paragraph_no", "text", (F.col("continues") & (F.col("paragraph_no") == F.col("n"))).alias("continues"))
 
 
-@llm.query()
+@llm.query(oracles.lookalike_quotes())
 def p6_found(spark, d):
     return lookalike.lookalike_quotes(table(spark, d, "evidence_quotes"), table(spark, d, "chunks"))
 
