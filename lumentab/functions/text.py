@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WORD = r"[\p{L}\p{N}_]+"
-BLANKS = "[ \\t\\n\\x0B\\f\\r]"
+BLANKS = r"[ \t\n\x0B\f\r\x1C-\x1F\x85\xA0  -     　]"  # fixed value: white space
 # a terminator with no digit on either side, or line breaks
 CLAIM_END = r"(?<![0-9])[.!?;](?![0-9])|\n+"
 # the same, or a bullet, a number of a list, a cell's border

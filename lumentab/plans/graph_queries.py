@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -35,14 +36,66 @@ def spine_edges(spark, d):
     return graph.spine_edges(table(spark, d, "chunks"))
 
 
-@core.query()
+@core.query(
+    f"""WITH RECURSIVE {EDGES}, eb AS (SELECT src AS a, dst AS b FROM ed UNION SELECT dst, src FROM ed), n AS (SELECT DISTINCT node_id AS id FROM graph_nodes WHERE node_id IS NOT NULL),
+    r AS (SELECT id, id AS root FROM n UNION SELECT b, root FROM r JOIN eb ON r.id = a) SELECT id, min(root) AS component FROM r GROUP BY 1"""
+)
 def components(spark, d):
-    """Connected components under edges of at least two shared entities; checked against a union-find on fixtures, as SQL's
-    recursion is too slow on whole tables."""
+    """Connected components under edges of at least two shared entities."""
     nodes = table(spark, d, "graph_nodes").where("node_id IS NOT NULL").select(F.col("node_id").alias("id"))
     return graph.components(nodes, _edges(spark, d))
 
 
+CHUNK_KEYS = KEYS.replace("node_id", "chunk_id")
+
+
+@core.query(
+    f"""WITH e AS ({CHUNK_KEYS.format('entities')}), p AS ({CHUNK_KEYS.format('keyphrases')}), n AS (SELECT id, count(*) AS n FROM p GROUP BY 1), c AS (SELECT a.id AS src, b.id AS dst, count(*) AS c FROM p a JOIN p b ON a.k = b.k AND a.id < b.id GROUP BY 1, 2)
+    SELECT a.id AS src, b.id AS dst, 'shared_entity' AS type, count(*)::double AS weight FROM e a JOIN e b ON a.k = b.k AND a.id < b.id GROUP BY 1, 2 HAVING count(*) >= 2
+    UNION ALL SELECT src, dst, 'keyphrase_overlap', round_even(c::double / (x.n + y.n - c), 4) FROM c JOIN n x ON x.id = src JOIN n y ON y.id = dst WHERE c::double / (x.n + y.n - c) >= 0.3 - 1e-9
+    UNION ALL SELECT * FROM (SELECT lag(chunk_id) OVER (PARTITION BY file ORDER BY chunk_no, chunk_id) AS src, chunk_id AS dst, 'same_document', 1.0::double FROM (SELECT DISTINCT file, chunk_no, chunk_id FROM chunks WHERE chunk_id IS NOT NULL)) WHERE src IS NOT NULL"""
+)
+def built_edges(spark, d):
+    """The three kinds of edges together."""
+    return graph.built_edges(table(spark, d, "graph_nodes"), table(spark, d, "chunks"))
+
+
+@core.query()
+def entity_clusters(spark, d):
+    """Topics of at most eighty nodes by shared entities; checked on fixtures against the rule for one graph."""
+    nodes = table(spark, d, "graph_nodes").where("chunk_id IS NOT NULL").select(F.col("chunk_id").alias("id"))
+    return graph.entity_clusters(nodes, built_edges(spark, d), 40, 80)
+
+
+@core.query()
+def theme_clusters(spark, d):
+    """Topics by theme, at most eighty nodes each; checked on fixtures."""
+    nodes = table(spark, d, "graph_nodes").where("chunk_id IS NOT NULL").select(F.col("chunk_id").alias("id"), "theme")
+    return graph.theme_clusters(nodes, built_edges(spark, d), 40, 80)
+
+
+@core.query(
+    r"""WITH t AS (SELECT CASE WHEN trim(coalesce(theme, '')) <> '' THEN lower(trim(regexp_replace(theme, '\s+', ' ', 'g'))) END AS theme, chunk_id FROM graph_nodes WHERE chunk_id IS NOT NULL),
+    m AS (SELECT chunk_id, min(theme) AS theme FROM t GROUP BY 1), s AS (SELECT theme, count(*) AS size, min(chunk_id) AS f FROM m WHERE theme IS NOT NULL GROUP BY 1), n AS (SELECT theme, size, row_number() OVER (ORDER BY size DESC, f) AS topic FROM s)
+    SELECT chunk_id AS id, topic FROM m JOIN n USING (theme)"""
+)
+def cap_topics(spark, d):
+    """Themes numbered by size, as many as there are."""
+    name = F.lower(F.trim(F.regexp_replace("theme", r"\s+", " ")))
+    rows = table(spark, d, "graph_nodes").where("chunk_id IS NOT NULL").groupBy(F.col("chunk_id").alias("id")).agg(F.min(F.when(F.trim(F.coalesce("theme", F.lit(""))) != "", name)).alias("origin"))
+    return graph.capped_topics(rows.where("origin IS NOT NULL").withColumn("part", F.lit(None).cast("string")), 1000)
+
+
+@core.query(
+    """WITH m AS (SELECT file AS topic, theme, min(node_id) AS pos, count(*) AS n FROM (SELECT DISTINCT node_id, file, theme FROM graph_nodes WHERE node_id IS NOT NULL AND file IS NOT NULL) WHERE trim(coalesce(theme, '')) <> '' GROUP BY 1, 2)
+    SELECT topic, theme FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY n DESC, pos) AS r FROM m) WHERE r = 1"""
+)
+def dominant_themes(spark, d):
+    """The most frequent theme of each file, the first one on a tie."""
+    rows = table(spark, d, "graph_nodes").where("node_id IS NOT NULL AND file IS NOT NULL").select(F.col("file").alias("topic"), F.col("node_id").alias("pos"), "theme").distinct()
+    return graph.dominant_theme(rows)
+
+
 def _themes(spark, d):
     rows = table(spark, d, "graph_nodes").where("node_id IS NOT NULL")
     theme = F.trim("theme")
@@ -70,8 +123,9 @@ def cluster_signature(spark, d):
 
 @core.query()
 def evidence_walk(spark, d):
-    """Up to eight nodes of each theme from its first node along the heaviest edges; checked against the walk on fixtures."""
-    seeds = _themes(spark, d).groupBy("cluster").agg(F.min("node_id").alias("id")).withColumnRenamed("cluster", "topic")
+    """Up to eight nodes of each theme from its first three nodes along the heaviest edges; checked against the walk on fixtures."""
+    nth = F.row_number().over(Window.partitionBy("cluster").orderBy("node_id"))
+    seeds = _themes(spark, d).withColumn("pos", nth).where("pos <= 3").select(F.col("cluster").alias("topic"), "pos", F.col("node_id").alias("id"))
     return graph.evidence_walk(seeds, _edges(spark, d))
 
 

@@ -25,7 +25,7 @@ RESTORE = "translate({0}, '" + "".join(chr(0xE000 + i) for i in range(4)) + "',
 
 
 BL = r"[ \t\n\x0B\f\r]"
-FLAT = "trim(regexp_replace({0}, '" + BL + "+', ' ', 'g'))"
+FLAT = "trim(regexp_replace({0}, '[ \\t\\n\\x0B\\f\\r\\x1C-\\x1F\\x85\\xA0\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+', ' ', 'g'), ' ')"
 PUA = "".join(chr(0xE000 + i) for i in range(4))
 
 

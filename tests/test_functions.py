@@ -123,14 +123,115 @@ def test_planning_rules(spark):
     assert got == q
 
 
-def test_clusters():
-    edges = [(1, 2, 5), (2, 3, 5), (3, 4, 2), (4, 5, 5), (5, 6, 5)]
-    assert graph.split_oversized([1, 2, 3, 4, 5, 6], edges, 4) == [[1, 2, 3], [4, 5, 6]]
-    assert graph.split_oversized([1, 2, 3], [(1, 2, 1), (2, 3, 1), (1, 3, 1)], 2) == [[1, 2, 3]]
-    assert graph.cap_clusters([9, 5, 3, 2, 2], 3, 5) == [[0], [1], [2, 3], [4]]
-    parts = graph.repack([[1] * 7, [2] * 3, [3] * 2], 5)
-    assert sorted(map(len, parts)) and all(len(p) <= 5 for p in parts) and sum(map(len, parts)) == 12
-    assert graph.walk(["a"], {"a": [("b", 1), ("c", 3)], "c": [("d", 2)]}, 3) == ["a", "c", "d"]
+def cut_rule(nodes, edges, limit):
+    """One cluster after the other, as the rule says: along its components, then without its lightest edges, until it parts."""
+    if len(nodes) <= limit:
+        return [sorted(nodes)]
+
+    def parts(own):
+        left, out = set(nodes), []
+        while left:
+            todo, seen = [left.pop()], []
+            while todo:
+                x = todo.pop()
+                seen.append(x)
+                for a, b, _ in own:
+                    y = b if a == x else a if b == x else None
+                    if y in left:
+                        left.discard(y)
+                        todo.append(y)
+            out.append(seen)
+        return out
+
+    inner = [e for e in edges if e[0] in nodes and e[1] in nodes]
+    for bar in [0, *sorted({w for *_, w in inner})] if inner else []:
+        if len(p := parts([e for e in inner if e[2] > bar])) > 1:
+            return [y for x in p for y in cut_rule(set(x), edges, limit)]
+    return [sorted(nodes)]
+
+
+def test_split_clusters(spark):
+    import random
+
+    rng = random.Random(8)
+    edges = [(a, b, float(rng.randrange(2, 6))) for a in range(60) for b in range(a + 1, 60) if a // 20 == b // 20 and rng.random() < 0.2]
+    edges += [(100 + i, 101 + i, 3.0) for i in range(6)]  # of one weight: all fall apart
+    members = [(i, f"c{i // 20}") for i in range(60)] + [(100 + i, "line") for i in range(7)] + [(200 + i, "none") for i in range(9)] + [(300, "small")]
+    got = graph.split_oversized(spark.createDataFrame(members, "id long, origin string"), spark.createDataFrame(edges, "src long, dst long, weight double"), 5).collect()
+    mine = {}
+    for r in got:
+        mine.setdefault((r["origin"], r["part"]), []).append(r["id"])
+    want = [p for o in {o for _, o in members} for p in cut_rule({i for i, x in members if x == o}, edges, 5)]
+    assert sorted(map(sorted, mine.values())) == sorted(want)
+
+
+def test_capped_topics(spark):
+    sizes = [9, 5, 3, 3, 2, 2, 2, 1, 1, 1]
+    rows = [(1000 * k + i, f"k{k}") for k, n in enumerate(sizes) for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, origin string").withColumn("part", F.lit(None).cast("string"))
+
+    def rule(most, limit):
+        out, bucket, held = [[k] for k in range(most - 1)], [], 0
+        for k in range(most - 1, len(sizes)):
+            if bucket and held + sizes[k] > limit:
+                out.append(bucket)
+                bucket, held = [], 0
+            bucket.append(k)
+            held += sizes[k]
+        return out + [bucket]
+
+    for most, limit in ((3, 5), (4, 4), (2, 100), (5, 2)):
+        got: dict = {}
+        for r in graph.capped_topics(df, most, limit).collect():
+            got.setdefault(r["topic"], set()).add(r["id"] // 1000)
+        assert [sorted(got[k]) for k in sorted(got)] == rule(most, limit)
+    assert graph.capped_topics(df, 20, 5).select("topic").distinct().count() == len(sizes)
+    assert graph.capped_topics(df.limit(0), 3, 5).count() == 0
+
+
+def test_weak_hubs_and_dense_graphs(spark):
+    nodes = spark.createDataFrame([(i,) for i in range(26)], "id long")
+    weak = spark.createDataFrame([(0, i, "shared_entity", 1.0) for i in range(1, 26)] + [(i, i + 1, "same_document", 1.0) for i in range(25)], "src long, dst long, type string, weight double")
+    assert graph.entity_clusters(nodes, weak, 50).select("topic").distinct().count() == 26
+    dense = spark.createDataFrame([(a, b, "shared_entity", 2.0 + (a * b) % 4) for a in range(26) for b in range(a + 1, 26)], "src long, dst long, type string, weight double")
+    rows = graph.entity_clusters(nodes, dense, 6, 8).collect()
+    sizes = {t: sum(r["topic"] == t for r in rows) for t in {r["topic"] for r in rows}}
+    assert len(rows) == 26 and max(sizes.values()) <= 8
+    themed = nodes.withColumn("theme", F.when(F.col("id") < 17, " Pay ").when(F.col("id") < 20, "leave").otherwise(F.lit("אחר")))
+    rows = graph.theme_clusters(themed, dense, 40, 8).collect()
+    of = {r["id"]: r["topic"] for r in rows}
+    sizes = {t: sum(r["topic"] == t for r in rows) for t in set(of.values())}
+    assert len(rows) == 26 and max(sizes.values()) <= 8 and len({of[i] for i in range(17, 20)}) == 1 and len({of[i] for i in range(17)}) == 3
+    assert not {of[i] for i in range(17)} & {of[i] for i in range(17, 26)}
+
+
+def test_walk_from_all_seeds(spark):
+    import random
+
+    rng = random.Random(5)
+    edges = sorted({(a, b): float(rng.randrange(1, 9)) for a in range(30) for b in range(a + 1, 30) if rng.random() < 0.3}.items())
+    near: dict = {}
+    for (a, b), w in edges:
+        near.setdefault(a, []).append((b, w))
+        near.setdefault(b, []).append((a, w))
+    near = {k: sorted(v, key=lambda x: (-x[1], x[0])) for k, v in near.items()}
+    seeds = [("t", 1, 4), ("t", 2, 9), ("u", 1, 11), ("v", 1, 99)]
+    got: dict = {}
+    for r in graph.evidence_walk(spark.createDataFrame(seeds, "topic string, pos int, id long"), spark.createDataFrame([(a, b, w) for (a, b), w in edges], "src long, dst long, weight double")).orderBy("topic", "place").collect():
+        got.setdefault(r["topic"], []).append(r["id"])
+    assert got["v"] == [99] and got["t"][:2] == [4, 9] and len(got["t"]) == 8
+    for t, s in (("t", [4, 9]), ("u", [11])):
+        taken = list(s)
+        while len(taken) < 8:
+            taken.append(min(((-w, i, y) for i, x in enumerate(taken) for y, w in near[x] if y not in taken))[2])
+        assert got[t] == taken
+
+
+def test_names_and_matches(spark):
+    sig = spark.createDataFrame([(1, 1, "Pay"), (1, 2, "Leave"), (2, 1, "Pay"), (2, 2, "Leave"), (2, 3, "Form"), (3, 1, "Pay"), (3, 2, "Leave"), (3, 3, "Form")], "topic long, place long, display string")
+    assert {r["topic"]: r["name"] for r in graph.topic_names(sig).collect()} == {1: "Pay / Leave", 2: "Pay / Leave – Form", 3: "Pay / Leave – Form (2)"}
+    nodes = spark.createDataFrame([("a", ["Sick Leave"], ["x"], "s", "about leave"), ("b", [], [], "", "leave of sick staff"), ("c", None, None, None, "other")], "chunk_id string, entities array<string>, keyphrases array<string>, summary string, text string")
+    assert [(r["chunk_id"], r["score"]) for r in graph.topic_matches(nodes, "sick leave").collect()] == [("a", 4), ("b", 2)]
 
 
 def test_components(spark):
