@@ -657,18 +657,22 @@ def page_units(lines: DataFrame, salts: int = 16) -> DataFrame:
     page = F.coalesce("page", F.lit(-1) - F.floor(F.coalesce("line_no", F.lit(0)) / 200)).cast("int").alias("page")
     filled = (F.length(F.trim(F.coalesce("text", F.lit("")))) > 0).alias("filled")
     rows = lines.where("line_id IS NOT NULL").select(F.coalesce("file", F.lit("")).alias("file"), page, F.struct("line_no", "line_id", "text", "size", filled).alias("r"))
-    pages = rows.groupBy("file", "page").agg(F.array_sort(F.collect_set("r")).alias("rows"))
+    pages = rows.groupBy("file", "page").agg(F.array_sort(F.collect_list("r")).alias("rows"))
+    pages = pages.withColumn("rows", F.filter("rows", lambda r, i: (i == 0) | ~r.eqNullSafe(F.get("rows", i - 1))))  # each row once
     pages = pages.withColumn("kept", F.filter("rows", lambda r: r["filled"])).withColumn("solid", F.filter("rows", lambda r: r["text"].rlike(r"(?U)[^\s\x1c-\x1f]")))
     end = lambda c, n: F.concat(F.slice(c, 1, n), F.slice(F.reverse(c), 1, n))
     brief = lambda c: F.transform(c, lambda r: F.struct(r["line_id"].alias("id"), r["text"].alias("text")))
+    of_size = lambda x: F.filter("kept", lambda r: r["size"] == x)
+    mass = lambda x: F.struct(x.alias("size"), F.aggregate(of_size(x), F.lit(0).cast("long"), lambda a, r: a + F.length(r["text"])).alias("n"))
     pages = pages.select(
         "file", "page", F.transform("rows", lambda r: r["line_id"]).alias("keys"), F.transform("rows", lambda r: r["text"]).alias("texts"),
         F.array_distinct(F.transform(end(F.col("kept"), 2), lambda r: F.struct(r["line_id"].alias("id"), r["size"].alias("size"), skeleton_column(r["text"]).alias("skeleton")))).alias("margin"),
+        F.transform(F.array_distinct(F.filter(F.transform("kept", lambda r: r["size"]), lambda x: x.isNotNull())), mass).alias("mass"),
         brief(F.slice("solid", 1, 5)).alias("head"), brief(F.slice(F.reverse("solid"), 1, 5)).alias("tail"),
     )
     pages = staged(pages, "scan-pages")
     # the size of most characters of a file; a page of a large file meets it under one of several salts
-    by_size = rows.where("r.filled AND r.size IS NOT NULL").groupBy("file", F.col("r.size").alias("size")).agg(F.sum(F.length("r.text")).alias("n"))
+    by_size = pages.select("file", F.explode("mass").alias("m")).groupBy("file", "m.size").agg(F.sum("m.n").alias("n"))
     body = by_size.groupBy("file").agg(F.max_by("size", F.struct("n", "size")).alias("body")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     edge = pages.select("file", "page", F.explode(F.array_distinct(F.transform("margin", lambda m: m["skeleton"]))).alias("skeleton")).where("length(skeleton) >= 4")
     often = edge.groupBy("file", "skeleton").agg(F.count("*").alias("n")).where("n >= 3")
