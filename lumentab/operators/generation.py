@@ -53,10 +53,15 @@ def merged_in_order(candidates: DataFrame, budget: int) -> DataFrame:
     return candidates.withColumn("place", F.row_number().over(w)).where(F.col("place") <= budget).withColumn("id", content_id("Q", F.concat_ws("\0", "topic", "question")))
 
 
-def insight_rows(records: DataFrame, limit: int = 200) -> DataFrame:
-    """Records for an insight prompt: the risky outcomes first, then the other failures, then the rest; by topic and id."""
+def insight_rows(records: DataFrame, size: str, budget: int = 80_000) -> DataFrame:
+    """The judged records that go into an insight prompt of so many characters: the risky outcomes first, then the other failures,
+    then the rest, by topic and id; one that doesn't fit is left out and smaller ones after it are tried. size is a column of
+    lengths."""
+    from .drafts import fitting_rows
+
     risk = F.when(F.col("outcome").isin("misleading_hallucination", "should_have_abstained", "missing_clarification"), 0).when(F.col("outcome").isin("correct_answer", "correct_abstention", "correct_clarification"), 2).otherwise(1)
-    return records.withColumn("class", risk).orderBy("class", "topic", "question_id").limit(limit)
+    judged = records.where(~F.col("outcome").isin("chatbot_error", "judge_error")).withColumn("class", risk)
+    return fitting_rows(judged, ["class", "topic", "question_id"], size, budget)
 
 
 def checked_insights(issues: DataFrame, records: DataFrame) -> DataFrame:

@@ -100,3 +100,37 @@ def events_tumbling(spark, d):
 def events_session(spark, d):
     out = streams.session_counts(table(spark, d, "events"), "6 hours")
     return out.withColumn("session_start", F.col("session_start").cast("timestamp_ntz")).withColumn("session_end", F.col("session_end").cast("timestamp_ntz"))
+
+
+@core.query(
+    """WITH r AS (SELECT *, row_number() OVER (ORDER BY result_no, question NULLS FIRST, answer NULLS FIRST, answered_at NULLS FIRST, loaded_at NULLS FIRST) AS n FROM results), f AS (SELECT id AS old, min(n) AS n FROM r WHERE id IS NOT NULL GROUP BY 1)
+    SELECT r.result_no, format('Q{:04d}', r.n) AS id, coalesce(format('Q{:04d}', f.n), r.parent_question_id) AS parent_question_id FROM r LEFT JOIN f ON r.parent_question_id = f.old"""
+)
+def sequential_ids(spark, d):
+    """The results numbered anew, with the parents that stand among them."""
+    from ..operators import drafts
+
+    rows = table(spark, d, "results").select("result_no", "question", "answer", "answered_at", "loaded_at", "id", "parent_question_id")
+    return drafts.sequential_ids(rows, ["result_no", "question", "answer", "answered_at", "loaded_at"]).select("result_no", "id", "parent_question_id")
+
+
+@core.query(
+    r"""WITH h AS (SELECT file, min_by(text, {'n': chunk_no, 'c': chunk_id}) AS text FROM chunks WHERE file IS NOT NULL GROUP BY 1), t AS (SELECT *, trim(regexp_extract(coalesce(text, ''), '(?m)^title:[ \t]*(.*)$', 1), ' ') AS title FROM h)
+    SELECT format('D{:02d}', row_number() OVER (ORDER BY file)) AS document_id, file, CASE WHEN title <> '' THEN title ELSE replace(regexp_replace(regexp_extract(file, '([^/]*)$', 1), '(.)\.[^.]*$', '\1'), '-', ' ') END AS title FROM t"""
+)
+def document_map(spark, d):
+    """Documents by number, with their titles."""
+    from ..operators import drafts
+
+    return drafts.document_map(table(spark, d, "chunks"))
+
+
+@core.query(
+    """WITH m AS (SELECT DISTINCT source AS topic, doc_id AS id FROM documents WHERE source IS NOT NULL), g AS (SELECT topic, count(*) AS n, sum(('0x' || substr(sha256(id::varchar), 1, 15))::bigint) AS s FROM m GROUP BY 1),
+    r AS (SELECT sha256(topic || ':' || n || ':' || s) AS h FROM g) SELECT sha256(count(*) || ':' || sum(('0x' || substr(h, 1, 15))::bigint)) AS fingerprint FROM r"""
+)
+def topics_fingerprint(spark, d):
+    """The identity of the documents' partition into sources."""
+    from ..operators import drafts
+
+    return drafts.partition_fingerprint(table(spark, d, "documents").where("source IS NOT NULL").select(F.col("source").alias("topic"), F.col("doc_id").alias("id")))
