@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import plain_quote, seeded
+from ..functions.text import plain_quote, seeded, words
+from ..session import staged
 
 # Operators and the field kinds they suit.
 OPERATORS = {"eq": None, "ne": None, "in": ("enum", "text"), "not_in": ("enum", "text"), "lt": ("number", "date"), "lte": ("number", "date"), "gt": ("number", "date"), "gte": ("number", "date")}
@@ -100,47 +100,50 @@ def spread_over_files(chunks: DataFrame, seed: int, limit: int) -> DataFrame:
     return chunks.withColumn("_turn", F.row_number().over(w)).orderBy("_turn", seeded(seed, F.col("file")), "file").limit(limit).drop("_turn")
 
 
-def digits(text: str) -> set[str]:
-    return set(re.findall(r"\d+(?:[.,]\d+)*", text))
+# Endings that a rough stem goes without.
+ENDINGS = "(?:ות|ים|ית|ה|ת|ing|ed|es|s)"
 
 
-def rough_stem(word: str) -> str:
-    for suffix in ("ות", "ים", "ית", "ה", "ת", "ing", "ed", "es", "s"):
-        if word.endswith(suffix) and len(word) - len(suffix) >= 3:
-            return word[: -len(suffix)]
-    return word
+def consequence_parts(c: Column) -> tuple[Column, Column, Column]:
+    """(numbers, words, rough stems) of a consequence, each distinct."""
+    numbers = F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(r"([0-9]+(?:[.,][0-9]+)*)"), F.lit(1))))
+    told = F.array_distinct(words(c))
+    return numbers, told, F.array_distinct(F.transform(told, lambda w: F.regexp_replace(w, f"^(.{{3,}}?){ENDINGS}$", "$1")))
 
 
-def consequence_similarity(a: str, b: str) -> float:
+def _jaccard(a: Column, b: Column) -> Column:
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.lit(0.0))
+
+
+def consequence_similarity(a: Column, b: Column) -> Column:
     """0 where the numbers differ, else the better Jaccard of the words as they are and as stems."""
-    if digits(a) != digits(b):
-        return 0.0
-    x, y = set(re.findall(r"\w+", a.casefold())), set(re.findall(r"\w+", b.casefold()))
-    jaccard = lambda p, q: len(p & q) / len(p | q) if p | q else 0.0
-    return max(jaccard(x, y), jaccard({rough_stem(w) for w in x}, {rough_stem(w) for w in y}))
+    (n, w, s), (m, v, t) = consequence_parts(a), consequence_parts(b)
+    return F.when(n == m, F.greatest(_jaccard(w, v), _jaccard(s, t))).otherwise(0.0)
 
 
 def merge_rules(rules: DataFrame, threshold: float = 0.6) -> DataFrame:
     """Rules of the same condition and a like consequence are one: the first stays, source ids are added, exclusive is AND-ed.
 
-    rules: (rule_id, condition, consequence, exclusive, source_ids, pos). Conditions are few-rule groups by nature.
+    rules: (rule_id, condition, consequence, exclusive, source_ids, pos). A rule joins the first one of its condition that stays and
+    is like it. Like consequences share a word or stem beside their numbers, or are the same text; only such pairs are compared,
+    however many rules a condition has, and which ones stay is resolved in rounds.
     """
-
-    columns = rules.columns
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[dict] = []
-        for r in pdf.sort_values(["pos", "rule_id"]).to_dict("records"):
-            for k in kept:
-                if k["_plain"] == r["_plain"] or consequence_similarity(k["consequence"], r["consequence"]) >= threshold:
-                    k["source_ids"] = list(dict.fromkeys([*k["source_ids"], *r["source_ids"]]))
-                    k["exclusive"] = bool(k["exclusive"] and r["exclusive"])
-                    break
-            else:
-                kept.append(r | {"source_ids": list(r["source_ids"])})
-        return pd.DataFrame(kept, columns=columns)
-
-    return rules.withColumn("_plain", plain_quote("consequence")).groupBy("condition").applyInPandas(fold, rules.schema)
+    from .pairing import meetings
+    from .retrieval import greedy_kept
+
+    n, w, s = consequence_parts(F.coalesce("consequence", F.lit("")))
+    rows = staged(rules.withColumn("_id", F.struct("condition", "pos", "rule_id")).withColumn("_plain", plain_quote(F.coalesce("consequence", F.lit("")))).withColumn("_n", n).withColumn("_w", w).withColumn("_s", s), "rules")
+    keys = F.concat(F.transform(F.array_distinct(F.concat("_w", "_s")), lambda x: F.xxhash64("condition", F.array_join("_n", " "), x)), F.array(F.xxhash64("condition", F.lit("="), "_plain")))
+    met = meetings(rows.select(F.explode(keys).alias("token"), F.col("_id").alias("id"), "_plain", "_n", "_w", "_s"))
+    like = (F.col("_plain") == F.col("o__plain")) | ((F.col("_n") == F.col("o__n")) & (F.greatest(_jaccard(F.col("_w"), F.col("o__w")), _jaccard(F.col("_s"), F.col("o__s"))) >= threshold))
+    pairs = staged(met.where((F.col("id.condition") == F.col("o_id.condition")) & like).select(F.col("id").alias("a"), F.col("o_id").alias("b")).distinct(), "rule-pairs")
+    kept = staged(greedy_kept(rows.select("_id"), pairs, "_id"), "rules-kept")
+    first = pairs.join(kept.select(F.col("_id").alias("a")), "a", "left_semi").groupBy(F.col("b").alias("_id")).agg(F.min("a").alias("_to"))
+    into = rows.join(first, "_id", "left").join(kept.withColumn("_stays", F.lit(True)), "_id", "left").withColumn("_to", F.when(F.col("_stays"), F.col("_id")).otherwise(F.col("_to")))
+    ids = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_id", "source_ids"))), lambda x: x["source_ids"])))
+    merged = into.groupBy("_to").agg(F.bool_and(F.coalesce("exclusive", F.lit(False))).alias("_x"), ids.alias("_ids"))
+    out = rows.join(merged, rows["_id"] == merged["_to"])
+    return out.select(*[F.col("_x").alias("exclusive") if c == "exclusive" else F.col("_ids").alias("source_ids") if c == "source_ids" else rows[c] for c in rules.columns])
 
 
 def rule_faults(candidates: DataFrame, chunks: DataFrame) -> DataFrame:

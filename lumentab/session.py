@@ -85,16 +85,21 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ranked(df: DataFrame, order: list, into: str = "rank") -> DataFrame:
-    """df with the place of each row, from 0, in a total order; sorted by ranges, never in one task.
+def numbered(df: DataFrame, into: str, start: int = 0) -> DataFrame:
+    """df with the number of each row in the order of its partitions; never in one task.
 
-    The sorted rows are written once; what reaches the driver is the number of rows of each partition.
+    The rows are written once; what reaches the driver is the number of rows of each partition.
     """
-    rows = staged(df.orderBy(*order).withColumn("_p", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id()), "ranked")
+    rows = staged(df.withColumn("_p", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id()), "numbered")
     parts = rows.groupBy("_p").agg(F.count("*").alias("n"), F.min("_k").alias("k")).orderBy("_p").collect()
-    before, offsets = 0, []
+    before, offsets = start, []
     for r in parts:
         offsets.append((r["_p"], before - r["k"]))
         before += r["n"]
     table_of = df.sparkSession.createDataFrame(offsets, "_p int, _before long")
     return rows.join(F.broadcast(table_of), "_p").withColumn(into, F.col("_k") + F.col("_before")).drop("_p", "_k", "_before")  # one row for each partition
+
+
+def ranked(df: DataFrame, order: list, into: str = "rank") -> DataFrame:
+    """df with the place of each row, from 0, in a total order; sorted by ranges."""
+    return numbered(df.orderBy(*order), into)

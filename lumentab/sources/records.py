@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.headers import FIELDS, resolve_headers
-from ..operators.validation import import_error
+from ..operators.validation import fault_message, import_error
+from ..session import numbered
 from .corpus import xlsx_rows
 
 RISKY_START = r"^\s*[=+\-@]"
@@ -72,9 +73,11 @@ def read_evaluations(spark: SparkSession, path: str, schema: str | None = None)
     return df.withColumn("question_id", F.when(n > 1, F.raise_error(F.concat(F.lit("question id twice: "), F.col("question_id").cast("string")))).otherwise(F.col("question_id")))
 
 
-def saved_answers(spark: SparkSession, path: str, columns: dict[str, str] | None = None) -> DataFrame:
-    """The sixteen fields of saved answers from CSV, JSON lines or a workbook, with row_no, reason of a skipped row, and the
-    import error of its answer. Columns are found by the accepted names or named in columns."""
+def saved_answers(spark: SparkSession, path: str, columns: dict[str, str] | None = None, strict: bool = False) -> DataFrame:
+    """The sixteen fields of saved answers from CSV, JSON lines or a workbook, with row_no (as people count them: the header is
+    row 1 of a table, the first line 1 of JSON lines), reason of a skipped row (a text lacks, or its id was there before), and the
+    import error of its answer. Columns are found by the accepted names or named in columns. strict: a row to skip is an error
+    that names the first ten."""
     suffix = Path(path.rstrip("/")).suffix.lower()
     if suffix == ".xlsx":
         data = spark.read.format("binaryFile").load(path).select("content").first()["content"]  # one workbook
@@ -82,15 +85,24 @@ def saved_answers(spark: SparkSession, path: str, columns: dict[str, str] | None
         rows = [[*(r + [""] * len(head))[: len(head)], i] for i, r in enumerate(body, 2)]
         df = spark.createDataFrame(rows, [*head, "row_no"]) if rows else spark.createDataFrame([], ", ".join(f"`{h}` string" for h in head) + ", row_no long")
     elif suffix == ".csv":
-        df = restore_formulas(spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)).withColumn("row_no", F.monotonically_increasing_id() + 2)
+        df = restore_formulas(spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path))
+        df = numbered(df, "row_no", 2)
     elif suffix in (".jsonl", ".json"):
-        df = spark.read.json(path).withColumn("row_no", F.monotonically_increasing_id() + 1)
+        df = numbered(spark.read.json(path), "row_no", 1)
     else:
         raise ValueError("saved answers are .xlsx, .csv or .jsonl")
     found = resolve_headers([c for c in df.columns if c != "row_no"], columns)
     out = df.select("row_no", *[(F.col(f"`{found[f]}`").cast("string") if f in found else F.lit(None).cast("string")).alias(f) for f in FIELDS])
     blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
-    out = out.withColumn("reason", F.when(blank("question") | blank("expected_answer"), "missing question or reference answer"))
+    lacking = F.when(blank("question") | blank("expected_answer"), "missing question or reference answer")
+    # of the rows that are whole, the first one of an id counts
+    whole = out.where(lacking.isNull() & ~blank("id")).groupBy(F.trim("id").alias("_id")).agg(F.min("row_no").alias("_first"))
+    out = out.join(whole, F.trim(out["id"]) == whole["_id"], "left")
+    out = out.withColumn("reason", F.coalesce(lacking, F.when(F.col("row_no") > F.col("_first"), "duplicate external question ID"))).drop("_id", "_first")
+    if strict:
+        bad = out.where("reason IS NOT NULL").select("row_no", "reason")
+        if message := fault_message(bad):
+            raise ValueError(f"rows that can't be imported: {message}")
     return out.withColumn("import_error", import_error(F.col("answer"), F.col("error")))
 
 

@@ -88,9 +88,21 @@ def test_kleene(spark):
     assert {r["k"]: r["x"] for r in got} == {"a": None, "b": False, "c": True}
 
 
-def test_consequences():
-    assert rules.consequence_similarity("pays 20 units", "pays 30 units") == 0
-    assert rules.consequence_similarity("pays 20 units", "pay 20 unit") > 0.6
+def test_consequences(spark):
+    like = lambda a, b: one(spark, a=a, b=b).select(rules.consequence_similarity(F.col("a"), F.col("b")).alias("s")).first()["s"]
+    assert like("pays 20 units", "pays 30 units") == 0 and like("pays 20 units", "pay 20 unit") == 1.0 and like("", "") == 0
+
+
+def test_merged_rules(spark):
+    rows = [
+        ("a", "c", "pays 20 units", True, ["s1"], 1), ("b", "c", "pay 20 unit", False, ["s2", "s1"], 2), ("d", "c", "pays 30 units", True, ["s3"], 3), ("e", "x", "pays 20 units", True, ["s4"], 4),
+        ("f", "c", "!!", True, ["s5"], 5), ("g", "c", "!!", None, ["s6"], 6), ("h", "c", "one two three four", True, ["s7"], 7), ("i", "c", "one two three four five six", True, ["s8"], 8), ("j", "c", "three four five six", True, ["s9"], 9),
+    ]
+    df = spark.createDataFrame(rows, "rule_id string, condition string, consequence string, exclusive boolean, source_ids array<string>, pos int")
+    got = {r["rule_id"]: (r["exclusive"], r["source_ids"]) for r in rules.merge_rules(df).collect()}
+    # i is like h and goes with it; j is like i only, which doesn't stay
+    assert got == {"a": (False, ["s1", "s2"]), "d": (True, ["s3"]), "e": (True, ["s4"]), "f": (False, ["s5", "s6"]), "h": (True, ["s7", "s8"]), "j": (True, ["s9"])}
+    assert rules.merge_rules(df.limit(0)).count() == 0
 
 
 def test_covering_and_repair():

@@ -65,6 +65,12 @@ def test_saved_answers(spark, tmp_path):
     assert got["q1"] == (None, "") and got[None][0] and got["q3"][1].startswith("Premade result contains")
     with pytest.raises(ValueError):
         records.saved_answers(spark, str(tmp_path / "x.pdf"))
+    lines = [f'{{"question": "q{i}", "expected": "a", "answer": "b", "id": "{i % 700}"}}' for i in range(900)]
+    (tmp_path / "many.jsonl").write_text("\n".join(lines), encoding="utf-8")
+    many = {r["question"]: (r["row_no"], r["reason"]) for r in records.saved_answers(spark, str(tmp_path / "many.jsonl")).collect()}
+    assert many["q0"] == (1, None) and many["q699"] == (700, None) and many["q700"] == (701, "duplicate external question ID") and len(many) == 900
+    with pytest.raises(ValueError, match="701: duplicate.*and 190 more"):
+        records.saved_answers(spark, str(tmp_path / "many.jsonl"), strict=True)
 
 
 def test_sources_column(spark):
