@@ -39,19 +39,19 @@ def p3_found(spark, d):
     return setsim.similar_pairs(_sets(spark, d), 0.6)
 
 
-@llm.query()
+@llm.query(oracles.set_classes())
 def p3_classes(spark, d):
     """Pairs of distinct sets by the least keys of their records, copies not expanded; p3_members has the records of each."""
     return setsim.similar_representatives(_sets(spark, d), 0.6)
 
 
-@llm.query()
+@llm.query(oracles.set_members())
 def p3_members(spark, d):
     """Every record with the least key of those that have its set."""
     return setsim.class_members(_sets(spark, d))
 
 
-@llm.query()
+@llm.query(oracles.sets_between())
 def p3_between(spark, d):
     """Between two tables: the entities of nodes and the values shared by edges."""
     nodes, edges = table(spark, d, "graph_nodes"), table(spark, d, "graph_edges")
@@ -63,7 +63,7 @@ def p4_found(spark, d):
     return neardup.near_duplicate_pairs(table(spark, d, "results")).toDF("result_a", "result_b")
 
 
-@llm.query()
+@llm.query(oracles.near_duplicate_groups())
 def p4_groups(spark, d):
     """Each record with its class and the number of other classes linked to it."""
     return neardup.near_duplicate_groups(table(spark, d, "results"))

@@ -194,7 +194,9 @@ def similar_representatives(records: DataFrame, threshold: float = 0.6) -> DataF
     classes = staged(class_table(records), "set-classes")
     name = lambda side: classes.select(F.col("class_id").alias(f"class_{side}"), F.col("rep").alias(f"rep_{side}"), *(["field"] if side == "a" else []))
     pairs = similar_classes(classes, threshold).join(name("a"), "class_a").join(name("b"), "class_b")
-    return pairs.select("field", "rep_a", "rep_b", "overlap", "size_a", "size_b")
+    turn = F.struct("rep_a", "size_a") > F.struct("rep_b", "size_b")  # the lower key first
+    either = lambda x, a, b: F.when(turn, F.col(b)).otherwise(F.col(a)).alias(x)
+    return pairs.select("field", either("rep_a", "rep_a", "rep_b"), either("rep_b", "rep_b", "rep_a"), "overlap", either("size_a", "size_a", "size_b"), either("size_b", "size_b", "size_a"))
 
 
 def class_members(records: DataFrame) -> DataFrame:
