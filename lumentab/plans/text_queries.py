@@ -300,24 +300,42 @@ def exact_duplicates(spark, d):
     return retrieval.exact_duplicates(table(spark, d, "documents"))
 
 
-@core.query(
-    rf"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '{W}') AS w FROM documents WHERE text IS NOT NULL),
-    s AS (SELECT doc_id, list_sort(list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN generate_series(1, greatest(len(w) - 4, 1))])) AS s FROM w WHERE len(w) > 0),
-    c AS (SELECT min(doc_id) AS id, s, len(s) AS n FROM s GROUP BY s), x AS (SELECT id, n, unnest(s) AS t FROM c),
+def near_sql(rows: str, key: str, text: str) -> str:
+    """w, s, c, x, p and the pairs: five-word shingles of each text, classes of equal sets, and what two of them share."""
+    return rf"""WITH w AS (SELECT {key} AS k, regexp_extract_all(lower({text}), '{W}') AS w FROM {rows} WHERE {text} IS NOT NULL),
+    s AS (SELECT k, list_sort(list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN generate_series(1, greatest(len(w) - 4, 1))])) AS s FROM w WHERE len(w) > 0),
+    c AS (SELECT min(k) AS id, s, len(s) AS n FROM s GROUP BY s), x AS (SELECT id, n, unnest(s) AS t FROM c),
     p AS (SELECT a.id AS key_a, b.id AS key_b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS k FROM x a JOIN x b ON a.t = b.t AND a.id < b.id AND a.n >= 0.8 * b.n AND b.n >= 0.8 * a.n GROUP BY 1, 2)
     SELECT key_a, key_b, round(k::double / (na + nb - k), 6) AS similarity FROM p WHERE k::double / (na + nb - k) >= 0.8"""
-)
+
+
+@core.query(near_sql("documents", "doc_id", "text"))
 def near_duplicates(spark, d):
-    """Pairs of different texts of which four fifths of the five-word shingles are shared."""
+    """Pairs of different texts of which four fifths of the five-word shingles are shared; the test documents have none."""
     return retrieval.near_duplicates(table(spark, d, "documents"))
 
 
-@core.query()
+@core.query(near_sql("results", "result_no", "expected_answer"))
+def near_duplicate_answers(spark, d):
+    """The same of the expected answers, which have some."""
+    return retrieval.near_duplicates(table(spark, d, "results"), "result_no", "expected_answer")
+
+
+def greedy_sql() -> str:
+    """The texts of near_duplicate_answers one after the other: each is dropped that is like an earlier one not dropped."""
+    near = near_sql("results", "result_no", "expected_answer")
+    head = near[: near.rindex("SELECT key_a")].replace("WITH ", "WITH RECURSIVE ", 1)
+    return f"""{head}, pr AS (SELECT key_a, key_b FROM p WHERE k::double / (na + nb - k) >= 0.8), nb AS (SELECT *, row_number() OVER (ORDER BY node) AS i FROM (SELECT key_b AS node, list(key_a) AS earlier FROM pr GROUP BY 1)),
+    g AS (SELECT 0::bigint AS i, []::bigint[] AS gone UNION ALL SELECT nb.i, CASE WHEN len(list_filter(earlier, lambda e: NOT list_contains(gone, e))) > 0 THEN list_append(gone, node) ELSE gone END FROM g JOIN nb ON nb.i = g.i + 1)
+    SELECT id AS result_no FROM c WHERE NOT list_contains((SELECT gone FROM g ORDER BY i DESC LIMIT 1), id)"""
+
+
+@core.query(greedy_sql())
 def greedy_dedup(spark, d):
-    """Texts that stay when each is dropped that is like an earlier one that stays; checked against the loop on fixtures."""
-    docs = table(spark, d, "documents")
-    pairs = retrieval.near_duplicates(docs).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
-    return retrieval.greedy_kept(retrieval.first_copies(docs, "doc_id", "text"), pairs, "doc_id").select("doc_id")
+    """Expected answers that stay when each is dropped that is like an earlier one that stays."""
+    rows = table(spark, d, "results")
+    pairs = retrieval.near_duplicates(rows, "result_no", "expected_answer").select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+    return retrieval.greedy_kept(retrieval.first_copies(rows, "result_no", "expected_answer"), pairs, "result_no").select("result_no")
 
 
 @core.query("SELECT doc_id, sha256(doc_id || chr(0) || coalesce(text, '')) AS digest FROM documents")
