@@ -388,3 +388,29 @@ def test_recount_of_many_claims_and_its_faults(spark):
     df = spark.createDataFrame(rows, "question_id long, expected_behavior string, required int, retrieval_found int, assessments array<struct<id string, addressed boolean, correct boolean>>")
     got = {r["question_id"]: (r["fault"], r["required"], r["addressed"], r["correct"], r["retrieval_found"]) for r in outcomes.recount_claims(df).collect()}
     assert got == {1: (None, 1001, 1001, 500, 3), 2: ("found_above_claims", None, None, None, None), 3: ("claim_ids", None, None, None, None), 4: ("claims_of_non_answer", None, None, None, None), 5: (None, 0, 0, 0, 0)}
+
+
+def test_a_chain_of_five_thousand(spark):
+    from lumentab.operators import retrieval
+
+    n = 5000
+    items, links = spark.range(n).withColumnRenamed("id", "k"), spark.range(n - 1).selectExpr("id AS a", "id + 1 AS b")
+    assert sorted(r["k"] for r in retrieval.greedy_kept(items, links, "k").collect()) == list(range(0, n, 2))
+    found = graph.components(items.withColumnRenamed("k", "id"), links.toDF("src", "dst"))
+    assert found.count() == n and found.where("component <> 0").count() == 0
+
+
+def test_greedy_dedup_against_the_loop(spark):
+    import random
+
+    from lumentab.operators import retrieval
+
+    rng = random.Random(12)
+    links = {(a, b) for a in range(150) for b in range(a + 1, 150) if rng.random() < 0.04}
+    kept: set = set()
+    for b in range(150):
+        if not any((a, b) in links for a in kept):
+            kept.add(b)
+    items, df = spark.range(150).withColumnRenamed("id", "k"), spark.createDataFrame(sorted(links), "a long, b long")
+    for apart, local in ((1, 500_000), (2, 500_000), (1, 3)):
+        assert {r["k"] for r in retrieval.greedy_kept(items, df, "k", apart=apart, local=local).collect()} == kept
