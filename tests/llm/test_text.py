@@ -140,6 +140,41 @@ def test_held_out_accuracy(spark):
     assert len(got) > 250 and right / len(got) > 0.97
 
 
+def test_planted_mixtures(spark):
+    """Sentences of held-out documents, alternating, and two of one language at any places among eighteen of another."""
+    import random
+    import re
+
+    from lumentab.session import table
+
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    names, weights = langid.language_model(docs.where("doc_id % 2 = 0"), "doc_id", "text", "lang")
+    rows = docs.where("doc_id % 2 = 1 AND text IS NOT NULL AND lang IN ('en', 'he', 'de', 'fr', 'es')").select("text", "lang").toPandas()
+    pool: dict = {}
+    for t, lang in zip(rows["text"], rows["lang"]):
+        said = [x for x in re.split(r"(?<=[.!?])\s+", t) if len(x) >= 45 and x[-1] in ".!?"]
+        if pairs.language_of(t)[0] == lang:
+            pool.setdefault(lang, []).extend(x for x in said if pairs.language_of(x)[0] == lang)
+    rng = random.Random(9)
+    texts, want = [], []
+    for k in range(240):
+        a, b = rng.sample(sorted(pool), 2)
+        if k % 2:
+            said = [rng.choice(pool[x]) for x in (a, b, a, b)]
+        else:
+            said = [rng.choice(pool[a]) for _ in range(18)]
+            for _ in range(2):
+                said.insert(rng.randrange(len(said) + 1), rng.choice(pool[b]))
+        texts.append(" ".join(said))
+        want.append({a, b})
+    count: dict = {}
+    for r, _, _, _, n, lang, _ in langid.segments_of(pa.array(texts), names, weights):
+        count[r, lang] = count.get((r, lang), 0) + n
+    found = {k for k, n in count.items() if n >= 2}
+    true = {(r, x) for r, w in enumerate(want) for x in w}
+    assert len(found & true) / len(true) >= 0.95 and len(found & true) / len(found) >= 0.98
+
+
 def test_two_clear_sentences_anywhere():
     en = ["The payroll desk approves every request before the end of the month.", "Please note that the office is closed on the first day of the year."]
     de = ["Das Lohnbüro genehmigt jeden Antrag vor dem Ende des Monats.", "Bitte beachten Sie, dass das Amt am ersten Tag des Jahres geschlossen ist."]
