@@ -103,7 +103,7 @@ def summary_entries(scope: Column) -> dict[str, tuple[Column, Column | None]]:
     total = lambda x, cond: F.coalesce(F.sum(F.when(cond, x if isinstance(x, Column) else c(x))), F.lit(0)).cast("bigint")
     answer = task("answer")
     risk = e & ((c("false_claims") > 0) | (c("unsupported") > 0))
-    overturned = c("overturned_supports") + c("overturned_unrelated")
+    overturned = c("overturned_supports") + c("overturned_unrelated") + c("overturned_not_found")
     voted = e & (c("votes") > 0)
     out: dict[str, tuple[Column, Column | None]] = {name: (n(scope & population & hit), n(scope & population)) for name, (population, hit) in metric_predicates().items()}
     counts = {
@@ -122,7 +122,7 @@ def summary_entries(scope: Column) -> dict[str, tuple[Column, Column | None]]:
         "false_claim_verification_calls": total("verification_calls", e), "second_vote_rows": n(voted), "second_vote_calls": total("second_vote_calls", e),
         "second_vote_errors": n(e & (c("second_vote_error") != "")), "votes_disagree_count": n(voted & c("votes_disagree")),
         "false_claims_checked": total("claims_checked", e), "false_claims_confirmed": total(c("claims_checked") - overturned, e), "false_claims_overturned": total(overturned, e),
-        "false_claims_overturned.supports": total("overturned_supports", e), "false_claims_overturned.unrelated": total("overturned_unrelated", e),
+        "false_claims_overturned.supports": total("overturned_supports", e), "false_claims_overturned.unrelated": total("overturned_unrelated", e), "false_claims_overturned.quote_not_found": total("overturned_not_found", e),
         "all_response_claim_violations.scored_responses": n(e), "all_response_claim_violations.responses_with_violations": n(risk),
         "all_response_claim_violations.false_claims_total": total("false_claims", e), "all_response_claim_violations.unsupported_claims_total": total("unsupported", e),
         "answer_claim_metrics.required_points_total": total("required", answer), "answer_claim_metrics.addressed_points_total": total("addressed", answer), "answer_claim_metrics.correct_points_total": total("correct", answer),
@@ -165,7 +165,7 @@ def flagged_questions(records: DataFrame, canonical_scoring: str = "gap") -> Dat
     good = retrieval_available() & retrieval_good()
     lists = {
         "generation_failures": good & ~o.isin(*USEFUL, *PIPELINE), "generation_partials": good & o.isin(*USEFUL) & ~o.isin(*PIPELINE), "requires_verification": e & (F.col("requires_verification") > 0),
-        "votes_disagree": e & (F.col("votes") > 0) & F.col("votes_disagree"), "false_claims_overturned": e & (F.col("overturned_supports") + F.col("overturned_unrelated") > 0),
+        "votes_disagree": e & (F.col("votes") > 0) & F.col("votes_disagree"), "false_claims_overturned": e & (F.col("overturned_supports") + F.col("overturned_unrelated") + F.col("overturned_not_found") > 0),
     }
     named = F.filter(F.array(*[F.when(cond, F.lit(k)) for k, cond in lists.items()]), lambda x: x.isNotNull())
     return classified(headline(records, canonical_scoring)).select(F.explode(named).alias("list"), "question_id")

@@ -93,7 +93,7 @@ def needs_second_vote() -> Column:
     """Judged rows that rest on a doubtful call: a contradicted claim, one that was demoted or overturned, a value left to
     verify, or an outcome of that kind."""
     c = F.col
-    doubtful = sum((c(x) for x in ("false_claims", "demoted", "requires_verification", "overturned_supports", "overturned_unrelated")), F.lit(0)) > 0
+    doubtful = sum((c(x) for x in ("false_claims", "demoted", "requires_verification", "overturned_supports", "overturned_unrelated", "overturned_not_found")), F.lit(0)) > 0
     return ~c("outcome").isin("chatbot_error", "judge_error") & (doubtful | c("outcome").isin("misleading_hallucination", "unrelated_answer"))
 
 

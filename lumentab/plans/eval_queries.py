@@ -56,7 +56,7 @@ COMPARED = [m for m in METRICS if m not in ("correct_answer_rate_on_answerable",
 _N = lambda cond: f"count(*) FILTER ({HEAD} AND {cond})"
 _S = lambda x, cond: f"coalesce(sum({x}) FILTER ({HEAD} AND {cond}), 0)"
 _GOOD, _ANS = f"({AVAILABLE} AND {GOOD})", TASK["answer"]
-_OVER = "(overturned_supports + overturned_unrelated)"
+_OVER = "(overturned_supports + overturned_unrelated + overturned_not_found)"
 COUNTS = {
     "total": f"count(*) FILTER ({HEAD})", "evaluable": _N(E_), "answerable_questions": _N(f"{E_} AND answerable"), "unanswerable_questions": _N(f"{E_} AND NOT answerable"), "answer_tasks": _N(_ANS),
     "clarification_tasks": _N(TASK["clarify"]), "abstention_tasks": _N(TASK["abstain"]), "infrastructure_errors": _N(f"NOT ({E_})"), "anchor_records": "count(*) FILTER (anchor)",
@@ -71,7 +71,7 @@ COUNTS = {
     "requires_verification_count": _N(f"{E_} AND requires_verification > 0"), "requires_verification_denominator": _N(E_), "requires_verification_values_total": _S("requires_verification", E_),
     "false_claim_verification_calls": _S("verification_calls", E_), "second_vote_rows": _N(f"{E_} AND votes > 0"), "second_vote_calls": _S("second_vote_calls", E_), "second_vote_errors": _N(f"{E_} AND second_vote_error <> ''"),
     "votes_disagree_count": _N(f"{E_} AND votes > 0 AND votes_disagree"), "false_claims_checked": _S("claims_checked", E_), "false_claims_confirmed": _S(f"claims_checked - {_OVER}", E_), "false_claims_overturned": _S(_OVER, E_),
-    "false_claims_overturned.supports": _S("overturned_supports", E_), "false_claims_overturned.unrelated": _S("overturned_unrelated", E_),
+    "false_claims_overturned.supports": _S("overturned_supports", E_), "false_claims_overturned.unrelated": _S("overturned_unrelated", E_), "false_claims_overturned.quote_not_found": _S("overturned_not_found", E_),
     "all_response_claim_violations.scored_responses": _N(E_), "all_response_claim_violations.responses_with_violations": _N(f"{E_} AND {RISK}"),
     "all_response_claim_violations.false_claims_total": _S("false_claims", E_), "all_response_claim_violations.unsupported_claims_total": _S("unsupported", E_),
     **{f"answer_claim_metrics.{k}_total": _S(c, _ANS) for k, c in (("required_points", "required"), ("addressed_points", "addressed"), ("correct_points", "correct"), ("false_claims", "false_claims"), ("unsupported_claims", "unsupported"), ("extraneous_claims", "extraneous"))},
@@ -310,7 +310,7 @@ def second_vote(spark, d):
     return a.join(b, "question_id", "left").select("question_id", "first", "second", outcomes.second_vote(F.col("first"), F.col("second")).alias("harsher"), outcomes.second_vote(F.col("first"), F.col("second"), False).alias("lenient"))
 
 
-@core.query(f"WITH {out_sql()} SELECT question_id FROM o WHERE {E_} AND (false_claims > 0 OR demoted > 0 OR requires_verification > 0 OR overturned_supports > 0 OR overturned_unrelated > 0 OR outcome IN ('misleading_hallucination', 'unrelated_answer'))")
+@core.query(f"WITH {out_sql()} SELECT question_id FROM o WHERE {E_} AND (false_claims > 0 OR demoted > 0 OR requires_verification > 0 OR overturned_supports > 0 OR overturned_unrelated > 0 OR overturned_not_found > 0 OR outcome IN ('misleading_hallucination', 'unrelated_answer'))")
 def second_vote_rows(spark, d):
     return outcomes.classified(eval_records(spark, d)).where(outcomes.needs_second_vote()).select("question_id")
 

@@ -35,6 +35,7 @@ COLUMNS = {
     "claims_checked": "case when s % 25 = 0 then 1 + s % 3 else 0 end",
     "overturned_supports": "case when s % 50 = 0 then 1 else 0 end",
     "overturned_unrelated": "case when s % 75 = 0 then least(1, s % 3) else 0 end",
+    "overturned_not_found": "case when s % 125 = 0 then least(1, s % 3) else 0 end",
     "verification_calls": "case when s % 25 = 0 then 1 else 0 end",
     "votes": "case when s % 33 = 0 then 2 else 0 end",
     "votes_disagree": "s % 66 = 0",

@@ -33,18 +33,83 @@ def encode_sources(sources: Column) -> Column:
     return F.to_json(sources)
 
 
-def decode_sources(df: DataFrame, schema: str = "array<struct<source_id:string,file:string,location:string,text:string>>") -> DataFrame:
-    """sources from sources_json where it is there, else from the readable columns source_ids and source_files, one by one.
+#: The readable columns of a question's sources and the fields they list, in order, with " | " between.
+SOURCE_COLUMNS = {"source_ids": "source_id", "source_files": "file", "source_locations": "location", "source_excerpts": "excerpt"}
 
-    conflict is set where both are there and disagree.
+
+def decode_sources(df: DataFrame) -> DataFrame:
+    """sources from sources_json where it is there, else from the readable columns, one by one, short ones filled up with blanks.
+
+    conflict is set where sources_json is no list of sources, or says otherwise than a readable column that is there.
     """
-    split = lambda c: F.transform(F.split(F.coalesce(F.col(c), F.lit("")), r"\s*\|\s*"), lambda x: F.nullif(F.trim(x), F.lit("")))
-    ids, files = split("source_ids"), split("source_files")
-    legacy = F.filter(F.transform(F.arrays_zip(ids.alias("a"), files.alias("b")), lambda z: F.struct(z["a"].alias("source_id"), z["b"].alias("file"), F.lit(None).cast("string").alias("location"), F.lit(None).cast("string").alias("text"))), lambda s: s["source_id"].isNotNull() | s["file"].isNotNull())
-    made = F.from_json("sources_json", schema)
-    listed = F.array_join(F.transform(made, lambda s: s["source_id"]), " | ")
-    conflict = made.isNotNull() & (F.coalesce(F.trim("source_ids"), F.lit("")) != "") & (listed != F.trim("source_ids"))
-    return df.withColumn("conflict", conflict).withColumn("sources", F.coalesce(made, legacy))
+    schema = "array<struct<" + ",".join(f"{f}:string" for f in SOURCE_COLUMNS.values()) + ">>"
+    have = {c: F.coalesce(F.col(c), F.lit("")) for c in SOURCE_COLUMNS if c in df.columns}
+    told = F.nullif(F.col("sources_json"), F.lit(""))
+    made = F.when(F.json_array_length(told).isNotNull(), F.from_json(told, schema))
+    listed = lambda f: F.array_join(F.transform(made, lambda x: F.coalesce(x[f], F.lit(""))), " | ")
+    differs = [F.coalesce(listed(SOURCE_COLUMNS[c]) != v, F.lit(True)) for c, v in have.items()]
+    conflict = F.lit(False)
+    for d in differs:
+        conflict = conflict | d
+    split = {f: F.when(have[c] != "", F.split(have[c], r" \| ")).otherwise(F.array().cast("array<string>")) if c in have else F.array().cast("array<string>") for c, f in SOURCE_COLUMNS.items()}
+    longest = F.greatest(*[F.size(v) for v in split.values()])
+    at = lambda v, i: F.coalesce(F.get(v, i), F.lit(""))
+    legacy = F.when(longest > 0, F.transform(F.sequence(F.lit(0), longest - 1), lambda i: F.struct(*[at(v, i).alias(f) for f, v in split.items()]))).otherwise(F.array().cast(schema))
+    return df.withColumn("conflict", F.when(told.isNotNull(), made.isNull() | conflict).otherwise(False)).withColumn("sources", F.coalesce(made, legacy))
+
+
+# How forms, behaviours, outcomes, scopes and kinds of errors are named in a Hebrew table of evaluations.
+FORM_NAMES = {"canonical": "שאלה מנוסחת היטב", "natural_user": "ניסוח משתמש טבעי", "ambiguous": "שאלה הדורשת הבהרה", "broad": "שאלה כללית"}
+BEHAVIOR_NAMES = {"answer": "לענות", "clarify": "לשאול שאלת הבהרה", "abstain": "להימנע ממענה"}
+OUTCOME_NAMES = {
+    "correct_answer": "תשובה נכונה", "partial_too_little": "תשובה חלקית — חסר מידע", "partial_too_much": "תשובה חלקית — עודף מידע", "unrelated_answer": "תשובה שגויה ולא קשורה", "misleading_hallucination": "הזיה מטעה",
+    "incorrect_abstention": "נמנע ממענה למרות שהמידע קיים", "correct_abstention": "נמנע ממענה בצדק", "should_have_abstained": "ענה למרות שהיה צריך להימנע", "correct_clarification": "שאלת הבהרה מתאימה",
+    "missing_clarification": "נדרש בירור אך לא נשאל", "chatbot_error": "שגיאת מערכת בצ׳אטבוט", "judge_error": "שגיאה בתהליך הבדיקה",
+}
+SCOPE_NAMES = {"exact": "היקף מתאים", "too_little": "חסר מידע", "too_much": "עודף מידע"}
+INCORRECT_NAMES = {"not_applicable": "לא רלוונטי", "unrelated": "תשובה לא קשורה", "hallucination": "הזיה מטעה"}
+# The columns of that table, the field of an evaluation record in each, and how it is written.
+EVALUATION_COLUMNS = [
+    ("מזהה שאלה", "question_id", None), ("מזהה שאלת מקור", "parent_question_id", None), ("נושא", "topic", None), ("צורת שאלה", "question_form", FORM_NAMES), ("התנהגות מצופה", "expected_behavior", BEHAVIOR_NAMES),
+    ("שאלה", "question", None), ("תשובה צפויה", "expected_answer", None), ("ניתנת למענה", "answerable", "yes_no"), ("תשובת הצ׳אטבוט", "answer", None), ("מקטעים שאוחזרו", "retrieved_context", None),
+    ("סיווג", "outcome", OUTCOME_NAMES), ("קוד סיווג", "outcome", None), ("פרטים נדרשים", "required", "score"), ("פרטים שנענו", "addressed", "score"), ("פרטים שנענו נכון", "correct", "score"),
+    ("טענות שגויות", "false_claims", "score"), ("טענות לא מבוססות", "unsupported", "score"), ("טענות עודפות", "extraneous", "score"), ("היקף התשובה", "answer_scope", SCOPE_NAMES), ("סוג שגיאה", "incorrect_type", INCORRECT_NAMES),
+    ("פרטים שנמצאו באחזור", "retrieval_found", "score"), ("מספר מקטעים", "chunks_total", "score"), ("מקטעים רלוונטיים", "chunks_relevant", "score"), ("מקטעים סותרים", "chunks_contradictory", "score"),
+    ("הסבר הבדיקה", "explanation", "score"), ("מידע חסר או שגוי", "missing_or_wrong", "score"), ("הסבר האחזור", "retrieval_explanation", "score"), ("זמן תגובה במילישניות", "latency_ms", None), ("שגיאת מערכת", "error", None),
+    ("פירוט טענות הייחוס", "claim_assessments", "json"), ("דורש אימות", "requires_verification", "score"), ("ערכים לאימות", "verification_values", "lines"), ("פירוט טענות שגויות", "false_claim_details", "json"),
+    ("בדיקה שנייה של טענות שגויות", "false_claim_verifications", "json"), ("הצבעות השופט לא תאמו", "votes_disagree", "yes"), ("סיווגי ההצבעות", "vote_outcomes", "slashes"),
+]
+
+
+def evaluation_rows(records: DataFrame) -> DataFrame:
+    """The 36 columns of a table of evaluations, as texts; what a record lacks is blank, and so are the scores of an error."""
+    kinds = dict(records.dtypes)
+    scored = ~F.col("outcome").isin("chatbot_error", "judge_error")
+
+    def cell(field: str, how: object) -> Column:
+        if field not in kinds:
+            return F.lit("[]" if how == "json" else "")
+        c = F.col(field)
+        if isinstance(how, dict):
+            named = F.try_element_at(F.create_map(*[F.lit(x) for kv in how.items() for x in kv]), c)
+            return F.when(scored | F.lit(how not in (SCOPE_NAMES, INCORRECT_NAMES)), F.coalesce(named, c)).otherwise("")
+        if how == "yes_no":
+            return F.when(c, "כן").otherwise("לא")
+        if how == "yes":
+            return F.when(scored & c, "כן").otherwise("")
+        if how == "json":
+            return F.when(scored, F.to_json(c)).otherwise("[]")
+        if how in ("lines", "slashes"):
+            return F.when(scored, F.array_join(c, "\n" if how == "lines" else " / ")).otherwise("")
+        return F.when(scored | F.lit(how != "score"), c.cast("string")).otherwise("")
+
+    return records.select(*[F.coalesce(cell(field, how), F.lit("[]" if how == "json" else "")).alias(name) for name, field, how in EVALUATION_COLUMNS])
+
+
+def write_evaluations(records: DataFrame, folder: str, name: str = "evaluation_details") -> None:
+    """Evaluation records twice: JSON lines with all their fields, and the table for people as CSV."""
+    records.write.mode("overwrite").json(f"{folder}/{name}.jsonl")
+    escape_formulas(evaluation_rows(records)).write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(f"{folder}/{name}.csv")
 
 
 def write_pair(df: DataFrame, folder: str, name: str) -> None:

@@ -3,6 +3,7 @@ import json
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from lumentab import cli, models
 from lumentab.operators import incremental, retrieval, review
@@ -74,10 +75,26 @@ def test_saved_answers(spark, tmp_path):
 
 
 def test_sources_column(spark):
-    df = spark.createDataFrame([('[{"source_id":"a","file":"f"}]', "a", "f"), (None, "a | b", "f | g"), ('[{"source_id":"a"}]', "z", "")], "sources_json string, source_ids string, source_files string")
-    rows = records.decode_sources(df).collect()
-    assert [r["conflict"] for r in rows] == [False, False, True]
-    assert [s["file"] for s in rows[1]["sources"]] == ["f", "g"]
+    full = '[{"source_id":"a","file":"f","location":"p 1","excerpt":"x"},{"source_id":"b","file":"g"}]'
+    rows = [(full, "a | b", "f | g", "p 1 | ", "x | "), (None, "a | b", "f | g", "", None), (full, "a | z", "f | g", "p 1 | ", "x | "), ("{}", "", "", "", ""), ("", "", "", "", "")]
+    df = spark.createDataFrame(rows, "sources_json string, source_ids string, source_files string, source_locations string, source_excerpts string")
+    got = records.decode_sources(df).collect()
+    assert [r["conflict"] for r in got] == [False, False, True, True, False]
+    assert [tuple(x) for x in got[1]["sources"]] == [("a", "f", "", ""), ("b", "g", "", "")] and got[4]["sources"] == []
+    assert records.decode_sources(df.select("sources_json", "source_ids")).first()["conflict"] is False
+
+
+def test_evaluation_table(spark, tmp_path):
+    from lumentab.operators.outcomes import classified
+
+    rows = classified(eval_records(spark, SF, "A")).where("question_id < 80").withColumn("answer", F.lit("=1+1")).withColumn("vote_outcomes", F.array(F.lit("a"), F.lit("b")))
+    records.write_evaluations(rows, str(tmp_path))
+    table = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(str(tmp_path / "evaluation_details.csv"))
+    assert len(table.columns) == 36 and table.count() == rows.count() == spark.read.json(str(tmp_path / "evaluation_details.jsonl")).count()
+    assert {r[0] for r in table.select("`תשובת הצ׳אטבוט`").distinct().collect()} == {"'=1+1"}
+    bad = table.where("`קוד סיווג` = 'chatbot_error'").first()
+    assert bad["סיווג"] == "שגיאת מערכת בצ׳אטבוט" and bad["פרטים נדרשים"] is None and bad["פירוט טענות הייחוס"] == "[]"
+    assert records.evaluation_rows(rows.limit(0)).count() == 0
 
 
 def test_models(spark):
