@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import staged
+
 
 def meetings(posts: DataFrame, token: str = "token", id: str = "id", block: int = 4_000) -> DataFrame:
     """The pairs of rows of posts under each token, with id < o_id; the other row's columns have o_ before their names.
@@ -35,24 +38,64 @@ def meetings(posts: DataFrame, token: str = "token", id: str = "id", block: int
     return paired(small, small, [token], None).unionByName(paired(first, second, [token, "_i", "_j"], F.col("_i") < F.col("_j")))
 
 
-def frequent_tokens(sets: DataFrame, share: float) -> tuple[np.ndarray, np.ndarray]:
-    """The tokens (64-bit) of at least share of the sets, ascending, and the number of sets of each; all sets are counted.
+def _bucket(values: np.ndarray, bits: int) -> np.ndarray:
+    """The bucket of each 64-bit value among 2^bits."""
+    x = values.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (x >> np.uint64(64 - bits)).astype(np.int64)
+
 
-    At most mean size / share tokens reach that share, however many sets there are.
+def bucket_counts(values: DataFrame, bits: int, slices: int = 64) -> np.ndarray:
+    """How many of the values (arrays of 64-bit numbers, one column) fall into each of 2^bits buckets.
+
+    All values are counted. Each task sends its counts in packed slices, which are added up slice by slice; the driver gets the
+    table, whose size is fixed.
     """
-    n = sets.count()
-    rows = sets.select(F.explode("set").alias("t")).groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") >= max(2.0, share * n)).toPandas().sort_values("t")
-    return rows["t"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(1 << bits, np.int64)
+        for b in batches:
+            rows = [x for x in b.iloc[:, 0] if x is not None and len(x)]
+            if rows:
+                total += np.bincount(_bucket(np.concatenate(rows).astype(np.int64), bits), minlength=1 << bits)
+        parts = [(i, zlib.compress(x.tobytes(), 1)) for i, x in enumerate(np.split(total, slices)) if x.any()]
+        yield pd.DataFrame(parts, columns=["slice", "counts"]).astype({"slice": np.int32})
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in pdf["counts"])
+        return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "counts": [zlib.compress(total.tobytes(), 1)]})
+
+    kind = "slice int, counts binary"
+    out = np.zeros((slices, (1 << bits) // slices), np.int64)
+    for r in values.mapInPandas(count, kind).groupBy("slice").applyInPandas(add, kind).collect():
+        out[r["slice"]] = np.frombuffer(zlib.decompress(bytes(r["counts"])), np.int64)
+    return out.reshape(-1)
+
+
+def among(df: DataFrame, id: str, ids: DataFrame, bits: int = 23) -> DataFrame:
+    """df without most of the rows whose id isn't in ids (one column): those are left out whose bucket no id of ids has.
+
+    It spares a shuffle of large rows before a join, which still has to be made.
+    """
+    held = np.packbits(bucket_counts(ids.select(F.array(F.xxhash64(ids.columns[0]))), bits) > 0)
+
+    @F.pandas_udf("boolean")
+    def may_be(h: pd.Series) -> pd.Series:
+        k = _bucket(h.to_numpy(np.int64), bits)
+        return pd.Series((held[k >> 3] >> (7 - (k & 7))) & 1 == 1)
+
+    return df.where(may_be(F.xxhash64(id)))
 
 
-def similar_sets(sets: DataFrame, threshold: float, share: float = 1e-3, block: int = 4_000) -> DataFrame:
+def similar_sets(sets: DataFrame, threshold: float, bits: int = 20, block: int = 4_000, same: tuple[str, ...] = ()) -> DataFrame:
     """(a, b, shared, na, nb), a < b, of all pairs of sets (id, set of 64-bit tokens) whose Jaccard similarity reaches threshold.
 
-    Two such sets share one of their first |s| - ceil(t |s|) + 1 tokens in the order rare ones first, frequent ones by
-    frequency, at places that still allow the overlap; the pairs that do are verified on the sets. Read several times, sets
-    should be a table.
+    Two such sets share one of their first |s| - ceil(t |s|) + 1 tokens in the order rare ones first, by the counts of 2^bits
+    buckets of tokens, at places that still allow the overlap. Each token on its own carries 128 bits, in which each token of its
+    set has turned one: two sets differ in as many tokens at least as in bits. The pairs left are verified on the sets, of which
+    only those of such pairs are moved. Of rows that are equal in the columns `same` only the least id takes part. Read several
+    times, sets should be a table.
     """
-    frequent, counts = frequent_tokens(sets, share)
+    counts = np.minimum(bucket_counts(sets.select("set"), bits), 2**31 - 1).astype(np.int32)
 
     def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -60,24 +103,32 @@ def similar_sets(sets: DataFrame, threshold: float, share: float = 1e-3, block:
             if not len(b):
                 continue
             size = b["set"].map(len).to_numpy()
+            begin = np.cumsum(size) - size
             flat = np.concatenate(b["set"].to_list())
             row = np.repeat(np.arange(len(b)), size)
-            rank = np.zeros(len(flat), np.int64)
-            if len(frequent):
-                k = np.minimum(np.searchsorted(frequent, flat), len(frequent) - 1)
-                rank = np.where(frequent[k] == flat, counts[k], 0)
-            order = np.lexsort((flat, rank, row))
-            nth = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-            keep = nth < (size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1)[row]
-            yield pd.DataFrame({"token": flat[order][keep], "id": b["id"].to_numpy()[row[keep]], "n": size[row[keep]].astype(np.int32), "pos": nth[keep].astype(np.int32)})
-
-    kind = dict(sets.dtypes)["id"]
-    met = meetings(sets.select("id", "set").mapInPandas(prefixes, f"token long, id {kind}, n int, pos int"), block=block)
+            order = np.lexsort((flat, counts[_bucket(flat, bits)], row))
+            keep = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
+            ordered = flat[order]
+            turned = _bucket(flat ^ (flat << 21), 7)
+            bit = np.uint64(1) << (turned & 63).astype(np.uint64)
+            signs = [np.bitwise_xor.reduceat(np.where(turned >> 6 == i, bit, np.uint64(0)), begin).view(np.int64) for i in (0, 1)]
+            out = b.drop(columns="set")
+            yield out.assign(n=size.astype(np.int32), s=signs[0], z=signs[1], tokens=[ordered[i : i + k] for i, k in zip(begin, keep)])
+
+    kinds = dict(sets.dtypes)
+    kind = ", ".join(f"{c} {kinds[c]}" for c in ("id", *same))
+    heads = sets.select("id", *same, "set").mapInPandas(prefixes, f"{kind}, n int, s long, z long, tokens array<long>")
+    if same:
+        heads = heads.groupBy(*same).agg(F.min(F.struct("id", "n", "s", "z", "tokens")).alias("x")).select("x.*")
+    met = meetings(heads.select("id", "n", "s", "z", F.posexplode("tokens").alias("pos", "token")), block=block)
     n, m = F.col("n"), F.col("o_n")
     need = F.ceil(threshold / (1 + threshold) * (n + m) - 1e-9)
     fits = (n >= threshold * m - 1e-9) & (m >= threshold * n - 1e-9) & (1 + F.least("pos", "o_pos") + F.least(n - F.col("pos") - 1, m - F.col("o_pos") - 1) >= need)
-    near = met.where(fits).select(F.col("id").alias("a"), F.col("o_id").alias("b")).distinct()
-    full = near.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+    apart = F.bit_count(F.col("s").bitwiseXOR(F.col("o_s"))) + F.bit_count(F.col("z").bitwiseXOR(F.col("o_z")))
+    near = staged(met.where(fits & (apart <= n + m - 2 * need)).select(F.col("id").alias("a"), F.col("o_id").alias("b")).distinct(), "near-sets")
+    ids = near.select(F.explode(F.array("a", "b")).alias("id"))
+    left = among(sets.select("id", "set"), "id", ids)
+    full = near.join(left.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(left.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     out = full.select("a", "b", shared.alias("shared"), F.size("sa").alias("na"), F.size("sb").alias("nb"))
-    return out.where(F.col("shared") >= threshold * (F.col("na") + F.col("nb") - F.col("shared")) - 1e-9)
+    return out.where(F.col("shared") >= threshold * (F.col("na") + F.col("nb") - F.col("shared")) - 1e-9).distinct()
