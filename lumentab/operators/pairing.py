@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from ..session import staged
 
 
-def meetings(posts: DataFrame, token: str = "token", id: str = "id", block: int = 4_000) -> DataFrame:
+def meetings(posts: DataFrame, token: str = "token", id: str = "id", block: int = 4_000, split: bool = True) -> DataFrame:
     """The pairs of rows of posts under each token, with id < o_id; the other row's columns have o_ before their names.
 
     The rows are shuffled once, by token. A token of more than `block` rows is split: its rows are dealt into blocks, and each
     pair of blocks is a key of its own, so that no task holds more than two blocks of one token. Rows without a token meet none.
+    Without `split`, it is known that no token has so many.
     """
     fields = [c for c in posts.columns if c != token]
     routed = posts.where(F.col(token).isNotNull()).repartition(token)
@@ -31,6 +32,8 @@ def meetings(posts: DataFrame, token: str = "token", id: str = "id", block: int
         cols = [x for c in fields for x in (F.when(turn, F.col(f"o_{c}")).otherwise(F.col(c)).alias(c), F.when(turn, F.col(c)).otherwise(F.col(f"o_{c}")).alias(f"o_{c}"))]
         return inside.where(F.col(id) != F.col(f"o_{id}")).select(token, *cols)
 
+    if not split:
+        return paired(routed, routed, [token], None)
     small = routed.join(large, token, "left_anti")
     dealt = routed.join(large, token).withColumn("_own", F.pmod(F.xxhash64(id), F.col("_blocks")).cast("int"))
     first = dealt.select(token, *fields, F.col("_own").alias("_i"), F.explode(F.sequence("_own", F.col("_blocks") - 1)).alias("_j"))
@@ -86,14 +89,12 @@ def among(df: DataFrame, id: str, ids: DataFrame, bits: int = 23) -> DataFrame:
     return df.where(may_be(F.xxhash64(id)))
 
 
-def similar_sets(sets: DataFrame, threshold: float, bits: int = 20, block: int = 4_000, same: tuple[str, ...] = ()) -> DataFrame:
-    """(a, b, shared, na, nb), a < b, of all pairs of sets (id, set of 64-bit tokens) whose Jaccard similarity reaches threshold.
+def set_heads(sets: DataFrame, threshold: float, bits: int = 20, same: tuple[str, ...] = ()) -> DataFrame:
+    """(id, n, s, z, wide, tokens), a table: of each set that isn't empty its size, its signs and its first tokens.
 
-    Two such sets share one of their first |s| - ceil(t |s|) + 1 tokens in the order rare ones first, by the counts of 2^bits
-    buckets of tokens, at places that still allow the overlap. Each token on its own carries 128 bits, in which each token of its
-    set has turned one: two sets differ in as many tokens at least as in bits. The pairs left are verified on the sets, of which
-    only those of such pairs are moved. Of rows that are equal in the columns `same` only the least id takes part. Read several
-    times, sets should be a table.
+    The first |s| - ceil(t |s|) + 1 tokens are those in the order rare ones first, by the counts of 2^bits buckets of tokens. The
+    signs are 128 bits, in which each token of the set has turned one, and wide has two bits at least for each token: two sets
+    differ in as many tokens at least as in bits. Of rows that are equal in the columns `same` only the least id takes part.
     """
     counts = np.minimum(bucket_counts(sets.select("set"), bits), 2**31 - 1).astype(np.int32)
 
@@ -112,22 +113,52 @@ def similar_sets(sets: DataFrame, threshold: float, bits: int = 20, block: int =
             turned = _bucket(flat ^ (flat << 21), 7)
             bit = np.uint64(1) << (turned & 63).astype(np.uint64)
             signs = [np.bitwise_xor.reduceat(np.where(turned >> 6 == i, bit, np.uint64(0)), begin).view(np.int64) for i in (0, 1)]
-            out = b.drop(columns="set")
-            yield out.assign(n=size.astype(np.int32), s=signs[0], z=signs[1], tokens=[ordered[i : i + k] for i, k in zip(begin, keep)])
+            longs = np.maximum(1, 1 << np.ceil(np.log2(size / 32)).astype(np.int64).clip(0))
+            base = np.cumsum(longs) - longs
+            h = flat.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+            h = ((h ^ (h >> np.uint64(32))) & np.uint64(2**31 - 1)).astype(np.int64)
+            wide = np.zeros(longs.sum(), np.uint64)
+            np.bitwise_xor.at(wide, base[row] + ((h >> 6) & (longs[row] - 1)), np.uint64(1) << (h & 63).astype(np.uint64))
+            wide = wide.view(np.int64)
+            yield b.drop(columns="set").assign(n=size.astype(np.int32), s=signs[0], z=signs[1], wide=[wide[i : i + k] for i, k in zip(base, longs)], tokens=[ordered[i : i + k] for i, k in zip(begin, keep)])
 
     kinds = dict(sets.dtypes)
     kind = ", ".join(f"{c} {kinds[c]}" for c in ("id", *same))
-    heads = sets.select("id", *same, "set").mapInPandas(prefixes, f"{kind}, n int, s long, z long, tokens array<long>")
+    heads = sets.select("id", *same, "set").mapInPandas(prefixes, f"{kind}, n int, s long, z long, wide array<long>, tokens array<long>")
     if same:
-        heads = heads.groupBy(*same).agg(F.min(F.struct("id", "n", "s", "z", "tokens")).alias("x")).select("x.*")
-    met = meetings(heads.select("id", "n", "s", "z", F.posexplode("tokens").alias("pos", "token")), block=block)
+        heads = heads.groupBy(*same).agg(F.min(F.struct("id", "n", "s", "z", "wide", "tokens")).alias("x")).select("x.*")
+    return staged(heads, "set-heads")
+
+
+def _bits_apart(a: str, b: str) -> Column:
+    """In how many bits two arrays of longs differ; of a pair with unlike sizes (powers of two) the longer one is folded."""
+    least = F.least(F.size(a), F.size(b))
+    even = lambda c: F.transform(F.sequence(F.lit(0), least - 1), lambda i: F.aggregate(F.sequence(i, F.size(c) - 1, least), F.lit(0).cast("long"), lambda s, k: s.bitwiseXOR(F.get(c, k))))
+    fold = lambda c: F.when(F.size(c) == least, F.col(c)).otherwise(even(c))
+    return F.aggregate(F.zip_with(fold(a), fold(b), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
+def similar_sets(sets: DataFrame | Callable[[DataFrame], DataFrame], threshold: float, bits: int = 20, block: int = 4_000, heads: DataFrame | None = None) -> DataFrame:
+    """(a, b, shared, na, nb), a < b, of all pairs of sets (id, set of 64-bit tokens) whose Jaccard similarity reaches threshold.
+
+    Two such sets share one of their first tokens at places that still allow the overlap, and their signs differ in few bits;
+    both are in `heads`, which set_heads makes for this threshold. The pairs left are verified on the sets, of which only those of
+    such pairs are moved. Read several times, sets should be a table; given heads, they may also be a function that makes (id, set)
+    for some ids at least, which it gets.
+    """
+    heads = set_heads(sets, threshold, bits) if heads is None else heads
+    split = bool(bucket_counts(heads.select("tokens"), bits).max() > block)  # a token has at most as many rows as its bucket
+    met = meetings(heads.select("id", "n", "s", "z", F.posexplode("tokens").alias("pos", "token")), block=block, split=split)
     n, m = F.col("n"), F.col("o_n")
     need = F.ceil(threshold / (1 + threshold) * (n + m) - 1e-9)
     fits = (n >= threshold * m - 1e-9) & (m >= threshold * n - 1e-9) & (1 + F.least("pos", "o_pos") + F.least(n - F.col("pos") - 1, m - F.col("o_pos") - 1) >= need)
     apart = F.bit_count(F.col("s").bitwiseXOR(F.col("o_s"))) + F.bit_count(F.col("z").bitwiseXOR(F.col("o_z")))
-    near = staged(met.where(fits & (apart <= n + m - 2 * need)).select(F.col("id").alias("a"), F.col("o_id").alias("b")).distinct(), "near-sets")
+    near = met.where(fits & (apart <= n + m - 2 * need)).select(F.col("id").alias("a"), F.col("o_id").alias("b")).distinct()
+    end = lambda side: heads.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("wide").alias(f"w_{side}"))
+    both = near.join(end("a"), "a").join(end("b"), "b")
+    near = staged(both.where(_bits_apart("w_a", "w_b") <= F.col("n_a") + F.col("n_b") - 2 * F.ceil(threshold / (1 + threshold) * (F.col("n_a") + F.col("n_b")) - 1e-9)).select("a", "b"), "near-sets")
     ids = near.select(F.explode(F.array("a", "b")).alias("id"))
-    left = among(sets.select("id", "set"), "id", ids)
+    left = sets(ids) if callable(sets) else among(sets.select("id", "set"), "id", ids)
     full = near.join(left.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(left.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     out = full.select("a", "b", shared.alias("shared"), F.size("sa").alias("na"), F.size("sb").alias("nb"))

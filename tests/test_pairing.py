@@ -53,9 +53,20 @@ def test_dedup_moves_few_sets(spark, answers):
     held = []
 
     def run():
-        rows = retrieval.shingle_table(answers, "k", "t")
-        pairs = retrieval.near_pairs(rows).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
-        held.extend(r["k"] for r in retrieval.greedy_kept(retrieval.first_copies(rows, "k"), pairs, "k").collect())
+        firsts = retrieval.first_copies(retrieval.shingle_sets(answers, "k", "t"))
+        pairs = retrieval.near_pairs(answers, "k", "t", firsts).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+        held.extend(r["k"] for r in retrieval.greedy_kept(firsts.select(F.col("id").alias("k")), pairs, "k").collect())
 
     assert moved(spark, run) < 3 * 6000 * 56 * 8
     assert sorted(held) == list(range(6000))
+
+
+def test_near_duplicates_keep_no_shingles(spark, answers):
+    """near_duplicates: what is shuffled and kept as tables is less than the shingles, 8 bytes for each word, once moved and once kept."""
+    from pathlib import Path
+
+    size = lambda: sum(p.stat().st_size for p in Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).parent.rglob("*.parquet"))
+    long = answers.where("k < 2000").select("k", F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.regexp_replace("t", "([ws])", F.concat(i.cast("string"), F.lit("$1"))))).alias("t"))
+    got, kept = [], size()
+    shuffled = moved(spark, lambda: got.extend(retrieval.near_duplicates(long, "k", "t").collect()))
+    assert got == [] and shuffled + size() - kept < 2 * 2000 * 476 * 8
