@@ -28,3 +28,15 @@ def test_ranks_of_many_queries(spark, texts):
     plain = lambda df: sorted((r["query"], r["rank"], r["doc"], r["score"]) for r in df.collect())
     assert plain(small) == plain(want) and {r["rank"] for r in got} == {1, 2, 3}
     assert retrieval.bm25_top_k(texts, "k", "t", asked.limit(0), "k", "t", 3).count() == 0
+
+
+def test_deep_ranks(spark, texts):
+    """rrf_fusion_all: ranks deeper than a batch or a block holds are whole, and only they are moved."""
+    rows = retrieval.document_rows(texts.where("k <> 3"), "k", "t")
+    terms = texts.where("k % 20 = 0 AND t IS NOT NULL").select(F.col("k").alias("query"), F.explode(F.array_distinct(retrieval.question_terms(retrieval.plain_words("t")))).alias("term"))
+    size = rows.where("length > 0").agg(F.count("*").cast("double").alias("n"), F.avg("length").alias("average"))
+    want = retrieval.bm25_scores(retrieval.postings(texts.where("k <> 3"), "k", "t"), terms, size).select("query", "doc", F.round("score", 6).alias("score"))
+    for k in (1000, 5000):
+        got = retrieval.bm25_best(rows, terms, k, cells=1000).select("query", "doc", F.round("score", 6).alias("score"))
+        plain = lambda df, k=k: sorted((r["query"], r["rank"], r["doc"]) for r in retrieval.top_k(df, k).collect())
+        assert plain(got) == plain(want)
