@@ -103,14 +103,17 @@ def cluster_signature(values: DataFrame, k: int = 8) -> DataFrame:
     return g.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select("cluster", F.col("place").cast("bigint").alias("place"), "canonical", F.col("first.name").alias("display"), "n")
 
 
-def built_edges(nodes: DataFrame, chunks: DataFrame, threshold: float = 0.3, key: str = "chunk_id") -> DataFrame:
+def built_edges(nodes: DataFrame, chunks: DataFrame, threshold: float = 0.3, key: str = "chunk_id", least: float = 0.0) -> DataFrame:
     """(src, dst, type, weight): shared_entity (two shared names at least, weight their number), keyphrase_overlap (Jaccard of
     the key phrases), same_document (consecutive chunks of a file).
 
     One shared name alone is no edge: a name that a third of all nodes have would link all of these with each other, and edges
-    below a weight of two take no part in clustering.
+    below a weight of two take no part in clustering. Where only edges of a weight of `least` are wanted, and that is above 1, the
+    other two kinds, whose weights are at most 1, aren't made.
     """
     entity = shared_key_edges(nodes_with_keys(nodes, "entities", key)).select("src", "dst", F.lit("shared_entity").alias("type"), F.col("weight").cast("double").alias("weight"))
+    if least > 1:
+        return entity.where(F.col("weight") >= least)
     phrase = jaccard_edges(nodes_with_keys(nodes, "keyphrases", key), threshold).select("src", "dst", F.lit("keyphrase_overlap").alias("type"), "weight")
     return entity.unionByName(phrase).unionByName(spine_edges(chunks).select("src", "dst", F.lit("same_document").alias("type"), "weight"))
 
@@ -224,7 +227,7 @@ def capped_topics(clusters: DataFrame, most: int, limit: int | None = None) -> D
 
 def entity_clusters(nodes: DataFrame, edges: DataFrame, most: int = 12, limit: int | None = None, least: float = 2.0) -> DataFrame:
     """(id, topic): components under strong edges, the oversized ones parted by weight, then capped; nodes is (id)."""
-    strong = clustering_edges(edges, least)
+    strong = staged(clustering_edges(edges, least), "strong-edges")  # read in every step
     clusters = components(nodes, strong).select("id", F.col("component").cast("string").alias("origin"))
     parted = split_oversized(clusters, strong, limit) if limit is not None else clusters.withColumn("part", F.lit(None).cast("string"))
     return capped_topics(parted, most, limit)
@@ -237,7 +240,7 @@ OTHER_THEME = "אחר"
 def theme_clusters(nodes: DataFrame, edges: DataFrame, most: int = 40, limit: int | None = None, least: float = 2.0) -> DataFrame:
     """(id, topic): nodes of one theme together, those without one by their strong edges; oversized clusters are parted by weight
     and put together again within their theme, then all are capped. nodes is (id, theme)."""
-    strong = clustering_edges(edges, least)
+    strong = staged(clustering_edges(edges, least), "strong-edges")  # read in every step
     name = F.trim(F.regexp_replace(F.lower(F.coalesce("theme", F.lit(""))), r"\s+", " "))
     named = nodes.groupBy("id").agg(F.min(F.when((name != "") & (name != OTHER_THEME), name)).alias("theme"))
     loose = named.where("theme IS NULL").select("id")

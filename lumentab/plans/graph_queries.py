@@ -60,18 +60,23 @@ def built_edges(spark, d):
     return graph.built_edges(table(spark, d, "graph_nodes"), table(spark, d, "chunks"))
 
 
+def _strong(spark, d):
+    """The edges of built_edges that have the weight of two which clustering asks for."""
+    return graph.built_edges(table(spark, d, "graph_nodes"), table(spark, d, "chunks"), least=2.0)
+
+
 @core.query()
 def entity_clusters(spark, d):
     """Topics of at most eighty nodes by shared entities; checked on fixtures against the rule for one graph."""
     nodes = table(spark, d, "graph_nodes").where("chunk_id IS NOT NULL").select(F.col("chunk_id").alias("id"))
-    return graph.entity_clusters(nodes, built_edges(spark, d), 40, 80)
+    return graph.entity_clusters(nodes, _strong(spark, d), 40, 80)
 
 
 @core.query()
 def theme_clusters(spark, d):
     """Topics by theme, at most eighty nodes each; checked on fixtures."""
     nodes = table(spark, d, "graph_nodes").where("chunk_id IS NOT NULL").select(F.col("chunk_id").alias("id"), "theme")
-    return graph.theme_clusters(nodes, built_edges(spark, d), 40, 80)
+    return graph.theme_clusters(nodes, _strong(spark, d), 40, 80)
 
 
 @core.query(
