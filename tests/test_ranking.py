@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 from test_pairing import moved
 
+from lumentab.functions.text import document_terms
 from lumentab.operators import retrieval
+from lumentab.plans import text_queries
 
 
 @pytest.fixture(scope="module")
@@ -40,3 +42,23 @@ def test_deep_ranks(spark, texts):
         got = retrieval.bm25_best(rows, terms, k, cells=1000).select("query", "doc", F.round("score", 6).alias("score"))
         plain = lambda df, k=k: sorted((r["query"], r["rank"], r["doc"]) for r in retrieval.top_k(df, k).collect())
         assert plain(got) == plain(want)
+
+
+def test_fused_ranks_are_those_of_deep_lists(spark):
+    """rrf_fusion_all: a query without a vector moves its ten best of a task and no list of a thousand; the fused ranks stay."""
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, " ".join(f"w{int(rng.paretovariate(0.4)) % 300}" for _ in range(12))) for i in range(3000)], "doc_id long, text string").repartition(4).cache()
+    e = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(0, 60, 2)], "vec_id long, embedding array<double>")
+    got = []
+    assert moved(spark, lambda: got.extend(tuple(r) for r in text_queries.fused(docs, e).collect())) < 1_500_000  # 150 queries, three with vectors
+    lexical = retrieval.bm25_top_k(docs, "doc_id", "text", docs.where("doc_id % 20 = 0"), "doc_id", "text", 1000)
+    dense = retrieval.dense_top_k(e, e.where("vec_id % 20 = 0"), "vec_id", "embedding", 1000)
+    assert sorted(got) == sorted(tuple(r) for r in retrieval.fuse([lexical, dense], 10).collect()) and len(got) == 1500
+
+
+def test_terms_of_whole_texts(spark):
+    """rrf_fusion_all: terms found in the whole text are those found word by word."""
+    texts = ["", "והבית הבית בבית ובבית וה ווה וווה ווווה והבלכ", "״וכשהגיע״ לבית-הספר ה־7 מהמהמה", "plain words, הדוח; ~הדוח ומהדוחות x_והבית", "מֶלֶךְ והַמֶּלֶךְ ﬁ Straße"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    r = df.select(retrieval.text_terms("t").alias("a"), document_terms(retrieval.plain_words("t")).alias("b")).collect()
+    assert all(sorted(x["a"]) == sorted(x["b"]) for x in r) and sum(len(x["a"]) for x in r) > 40
