@@ -70,3 +70,19 @@ def test_near_duplicates_keep_no_shingles(spark, answers):
     got, kept = [], size()
     shuffled = moved(spark, lambda: got.extend(retrieval.near_duplicates(long, "k", "t").collect()))
     assert got == [] and shuffled + size() - kept < 2 * 2000 * 476 * 8
+
+
+def test_near_duplicate_answers_move_few_sets(spark, answers, tmp_path):
+    """near_duplicate_answers: the shingle sets, 8 bytes for each of about sixty words, are neither shuffled nor kept."""
+    from pathlib import Path
+
+    from lumentab.plans import text_queries
+
+    answers.toDF("result_no", "expected_answer").write.parquet(str(tmp_path / "results.parquet"))
+    size = lambda: sum(p.stat().st_size for p in Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).parent.rglob("*") if p.is_file())
+    got, kept = [], size()
+    shuffled = moved(spark, lambda: got.extend(text_queries.near_duplicate_answers(spark, str(tmp_path)).collect()))
+    runs = {k: {" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for k, t in answers.where("k < 7000").collect() for w in [t.split()]}
+    want = [(i, j, round(len(runs[i] & runs[j]) / len(runs[i] | runs[j]), 6)) for i in range(0, 300, 3) for j in [6000 + i]]
+    assert sorted((r["key_a"], r["key_b"], r["similarity"]) for r in got) == want
+    assert shuffled + size() - kept < 3 * 6000 * 56 * 8, (shuffled, size() - kept)
