@@ -143,8 +143,8 @@ def similar_sets(sets: DataFrame | Callable[[DataFrame], DataFrame], threshold:
 
     Two such sets share one of their first tokens at places that still allow the overlap, and their signs differ in few bits;
     both are in `heads`, which set_heads makes for this threshold. The pairs left are verified on the sets, of which only those of
-    such pairs are moved. Read several times, sets should be a table; given heads, they may also be a function that makes (id, set)
-    for some ids at least, which it gets.
+    such pairs are moved. Read several times, sets should be a table; given heads, they may also be a function that gets the rows
+    (id and other columns) for which sets are needed, and adds to each its set.
     """
     heads = set_heads(sets, threshold, bits) if heads is None else heads
     split = bool(bucket_counts(heads.select("tokens"), bits).max() > block)  # a token has at most as many rows as its bucket
@@ -157,9 +157,28 @@ def similar_sets(sets: DataFrame | Callable[[DataFrame], DataFrame], threshold:
     end = lambda side: heads.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("wide").alias(f"w_{side}"))
     both = near.join(end("a"), "a").join(end("b"), "b")
     near = staged(both.where(_bits_apart("w_a", "w_b") <= F.col("n_a") + F.col("n_b") - 2 * F.ceil(threshold / (1 + threshold) * (F.col("n_a") + F.col("n_b")) - 1e-9)).select("a", "b"), "near-sets")
-    ids = near.select(F.explode(F.array("a", "b")).alias("id"))
-    left = sets(ids) if callable(sets) else among(sets.select("id", "set"), "id", ids)
-    full = near.join(left.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(left.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    out = full.select("a", "b", shared.alias("shared"), F.size("sa").alias("na"), F.size("sb").alias("nb"))
+    return verified(near, sets, threshold)
+
+
+def verified(near: DataFrame, sets: DataFrame | Callable[[DataFrame], DataFrame], threshold: float, block: int = 64) -> DataFrame:
+    """The rows of similar_sets for those pairs (a, b), a < b, of near that reach the threshold.
+
+    Sets aren't moved for each pair: pairs go to the place of a, the least id of a pair that it is in, and a set once to each place
+    where it has pairs, so that of ids that are all alike each set is moved once. A place of more than `block` ids is split by
+    dealing the ids; of one part no more than two blocks of sets, as they are dealt, are held together.
+    """
+    at = ["_at", "_i", "_j"]
+    homes = near.select(F.col("a").alias("id"), F.col("a").alias("_at")).unionByName(near.select(F.col("b").alias("id"), F.col("a").alias("_at"))).groupBy("id").agg(F.min("_at").alias("_at"))
+    placed = near.join(homes.withColumnRenamed("id", "a"), "a")
+    deals = placed.select("_at", F.explode(F.array("a", "b")).alias("id")).distinct().groupBy("_at").agg(F.ceil(F.count("*") / block).cast("int").alias("_n"))
+    deal = lambda c: F.pmod(F.xxhash64(c), F.col("_n")).cast("int")
+    placed = staged(placed.join(deals, "_at").select("_at", deal("a").alias("_i"), deal("b").alias("_j"), "a", "b"), "placed-pairs")
+    needed = placed.select(*at, F.explode(F.array("a", "b")).alias("id")).distinct()
+    made = sets(needed) if callable(sets) else among(sets.select("id", "set"), "id", needed.select("id")).join(needed, "id")
+    held = made.select(*at, "id", "set").repartition(*at).groupBy(*at).agg(F.collect_list(F.struct("id", "set")).alias("_s"))
+    asked = placed.repartition(*at).groupBy(*at).agg(F.collect_list(F.struct("a", "b")).alias("_p"))
+    of = lambda id: F.filter("_s", lambda x: x["id"] == id)
+    row = lambda p, x, y: F.struct(p["a"].alias("a"), p["b"].alias("b"), F.size(F.array_intersect(x["set"], y["set"])).alias("shared"), F.size(x["set"]).alias("na"), F.size(y["set"]).alias("nb"))
+    rows = F.flatten(F.transform("_p", lambda p: F.flatten(F.transform(of(p["a"]), lambda x: F.transform(of(p["b"]), lambda y: row(p, x, y))))))
+    out = asked.join(held, at).select(F.explode(rows).alias("x")).select("x.*")
     return out.where(F.col("shared") >= threshold * (F.col("na") + F.col("nb") - F.col("shared")) - 1e-9).distinct()

@@ -86,3 +86,38 @@ def test_near_duplicate_answers_move_few_sets(spark, answers, tmp_path):
     want = [(i, j, round(len(runs[i] & runs[j]) / len(runs[i] | runs[j]), 6)) for i in range(0, 300, 3) for j in [6000 + i]]
     assert sorted((r["key_a"], r["key_b"], r["similarity"]) for r in got) == want
     assert shuffled + size() - kept < 3 * 6000 * 56 * 8, (shuffled, size() - kept)
+
+
+def test_verified_moves_each_set_once(spark, tmp_path):
+    """near_duplicate_answers: of sets that are all alike, each is moved once, not once for each of its pairs."""
+    from lumentab.plans import text_queries
+
+    rng = random.Random(11)
+    base = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(1000)]
+    rows = [(c * 1000 + i, f"{t} v{c}") for i, t in enumerate(base) for c in range(8)]
+    spark.createDataFrame(rows, "result_no long, expected_answer string").repartition(4).write.parquet(str(tmp_path / "results.parquet"))
+    got = []
+    large = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "12"}  # as with large tables
+    before = {k: spark.conf.get(k) for k in large}
+    try:
+        for k, v in large.items():
+            spark.conf.set(k, v)
+        shuffled = moved(spark, lambda: got.extend(text_queries.near_duplicate_answers(spark, str(tmp_path)).collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((r["key_a"], r["key_b"], r["similarity"]) for r in got) == sorted((c * 1000 + i, d * 1000 + i, round(56 / 58, 6)) for i in range(1000) for d in range(8) for c in range(d))
+    assert shuffled < 5 * 8000 * 57 * 8, shuffled
+
+
+def test_verified_in_parts(spark):
+    """Places that are split, stars and chains, and an id with two sets give the same as each pair by itself."""
+    rng = random.Random(4)
+    sets = [(i, sorted(rng.sample(range(40), rng.randrange(20, 38)))) for i in range(60)] + [(7, [1, 2, 3])]
+    near = [(0, b) for b in range(1, 60)] + [(i, i + 1) for i in range(1, 59)] + [(a, b) for a in range(20, 40) for b in range(a + 2, 40)]
+    kept = {i: [set(s) for k, s in sets if k == i] for i in range(60)}
+    want = {(a, b, len(x & y), len(x), len(y)) for a, b in near for x in kept[a] for y in kept[b] if len(x & y) >= 0.5 * len(x | y) - 1e-9}
+    df, pairs = spark.createDataFrame(sets, "id long, set array<long>"), spark.createDataFrame(near, "a long, b long")
+    for block in (1, 5, 64):
+        got = [tuple(r) for r in pairing.verified(pairs, df, 0.5, block).collect()]
+        assert set(got) == want and len(got) == len(want)
